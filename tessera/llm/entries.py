@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_join, language_id, line_dedup, packing, simhash
+from tessera.llm import (
+    chat_format, decontaminate, embedding_join, language_id, license_scan, line_dedup, lm_score, packing, pii, simhash,
+)
 from tessera.llm.shared import table
 
 
@@ -15,6 +17,14 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = language_id.identify(docs.select("doc_id", "text"), language_id.train_on_documents(docs))
@@ -26,6 +36,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(chat_format.ADDED, chat_format.ROW)
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(added)))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,8 +67,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
+        "op2_license_scan": op2_license_scan,
+        "op3_pii": op3_pii,
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
+        "op6_chat_format": op6_chat_format,
+        "op7_lm_score": op7_lm_score,
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
@@ -56,5 +80,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS found FROM embeddings
+  UNION
+  SELECT l.a, r.found FROM reach r JOIN links l ON l.b = r.node
+), least AS (SELECT node, min(found) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON node = vec_id LEFT JOIN counted ON a = vec_id
+"""
+
+_LINES_SQL = r"""
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM parts
+), common AS (
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT keyed.*, common.k IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN common USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_CHAT_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.TURN + chat_format.BODY + chat_format.END)}
+    + length(regexp_replace(role, '{chat_format.CONTROL}', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '{chat_format.CONTROL}', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express; the others are tested against brute force in tests/llm."""
+    return {"op1_embedding_neardup": _EMBEDDING_SQL, "op5_line_dedup": _LINES_SQL, "op6_chat_format": _CHAT_SQL}
