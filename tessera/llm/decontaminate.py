@@ -68,9 +68,9 @@ class Templates:
         good = np.flatnonzero((text[:n] == text[width - 1 :]) & (width - slots >= min_literal))
         return good, mix(out[good] + np.uint64(width))
 
-    def slots(self, firsts: np.ndarray, width: int) -> list[list[int]]:
+    def slots(self, firsts: np.ndarray, width: int) -> pd.Series:
         value = self.value.view(np.int64)
-        return [value[i : i + width][self.slot[i : i + width]].tolist() for i in firsts.tolist()]
+        return pd.Series([value[i : i + width][self.slot[i : i + width]].tolist() for i in firsts.tolist()], dtype=object)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
