@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints linked at a few differing bits through a partitioning vantage-point tree."""
+"""SimHash near-duplicates: fingerprints linked at a few differing bits through partitioning vantage-point trees."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import Forest, block_tasks, connected_components, cut
 
-#: Fingerprints of the bounded sample on which the tree is fitted.
+#: Fingerprints of the bounded sample on which the trees are fitted.
 SAMPLE = 65_536
 #: Fingerprints a leaf should hold, and rows of one block when it holds more.
 LEAF = 8_192
@@ -52,36 +52,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 class VantageTree:
-    """Overlapping partition of 64-bit fingerprints.
+    """Overlapping partition of some bits of fingerprints.
 
     A node keeps those within ``mu + radius`` of its vantage point on the near
     side and those beyond ``mu`` on the far side. By the triangle inequality
-    two fingerprints at distance ``radius`` or less are together on one of
+    two of them at distance ``radius`` or less are together on one of
     the sides, so each close pair meets in some leaf.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int):
-        self.radius, self.nodes, self.leaves = radius, [], 0
-        self.top = self._grow(sample, depth)
+    def __init__(self, sample: np.ndarray, mask: int, depth: int, radius: int):
+        self.mask, self.radius, self.nodes, self.leaves = np.uint64(mask), radius, [], 0
+        self.top = self._grow(np.unique(sample & self.mask), depth)
 
     def _grow(self, sample: np.ndarray, depth: int) -> int:
         """Number of a node, or -1 - leaf."""
         if depth > 0 and len(sample) >= 16:
-            away = np.bitwise_count(sample ^ sample[0])
-            mu = int(np.median(away))
-            near, far = sample[away <= mu + self.radius], sample[away > mu]
-            if 0 < len(far) and len(near) < 0.9 * len(sample):
-                at = len(self.nodes)
-                self.nodes.append([int(sample[0]), mu, 0, 0])
-                self.nodes[at][2] = self._grow(near[1:], depth - 1)
-                self.nodes[at][3] = self._grow(far, depth - 1)
+            point = sample[len(sample) // 2]
+            away = np.sort(np.bitwise_count(sample ^ point))
+            cuts = np.unique(away)
+            near = np.searchsorted(away, cuts + self.radius, "right")
+            far = len(away) - np.searchsorted(away, cuts, "right")
+            k = int(np.maximum(near, far).argmin())
+            if max(near[k], far[k]) < 0.9 * len(sample):
+                mu, at = int(cuts[k]), len(self.nodes)
+                away = np.bitwise_count(sample ^ point)
+                self.nodes.append([int(point), mu, 0, 0])
+                self.nodes[at][2] = self._grow(sample[away <= mu + self.radius], depth - 1)
+                self.nodes[at][3] = self._grow(sample[away > mu], depth - 1)
                 return at
         self.leaves += 1
         return -self.leaves
 
     def leaves_of(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, leaf) for every leaf that each fingerprint belongs to."""
-        found, todo = [], [(self.top, np.arange(len(fps)))]
+        fps = fps & self.mask
+        found, todo = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(self.top, np.arange(len(fps)))]
         while todo:
             node, rows = todo.pop()
             if not len(rows):
@@ -92,11 +97,14 @@ class VantageTree:
             point, mu, near, far = self.nodes[node]
             away = np.bitwise_count(fps[rows] ^ np.uint64(point))
             todo += [(near, rows[away <= mu + self.radius]), (far, rows[away > mu])]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def trees(sample: np.ndarray, depth: int, radius: int) -> list[VantageTree]:
+    """A tree for each half of the bits: two fingerprints at ``radius`` or less differ by ``radius // 2`` or less in one of the halves."""
+    return [VantageTree(sample, mask, depth, radius // 2) for mask in (0xFFFFFFFF, 0xFFFFFFFF00000000)]
+
+
 def close_edges(fps: np.ndarray, ids: np.ndarray, sides: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all links among the rows of one task; sides differ where only pairs across count."""
     order = np.argsort(ids, kind="stable")
@@ -118,14 +126,14 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
     spark = prints.sparkSession
     n = prints.count()
     sample = [r.fp for r in prints.select("fp").orderBy(F.xxhash64(F.lit("tree"), "fp"), "fp").limit(SAMPLE).collect()]
-    depth = max(0, int(np.ceil(np.log(max(1.0, n / leaf)) / np.log(1 / 0.63))))
-    tree = VantageTree(np.array(sample, np.int64).view(np.uint64), depth, radius)
-    shared = spark.sparkContext.broadcast(tree)
+    depth = max(0, int(np.ceil(np.log(max(1.0, n / leaf)) / np.log(1 / 0.57))))
+    shared = spark.sparkContext.broadcast(trees(np.array(sample, np.int64).view(np.uint64), depth, radius))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            row, where = shared.value.leaves_of(batch["fp"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"leaf": where, "fp": batch["fp"].to_numpy()[row], "rep": batch["rep"].to_numpy()[row]})
+            for half, tree in enumerate(shared.value):
+                row, where = tree.leaves_of(batch["fp"].to_numpy(np.int64).view(np.uint64))
+                yield pd.DataFrame({"half": half, "leaf": where, "fp": batch["fp"].to_numpy()[row], "rep": batch["rep"].to_numpy()[row]})
 
     def linked(key, group: pd.DataFrame) -> pd.DataFrame:
         a, b = close_edges(
@@ -133,9 +141,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
         )
         return pd.DataFrame({"a": a, "b": b})
 
-    members = cut(prints.mapInPandas(routed, "leaf long, fp long, rep long"))
-    tasks = block_tasks(members, ["leaf"], "fp", leaf)
-    edges = tasks.groupBy("leaf", "block_a", "block_b").applyInPandas(linked, "a long, b long")
+    members = cut(prints.mapInPandas(routed, "half int, leaf long, fp long, rep long"))
+    tasks = block_tasks(members, ["half", "leaf"], "fp", leaf)
+    edges = tasks.groupBy("half", "leaf", "block_a", "block_b").applyInPandas(linked, "a long, b long")
     return connected_components(edges)
 
 
