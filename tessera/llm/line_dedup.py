@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import lower_ascii
+from tessera.llm.shared import cut, lower_ascii
 
 #: ASCII white space.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,13 +42,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     and is never the largest. The columns of ``docs`` stay as they are but
     for text, which is never null afterwards. An empty table stays empty.
     """
-    lines = _lines(docs, min_chars)
-    common = (
+    lines = cut(_lines(docs, min_chars))
+    common = cut(
         lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
         .filter(F.col("n") >= min_docs).select("h1", "h2", "last")
     )
     drops = (
-        lines.join(common.repartition("h1", "h2"), ["h1", "h2"])
+        lines.join(common, ["h1", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1")).agg(F.collect_set("pos").alias("_drop"))
     )
