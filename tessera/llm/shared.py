@@ -121,7 +121,7 @@ def _state(edges: DataFrame) -> tuple:
 # --- words of many texts at once -------------------------------------------------------------
 
 #: Bytes of text that one step of the array code takes together.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
