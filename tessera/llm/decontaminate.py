@@ -30,8 +30,8 @@ _ODD = np.uint64(0x100000001B3)
 class Templates:
     """Word values of some texts, their typed placeholders, and the hashes of their windows."""
 
-    def __init__(self, texts: list[bytes], names: bool):
-        words = self.words = Words(texts)
+    def __init__(self, words: Words, names: bool):
+        self.words = words
         data = np.frombuffer(words.data, np.uint8)
         n = len(words.start)
         unit_hashes = np.sort(Words([" ".join(UNITS).encode()]).hash)
@@ -81,9 +81,10 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for names in (True, False):
-                for first, part in chunks(encoded(batch["text"])):
-                    t = Templates(part, names)
+            for first, part in chunks(encoded(batch["text"])):
+                words = Words(part)
+                for names in (True, False):
+                    t = Templates(words, names)
                     sizes = np.diff(t.words.first)
                     for width in sorted({min(WINDOW, int(s)) for s in sizes if s >= MIN_ITEM_WORDS}):
                         at, h = t.windows(width, min(MIN_LITERAL, width))
@@ -107,8 +108,9 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, widths: list[in
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, part in chunks(encoded(batch["text"])):
+                words = Words(part)
                 for names in (True, False):
-                    t = Templates(part, names)
+                    t = Templates(words, names)
                     for width in widths:
                         at, h = t.windows(width, min(MIN_LITERAL, width))
                         if shared.value is not None:
