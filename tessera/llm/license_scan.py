@@ -118,7 +118,7 @@ FORMS = {"notice": (5, 1.0), "tag": (4, 1.0), "grant": (3, 0.95), "url": (2, 0.9
 _GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed|redistributed|shared|offered)(?: \w+){0,2} (?:under|by|with) (?:the )?(?:terms of )?(?:the )?"
 #: What some rule needs; texts without any of it hold nothing for the rules.
 GATE = (b"licen", b"spdx", b"gpl", b"cc0", b"cc", b"public", b"rights", b"permission", b"redistribution", b"bsd", b"wtfpl",
-        b"software", b"unicode", b"ofl", b"want", b"mulan", b"eupl", b"cecill", b"etalab", b"odbl", b"pddl", b"classpath", b"sspl", b"mpl", b"epl", b"cddl", b"creative", b"mit no")
+        b"software", b"unicode", b"mariadb", b"ofl", b"want", b"mulan", b"eupl", b"cecill", b"etalab", b"odbl", b"pddl", b"classpath", b"sspl", b"mpl", b"epl", b"cddl", b"creative", b"mit no")
 
 
 @dataclass(frozen=True)

@@ -52,14 +52,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1")).agg(F.collect_set("pos").alias("_drop"))
     )
-    texts = docs.withColumn("_all", F.xxhash64(_text(docs)))
-    joined = texts.join(drops, texts["doc_id"].eqNullSafe(drops["_doc"]) & (texts["_all"] == drops["_t1"]), "left")
+    same = docs["doc_id"].eqNullSafe(drops["_doc"]) & (F.xxhash64(_text(docs)) == drops["_t1"])
+    joined = docs.join(drops, same, "left")
     parts = F.split(_text(docs), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    rebuilt = F.when(F.col("_drop").isNull(), _text(docs)).otherwise(
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drops["_drop"])
+    rebuilt = F.when(drops["_drop"].isNull(), _text(docs)).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     )
     own = [rebuilt.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *own, F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")
+        *own, F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(drops["_drop"]), F.lit(0)).cast("long").alias("n_dropped")
     )
