@@ -23,8 +23,8 @@ def parsed(text: Column, first_year: int = 1990, last_year: int = 2027) -> Colum
 
 def best(columns: dict[str, Column], **years: int) -> tuple[Column, Column]:
     """(date, source): the date of the source with the highest priority whose text is a date; None names no source."""
-    dates = [(parsed(columns[c], **years), label) for c, label in V.DATE_SOURCES if c in columns]
-    source = F.lit("None")
-    for date, label in reversed(dates):
-        source = F.when(date.isNotNull(), label).otherwise(source)
-    return F.coalesce(*[d for d, _ in dates]), source
+    known = [(c, label) for c, label in V.DATE_SOURCES if c in columns]
+    stamps = F.transform(F.array(*[columns[c] for c, _ in known]), lambda t: parsed(t, **years))
+    named = F.zip_with(stamps, F.array(*[F.lit(label) for _, label in known]), lambda d, s: F.struct(d.alias("date"), s.alias("source")))
+    first = F.get(F.filter(named, lambda x: x["date"].isNotNull()), F.lit(0))
+    return first["date"], F.coalesce(first["source"], F.lit("None"))

@@ -22,7 +22,8 @@ def steps(value: Column, *bounds: tuple[float, float], otherwise: float | Column
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """``value`` within bounds; null stays null."""
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
 
 
 def pixels(width: Column, height: Column) -> Column:
@@ -30,10 +31,10 @@ def pixels(width: Column, height: Column) -> Column:
 
 
 def raw_bpp(bpp: Column, bitrate: Column, fps: Column, file_size: Column, duration: Column, area: Column) -> Column:
-    """Given bits per pixel, or from the bit rate, or from size and length; the last resort counts bytes, not bits. Null if nothing tells."""
+    """Given bits per pixel, or from the bit rate, or from size and length; the last resort counts bytes, not bits. Null if nothing tells, or a length comes without a rate."""
     area = area.cast("double")
     frames = F.greatest((duration * fps).cast("bigint"), F.lit(1))
-    by_size = F.when(duration > 0, file_size * 8.0 / frames / area).otherwise(file_size / area)
+    by_size = F.when(duration > 0, F.when(fps.isNotNull(), file_size * 8.0 / frames / area)).otherwise(file_size / area)
     return (
         F.when(bpp > 0, bpp)
         .when((bitrate > 0) & (fps > 0), bitrate / fps / area)
@@ -166,9 +167,8 @@ def factors(s: Source) -> dict[str, Column]:
     }
 
 
-def effective_bpp(s: Source, target: str, mode: str = "quality") -> Column:
-    """Bits per pixel, corrected by all factors; null where the size is unknown or nothing tells the bits."""
-    f = factors(s)
+def effective_bpp(f: dict[str, Column], target: str, mode: str = "quality") -> Column:
+    """Bits per pixel, corrected by all ``factors``; null where the size is unknown or nothing tells the bits."""
     top = f["raw_bpp"]
     for name in ("gop", "chroma", "hdr", "aspect", "complexity", "grain"):
         top = top * f[f"{name}_factor"]
@@ -228,4 +228,4 @@ def estimated_still_quality(file_size: Column, area: Column, frames: Column, ima
     efficiency = F.when(image_format.isin("AVIF", "HEIC", "HEIF"), 3.0).when(image_format == "WebP", 1.5).otherwise(1.0)
     flatness = clamp(F.sqrt(7.5 / F.greatest(entropy, F.lit(1.0))), 0.7, 1.3)
     bpp = file_size * 8.0 / F.nullif(area, F.lit(0).cast("bigint")) / F.greatest(frames, F.lit(1)) * efficiency * flatness
-    return F.when(file_size > 0, clamp(70.0 + 15.0 * F.log2(F.greatest(bpp * 5.0, F.lit(0.001))), 10.0, 100.0).cast("int"))
+    return F.when((file_size > 0) & (area > 0), clamp(70.0 + 15.0 * F.log2(F.greatest(bpp * 5.0, F.lit(0.001))), 10.0, 100.0).cast("int"))
