@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import Forest, block_tasks, connected_components, cut
 
-#: Fingerprints of the bounded sample on which the trees are fitted.
-SAMPLE = 65_536
+#: Fingerprints, about, of the bounded sample on which the trees are fitted; never more than twice as many.
+SAMPLE = 16_384
 #: Fingerprints a leaf should hold, and rows of one block when it holds more.
 LEAF = 8_192
 #: Words whose shingles are hashed in one step.
@@ -125,7 +125,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
     """(node, component) over ``prints`` (fp, rep), one row per distinct fingerprint, for those with any link."""
     spark = prints.sparkSession
     n = prints.count()
-    sample = [r.fp for r in prints.select("fp").orderBy(F.xxhash64(F.lit("tree"), "fp"), "fp").limit(SAMPLE).collect()]
+    chosen = F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
+    sample = [r.fp for r in prints.select("fp").filter(chosen).limit(2 * SAMPLE).collect()]
     depth = max(0, int(np.ceil(np.log(max(1.0, n / leaf)) / np.log(1 / 0.57))))
     shared = spark.sparkContext.broadcast(trees(np.array(sample, np.int64).view(np.uint64), depth, radius))
 
