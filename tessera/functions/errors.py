@@ -41,3 +41,22 @@ def video_outcome(ok: Column, skipped: Column, message: Column) -> Column:
         F.when(ok & skipped, "skipped").when(ok, "succeeded").when(F.contains(message, F.lit("Output exists:")), "skipped")
         .when(is_disk_full(message), "paused").otherwise("failed")
     )
+
+
+# Kind of an error -> category.
+CATEGORIES = {
+    "Fatal": "FileNotFound DirectoryNotFound FileReadError FileWriteError Io FfmpegError FfprobeError ToolNotFound Other",
+    "Recoverable": "InvalidCrf InvalidSsim CompressionFailed QualityValidationFailed IterationLimitExceeded",
+    "Optional": "OutputExists",
+}
+
+
+def category(kind: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, kinds in CATEGORIES.items():
+        out = F.when(kind.isin(kinds.split()), name).otherwise(out)
+    return out
+
+
+def is_skip(kind: Column) -> Column:
+    return kind == "OutputExists"

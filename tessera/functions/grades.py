@@ -133,3 +133,41 @@ def cpu_centre(gpu_crf: Column, gpu: Column, potential: Column) -> Column:
     """Where the fine search begins, from where the coarse one ended."""
     offset = F.when(gpu.isin("Apple", "AmdAmf"), 5.0).when(gpu.isin("Nvidia", "Vaapi"), 4.0).when(gpu == "IntelQsv", 3.5).otherwise(0.0)
     return gpu_crf + offset + F.when(potential < 0.3, 0.3).when(potential > 0.7, -0.2).otherwise(0.0)
+
+
+def most_iterations(duration: Column, ultimate: int | None = None) -> Column:
+    """How often a search may encode: less for long videos, as each try costs more; ``ultimate`` is the cap of that mode."""
+    return F.when(duration >= 600.0, 100).when(duration >= 300.0, 150).otherwise(100 if ultimate is None else ultimate)
+
+
+# Encoder -> scale of its rate factor, and the highest that a search takes.
+SCALES = {"hevc": (51.0, 40.0), "av1": (63.0, 50.0), "h264": (51.0, 35.0)}
+
+
+def search_limits(crf: Column, encoder: str) -> Column:
+    """(max_crf, min_ssim) of a search that begins at ``crf``."""
+    scale, cap = SCALES[encoder]
+    level = F.least(crf / scale * (crf / scale), F.lit(1.0))
+    falling = F.when(crf < 20.0, 0.95).when(crf < 30.0, 0.95 - (crf - 20.0) / 10.0 * 0.03).otherwise(0.92 - F.least((crf - 30.0) / 20.0, F.lit(1.0)) * 0.04)
+    return F.struct(F.least(crf + 8.0 + level * 7.0, F.lit(cap)).alias("max_crf"), F.greatest(F.least(falling, F.lit(0.98)), F.lit(0.85)).alias("min_ssim"))
+
+
+def anchor_offset(ratio: Column) -> Column:
+    """What to add to a coarse rate factor, by the ratio of the fine size to the coarse one."""
+    return F.when(ratio >= 1.0, 0.0).when(ratio < 0.70, 4.0).when(ratio < 0.80, 3.5).when(ratio < 0.90, 3.0).otherwise(2.5)
+
+
+def calibrated(gpu_crf: Column, gpu_size: Column, size: Column, offset: float) -> Column:
+    """(crf, confidence) of the fine search, from what the coarse one reached."""
+    ratio = gpu_size / F.nullif(size, F.lit(0).cast("bigint")).cast("double")
+    shift = F.when(ratio < 0.95, 1.0).when(ratio < 1.0, 0.5).when(ratio < 1.05, -0.5).otherwise(-1.0)
+    trust = F.when(ratio < 0.95, 0.85).when(ratio < 1.0, 0.90).when(ratio < 1.05, 0.80).otherwise(0.70)
+    return F.struct(F.greatest(F.least(gpu_crf + offset + shift, F.lit(51.0)), F.lit(10.0)).alias("crf"), trust.alias("confidence"))
+
+
+def warm_start(last_best: Column, last_effort: Column, global_last: Column, predicted: Column) -> Column:
+    return F.coalesce(last_best, last_effort, global_last, predicted)
+
+
+def same_duration(a: Column, b: Column, tolerance: float) -> Column:
+    return F.coalesce(F.abs(a - b) <= max(tolerance, 0.0), F.lit(False))

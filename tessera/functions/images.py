@@ -69,3 +69,45 @@ def route(image_format: Column, animated: Column, lossless: Column) -> Column:
     """What a run does with a still or animated image: JPEG stays bit-exact, lossless becomes JXL at distance 0, other stills at 0.1."""
     skip = (image_format == "JXL") | (~lossless & image_format.isin("WebP", "AVIF", "HEIC", "HEIF"))
     return F.when(skip, "skip").when(animated, "animated").when(image_format == "JPEG", "jpeg_transcode").when(lossless, "jxl_d0").otherwise("jxl_d0.1")
+
+
+# Groups of signs that a PNG was quantised, and their weights.
+QUANTISATION = {
+    0.50: ("indexed_with_alpha", "large_palette"), 0.15: ("tool_signature",), 0.25: ("dithering", "colour_anomaly", "banding", "frequency"),
+    0.10: ("size_anomaly", "entropy_anomaly"),
+}
+
+
+def quantisation_score(signs: dict[str, Column]) -> Column:
+    """The weighted mean of the groups' means."""
+    return sum((weight * sum((signs[n] for n in names), F.lit(0.0)) / float(len(names)) for weight, names in QUANTISATION.items()), F.lit(0.0))
+
+
+def quantisation_verdict(score: Column, by_tool: Column) -> Column:
+    """(quantised, confidence): a tool's signature decides, else the score; between the bounds it counts as lossless."""
+    trust = (
+        F.when(by_tool, 0.99).when(score >= 0.70, 0.9 + (score - 0.70) * 0.33).when(score >= 0.58, 0.7 + (score - 0.58))
+        .when(score >= 0.30, 0.5 + (0.58 - score)).otherwise(0.8 + (0.30 - score) * 0.67)
+    )
+    return F.struct((by_tool | (score >= 0.58)).alias("quantised"), trust.alias("confidence"))
+
+
+def truecolour_verdict(*signals: Column) -> Column:
+    """The same for images without palette: two strong signals of three tell."""
+    strong = F.size(F.filter(F.array(*signals), lambda s: s >= 0.5))
+    mean = sum(signals[1:], signals[0]) / float(len(signals))
+    return F.struct((strong >= 2).alias("quantised"), F.when(strong >= 2, 0.70 + mean * 0.15).when(strong == 1, 0.65).otherwise(0.90).alias("confidence"))
+
+
+def quick_jpeg_quality(first_quantiser: Column) -> Column:
+    """By the first value of the first table; 85 if there is none."""
+    by_value = (
+        F.when(first_quantiser <= 2, 98).when(first_quantiser <= 5, 95).when(first_quantiser <= 10, 90).when(first_quantiser <= 20, 85)
+        .when(first_quantiser <= 40, 75).when(first_quantiser <= 60, 65).otherwise(50)
+    )
+    return F.when(first_quantiser.isNull(), 85).otherwise(by_value)
+
+
+def quick_webp_quality(index: Column) -> Column:
+    """By the quantiser index, in wide integers: eight bits would overflow."""
+    return F.least(F.floor((127 - (index % 128)) * 100 / 127), F.lit(100)).cast("int")

@@ -53,3 +53,14 @@ def metric(text: Column, label: str) -> Column:
     """The number after ``label`` and a colon or equals sign in a tool's output; inf is infinity."""
     found = F.regexp_extract(text, rf"(?i){label}\s*[:=]\s*(inf|-?[0-9]+(?:\.[0-9]+)?)", 1)
     return F.when(F.lower(found) == "inf", float("inf")).otherwise(F.nullif(found, F.lit("")).try_cast("double"))
+
+
+def eta_text(secs: Column) -> Column:
+    """Hours and minutes, minutes and seconds, or seconds; unknown for what is no time."""
+    whole = F.when(secs < 1e9, secs.cast("bigint"))
+    odd = secs.isNull() | F.isnan(secs) | (secs < 0) | (secs == float("inf"))
+    return (
+        F.when(odd, "unknown").when(secs >= 86_401, ">24h")
+        .when(whole >= 3_600, F.format_string("%dh %dm", F.floor(whole / 3_600), F.floor(whole % 3_600 / 60)))
+        .when(whole >= 60, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)).otherwise(F.format_string("%ds", whole))
+    )

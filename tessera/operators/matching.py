@@ -164,3 +164,29 @@ def merge_summary(matches: DataFrame, succeeded: Column) -> DataFrame:
         F.count(F.lit(1)).alias("sidecars"), F.count_if(matched & succeeded).alias("merged"), F.count_if(matched & ~succeeded).alias("failed"),
         F.count_if(~matched).alias("skipped"),
     )
+
+
+def metadata_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """path, sidecar of each file: stem.ext.xmp, else stem.xmp, else the least sidecar beside it of the same stem, name or root stem in any case."""
+    path = F.col("path")
+    f = files.select("path", paths.directory(path).alias("_dir"), paths.stem(path).alias("_stem"), F.regexp_extract(paths.name(path), r".\.([^.]*)$", 1).alias("_ext")).withColumns({
+        "_low": F.lower("_stem"), "_root": F.substring_index(F.lower("_stem"), ".", 1),
+    })
+    beside = sidecars.filter(F.lower(paths.extension(F.col("xmp_path"))) == "xmp").select(
+        "xmp_path", paths.directory(F.col("xmp_path")).alias("_xd"), F.lower(paths.stem(F.col("xmp_path"))).alias("_xs")
+    )
+    joined = []
+
+    def equal(rank: int, left: Column, right: Column, directory: bool) -> None:
+        least = beside.groupBy((F.col("_xd") if directory else F.lit("")).alias("_kd"), right.alias("_k")).agg(F.min("xmp_path").alias("sidecar"))
+        mine = f.select("path", (F.col("_dir") if directory else F.lit("")).alias("_kd"), left.alias("_k"))
+        joined.append(mine.join(least, ["_kd", "_k"]).select("path", F.lit(rank).alias("rank"), "sidecar"))
+
+    full = F.concat("_dir", F.lit("/"), "_stem", F.when(F.col("_ext") != "", F.concat(F.lit("."), "_ext")).otherwise(""), F.lit(".xmp"))
+    equal(0, F.when(F.col("_ext") != "", full), F.col("xmp_path"), False)
+    equal(1, F.concat("_dir", F.lit("/"), "_stem", F.lit(".xmp")), F.col("xmp_path"), False)
+    equal(2, F.col("_low"), F.col("_xs"), True)
+    equal(2, F.concat("_low", F.lit("."), "_ext"), F.col("_xs"), True)
+    equal(2, F.col("_root"), F.substring_index("_xs", ".", 1), True)
+    best = _union(joined).groupBy("path").agg(F.min(F.struct("rank", "sidecar")).alias("_b"))
+    return files.select("path").join(best, "path", "left").select("path", F.col("_b.sidecar").alias("sidecar"))

@@ -119,18 +119,32 @@ def multi_scale_ssim(a: np.ndarray, b: np.ndarray) -> float | None:
     return product ** (1 / used) if used else None
 
 
-def neighbourhood(grey: np.ndarray) -> dict[str, float]:
-    """Edges, texture, sharpness and noise from each pixel's neighbours, from 0 to 1."""
-    g = grey.astype(float)
-    if min(g.shape) < 3:
-        return dict.fromkeys(("edge_density", "texture_variance", "sharpness", "noise_level"), 0.0)
-    blocks = np.lib.stride_tricks.sliding_window_view(g, (3, 3))
-    dx, dy = g[1:-1, 2:] - g[1:-1, :-2], g[2:, 1:-1] - g[:-2, 1:-1]
-    laplacian = np.abs(4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:])
-    return {
-        "edge_density": float(min(1.0, 3.0 * (np.hypot(dx, dy) > 30).mean())), "texture_variance": float(min(1.0, blocks.var(axis=(2, 3)).mean() / 1000.0)),
-        "sharpness": float(min(1.0, laplacian.mean() / 100.0)), "noise_level": float(min(1.0, np.median(np.abs(g[1:-1, 1:-1] - blocks.mean(axis=(2, 3)))) / 20.0)),
-    }
+def _stride(pixels: int, *steps: tuple[int, int]) -> int:
+    """The sampling step of an image of so many pixels: that of the first bound it exceeds."""
+    return next((step for bound, step in steps if pixels > bound), steps[-1][1])
+
+
+def neighbourhood(rgb: np.ndarray) -> dict[str, float]:
+    """Edges, texture, sharpness and noise of an image (height, width, 3) from each sampled pixel's neighbours, from 0 to 1."""
+    rgb = rgb.astype(np.int64)
+    g, mean, n = rgb @ np.array([299, 587, 114]) // 1000, rgb.sum(axis=2) // 3, rgb.shape[0] * rgb.shape[1]
+    out = dict.fromkeys(("edge_density", "texture_variance", "sharpness", "noise_level"), 0.0)
+    if min(g.shape) >= 2:
+        k = _stride(n, (1_000_000, 10), (100_000, 5), (-1, 1))
+        here = mean[:-1, :-1]
+        steps = (np.abs(here - mean[:-1, 1:]) + np.abs(here - mean[1:, :-1]))[::k, ::k]
+        out["noise_level"] = min(1.0, float(steps.sum()) / (2 * steps.size) / 30.0)
+    if min(g.shape) >= 3:
+        k = _stride(n, (4_000_000, 4), (1_000_000, 2), (-1, 1))
+        gradient = np.sqrt((g[1:-1, 2:] - g[1:-1, :-2]) ** 2 + (g[2:, 1:-1] - g[:-2, 1:-1]) ** 2)[::k, ::k]
+        out["edge_density"] = min(1.0, 3.0 * float((gradient > 25.0).mean()))
+        k = _stride(n, (1_000_000, 10), (100_000, 5), (-1, 2))
+        blocks = np.lib.stride_tricks.sliding_window_view(g, (3, 3))[::k, ::k]
+        out["texture_variance"] = min(1.0, float(blocks.std(axis=(2, 3)).mean()) / 80.0)
+        k = _stride(n, (1_000_000, 10), (100_000, 5), (-1, 1))
+        laplacian = np.abs(4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:])[::k, ::k]
+        out["sharpness"] = min(1.0, float(laplacian.mean()) / 100.0)
+    return out
 
 
 def image_features(images: DataFrame, key: str, column: str, width: str) -> DataFrame:
@@ -138,7 +152,7 @@ def image_features(images: DataFrame, key: str, column: str, width: str) -> Data
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [neighbourhood(np.asarray(v, float).reshape(-1, int(w))) for v, w in zip(batch[column], batch[width])]
+            found = [neighbourhood(np.repeat(np.asarray(v, np.int64).reshape(-1, int(w), 1), 3, axis=2)) for v, w in zip(batch[column], batch[width])]
             yield pd.concat([batch[[key]].reset_index(drop=True), pd.DataFrame(found)], axis=1)
 
     kind = images.schema[key].dataType.simpleString()
@@ -163,3 +177,8 @@ def window_similarity(pairs: DataFrame, key: list[str], a: str, b: str, width: s
 
 def grey(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * 299 + g * 587 + b * 114) / 1000).cast("int")
+
+
+def has_alpha(pixels: DataFrame, key: str, every: int = 100) -> DataFrame:
+    """key, has_alpha: whether any of every hundredth pixel (place, a) isn't opaque."""
+    return pixels.filter(F.col("place") % every == 0).groupBy(key).agg(F.bool_or(F.col("a") < 255).alias("has_alpha"))

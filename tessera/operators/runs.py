@@ -58,3 +58,9 @@ def completeness(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def throughput(results: DataFrame, elapsed_secs: float) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("files")).withColumn("average_secs", F.when(F.col("files") > 0, elapsed_secs / F.nullif("files", F.lit(0).cast("bigint"))).otherwise(0.0))
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """One row of counts by medium and outcome (results has medium, outcome)."""
+    of = lambda m, o: F.count_if((F.col("medium") == m) & (F.col("outcome") == o)).alias(f"{m}_{o}")
+    return results.agg(*[of(m, o) for m in ("image", "video") for o in ("succeeded", "failed", "skipped")])

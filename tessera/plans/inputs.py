@@ -119,6 +119,14 @@ TEXT = {
         FROM events WHERE user_id % 7 <> 0 GROUP BY user_id
         UNION ALL SELECT '/lib/new' || CAST(c_custkey AS STRING) AS path, c_custkey AS size, 0 AS mtime, 0 AS ctime, 0 AS btime FROM customer WHERE c_custkey % 10 = 0""",
     "pixels": """SELECT vec_id, label, @pixels@ AS px FROM embeddings""",
+    "probe_json": f"""SELECT p_partkey AS id, '/v/' || CAST(p_partkey AS STRING) || '.' || {pick('p_partkey', 'mov', 'mp4', 'mkv', 'avi', 'webm', 'm4v')} AS path, p_partkey * 104729 % 500000000 AS size,
+        CASE WHEN p_partkey % 17 = 0 THEN '{{"streams": [{{"codec_type": "video", "codec_name": "gif", "width": 10, "height": 10}}]}}' ELSE '{{"format": {{"duration": "' || {pick('p_partkey', '12.5', '0', 'N/A', '3600.25', '0.5')} || '"}}, "streams": [{{"codec_type": "video", "codec_name": "'
+        || {pick('p_partkey', 'h264', 'hevc', 'av1')} || '", "width": ' || {pick('p_partkey', '640', '1920', '0')} || ', "height": 360, "r_frame_rate": "' || {pick('p_partkey', '30/1', '90000/1', '25', '0/0')} || '", "avg_frame_rate": "' || {pick('p_partkey', '30000/1001', '0/0', '24/1', '20000/1', '60')}
+        || '", "duration": "' || {pick('p_partkey', 'N/A', '10.5', '-1', '0.0')} || '", "nb_frames": "' || {pick('p_partkey', '0', 'N/A', '300', '15')} || '", "nb_read_frames": "' || {pick('p_partkey', '77', 'x')} || '", "bit_rate": "' || {pick('p_partkey', '8000000', 'N/A', '0', '123456')}
+        || '"}}' || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE ', {{"codec_type": "audio", "codec_name": "aac", "bit_rate": "128000"}}' END || ']}}' END AS json FROM part""",
+    "colors": f"""SELECT p_partkey AS id, {pick('p_partkey', None, 'bt709', 'bt2020', 'smpte432', 'display-p3', 'film')} AS primaries, {pick('p_partkey', 'smpte2084', None, 'arib-std-b67', 'bt709', 'srgb', 'iec61966-2-1', 'linear')} AS transfer,
+        {pick('p_partkey', 'bt2020nc', 'bt709', None, 'rgb', 'smpte170m')} AS matrix, {pick('p_partkey', None, 5, 7, 8, 4)} AS profile, {pick('p_partkey', None, 2, 4)} AS compat, {pick('p_partkey', None, '', 'opus', 'AAC', 'libVorbis')} AS audio,
+        {pick('p_partkey', 'mp4', 'MKV', 'mov')} AS container, {pick('p_partkey', None, 'srt', 'ASS', 'dvd_subtitle')} AS subtitle FROM part""",
     "directories": """SELECT o_orderpriority AS root, '/s/' || CAST(o_custkey AS STRING) AS path, max(o_orderkey) AS mtime FROM orders GROUP BY o_orderpriority, o_custkey""",
 }
 ENGINE = {
@@ -144,9 +152,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     query, used = text(name, "spark"), {}
     for table in TABLES:
         if re.search(rf"\b(FROM|JOIN) {table}\b", query):
-            query = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", query)
+            query = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 \0{table}\0", query)
             used[table] = load(spark, sf_dir, table)
-    return spark.sql(query, **used)
+    query = query.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub("\0(\\w+)\0", r"{\1}", query), **used)
 
 
 def ctes(*names: str) -> str:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans import catalog, search, scalars, store
+from tessera.plans import catalog, scalars, search, store, streams
 
-MODULES = (store, catalog, scalars, search)
+MODULES = (store, catalog, scalars, streams, search)
 PLACES = 6
 
 

@@ -149,6 +149,11 @@ SQL = {
     "image_similarity": f"""WITH {ctes('pixels')}, j AS (SELECT a.vec_id, unnest(a.px) AS x, unnest(b.px) AS y FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1),
       s AS (SELECT vec_id, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cov, avg((x - y) * (x - y)) AS mse FROM j GROUP BY 1)
       SELECT vec_id, round(10 * log10(65025 / mse), 6) AS psnr, round((2 * mx * my + 6.5025e0) * (2 * cov + 58.5225e0) / ((mx * mx + my * my + 6.5025e0) * (vx + vy + 58.5225e0)), 6) AS ssim FROM s""",
+    "image_features": f"""WITH {ctes('pixels')}, p AS (SELECT vec_id, unnest(px)::BIGINT AS v, unnest(range(64)) AS k FROM pixels), g AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, v FROM p),
+      n AS (SELECT a.vec_id, a.y, a.x, a.v, max(b.v) FILTER (b.y = a.y AND b.x = a.x + 1) AS r, max(b.v) FILTER (b.y = a.y AND b.x = a.x - 1) AS l, max(b.v) FILTER (b.y = a.y + 1 AND b.x = a.x) AS d, max(b.v) FILTER (b.y = a.y - 1 AND b.x = a.x) AS u,
+        stddev_pop(b.v) AS s, count(*) AS c FROM g a JOIN g b ON b.vec_id = a.vec_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL)
+      SELECT vec_id, round(least(3 * avg(CASE WHEN sqrt((r - l) * (r - l) + (d - u) * (d - u)) > 25 THEN 1e0 ELSE 0e0 END) FILTER (c = 9), 1), 6) AS edge_density, round(least(avg(s) FILTER (c = 9 AND y % 2 = 1 AND x % 2 = 1) / 80, 1), 6) AS texture_variance,
+        round(least(avg(abs(4 * v - r - l - d - u)) FILTER (c = 9) / 100, 1), 6) AS sharpness, round(least(sum(abs(v - r) + abs(v - d)) FILTER (x < 7 AND y < 7) / (2 * count(*) FILTER (x < 7 AND y < 7)) / 30, 1), 6) AS noise_level FROM n GROUP BY vec_id""",
     "best_size_only": _choose("TRUE", "crf DESC, size, ssim DESC", _SMALL),
     "best_quality_match": _choose("crf = initial_crf", "crf DESC, size, ssim DESC", _GOOD),
     "best_precise": _choose(_GOOD, "crf DESC, size, ssim DESC", _GOOD),

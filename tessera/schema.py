@@ -17,3 +17,7 @@ PROBE = (
     "avg_frame_rate: string, duration: string, nb_frames: string, bit_rate: string, color_space: string, color_transfer: string, "
     "bits_per_raw_sample: string, has_b_frames: int, tags: map<string, string>, side_data_list: array<map<string, string>>>>"
 )
+PRECHECK = (
+    "format struct<duration: string>, streams array<struct<codec_name: string, width: int, height: int, r_frame_rate: string, avg_frame_rate: string, "
+    "duration: string, nb_frames: string, nb_read_frames: string, bit_rate: string>>"
+)

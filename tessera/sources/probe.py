@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.schema import CHECKPOINT, PROBE
+from tessera.functions import color, sizes, text
+from tessera.schema import CHECKPOINT, PRECHECK, PROBE
 
 
 def _long(column: Column) -> Column:
@@ -71,3 +71,59 @@ def merged_logs(sections: list[DataFrame]) -> DataFrame:
 
     numbered = [s.select(F.lit(i).alias("section"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")) for i, s in enumerate(sections)]
     return reduce(DataFrame.unionByName, numbered).orderBy("section", "line_no")
+
+
+def stream_sizes(documents: DataFrame, path: str = "path", size: str = "size", column: str = "json") -> DataFrame:
+    """``documents`` with video_size, audio_size, overhead and method: from bit rates and length where the probe tells both, else estimated by container."""
+    p = F.from_json(column, PROBE)
+    first = lambda kind: F.get(F.filter(p["streams"], lambda s: s["codec_type"] == kind), F.lit(0))
+    secs = p["format"]["duration"].try_cast("double")
+    of = lambda kind: F.coalesce(sizes.rate_bytes(_long(first(kind)["bit_rate"]), secs), F.lit(0).cast("bigint"))
+    measured = documents.withColumns({"_v": of("video"), "_a": of("audio"), "_known": F.coalesce(secs > 0, F.lit(False))})
+    known, total = F.col("_known") & (F.col("_v") > 0), F.col(size)
+    guess = sizes.estimated_overhead(F.col(path), total)
+    return measured.withColumns({
+        "video_size": F.when(known, F.col("_v")).otherwise(sizes.saturating_minus(total, guess)), "audio_size": F.when(known, F.col("_a")).otherwise(F.lit(0).cast("bigint")),
+        "overhead": F.when(known, sizes.saturating_minus(total, F.col("_v") + F.col("_a"))).otherwise(guess), "method": F.when(known, "BitrateCalculation").otherwise("Estimated"),
+    }).drop("_v", "_a", "_known")
+
+
+def precheck_figures(documents: DataFrame, size: str = "size", column: str = "json") -> DataFrame:
+    """``documents`` with duration, fps, frames and bpp of the first stream.
+
+    The length is the stream's own, else the container's, else frames by rate; a rate
+    that looks like a time base is replaced by frames by length; bits are the stream's, else the whole file's.
+    """
+    p = F.from_json(column, PRECHECK)
+    s = F.get(p["streams"], F.lit(0))
+    positive = lambda c: F.when((c > 0) & ~F.isnan(c), c)
+    usable = lambda c: F.when((c > 0) & (c < float("inf")), c)
+    mean = usable(text.rational(s["avg_frame_rate"]))
+    rate = F.coalesce(F.when(mean <= 10_000, mean), usable(text.rational(s["r_frame_rate"])))
+    own = F.coalesce(_long(s["nb_frames"]), F.lit(0).cast("bigint"))
+    figures = documents.withColumns({
+        "_rate": rate, "_own": own, "_counted": F.when(own == 0, F.coalesce(_long(s["nb_read_frames"]), own)).otherwise(own), "_bits": _long(s["bit_rate"]),
+        "_stream": positive(s["duration"].try_cast("double")), "_format": positive(p["format"]["duration"].try_cast("double")), "_area": s["width"].cast("bigint") * s["height"],
+    })
+    figures = figures.withColumn("duration", F.coalesce("_stream", "_format", F.when(F.col("_counted") > 0, F.col("_counted") / F.col("_rate"))))
+    inferred = F.col("_counted") / F.col("duration")
+    figures = figures.withColumn("fps", F.when((F.col("_rate") > 10_000) & (F.col("duration") >= 0.001) & (inferred > 0) & (inferred <= 10_000), inferred).otherwise(F.col("_rate")))
+    frames = F.when((F.col("_counted") == 0) & (F.col("duration") > 0), (F.col("duration") * F.col("fps")).cast("bigint")).otherwise(F.greatest("_counted", F.lit(1)))
+    figures = figures.withColumn("frames", frames)
+    stream_bytes = F.when(F.col("_bits") > 0, sizes.rate_bytes(F.col("_bits"), F.col("duration")))
+    used = F.when(stream_bytes > 0, stream_bytes).otherwise(F.col(size))
+    total = F.nullif(F.col("_area") * F.col("frames"), F.lit(0).cast("bigint"))
+    bpp = F.when(F.col("_rate").isNotNull() & F.col("duration").isNotNull(), used * 8.0 / total)
+    return figures.withColumn("bpp", bpp).drop("_rate", "_own", "_counted", "_bits", "_stream", "_format", "_area")
+
+
+def hdr_side_data(documents: DataFrame, column: str = "side") -> DataFrame:
+    """``documents`` (side: an array of maps) with dolby_vision, dv_profile, hdr10_plus, mastering_display and max_cll; of several entries the last that tells counts."""
+    kind = lambda e: F.lower(F.coalesce(e["side_data_type"], F.lit("")))
+    has = lambda pattern: F.exists(column, lambda e: F.rlike(kind(e), F.lit(pattern)))
+    last = lambda pattern, value: F.try_element_at(F.filter(F.transform(F.filter(column, lambda e: F.rlike(kind(e), F.lit(pattern))), value), lambda v: v.isNotNull()), F.lit(-1))
+    return documents.withColumns({
+        "dolby_vision": F.coalesce(has("dolby vision|dovi"), F.lit(False)), "dv_profile": last("dolby vision|dovi", lambda e: e["dv_profile"].try_cast("int")),
+        "hdr10_plus": F.coalesce(has(r"hdr10\+|hdr dynamic|smpte2094-40"), F.lit(False)), "mastering_display": last("mastering display", color.mastering_display),
+        "max_cll": last("content light", color.light_level),
+    })

@@ -127,8 +127,8 @@ def test_windows_of_pixels():
     assert abs(pixels.window_ssim(a, a) - 1) < 1e-9 and abs(pixels.multi_scale_ssim(a, a) - 1) < 1e-9
     noisy = np.clip(a + rng.normal(0, 40, a.shape), 0, 255)
     assert pixels.window_ssim(a, noisy) < 0.95 and pixels.window_ssim(a[:5, :5], a[:5, :5]) == pytest.approx(1)
-    assert pixels.window_ssim(a, a[:10]) is None and pixels.neighbourhood(a[:2])["sharpness"] == 0
-    assert pixels.neighbourhood(np.zeros((9, 9)))["edge_density"] == 0
+    assert pixels.window_ssim(a, a[:10]) is None and pixels.neighbourhood(np.stack([a[:2]] * 3, axis=2))["sharpness"] == 0
+    assert pixels.neighbourhood(np.zeros((9, 9, 3)))["edge_density"] == 0
 
 
 def test_stream_picks_up_new_files_once(spark, tmp_path):
