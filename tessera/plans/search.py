@@ -154,6 +154,12 @@ SQL = {
         stddev_pop(b.v) AS s, count(*) AS c FROM g a JOIN g b ON b.vec_id = a.vec_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL)
       SELECT vec_id, round(least(3 * avg(CASE WHEN sqrt((r - l) * (r - l) + (d - u) * (d - u)) > 25 THEN 1e0 ELSE 0e0 END) FILTER (c = 9), 1), 6) AS edge_density, round(least(avg(s) FILTER (c = 9 AND y % 2 = 1 AND x % 2 = 1) / 80, 1), 6) AS texture_variance,
         round(least(avg(abs(4 * v - r - l - d - u)) FILTER (c = 9) / 100, 1), 6) AS sharpness, round(least(sum(abs(v - r) + abs(v - d)) FILTER (x < 7 AND y < 7) / (2 * count(*) FILTER (x < 7 AND y < 7)) / 30, 1), 6) AS noise_level FROM n GROUP BY vec_id""",
+    "window_similarity": f"""WITH {ctes('pixels')}, j AS (SELECT a.vec_id, a.px || a.px || a.px || a.px AS x, b.px || b.px || b.px || b.px AS y FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1),
+      g AS (SELECT i, k, exp(-((i - 5) * (i - 5) + (k - 5) * (k - 5)) / 4.5e0) AS e FROM (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS k)), w AS (SELECT i, k, e / (SELECT sum(e) FROM g) AS w FROM g),
+      o AS (SELECT r, c, (r + i) * 16 + c + k + 1 AS place, w FROM w, (SELECT unnest(range(6)) AS r), (SELECT unnest(range(6)) AS c)),
+      m AS (SELECT vec_id, r, c, sum(w * x[place]) AS mx, sum(w * y[place]) AS my, sum(w * x[place] * x[place]) AS xx, sum(w * y[place] * y[place]) AS yy, sum(w * x[place] * y[place]) AS xy FROM j, o GROUP BY 1, 2, 3),
+      s AS (SELECT vec_id, avg((2 * mx * my + 6.5025e0) * (2 * (xy - mx * my) + 58.5225e0) / ((mx * mx + my * my + 6.5025e0) * (xx - mx * mx + yy - my * my + 58.5225e0))) AS ssim FROM m GROUP BY 1)
+      SELECT vec_id, round(ssim, 6) AS ssim, round(greatest(ssim, 0), 6) AS ms_ssim FROM s""",
     "best_size_only": _choose("TRUE", "crf DESC, size, ssim DESC", _SMALL),
     "best_quality_match": _choose("crf = initial_crf", "crf DESC, size, ssim DESC", _GOOD),
     "best_precise": _choose(_GOOD, "crf DESC, size, ssim DESC", _GOOD),
