@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import Forest, block_tasks, connected_components, cut
 
 #: Fingerprints, about, of the bounded sample on which the trees are fitted; never more than twice as many.
-SAMPLE = 16_384
+SAMPLE = 65_536
 #: Fingerprints a leaf should hold, and rows of one block when it holds more.
 LEAF = 8_192
 #: Words whose shingles are hashed in one step.
@@ -126,9 +126,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
     spark = prints.sparkSession
     n = prints.count()
     chosen = F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
-    sample = [r.fp for r in prints.select("fp").filter(chosen).limit(2 * SAMPLE).collect()]
+    sample = prints.select("fp").filter(chosen).limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log(max(1.0, n / leaf)) / np.log(1 / 0.57))))
-    shared = spark.sparkContext.broadcast(trees(np.array(sample, np.int64).view(np.uint64), depth, radius))
+    shared = spark.sparkContext.broadcast(trees(sample, depth, radius))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,11 +164,11 @@ def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFr
     prints = cut(fingerprints(docs, shingle))
     known = prints.filter("doc_id is not null")
     nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    again = known.join(nodes, "fp").filter("doc_id <> rep").select("doc_id", "rep")
-    shared_ids = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    extra = again.join(shared_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = link_fingerprints(nodes, radius)
-    if not extra.isEmpty():  # several fingerprints under one doc_id tie their groups together
+    several = cut(known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi"))
+    if not several.isEmpty():  # several fingerprints under one doc_id tie their groups together
+        again = known.join(several, "doc_id", "left_semi").join(nodes, "fp").filter("doc_id <> rep")
+        extra = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
     classes = cut(
         nodes.join(groups, nodes["rep"] == groups["node"], "left")
