@@ -33,11 +33,9 @@ def source_codec(name: Column) -> Column:
 
 def efficiency(codec: Column) -> Column:
     """Bits against H.264 at the same quality."""
-    out = F.lit(1.0)
-    for line in V.SOURCE_CODECS.strip().splitlines():
-        name, factor, _ = line.split(" ", 2)
-        out = F.when(codec == name, float(factor)).otherwise(out)
-    return out
+    lines = [line.split(" ", 2) for line in V.SOURCE_CODECS.strip().splitlines()]
+    factors = F.create_map(*[x for name, factor, _ in lines for x in (F.lit(name), F.lit(float(factor)))])
+    return F.coalesce(F.try_element_at(factors, codec), F.lit(1.0))
 
 
 def is_lossless(codec: Column) -> Column:
@@ -74,7 +72,7 @@ def skip_image(codec: Column, lossless: Column) -> Column:
 def _lookup(name: Column, table: str, k: int, default: Column) -> Column:
     """Column ``k`` of the row whose first column lists the name."""
     pairs = [F.lit(x) for row in V.rows(table) for alias in row[0].split(",") for x in (alias, row[k])]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(F.coalesce(name, F.lit("")))), default)
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.coalesce(name, F.lit("")))), default)
 
 
 def detected(name: Column) -> Column:

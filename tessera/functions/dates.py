@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera import values as V
-
 _SHAPE = r"^\d{4}([:-])\d{2}\1\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?$"
 
 
-def parsed(text: Column, first_year: int = 1990, last_year: int = 2027) -> Column:
-    """A local time stamp; null for the usual blanks, other spellings, impossible dates and years outside the bounds.
+def cleaned(text: Column) -> Column:
+    """Text before the first +, with a space between date and time; null for the usual blanks."""
+    return F.when(~F.startswith(text, F.lit("0000")), F.replace(F.substring_index(text, "+", 1), F.lit("T"), F.lit(" ")))
+
 
-    Text from the first + on is left out; a trailing Z or a negative zone isn't, so such text is null.
+def stamp(clean: Column, first_year: int = 1990, last_year: int = 2027) -> Column:
+    """A local time stamp of ``cleaned`` text; null for other spellings, impossible dates and years outside the bounds.
+
+    A trailing Z or a negative zone isn't cleaned away, so such text is null.
     """
-    clean = F.replace(F.substring_index(text, "+", 1), F.lit("T"), F.lit(" "))
     plain = F.concat(F.translate(F.substr(clean, F.lit(1), F.lit(10)), ":", "-"), F.substr(clean, F.lit(11), F.lit(16)))
-    stamp = F.when(F.rlike(clean, F.lit(_SHAPE)) & ~F.startswith(text, F.lit("0000")), plain.try_cast("timestamp_ntz"))
-    return F.when(F.year(stamp).between(first_year, last_year), stamp)
+    year = F.substr(clean, F.lit(1), F.lit(4)).try_cast("int")
+    return F.when(F.rlike(clean, F.lit(_SHAPE)) & year.between(first_year, last_year), plain.try_cast("timestamp_ntz"))
 
 
-def best(columns: dict[str, Column], **years: int) -> tuple[Column, Column]:
-    """(date, source): the date of the source with the highest priority whose text is a date; None names no source."""
-    known = [(c, label) for c, label in V.DATE_SOURCES if c in columns]
-    stamps = F.transform(F.array(*[columns[c] for c, _ in known]), lambda t: parsed(t, **years))
-    named = F.zip_with(stamps, F.array(*[F.lit(label) for _, label in known]), lambda d, s: F.struct(d.alias("date"), s.alias("source")))
-    first = F.get(F.filter(named, lambda x: x["date"].isNotNull()), F.lit(0))
-    return first["date"], F.coalesce(first["source"], F.lit("None"))
+def parsed(text: Column, first_year: int = 1990, last_year: int = 2027) -> Column:
+    """The time stamp of raw text."""
+    return stamp(cleaned(text), first_year, last_year)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import values as V
@@ -105,7 +105,7 @@ def complexity_factor(spatial: Column, temporal: Column, bpp: Column, area: Colu
 class Source:
     """Columns that describe a source; all may hold null but width, height and the flags."""
 
-    codec: Column
+    codec: Column  # as source_codec gives it
     bpp: Column
     width: Column
     height: Column
@@ -130,10 +130,10 @@ class Source:
 
     @classmethod
     def named(cls) -> Source:
-        """The columns by the names that the probe inputs have."""
+        """The columns by the names that the probe inputs have; source_codec is that of ``with_source_codec``."""
         c = F.col
         return cls(
-            codecs.source_codec(c("codec")), c("bpp"), c("width"), c("height"), c("has_b_frames"), c("bit_depth"), c("has_alpha"), c("duration"),
+            c("source_codec"), c("bpp"), c("width"), c("height"), c("has_b_frames"), c("bit_depth"), c("has_alpha"), c("duration"),
             c("fps"), c("file_size"), c("estimated_quality"), c("video_bitrate"), c("gop_size"), c("b_frame_count"), c("pix_fmt"), c("color_space"),
             c("is_hdr"), c("content_type"), c("spatial"), c("temporal"), c("film_grain"), c("preset"),
         )
@@ -147,6 +147,11 @@ class Source:
         return F.when(self.area > 0, raw_bpp(self.bpp, self.bitrate, self.fps, self.file_size, self.duration, F.nullif(self.area, F.lit(0).cast("bigint"))))
 
 
+def with_source_codec(probes: DataFrame) -> DataFrame:
+    """``probes`` with source_codec as a column, so that the cascade over its name is evaluated once a row."""
+    return probes.withColumn("source_codec", codecs.source_codec(F.col("codec")))
+
+
 TARGET_FACTOR, MODE_FACTOR = {"av1": 0.5, "hevc": 0.7, "jxl": 0.8}, {"quality": 1.0, "size": 0.8, "speed": 0.9}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import values as V
 from tessera.functions import paths
+from tessera.operators.lineage import settle
 
 
 def with_extension(files: DataFrame, extensions: list[str]) -> DataFrame:
@@ -65,9 +66,10 @@ def with_rank(files: DataFrame, order: list[Column], column: str = "rank") -> Da
     """``files`` with the position of each row from 1, without bringing all rows to one task.
 
     Rows are range-partitioned by the order; each partition numbers its own rows
-    behind the rows of those before it. ``order`` must be total. Only one size for each partition is broadcast.
+    behind the rows of those before it. ``order`` must be total. Which
+    partition a row is in is settled first, as a range partitioning done twice may differ. One size for each partition is broadcast.
     """
-    parts = files.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = settle(files.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,11 +10,17 @@ from tessera.functions import dates
 
 
 def best_dates(files: DataFrame, **years: int) -> DataFrame:
-    """``files`` with best_date, date_source and all_dates, a map of what each source says."""
-    columns = {c: F.col(c) for c, _ in V.DATE_SOURCES if c in files.columns}
-    date, source = dates.best(columns, **years)
-    said = F.map_filter(F.create_map(*[x for c, label in V.DATE_SOURCES if c in columns for x in (F.lit(label), columns[c])]), lambda _, v: v.isNotNull())
-    return files.withColumns({"best_date": date, "date_source": source, "all_dates": said})
+    """``files`` with best_date, date_source and all_dates, a map of what each source says.
+
+    The date is that of the source with the highest priority whose text is a date; None names no source.
+    The texts are one array, which is parsed element by element: six copies of the parser would make generated code too large to compile.
+    """
+    known = [(c, label) for c, label in V.DATE_SOURCES if c in files.columns]
+    stamps = F.transform(F.array(*[F.col(c) for c, _ in known]), lambda t: dates.parsed(t, **years))
+    named = F.zip_with(stamps, F.array(*[F.lit(label) for _, label in known]), lambda d, s: F.struct(d.alias("date"), s.alias("source")))
+    said = F.map_filter(F.create_map(*[x for c, label in known for x in (F.lit(label), F.col(c))]), lambda _, v: v.isNotNull())
+    found = files.select("*", F.get(F.filter(named, lambda x: x["date"].isNotNull()), F.lit(0)).alias("_best"), said.alias("all_dates"))
+    return found.select(*files.columns, F.col("_best.date").alias("best_date"), F.coalesce("_best.source", F.lit("None")).alias("date_source"), "all_dates")
 
 
 def by_source(dated: DataFrame) -> DataFrame:

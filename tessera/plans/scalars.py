@@ -32,13 +32,13 @@ def codec_info(spark, d):
 
 
 def bpp_factors(spark, d):
-    probe = load(spark, d, "probe")
+    probe = quality.with_source_codec(load(spark, d, "probe"))
     return probe.select("id", *[v.alias(k) for k, v in quality.factors(quality.Source.named()).items()])
 
 
 def rate_factors(spark, d):
     f = quality.factors(quality.Source.named())
-    probe = load(spark, d, "probe").select("id", "content_type", "estimated_quality", *[v.alias(k) for k, v in f.items()])
+    probe = quality.with_source_codec(load(spark, d, "probe")).select("id", "content_type", "estimated_quality", *[v.alias(k) for k, v in f.items()])
     named = {k: C(k) for k in f}
     targets = [quality.effective_bpp(named, t, m).alias(f"{t}_bpp") for t, m in (("av1", "quality"), ("hevc", "size"), ("jxl", "speed"))]
     probe = probe.select("id", "content_type", "estimated_quality", *targets)
@@ -50,12 +50,12 @@ def rate_factors(spark, d):
 
 
 def match_confidence(spark, d):
-    return load(spark, d, "probe").select("id", quality.presence_confidence(quality.Source.named()).alias("confidence"))
+    return quality.with_source_codec(load(spark, d, "probe")).select("id", quality.presence_confidence(quality.Source.named()).alias("confidence"))
 
 
 def _video(spark, d):
     per_second = C("width").cast("double") * C("height") * C("fps")
-    return load(spark, d, "probe").withColumn("bits", F.when(per_second > 0, C("bitrate") / F.nullif(per_second, F.lit(0.0)))).withColumn("kind", video.codec_type(codecs.source_codec(C("codec"))))
+    return load(spark, d, "probe").withColumn("bits", F.when(per_second > 0, C("bitrate") / F.nullif(per_second, F.lit(0.0)))).withColumn("source", codecs.source_codec(C("codec"))).withColumn("kind", video.codec_type(C("source")))
 
 
 def video_quality(spark, d):

@@ -29,6 +29,20 @@ def test_queue_orders(spark):
     assert [r["path"][0] for r in catalog.sort_files(files, "name").collect()] == ["g", "l", "m", "s"]
 
 
+def test_ranks_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.range(5000).select(F.format_string("/f%05d", (F.col("id") * 7919) % 5000).alias("path"), (F.col("id") % 13).alias("size"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog.with_rank(files, [F.asc("size"), F.asc("path")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = sorted((r["size"], r["path"]) for r in got)
+    assert [(r["size"], r["path"]) for r in sorted(got, key=lambda r: r["rank"])] == expected
+    assert sorted(r["rank"] for r in got) == list(range(1, 5001))
+
+
 def test_empty_runs(spark):
     none = spark.createDataFrame([], "outcome string, input_size long, output_size long, status string")
     assert runs.batch_summary(none).first()["success_rate"] == 100.0
