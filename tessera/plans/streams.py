@@ -8,7 +8,7 @@ from tessera.functions import color, errors, grades, images, text
 from tessera.operators import matching, runs
 from tessera.plans.inputs import ctes, load, pick
 from tessera.plans.scalars import _STATUS
-from tessera.sources import probe
+from tessera.sources import magic, probe
 
 C = F.col
 
@@ -71,7 +71,22 @@ def error_categories(spark, d):
     return e.select("event_id", errors.category(kind).alias("category"), F.coalesce(errors.is_skip(kind), F.lit(False)).alias("skip"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sizes, precheck_figures, probe_streams, color_codes, search_limits, png_verdicts, metadata_sidecars, run_counters, error_categories)}
+# Beginnings of files, and their formats.
+HEADS = {
+    "89504E470D0A1A0A": "PNG", "FFD8FFE0": "JPEG", "474946383961": "GIF", "524946460000000057454250": "WebP", "0000002066747970617669660000": "AVIF", "00000020667479706865696300": "HEIC",
+    "0000002066747970686569660000": "HEIF", "00000020667479706D6966310000000061766966": "AVIF", "000000206674797069736F6D": "Unknown", "FF0A": "JXL", "0000000C4A584C20": "JXL", "4D4D002A": "TIFF",
+    "424D": "BMP", "716F6966": "QOI", "FF4FFF51": "JP2", "00000100": "ICO", "762F3101": "EXR", "464C4946": "FLIF", "00": "Unknown",
+}
+
+
+def image_formats(spark, d):
+    heads = F.array(*[F.lit(h) for h in HEADS])
+    parts = load(spark, d, "part").withColumn("head", F.get(heads, (C("p_partkey") % len(HEADS)).cast("int")))
+    padded = F.unhex(F.rpad("head", F.when(C("p_partkey") % 7 == 0, 20).otherwise(80).cast("int"), F.lit("2")))
+    return parts.select(C("p_partkey").alias("id"), magic.image_format(padded).alias("format"))
+
+
+QUERIES = {f.__name__: f for f in (stream_sizes, precheck_figures, probe_streams, color_codes, search_limits, png_verdicts, metadata_sidecars, run_counters, error_categories, image_formats)}
 
 _J = f"WITH {ctes('probe_json')}"
 _S = "json_extract_string(json, '$.streams[{k}].{f}')"
@@ -112,5 +127,6 @@ SQL = {
       SELECT path, coalesce((SELECT min(xmp_path) FROM x WHERE f.ext <> '' AND xmp_path = f.path || '.xmp'), (SELECT min(xmp_path) FROM x WHERE xmp_path = f.dir || '/' || f.stem || '.xmp'),
         (SELECT min(xmp_path) FROM x WHERE xd = f.dir AND (xs = lower(f.stem) OR xs = lower(f.stem) || '.' || f.ext OR split_part(xs, '.', 1) = split_part(lower(f.stem), '.', 1)))) AS sidecar FROM f""",
     "run_counters": f"{_STATUS}, m AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'image' ELSE 'video' END AS medium FROM r) SELECT " + ", ".join(f"count(*) FILTER (medium = '{m}' AND image = '{o}') AS {m}_{o}" for m in ("image", "video") for o in ("succeeded", "failed", "skipped")) + " FROM m",
+    "image_formats": f"SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN {pick('p_partkey', *HEADS.values())} END AS format FROM part",
     "error_categories": f"""WITH k AS (SELECT event_id, {pick('event_id', *[k for g in errors.CATEGORIES.values() for k in g.split()], 'Unheard')} AS kind FROM events) SELECT event_id, CASE {' '.join(f"WHEN kind IN ({', '.join(repr(k) for k in g.split())}) THEN '{n}'" for n, g in errors.CATEGORIES.items())} END AS category, kind = 'OutputExists' AS skip FROM k""",
 }
