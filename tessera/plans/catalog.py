@@ -166,7 +166,7 @@ _KIND = f"CASE WHEN ext IN {_LIST(V.IMAGE_EXTENSIONS)} THEN 'image' WHEN ext IN
 _SHELL = f"CASE WHEN ext IN {_LIST(V.SHELL_IMAGE_EXTENSIONS)} THEN 'image' WHEN ext IN {_LIST(V.SHELL_VIDEO_EXTENSIONS)} THEN 'video' WHEN ext = 'xmp' THEN 'sidecar' ELSE 'other' END"
 _PRIORITY = "CASE " + " ".join(f"WHEN ext IN {_LIST(e.split())} THEN {k}" for k, e in V.FORMAT_PRIORITY.items()) + " ELSE 6 END"
 _MEDIA = f"(ext <> '' AND ext NOT IN {_LIST(V.NOT_MEDIA_EXTENSIONS)})"
-_DEPTH = "len(string_split(path, '/')) - 3"
+_DEPTH = "(len(string_split(path, '/')) - 3)::INT"
 _FILES = f"WITH {ctes('files')}, f AS {_parts('files')}"
 
 _DATES = f"""WITH {ctes('dated')}, said AS (SELECT id, path, unnest([xmp_ps_created, xmp_created, xmp_history, exif_original, exif_created, xmp_metadata]) AS t,

@@ -118,7 +118,7 @@ _TRAIL = f"""v AS (SELECT *, CASE WHEN count(*) OVER ({_W} ROWS 2 PRECEDING) = 3
 
 def _choose(candidate: str, order: str, passed: str) -> str:
     return f"""{_T}, c AS (SELECT *, {passed} AS passed, row_number() OVER (PARTITION BY run_id ORDER BY {order}) AS n FROM trace WHERE {candidate})
-      SELECT r.run_id, crf, size, ssim, passed FROM (SELECT DISTINCT run_id FROM trace) r LEFT JOIN (SELECT * FROM c WHERE n = 1) c ON c.run_id = r.run_id"""
+      SELECT r.run_id, crf, size, round(ssim, 6) AS ssim, passed FROM (SELECT DISTINCT run_id FROM trace) r LEFT JOIN (SELECT * FROM c WHERE n = 1) c ON c.run_id = r.run_id"""
 
 
 _SMALL, _GOOD = "size < input_size", "ssim >= 0.95e0"
@@ -129,7 +129,7 @@ SQL = {
     "early_exit": f"{_T}, {_TRAIL} SELECT run_id, min(iteration) FILTER (iteration >= 6 AND (variance < 2e-2 OR change < 0.05e0)) AS exit_iteration FROM v GROUP BY run_id",
     "plateau": f"{_T}, {_D}, {_streak('abs(delta) < 0.1e0', 3, 'plateau_at', 'd')}",
     "quality_ceiling": f"""{_T}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ssim DESC, iteration DESC) AS n, count(*) OVER (PARTITION BY run_id) AS m FROM trace)
-      SELECT run_id, CASE WHEN m >= 3 THEN crf END AS crf, CASE WHEN m >= 3 THEN ssim END AS best FROM r WHERE n = 1""",
+      SELECT run_id, CASE WHEN m >= 3 THEN crf END AS crf, CASE WHEN m >= 3 THEN round(ssim, 6) END AS best FROM r WHERE n = 1""",
     "zero_gain": f"""{_T}, {_D}, h AS (SELECT *, coalesce(abs(delta) < 0.3e0, FALSE) AS hit FROM d), g AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER ({_W}) AS island FROM h)
       SELECT run_id, max(c)::BIGINT AS longest FROM (SELECT run_id, island, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS c FROM g GROUP BY run_id, island) GROUP BY run_id""",
     "credible_failure": f"""{_T}, b AS (SELECT *, max(floor(score)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM trace), {_streak('psnr < 34 AND floor(score) <= best', 3, 'credible_at', 'b')}""",
@@ -143,7 +143,7 @@ SQL = {
     "pixel_entropy": f"{_PX}, p AS (SELECT vec_id, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM n) SELECT vec_id, round(-sum(p * log2(p)), 6) AS entropy, 8e0 AS most, round(-sum(p * log2(p)) / 8, 6) AS ratio FROM p GROUP BY 1",
     "colour_diversity": f"{_PX} SELECT vec_id, count(DISTINCT v // 4) AS colours, round(least(count(DISTINCT v // 4) / least(count(*), 10000), 1), 6)::DOUBLE AS diversity FROM x GROUP BY 1",
     "colour_coverage": f"""{_PX}, r AS (SELECT *, row_number() OVER w AS k, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY vec_id) AS total FROM n WINDOW w AS (PARTITION BY vec_id ORDER BY n DESC, v)),
-      c AS (SELECT vec_id, count(*) AS colours, min(k) FILTER (run >= floor(total * 0.85e0)) AS needed FROM r GROUP BY 1)
+      c AS (SELECT vec_id, count(*) AS colours, min(k) FILTER (run >= floor(total * 0.85e0))::INT AS needed FROM r GROUP BY 1)
       SELECT *, CASE WHEN colours < 2 THEN 0e0 WHEN needed / colours < 0.05e0 THEN 0.85e0 WHEN needed / colours < 0.10e0 THEN 0.70e0 WHEN needed / colours < 0.20e0 THEN 0.50e0 WHEN needed / colours < 0.35e0 THEN 0.25e0 ELSE 0e0 END AS score FROM c""",
     "pixel_contrast": f"{_PX} SELECT vec_id, round(least(stddev_pop(v) / 80, 1), 6) AS contrast FROM x GROUP BY 1",
     "image_similarity": f"""WITH {ctes('pixels')}, j AS (SELECT a.vec_id, unnest(a.px) AS x, unnest(b.px) AS y FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1),

@@ -137,7 +137,7 @@ SQL = {
     "cache_counts": f"WITH {ctes(*ALL)} " + " UNION ALL ".join(f"SELECT '{t.replace('_records', '')}' AS source, count(*) AS records FROM {t}" for t in ALL),
     "store_statistics": f"""WITH {ctes(*ALL)}, u AS ({_UNION}) SELECT count(*) FILTER (source = 'analysis') AS analysis_records, count(*) FILTER (source = 'quality') AS quality_records,
         count(*) FILTER (source = 'video') AS video_records, (SELECT count(*) FROM path_index) AS path_index_entries, count(*) AS total_records,
-        count(*) FILTER (algorithm_version < 1087) AS stale_records, 123456789012 / 1048576.0e0 AS size_mb, 123456789012 / 1073741824.0e0 AS size_gb FROM u""",
+        count(*) FILTER (algorithm_version < 1087) AS stale_records, round(123456789012 / 1048576.0e0, 6) AS size_mb, round(123456789012 / 1073741824.0e0, 6) AS size_gb FROM u""",
     "stale_records": f"WITH {ctes('analysis_records')} SELECT content_hash, created_at, algorithm_version FROM analysis_records WHERE algorithm_version < 1087",
     "purge_stale": f"WITH {ctes('quality_records')} SELECT content_hash, created_at, algorithm_version FROM quality_records WHERE (algorithm_version < 1087) IS NOT TRUE",
     "expire_records": f"WITH {ctes('analysis_records')} SELECT content_hash, created_at, algorithm_version FROM analysis_records WHERE NOT created_at < 1700030000 - 20000",

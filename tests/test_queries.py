@@ -1,6 +1,5 @@
 """Every query against its SQL on the smallest tables."""
 
-import math
 import os
 
 import duckdb
@@ -20,12 +19,9 @@ def duck():
     return connection
 
 
-def plain(value):
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return str(value)
-    if isinstance(value, (int, float)):
-        return "None" if isinstance(value, float) and math.isnan(value) else f"{float(value) + 0.0:.6g}"
-    return str(value)
+def plain(rows, columns):
+    """Rows by column name, every value with its type and all digits, in order."""
+    return sorted([repr(r[c]) for c in sorted(columns)] for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -34,9 +30,8 @@ def test_matches_sql(spark, duck, name):
     cursor = duck.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(frame.columns) == sorted(columns)
-    order = sorted(columns)
-    expected = sorted([plain(r[columns.index(c)]) for c in order] for r in cursor.fetchall())
-    assert sorted([plain(r[c]) for c in order] for r in frame.collect()) == expected
+    expected = [dict(zip(columns, r)) for r in cursor.fetchall()]
+    assert plain(frame.collect(), columns) == plain(expected, columns)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
