@@ -111,3 +111,42 @@ def quick_jpeg_quality(first_quantiser: Column) -> Column:
 def quick_webp_quality(index: Column) -> Column:
     """By the quantiser index, in wide integers: eight bits would overflow."""
     return F.least(F.floor((127 - (index % 128)) * 100 / 127), F.lit(100)).cast("int")
+
+
+def png_raw_size(width: Column, height: Column, colour_type: Column, bit_depth: Column) -> Column:
+    """Bytes of a PNG's pixels before compression."""
+    samples = F.when(colour_type == 2, 3).when(colour_type == 4, 2).when(colour_type == 6, 4).otherwise(1)
+    return F.ceil(width.cast("bigint") * height * samples * bit_depth / 8.0)
+
+
+def png_signs(
+    colour_type: Column, has_transparency: Column, area: Column, palette: Column, used: Column, entropy: Column, entropy_ratio: Column, size: Column, raw_size: Column
+) -> dict[str, Column]:
+    """Signs from a PNG's structure and colour counts that it was quantised, from 0 to 1; those of its pixels come beside them."""
+    indexed, large, medium = colour_type == 3, area > 100_000, area > 10_000
+    density = palette / F.sqrt(F.nullif(area, F.lit(0).cast("bigint")).cast("double"))
+    by_size = (
+        F.when(palette > 240, 0.95).when(palette > 200, 0.85).when(large & (palette > 64), 0.80).when(large & (palette > 32), 0.60).when(medium & (palette > 128), 0.50)
+        .when((palette <= 16) & (density > 0.5), 0.0).when((palette <= 32) & (density > 0.3), 0.1).when(density < 0.5, 0.3).otherwise(0.15)
+    )
+    sparse = large & (palette * 1_000_000.0 < area * 50.0)
+    share = used / F.nullif(palette, F.lit(0)).cast("double")
+    colours = F.coalesce(palette, F.lit(256))
+    return {
+        "indexed_with_alpha": F.when(~indexed, 0.0).when(has_transparency, 0.98).when(large, 0.75).when(medium, 0.45).otherwise(0.15),
+        "large_palette": F.when(palette.isNull(), 0.0).when(sparse, F.greatest(by_size, F.lit(0.70))).otherwise(by_size),
+        "colour_anomaly": F.when(~indexed | palette.isNull(), 0.0).when(large, F.when(share > 0.8, 0.85).when(share > 0.5, 0.70).otherwise(0.50))
+        .when((share > 0.9) & (palette > 200), 0.8).when((share > 0.7) & (palette > 128), 0.5).otherwise(0.0),
+        "entropy_anomaly": F.when(~indexed, 0.0).when((colours >= 64) & (entropy_ratio < 0.6) & medium, clamp(0.5 + (0.6 - entropy_ratio) * 0.5, 0.0, 0.75))
+        .when((colours >= 128) & (entropy < 5.0) & medium, clamp(0.5 + (5.0 - entropy) * 0.08, 0.0, 0.7)).when((colours >= 64) & (entropy_ratio < 0.5) & (area > 5_000), 0.35).otherwise(0.0),
+        "size_anomaly": F.when(indexed & large & (size < raw_size * 0.15), 0.6).otherwise(0.0),
+    }
+
+
+def png_verdict(signs: dict[str, Column], colour_type: Column, bit_depth: Column, entropy_ratio: Column, area: Column) -> Column:
+    """(quantised, confidence): 16 bits never are; a tool tells; truecolour by its own signals; else by the weighted score."""
+    flat = F.when((entropy_ratio < 0.55) & (area > 10_000), 0.70).when((entropy_ratio < 0.65) & (area > 10_000), 0.40).otherwise(0.0)
+    by_tool = signs["tool_signature"] >= 1.0
+    deep = F.struct(F.lit(False).alias("quantised"), F.lit(1.0).alias("confidence"))
+    truecolour = truecolour_verdict(signs["frequency"], flat, signs["banding"])
+    return F.when(bit_depth == 16, deep).when(colour_type.isin(2, 6) & ~by_tool, truecolour).otherwise(quantisation_verdict(quantisation_score(signs), by_tool))

@@ -142,3 +142,10 @@ def hot_start(pending: DataFrame, last_extension: str | None, last_directory: st
     first = pending.filter(F.col("index") < window)
     score = hot_start_score(F.col("path"), F.col("index"), last_extension, last_directory, window)
     return first.agg(F.max_by(F.struct("index", "path"), score).alias("best")).select("best.*")
+
+
+def expired_logs(files: DataFrame, program: str, keep: int) -> DataFrame:
+    """Logs (path, modified) of a program beyond the newest ``keep``; ties by path."""
+    name = paths.name(F.col("path"))
+    logs = files.filter(F.startswith(name, F.lit(program)) & F.endswith(name, F.lit(".log")) & F.col("modified").isNotNull())
+    return with_rank(logs, [F.desc("modified"), F.asc("path")], "_rank").filter(F.col("_rank") > keep).drop("_rank")

@@ -57,6 +57,13 @@ def squared_error(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow((x - y).cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
 
 
+def weighted_error(a: Column, b: Column) -> Column:
+    """The mean squared difference by the weights of the places."""
+    weights = F.array(*[F.lit(w) for w in V.JPEG_WEIGHTS])
+    squares = F.zip_with(F.zip_with(a, b, lambda x, y: F.pow((x - y).cast("double"), F.lit(2.0))), weights, lambda d, w: d * w)
+    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / sum(V.JPEG_WEIGHTS)
+
+
 def jpeg_quality(tables: DataFrame, key: str, column: str = "table", base: list[int] = V.JPEG_LUMINANCE) -> DataFrame:
     """``key``, quality, sse, is_exact, interpolated: the quality whose standard table is nearest, the lowest of equals.
 

@@ -182,3 +182,34 @@ def grey(r: Column, g: Column, b: Column) -> Column:
 def has_alpha(pixels: DataFrame, key: str, every: int = 100) -> DataFrame:
     """key, has_alpha: whether any of every hundredth pixel (place, a) isn't opaque."""
     return pixels.filter(F.col("place") % every == 0).groupBy(key).agg(F.bool_or(F.col("a") < 255).alias("has_alpha"))
+
+
+def perceived_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of colours, weighted by how the eye sees red, green and blue."""
+    mean = (a[..., 0] + b[..., 0]) / 2
+    red, green, blue = ((a[..., k] - b[..., k]) ** 2 for k in range(3))
+    return np.sqrt((2 + mean / 256) * red + 4 * green + (2 + (255 - mean) / 256) * blue)
+
+
+def dithering(rgb: np.ndarray) -> float:
+    """From 0 to 1: pixels that differ moderately from three or more neighbours, or checkerboards of two by two, among the sampled ones."""
+    rgb = rgb.astype(float)
+    height, width = rgb.shape[:2]
+    if min(height, width) < 8:
+        return 0.0
+    step = int(max(width * height / 10_000, 1))
+    ys, xs = np.mgrid[1 : height - 1, 1 : width - 1]
+    taken = (xs + ys * width) % step == 0
+    centre, near = rgb[1:-1, 1:-1], np.zeros(taken.shape, int)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dy or dx:
+                away = perceived_difference(centre, rgb[1 + dy : height - 1 + dy, 1 + dx : width - 1 + dx])
+                near += (away > 30) & (away < 100)
+    diffused = min(1.0, 5.0 * float((near >= 3)[taken].mean())) if taken.any() else 0.0
+    grid = taken & (ys % 2 == 1) & (xs % 2 == 1)
+    right, below, across = rgb[1:-1, 2:], rgb[2:, 1:-1], rgb[2:, 2:]
+    diagonal = perceived_difference(centre, across) + perceived_difference(right, below)
+    straight = perceived_difference(centre, right) + perceived_difference(centre, below)
+    ordered = min(1.0, 4.0 * float(((straight > 40) & (diagonal < straight * 0.5))[grid].mean())) if grid.any() else 0.0
+    return max(diffused, ordered)

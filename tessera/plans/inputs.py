@@ -127,6 +127,12 @@ TEXT = {
     "colors": f"""SELECT p_partkey AS id, {pick('p_partkey', None, 'bt709', 'bt2020', 'smpte432', 'display-p3', 'film')} AS primaries, {pick('p_partkey', 'smpte2084', None, 'arib-std-b67', 'bt709', 'srgb', 'iec61966-2-1', 'linear')} AS transfer,
         {pick('p_partkey', 'bt2020nc', 'bt709', None, 'rgb', 'smpte170m')} AS matrix, {pick('p_partkey', None, 5, 7, 8, 4)} AS profile, {pick('p_partkey', None, 2, 4)} AS compat, {pick('p_partkey', None, '', 'opus', 'AAC', 'libVorbis')} AS audio,
         {pick('p_partkey', 'mp4', 'MKV', 'mov')} AS container, {pick('p_partkey', None, 'srt', 'ASS', 'dvd_subtitle')} AS subtitle FROM part""",
+    "pngs": f"""SELECT p_partkey AS id, {pick('p_partkey', 3, 2, 3, 3, 6, 0, 3)} AS colour_type, p_partkey % 4 = 0 AS has_transparency, {pick('p_partkey', 64, 120, 400, 1000, 10)} AS width, {pick('p_partkey', 64, 100, 300, 800, 12, 90)} AS height,
+        {pick('p_partkey', 8, 8, 4, 16, 8, 2)} AS bit_depth, {pick('p_partkey', None, 4, 16, 20, 32, 40, 70, 100, 130, 150, 205, 245, 256)} AS palette, p_partkey % 257 AS used, p_partkey % 81 / 10e0 AS entropy, p_partkey % 19 / 18e0 AS entropy_ratio,
+        p_partkey * 997 % 200000 AS size, {pick('p_partkey', 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)} AS tool, p_partkey * 3 % 11 / 10e0 AS dithering, p_partkey * 7 % 11 / 10e0 AS banding, {pick('p_partkey', 0.85, 0.70, 0.50, 0.25, 0.0)} AS frequency FROM part""",
+    "side_data": f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN '[]' ELSE '[{{"side_data_type": "' || {pick('p_partkey', 'DOVI configuration record', 'Mastering display metadata', 'HDR10+ dynamic', 'x')} || '", "dv_profile": "' || {pick('p_partkey', '8', '5', 'x')} || '", "green_x": "8500/50000", "green_y": "39850/50000", "blue_x": "6550/50000",
+        "blue_y": "2300/50000", "red_x": "35400/50000", "red_y": "14600/50000", "white_point_x": "15635/50000", "white_point_y": "16450/50000", "max_luminance": "' || {pick('p_partkey', '10000000/10000', '4000000/10000')} || '", "min_luminance": "50/10000"}},
+        {{"side_data_type": "' || {pick('p_partkey', 'Content light level metadata', 'other')} || '", "max_content": "' || CAST(p_partkey % 1000 AS STRING) || '", "max_average": "200"}}]' END AS json FROM part""",
     "directories": """SELECT o_orderpriority AS root, '/s/' || CAST(o_custkey AS STRING) AS path, max(o_orderkey) AS mtime FROM orders GROUP BY o_orderpriority, o_custkey""",
 }
 ENGINE = {

@@ -137,6 +137,11 @@ def jpeg_quality(spark, d):
     return classify.jpeg_quality(_quant_tables(spark, d), "id")
 
 
+def jpeg_table_errors(spark, d):
+    t = _quant_tables(spark, d).withColumn("near", classify.scaled_table(F.lit(75), V.JPEG_LUMINANCE))
+    return t.select("id", classify.squared_error(C("table"), C("near")).alias("sse"), classify.weighted_error(C("table"), C("near")).alias("weighted"))
+
+
 def size_gates(spark, d):
     p, out = load(spark, d, "probe"), F.floor(C("file_size") * 0.97 + C("id") * 997).cast("bigint")
     p = p.withColumn("out", out)
@@ -191,7 +196,7 @@ def health_report(spark, d):
 QUERIES = {
     f.__name__: f for f in (
         source_codecs, codec_info, bpp_factors, rate_factors, match_confidence, video_quality, encoder_params, compression_types, video_flags, precheck, gif_scores,
-        gif_verdicts, image_advice, content_classes, jpeg_quality, size_gates, quality_gates, message_kinds, batch_summary, batch_by_severity, video_bytes, image_bytes, health_report,
+        gif_verdicts, image_advice, content_classes, jpeg_quality, jpeg_table_errors, size_gates, quality_gates, message_kinds, batch_summary, batch_by_severity, video_bytes, image_bytes, health_report,
     )
 }
 
@@ -374,6 +379,9 @@ SQL = {
         e AS (SELECT id, q, sum((x - y) * (x - y))::DOUBLE AS sse FROM t JOIN s USING (k) GROUP BY id, q), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sse, q) AS n FROM e)
         SELECT a.id, a.q::INT AS quality, a.sse, a.sse = 0 AS is_exact, round(a.q + CASE WHEN a.sse > 0 AND b.sse > a.sse THEN CASE WHEN b.q > a.q THEN 1 ELSE -1 END * (a.sse / (a.sse + b.sse)) * 0.5e0 ELSE 0e0 END, 6) AS interpolated
         FROM r a JOIN r b ON a.id = b.id AND a.n = 1 AND b.n = 2""",
+    "jpeg_table_errors": f"""WITH t AS (SELECT p_partkey AS id, k, w, {_SCALED('(1 + p_partkey * 7 % 100)', 'v')} + CASE WHEN k = p_partkey % 64 AND p_partkey % 3 > 0 THEN p_partkey % 5 ELSE 0 END - {_SCALED('75', 'v')} AS x
+          FROM part, (SELECT unnest({_LUMA}) AS v, unnest(range(64)) AS k, unnest([{', '.join(f'{w}e0' for w in V.JPEG_WEIGHTS)}]) AS w))
+        SELECT id, sum(x * x)::DOUBLE AS sse, round(sum(w * x * x) / sum(w), 6) AS weighted FROM t GROUP BY id""",
     "size_gates": f"""{_P}, o AS (SELECT *, floor(file_size * 0.97e0 + id * 997)::BIGINT AS out, least(greatest(trunc(file_size * 0.005e0)::BIGINT, 2048), 102400) AS margin, ['mov', 'mp4', 'mkv', 'avi', 'webm', 'm4v'][id % 6 + 1] AS ext FROM probe),
         p AS (SELECT *, greatest(file_size - margin, 0) AS target, trunc(file_size * CASE ext WHEN 'mov' THEN 0.005e0 WHEN 'mp4' THEN 0.001e0 WHEN 'm4v' THEN 0.001e0 WHEN 'mkv' THEN 0.0005e0 WHEN 'webm' THEN 0.0005e0 ELSE 0.002e0 END)::BIGINT AS overhead FROM o)
         SELECT id, out, margin::BIGINT AS margin, target::BIGINT AS target, out < target AS fits, CASE WHEN file_size < 10485760 THEN greatest(out - id * 50, 0) ELSE out END AS compared, out < file_size + CASE WHEN has_alpha THEN 1048576 ELSE 0 END AS smaller,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import color, errors, grades, images, text
-from tessera.operators import matching, runs
+from tessera.operators import catalog, matching, runs
 from tessera.plans.inputs import ctes, load, pick
 from tessera.plans.scalars import _STATUS
 from tessera.sources import magic, probe
@@ -71,6 +71,29 @@ def error_categories(spark, d):
     return e.select("event_id", errors.category(kind).alias("category"), F.coalesce(errors.is_skip(kind), F.lit(False)).alias("skip"))
 
 
+_SIGNS = ("indexed_with_alpha", "large_palette", "colour_anomaly", "entropy_anomaly", "size_anomaly")
+
+
+def png_quantisation(spark, d):
+    p = load(spark, d, "pngs").withColumn("area", C("width").cast("bigint") * C("height"))
+    raw = images.png_raw_size(C("width"), C("height"), C("colour_type"), C("bit_depth"))
+    signs = images.png_signs(C("colour_type"), C("has_transparency"), C("area"), C("palette"), C("used"), C("entropy"), C("entropy_ratio"), C("size"), raw)
+    p = p.withColumns(signs)
+    known = {k: C(k) for k in signs} | {"tool_signature": C("tool"), "dithering": C("dithering"), "banding": C("banding"), "frequency": C("frequency")}
+    v = images.png_verdict(known, C("colour_type"), C("bit_depth"), C("entropy_ratio"), C("area"))
+    return p.select("id", *_SIGNS, v["quantised"].alias("quantised"), v["confidence"].alias("confidence"))
+
+
+def hdr_side_data(spark, d):
+    side = load(spark, d, "side_data").withColumn("side", F.from_json("json", "array<map<string,string>>"))
+    return probe.hdr_side_data(side).select("id", "dolby_vision", "dv_profile", "hdr10_plus", "mastering_display", "max_cll")
+
+
+def expired_logs(spark, d):
+    logs = load(spark, d, "orders").select(F.concat(F.lit("/logs/"), F.when(C("o_custkey") % 3 == 0, "img_").otherwise("vid_"), C("o_orderkey").cast("string"), F.lit(".log")).alias("path"), C("o_custkey").alias("modified"))
+    return catalog.expired_logs(logs, "img_", 500)
+
+
 # Beginnings of files, and their formats.
 HEADS = {
     "89504E470D0A1A0A": "PNG", "FFD8FFE0": "JPEG", "474946383961": "GIF", "524946460000000057454250": "WebP", "0000002066747970617669660000": "AVIF", "00000020667479706865696300": "HEIC",
@@ -86,7 +109,7 @@ def image_formats(spark, d):
     return parts.select(C("p_partkey").alias("id"), magic.image_format(padded).alias("format"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sizes, precheck_figures, probe_streams, color_codes, search_limits, png_verdicts, metadata_sidecars, run_counters, error_categories, image_formats)}
+QUERIES = {f.__name__: f for f in (stream_sizes, precheck_figures, probe_streams, color_codes, search_limits, png_verdicts, metadata_sidecars, run_counters, error_categories, image_formats, png_quantisation, hdr_side_data, expired_logs)}
 
 _J = f"WITH {ctes('probe_json')}"
 _S = "json_extract_string(json, '$.streams[{k}].{f}')"
@@ -127,6 +150,25 @@ SQL = {
       SELECT path, coalesce((SELECT min(xmp_path) FROM x WHERE f.ext <> '' AND xmp_path = f.path || '.xmp'), (SELECT min(xmp_path) FROM x WHERE xmp_path = f.dir || '/' || f.stem || '.xmp'),
         (SELECT min(xmp_path) FROM x WHERE xd = f.dir AND (xs = lower(f.stem) OR xs = lower(f.stem) || '.' || f.ext OR split_part(xs, '.', 1) = split_part(lower(f.stem), '.', 1)))) AS sidecar FROM f""",
     "run_counters": f"{_STATUS}, m AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'image' ELSE 'video' END AS medium FROM r) SELECT " + ", ".join(f"count(*) FILTER (medium = '{m}' AND image = '{o}') AS {m}_{o}" for m in ("image", "video") for o in ("succeeded", "failed", "skipped")) + " FROM m",
+    "png_quantisation": f"""WITH {ctes('pngs')}, a AS (SELECT *, width::BIGINT * height AS area FROM pngs), b AS (SELECT *, palette / sqrt(area) AS density, used / palette AS share, coalesce(palette, 256) AS colours, ceil(area * CASE colour_type WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 6 THEN 4 ELSE 1 END * bit_depth / 8e0) AS raw FROM a),
+      c AS (SELECT *, CASE WHEN colour_type <> 3 THEN 0e0 WHEN has_transparency THEN 0.98e0 WHEN area > 100000 THEN 0.75e0 WHEN area > 10000 THEN 0.45e0 ELSE 0.15e0 END AS indexed_with_alpha,
+        CASE WHEN palette > 240 THEN 0.95e0 WHEN palette > 200 THEN 0.85e0 WHEN area > 100000 AND palette > 64 THEN 0.80e0 WHEN area > 100000 AND palette > 32 THEN 0.60e0 WHEN area > 10000 AND palette > 128 THEN 0.50e0 WHEN palette <= 16 AND density > 0.5e0 THEN 0e0
+          WHEN palette <= 32 AND density > 0.3e0 THEN 0.1e0 WHEN density < 0.5e0 THEN 0.3e0 ELSE 0.15e0 END AS lp,
+        CASE WHEN colour_type <> 3 OR palette IS NULL THEN 0e0 WHEN area > 100000 THEN CASE WHEN share > 0.8e0 THEN 0.85e0 WHEN share > 0.5e0 THEN 0.70e0 ELSE 0.50e0 END WHEN share > 0.9e0 AND palette > 200 THEN 0.8e0 WHEN share > 0.7e0 AND palette > 128 THEN 0.5e0 ELSE 0e0 END AS colour_anomaly,
+        CASE WHEN colour_type <> 3 THEN 0e0 WHEN colours >= 64 AND entropy_ratio < 0.6e0 AND area > 10000 THEN least(0.5e0 + (0.6e0 - entropy_ratio) * 0.5e0, 0.75e0) WHEN colours >= 128 AND entropy < 5 AND area > 10000 THEN least(0.5e0 + (5 - entropy) * 0.08e0, 0.7e0)
+          WHEN colours >= 64 AND entropy_ratio < 0.5e0 AND area > 5000 THEN 0.35e0 ELSE 0e0 END AS entropy_anomaly, CASE WHEN colour_type = 3 AND area > 100000 AND size < raw * 0.15e0 THEN 0.6e0 ELSE 0e0 END AS size_anomaly,
+        CASE WHEN area > 10000 AND entropy_ratio < 0.55e0 THEN 0.70e0 WHEN area > 10000 AND entropy_ratio < 0.65e0 THEN 0.40e0 ELSE 0e0 END AS flat FROM b),
+      e AS (SELECT *, CASE WHEN palette IS NULL THEN 0e0 WHEN area > 100000 AND palette * 1e6 < area * 50 THEN greatest(lp, 0.70e0) ELSE lp END AS large_palette FROM c),
+      g AS (SELECT *, 0.25e0 * (indexed_with_alpha + large_palette) + 0.15e0 * tool + 0.0625e0 * (dithering + colour_anomaly + banding + frequency) + 0.05e0 * (size_anomaly + entropy_anomaly) AS score,
+        CASE WHEN frequency >= 0.5e0 THEN 1 ELSE 0 END + CASE WHEN flat >= 0.5e0 THEN 1 ELSE 0 END + CASE WHEN banding >= 0.5e0 THEN 1 ELSE 0 END AS strong FROM e)
+      SELECT id, {', '.join(f'round({x}, 6) AS {x}' for x in _SIGNS)}, CASE WHEN bit_depth = 16 THEN FALSE WHEN colour_type IN (2, 6) AND tool < 1 THEN strong >= 2 ELSE tool >= 1 OR score >= 0.58e0 END AS quantised,
+      round(CASE WHEN bit_depth = 16 THEN 1e0 WHEN colour_type IN (2, 6) AND tool < 1 THEN CASE WHEN strong >= 2 THEN 0.70e0 + (frequency + flat + banding) / 3 * 0.15e0 WHEN strong = 1 THEN 0.65e0 ELSE 0.90e0 END WHEN tool >= 1 THEN 0.99e0
+        WHEN score >= 0.70e0 THEN 0.9e0 + (score - 0.70e0) * 0.33e0 WHEN score >= 0.58e0 THEN 0.7e0 + (score - 0.58e0) WHEN score >= 0.30e0 THEN 0.5e0 + (0.58e0 - score) ELSE 0.8e0 + (0.30e0 - score) * 0.67e0 END, 6) AS confidence FROM g""",
+    "hdr_side_data": f"""WITH {ctes('side_data')}, k AS (SELECT *, lower(json_extract_string(json, '$[0].side_data_type')) AS k0, lower(json_extract_string(json, '$[1].side_data_type')) AS k1 FROM side_data)
+      SELECT id, coalesce(contains(k0, 'dovi'), FALSE) AS dolby_vision, CASE WHEN contains(k0, 'dovi') THEN try_cast(json_extract_string(json, '$[0].dv_profile') AS INT) END AS dv_profile, coalesce(contains(k0, 'hdr10+'), FALSE) AS hdr10_plus,
+      CASE WHEN contains(k0, 'mastering display') THEN 'G(8500,39850)B(6550,2300)R(35400,14600)WP(15635,16450)L(' || split_part(json_extract_string(json, '$[0].max_luminance'), '/', 1) || ',50)' END AS mastering_display,
+      CASE WHEN contains(k1, 'content light') THEN json_extract_string(json, '$[1].max_content') || ',200' END AS max_cll FROM k""",
+    "expired_logs": """WITH l AS (SELECT '/logs/img_' || o_orderkey || '.log' AS path, o_custkey AS modified FROM orders WHERE o_custkey % 3 = 0) SELECT path, modified FROM (SELECT *, row_number() OVER (ORDER BY modified DESC, path) AS k FROM l) WHERE k > 500""",
     "image_formats": f"SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN {pick('p_partkey', *HEADS.values())} END AS format FROM part",
     "error_categories": f"""WITH k AS (SELECT event_id, {pick('event_id', *[k for g in errors.CATEGORIES.values() for k in g.split()], 'Unheard')} AS kind FROM events) SELECT event_id, CASE {' '.join(f"WHEN kind IN ({', '.join(repr(k) for k in g.split())}) THEN '{n}'" for n, g in errors.CATEGORIES.items())} END AS category, kind = 'OutputExists' AS skip FROM k""",
 }

@@ -146,6 +146,12 @@ JPEG_CHROMINANCE = [
     *[99] * 32,
 ]
 
+# How much each place of a quantisation table weighs.
+JPEG_WEIGHTS = [
+    1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.9, 0.85, 0.75, 0.65, 0.55, 0.45, 0.35, 0.25, 0.8, 0.75, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15,
+    0.6, 0.55, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.5, 0.45, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.4, 0.35, 0.3, 0.2, 0.15, 0.1, 0.08, 0.05, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03,
+]
+
 # Messages that pause a run, in lower case.
 DISK_FULL = [
     "no space left on device", "disk full", "storage full", "database or disk is full", "there is not enough space on the disk",
