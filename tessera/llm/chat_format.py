@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.shared import with_long_ids
+
 #: Fixed values of the template: marks of a turn, and placeholders of the parts that aren't text.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -97,7 +99,7 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     parts = F.col("parts").cast(f"array<{PART}>") if "parts" in rows.columns else F.lit(None).cast(f"array<{PART}>")
     text = F.col("text").cast("string") if "text" in rows.columns else F.lit(None).cast("string")
     turns = rows.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("conv_id").cast("long").cast("string").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), parts.alias("parts")).alias("t"),
     )
     grouped = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -116,8 +118,8 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
             names = ["formatted", "loss", "attachments", "n_attachment_tokens"]
             yield pd.concat([batch[["conv_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    schema = "conv_id long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<turn:long,part:long,kind:string,ref:string,at:long,tokens:long>>, n_attachment_tokens long"
-    return grouped.unionByName(single).mapInPandas(formatted, schema)
+    schema = "conv_id string, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<turn:long,part:long,kind:string,ref:string,at:long,tokens:long>>, n_attachment_tokens long"
+    return with_long_ids(grouped.unionByName(single).mapInPandas(formatted, schema), "conv_id")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -143,8 +145,9 @@ def digests(conversations: DataFrame) -> DataFrame:
                 out.append((conv_id, len(turns), _sha(said), len(learned), _sha(learned), len(text)))
             yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return conversations.select("conv_id", "formatted", "loss").mapInPandas(read, schema)
+    schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    rows = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss")
+    return with_long_ids(rows.mapInPandas(read, schema), "conv_id")
 
 
 def _sha(text: str) -> str:

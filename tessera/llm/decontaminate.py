@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Words, chunks, encoded, mix
+from tessera.llm.shared import Words, chunks, encoded, ids_and_texts, mix, with_long_ids
 
 #: Words of a window, words that a window must hold besides placeholders, and windows of an item that a document must share.
 WINDOW, MIN_LITERAL, MIN_WINDOWS = 8, 4, 6
@@ -123,9 +123,8 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, widths: list[in
                             "pos": at - t.words.first[t.words.text[at]], "h": h.view(np.int64), "doc_slots": t.slots(at, width),
                         })
 
-    text = docs["text"].cast("string")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
-    return rows.mapInPandas(cut_up, "doc_id long, t1 long, pos long, h long, doc_slots array<long>")
+    rows = ids_and_texts(docs, F.xxhash64(docs["text"].cast("string")).alias("t1"))
+    return with_long_ids(rows.mapInPandas(cut_up, "doc_id string, t1 long, pos long, h long, doc_slots array<long>"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ class LanguageFilter:
                 counts[inside, k] += np.add.reduceat(has.astype(np.int64), begins)
         return counts, totals
 
-    def predict(self, texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rate of that language) for each text."""
         has_letter = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
         rates = self.rates(encoded(texts)) if self.languages else np.zeros((len(texts), 0))
@@ -163,12 +164,13 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "rate")]
     schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("rate", "double")
 
-    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, rate = shared.value.predict(batch["text"])
-            yield batch.assign(lang_pred=names, score=score, rate=rate)
+            names, score, rate = shared.value.predict(batch.column("text").to_pylist())
+            found = [pa.array(names, pa.string()), pa.array(score), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lang_pred", "score", "rate"])
 
-    return docs.select(*own).mapInPandas(predicted, schema)
+    return docs.select(*own).mapInArrow(predicted, schema)
 
 
 def held_out(doc_id="doc_id"):

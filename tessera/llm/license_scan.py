@@ -10,9 +10,8 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.shared import LOWER, Words, chunks, encoded
+from tessera.llm.shared import LOWER, Words, chunks, encoded, ids_and_texts, with_long_ids
 
 #: Base phrases, as consecutive words, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -254,6 +253,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 "spans": [[{"start": a, "end": b, "label": k, "form": f} for a, b, k, f in x["spans"]] for x in found],
             })
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,form:string>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(scanned, schema)
+    schema = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,form:string>>"
+    return with_long_ids(ids_and_texts(docs).mapInPandas(scanned, schema))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import with_long_ids
+
 #: Permitted sequence lengths, and the fixed cost in tokens that a bin has besides its length.
 CAPACITIES = (512, 1_024, 2_048, 4_096)
 BIN_COST = 16
@@ -95,5 +97,5 @@ def pack_documents(
         group["bin"], group["bin_offset"], group["bin_tokens"] = pack(group["n_tokens"].to_numpy(np.int64), capacities, bin_cost)
         return group[["doc_id", "copy", "piece", "start", "n_tokens", "shard", "bin", "bin_offset", "bin_tokens"]]
 
-    fields = "doc_id long, copy long, piece long, start long, n_tokens long, shard long, bin long, bin_offset long, bin_tokens long"
-    return dealt.groupBy("shard").applyInPandas(packed, fields)
+    fields = "doc_id string, copy long, piece long, start long, n_tokens long, shard long, bin long, bin_offset long, bin_tokens long"
+    return with_long_ids(dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("shard").applyInPandas(packed, fields))

@@ -11,7 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tessera.llm.shared import ids_and_texts, with_long_ids
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens an entity may span, words of context around a trigger, and how much surer than "none" an added span must be.
@@ -340,5 +341,4 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             out["spans"] = [joined(all_spans(t, spans, field.value)) for t, spans in zip(texts, base)]
             yield pd.DataFrame(out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_long_ids(ids_and_texts(docs).mapInPandas(found, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))

@@ -186,5 +186,14 @@ def encoded(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
 
 
+def ids_and_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id string, text string, ...) for tasks in Python: numbers that may be null would become floating there."""
+    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"), *more)
+
+
+def with_long_ids(found: DataFrame, column: str = "doc_id") -> DataFrame:
+    return found.withColumn(column, F.col(column).cast("long"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Forest, block_tasks, connected_components, cut
+from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, with_long_ids
 
 #: Fingerprints, about, of the bounded sample on which the trees are fitted; never more than twice as many.
 SAMPLE = 65_536
@@ -47,8 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(hashed, "doc_id long, fp long")
+    return with_long_ids(ids_and_texts(docs).mapInPandas(hashed, "doc_id string, fp long"))
 
 
 class VantageTree:

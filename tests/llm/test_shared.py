@@ -56,3 +56,22 @@ def test_words_of_bytes():
     assert np.diff(words.first).tolist() == [4, 0, 0, 2, 1]
     assert words.hash[0] == words.hash[5] == words.hash[6]
     assert len(set(words.hash.tolist())) == 5
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    from tessera.llm import chat_format, decontaminate, language_id, license_scan, lm_score, packing, pii, simhash
+
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "some words for everyone here", None), (None, "other words", 7)], "doc_id long, text string, n long").coalesce(1)
+    items = spark.createDataFrame([(big, "some words for everyone here")], "item_id long, text string")
+    model = language_id.train_filter(spark.createDataFrame([("some words", "en")], "text string, lang string"))
+    frames = [
+        simhash.simhash_groups(docs), license_scan.scan_licenses(docs), pii.find_personal_data(docs), lm_score.score_corpus(docs), packing.pack_documents(docs),
+        decontaminate.flag_contaminated(docs, items), language_id.identify(docs, model),
+    ]
+    for frame in frames:
+        assert {r["doc_id"] for r in frame.collect()} == {big, None}
+    assert decontaminate.contamination(docs, items).first()["item_id"] == big
+    assert {r["n"] for r in language_id.identify(docs, model).collect()} == {None, 7}
+    rows = docs.selectExpr("doc_id as conv_id", "1 as turn", "'user' as role", "text")
+    assert {r["conv_id"] for r in chat_format.digests(chat_format.format_conversations(rows)).collect()} == {big, None}
