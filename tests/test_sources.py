@@ -131,6 +131,16 @@ def test_windows_of_pixels():
     assert pixels.neighbourhood(np.zeros((9, 9, 3)))["edge_density"] == 0
 
 
+def test_dithering():
+    import numpy as np
+
+    flat = np.full((20, 20, 3), 120)
+    board = flat.copy()
+    board[::2, ::2] = board[1::2, 1::2] = 140
+    assert pixels.dithering(flat) == 0.0 and pixels.dithering(board) == 1.0 and pixels.dithering(flat[:4]) == 0.0
+    assert pixels.perceived_difference(np.array([0.0, 0, 0]), np.array([0.0, 10, 0])) == 20.0
+
+
 def test_stream_picks_up_new_files_once(spark, tmp_path):
     source, out, seen = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "seen")
     schema = "path string, size long, seq long"
