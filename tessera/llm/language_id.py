@@ -74,32 +74,26 @@ class LanguageFilter:
             out[first : first + len(part)] = np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         return out
 
+    def languages_of(self, values: np.ndarray) -> np.ndarray:
+        """The mask of all languages that have each n-gram."""
+        found = np.full(len(values), np.iinfo(self.masks.dtype).max, self.masks.dtype)
+        for place in positions(values):
+            found &= self.masks[place]
+        return found
+
     def _counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        totals = np.array([max(0, len(t) - GRAM + 1) for t in texts])
+        """For each text the n-grams that each language has, and all of them."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum([0, *map(len, texts)])[:-1]
+        found = np.zeros(len(data), self.masks.dtype)
         for at in range(0, len(data), CHUNK_BYTES):
             values = grams(data[at : at + CHUNK_BYTES + GRAM - 1])
-            if not len(values):
-                continue
-            found = None
-            for place in positions(values):
-                found = self.masks[place] if found is None else found & self.masks[place]
-            where = np.searchsorted(starts, np.arange(at, at + len(values), max(1, len(values))), "right") - 1
-            inside = np.concatenate([[where[0]], np.flatnonzero((starts > at) & (starts < at + len(values)))])
-            # windows across two texts count for neither
-            for s in starts[inside[1:]]:
-                found[max(0, s - at - GRAM + 1) : s - at] = 0
-            if at + len(values) < len(data) - GRAM + 1:
-                nxt = starts[(starts >= at + len(values)) & (starts < at + len(values) + GRAM - 1)]
-                for s in nxt:
-                    found[max(0, s - at - GRAM + 1) :] = 0
-            begins = np.concatenate([[0], starts[inside[1:]] - at]).astype(np.int64)
-            for k in range(len(self.languages)):
-                has = (found >> found.dtype.type(k)) & found.dtype.type(1)
-                counts[inside, k] += np.add.reduceat(has.astype(np.int64), begins)
-        return counts, totals
+            found[at : at + len(values)] = self.languages_of(values)
+        for k in range(1, GRAM):  # windows across two texts count for neither
+            found[np.maximum(starts[1:] - k, 0)] = 0
+        one = self.masks.dtype.type(1)
+        held = [np.add.reduceat(((found >> self.masks.dtype.type(k)) & one).astype(np.int64), starts) for k in range(len(self.languages))]
+        return np.stack(held, axis=1), np.array([max(0, len(t) - GRAM + 1) for t in texts])
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rate of that language) for each text."""
