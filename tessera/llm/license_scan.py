@@ -15,12 +15,17 @@ from tessera.llm.shared import LOWER, Words, chunks, encoded, ids_and_texts, wit
 
 #: Base phrases, as consecutive words, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-_BREAK = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BASE = [
-    (re.compile(rb"(?<!%b)" % _BREAK.replace(b"[", b"[^") + (_BREAK + b"+").join(map(re.escape, p.encode().split())) + rb"(?!%b)" % _BREAK.replace(b"[", b"[^")), p.split()[0].encode(), len(p.split()), label)
-    for p, label in BASE
-]
+_BREAK, _LETTER = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]", rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_WORD = re.compile(_LETTER + b"+")
+
+
+def phrase_pattern(phrase: str) -> re.Pattern:
+    """The phrase's words, consecutive and whole, over lower-case bytes."""
+    words = (_BREAK + b"+").join(phrase.encode().split())
+    return re.compile(b"(?<!" + _LETTER + b")" + words + b"(?!" + _LETTER + b")")
+
+
+_BASE = [(phrase_pattern(phrase), phrase.split()[0].encode(), label) for phrase, label in BASE]
 
 #: Label, keyword, pattern of the name, SPDX tag and URL; all over lower-case words with one space between.
 LICENSES = """
@@ -175,33 +180,22 @@ class Scanner:
 
     def resolved(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Without those that lie inside a better one: of higher priority, or of the same and longer, or as long and of an earlier rule."""
-        better = lambda x: (-(x[1] - x[0]), -FORMS[self.rules[x[2]].form][0], x[2])
         kept: list[tuple[int, int, int]] = []
-        reach: dict[int, list[tuple[int, int]]] = {}
-        for a, b, i in sorted(found, key=better):
-            mine = FORMS[self.rules[i].form][0]
-            label = self.rules[i].label
-            inside = any(
-                x <= a and b <= y and (FORMS[self.rules[k].form][0] >= mine or (y - x) > (b - a) or self.rules[k].label == label)
-                for x, y, k in (kept[j] for j in self._near(reach, a, b))
-            )
-            if not inside:
-                for page in range(a // 256, b // 256 + 1):
-                    reach.setdefault(page, []).append(len(kept))
+        reach: dict[int, list[tuple[int, int]]] = {}  # page of the text -> kept intervals that touch it
+        for a, b, i in sorted(found, key=lambda x: (-FORMS[self.rules[x[2]].form][0], x[0] - x[1], x[2])):
+            if not any(x <= a and b <= y for x, y in reach.get(a // 256, ())):
                 kept.append((a, b, i))
+                for page in range(a // 256, b // 256 + 1):
+                    reach.setdefault(page, []).append((a, b))
         return sorted(kept)
 
-    @staticmethod
-    def _near(reach: dict, a: int, b: int) -> list[int]:
-        return reach.get(a // 256, [])
-
 
 def scan_text(scanner: Scanner, text: bytes) -> dict | None:
     """What one text holds besides its number of words; None where neither base nor rules can match."""
     lowered = text.translate(LOWER)
     base = {"n_base": 0, "first": None, "last": None, "base": set(), "labels": set(), "score": 0.0, "spans": []}
     starts = None
-    for pattern, word, _, label in _BASE:
+    for pattern, word, label in _BASE:
         if word not in lowered:
             continue
         for match in pattern.finditer(lowered):

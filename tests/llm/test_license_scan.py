@@ -44,6 +44,13 @@ def test_rules_and_suppression():
         assert scan_text(scanner, text.encode())["labels"] == labels, text
 
 
+def test_a_better_detection_inside_a_longer_one_stays():
+    scanner = Scanner()
+    tag = next(i for i, r in enumerate(scanner.rules) if r.form == "tag")
+    name = next(i for i, r in enumerate(scanner.rules) if r.form == "name")
+    assert scanner.resolved([(0, 50, name), (10, 20, tag), (12, 18, name), (12, 18, tag), (600, 610, name)]) == [(0, 50, name), (10, 20, tag), (600, 610, name)]
+
+
 def test_gate_misses_no_rule():
     """Every pattern of literal words holds some gate word, so that the gate only saves time."""
     gate = [g.decode() for g in GATE]
