@@ -1,5 +1,10 @@
+import re
+
 import corpus_pipeline
+import test_line_dedup
+import test_simhash
 from tessera.llm import entries
+from tessera.llm.packing import CAPACITIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +25,45 @@ def test_run_and_every_query_is_registered(spark):
     names = set(entries.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert set(entries.oracle_sql()) <= names
+
+
+def windows(text, n=8):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", test_simhash.lower(text))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}, len(words)
+
+
+def test_stages_match_brute_force(spark):
+    """Each stage on what its predecessor kept, against plain Python."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.limit(3).selectExpr("doc_id + 100000 as doc_id", "case when doc_id % 2 = 0 then '12 %% 3' end as text", "lang", "source", "n_chars")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    named = stages["language_id"](spark, docs.unionByName(extra), SF).cache()
+    assert {r["doc_id"]: r["text"] for r in named.collect()} == rows
+
+    lines = stages["line_dedup"](spark, named, SF).cache()
+    kept = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert kept == {i: text for i, text, _, _ in test_line_dedup.brute_force(list(rows.items()))}
+    assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
+
+    ids = sorted(kept)
+    groups = test_simhash.groups_of([test_simhash.plain(kept[i]) for i in ids])
+    single = stages["simhash"](spark, lines, SF).cache()
+    assert sorted(r["doc_id"] for r in single.collect()) == [ids[k] for k in sorted(set(groups))]
+
+    items = [windows(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = stages["decontaminate"](spark, single, SF).cache()
+    left = {r["doc_id"]: r["text"] for r in clean.collect()}
+    for r in single.collect():
+        own, _ = windows(r["text"])
+        leaks = any(len(own & item) >= min(6, n - 7) for item, n in items if n >= 8)
+        assert (r["doc_id"] in left) != leaks, r["doc_id"]
+    assert len(left) < single.count()
+
+    packed = stages["packing"](spark, clean, SF).collect()
+    assert {i: sum(r["n_tokens"] for r in packed if r["doc_id"] == i) for i in left} == {i: len(t.split()) for i, t in left.items()}
+    used = {}
+    for r in packed:
+        used.setdefault((r["shard"], r["bin"]), [0, r["bin_tokens"]])[0] += r["n_tokens"]
+    assert all(size == min(c for c in CAPACITIES if c >= n) for n, size in used.values())
