@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +94,7 @@ class LanguageFilter:
         held = [np.add.reduceat(((found >> self.masks.dtype.type(k)) & one).astype(np.int64), starts) for k in range(len(self.languages))]
         return np.stack(held, axis=1), np.array([max(0, len(t) - GRAM + 1) for t in texts])
 
-    def predict(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: pd.Series) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rate of that language) for each text."""
         has_letter = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
         rates = self.rates(encoded(texts)) if self.languages else np.zeros((len(texts), 0))
@@ -152,19 +151,19 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     lang_pred is ``und`` where the text is null or has no letter, or nothing was learned; score is the share
     that the winner has of all languages' corrected rates, rate its own rate. A text
     whose n-grams no language has gets the most frequent language with score 0.
-    Ties go to the first language by name. Rows may repeat; an empty table stays empty; other columns stay.
+    Ties go to the first language by name. Rows may repeat; an empty table stays empty; other columns stay. Only texts go to Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rate")]
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double").add("rate", "double")
 
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, score, rate = shared.value.predict(batch.column("text").to_pylist())
-            found = [pa.array(names, pa.string()), pa.array(score), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lang_pred", "score", "rate"])
+    @F.pandas_udf("lang_pred string, score double, rate double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, score, rate = shared.value.predict(texts)
+            yield pd.DataFrame({"lang_pred": names, "score": score, "rate": rate})
 
-    return docs.select(*own).mapInArrow(predicted, schema)
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rate")]
+    named = docs.select(*own, predicted(F.col("text").cast("string")).alias("_language"))
+    return named.select(*own, *[F.col(f"_language.{c}").alias(c) for c in ("lang_pred", "score", "rate")])
 
 
 def held_out(doc_id="doc_id"):
