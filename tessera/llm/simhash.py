@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: fingerprints linked at a few differing bits through partitioning vantage-point trees."""
+"""SimHash near-duplicates: fingerprints linked at a few differing bits through partitioning vantage-point trees.
+
+The pipeline's stage links by the share of common five-word shingles instead, which three bits of a fingerprint don't reach.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, with_long_ids
+from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, mix, with_long_ids
 
 #: Fingerprints, about, of the bounded sample on which the trees are fitted; never more than twice as many.
 SAMPLE = 65_536
@@ -18,6 +21,14 @@ SAMPLE = 65_536
 LEAF = 8_192
 #: Words whose shingles are hashed in one step.
 STEP_WORDS = 200_000
+#: Of the pipeline's stage: words of a shingle, and least share of common shingles (Jaccard) of a link.
+COPY_WORDS, COPY_SHARE = 5, 0.8
+#: Bands of least hashes, and hashes of a band: of pairs at a share of 0.8, 3 in a million meet in no band.
+BANDS, BAND = 24, 4
+#: Rows of one block of candidates, and shingles whose hashes are taken in one step.
+COPY_BLOCK, STEP_SHINGLES = 512, 4_096
+_ODD = np.uint64(0x100000001B3)
+_TURNS = mix(np.arange(1, 2 * BANDS * BAND + 1, dtype=np.uint64)).reshape(2, -1) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -147,6 +158,21 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
     return connected_components(edges)
 
 
+def with_components(prints: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp) with component_id, by the links ``groups`` (node, component) of ``nodes`` (fp, rep)."""
+    known = prints.filter("doc_id is not null")
+    several = cut(known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi"))
+    if not several.isEmpty():  # several fingerprints under one doc_id tie their groups together
+        again = known.join(several, "doc_id", "left_semi").join(nodes, "fp").filter("doc_id <> rep")
+        extra = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
+    classes = cut(
+        nodes.join(groups, nodes["rep"] == groups["node"], "left")
+        .select("fp", F.coalesce("component", "rep").alias("component_id"))
+    )
+    return prints.join(classes, "fp", "left")
+
+
 def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -164,26 +190,113 @@ def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFr
     known = prints.filter("doc_id is not null")
     nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = link_fingerprints(nodes, radius)
-    several = cut(known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi"))
-    if not several.isEmpty():  # several fingerprints under one doc_id tie their groups together
-        again = known.join(several, "doc_id", "left_semi").join(nodes, "fp").filter("doc_id <> rep")
-        extra = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
-    classes = cut(
-        nodes.join(groups, nodes["rep"] == groups["node"], "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return prints.join(classes, "fp", "left").select(
+    return with_components(prints, nodes, groups).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one row for each group: that of its component_id; rows without doc_id stay.
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles of ``COPY_WORDS`` words, or of all its words if it has fewer."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(COPY_WORDS, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = mix(out * _ODD + each[k : n + k])
+    return np.unique(out)
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: two sets with a share J of common shingles agree in a band with probability J ** ``BAND``."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), STEP_SHINGLES):
+        turned = shingles[at : at + STEP_SHINGLES, None] * _TURNS[0]
+        turned ^= turned >> np.uint64(32)
+        turned *= _TURNS[1]
+        least = np.minimum(least, turned.min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = mix(out * _ODD + column)
+    return out
+
+
+def alike_edges(sets: list[np.ndarray], ids: np.ndarray, sides: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of all pairs of one task with ``share`` or more of their shingles in common, counted exactly."""
+    order = np.argsort(ids, kind="stable")
+    sets, ids, sides = [sets[k] for k in order], ids[order], sides[order]
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, forest, across = np.zeros(len(names), bool), Forest(len(ids)), len(np.unique(sides)) > 1
+    for row in range(len(ids) - 1):
+        open_ = forest.root != forest.root[row]
+        open_[: row + 1] = False
+        open_ &= np.minimum(size, size[row]) >= share * np.maximum(size, size[row])
+        if across:
+            open_ &= sides != sides[row]
+        if not open_.any() or not size[row]:
+            continue
+        mine = codes[starts[row] : starts[row] + size[row]]
+        marked[mine] = True
+        held = np.concatenate([[0], np.cumsum(marked[codes])])
+        common = held[starts + size] - held[starts]
+        marked[mine] = False
+        near = np.flatnonzero(open_ & (common >= share * (size + size[row] - common)))
+        if len(near):
+            forest.link(row, near)
+    return forest.edges(ids)
+
+
+def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of ``docs``, linked where ``share`` or more of the five-word shingles are common.
+
+    Texts with the same shingles are one node. Bands of least hashes find
+    candidates; documents that candidates tie together meet in blocks, where
+    shingles are counted exactly, each pair that isn't tied yet. Texts
+    without words are one group. doc_id and component_id as in ``simhash_groups``.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_hashes(t) for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "fp": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets],
+                "bands": [bands_of(x).view(np.int64) for x in sets],
+            })
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"cell": batch["cell"], "rep": batch["rep"], "shingles": [shingle_hashes(t).tobytes() for t in batch["text"]]})
+
+    def verified(key, group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        a, b = alike_edges(sets, group["rep"].to_numpy(np.int64), group["block"].to_numpy(), share)
+        return pd.DataFrame({"a": a, "b": b})
+
+    texts = ids_and_texts(docs)
+    prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, bands array<long>")))
+    known = prints.filter("doc_id is not null")
+    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    banded = known.join(nodes, (known["fp"] == nodes["fp"]) & (known["doc_id"] == nodes["rep"]), "left_semi")
+    members = cut(banded.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")))
+    hubs = cut(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("bucket", "hub"))
+    candidates = connected_components(members.join(hubs, "bucket").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    chosen = with_long_ids(texts).join(candidates, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cell"), F.col("node").alias("rep"), "text")
+    sets = cut(chosen.dropDuplicates(["rep", "text"]).mapInPandas(sets_of, "cell long, rep long, shingles binary"))
+    tasks = block_tasks(sets, ["cell"], "rep", COPY_BLOCK)
+    edges = tasks.groupBy("cell", "block_a", "block_b").applyInPandas(verified, "a long, b long")
+    return with_components(prints.select("doc_id", "fp"), nodes, connected_components(edges))
+
+
+def drop_near_duplicates(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
+    """``docs`` with one row for each group of ``copy_groups``: that of its component_id; rows without doc_id stay.
 
     Of several rows with that doc_id the one with the least hash of its text stays.
     """
-    groups = simhash_groups(docs, radius)
+    groups = copy_groups(docs, share)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -1,11 +1,12 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.simhash import close_edges, drop_near_duplicates, fingerprint, link_fingerprints, simhash_groups, trees
+from tessera.llm.simhash import alike_edges, close_edges, copy_groups, drop_near_duplicates, fingerprint, link_fingerprints, simhash_groups, trees
 
 
 def lower(text):
@@ -105,3 +106,50 @@ def test_rows_of_one_id_tie_their_groups(spark):
     a, b = " ".join(f"x{i}" for i in range(90)), " ".join(f"y{i}" for i in range(90))
     got = simhash_groups(spark.createDataFrame([(1, a), (5, a), (5, b), (7, b)], "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {1}
+
+
+def shingle_groups(texts):
+    """Groups by a share of 0.8 or more of the five-word shingles, in plain Python."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_copies_at_any_share_of_shingles(spark, monkeypatch, block):
+    monkeypatch.setattr("tessera.llm.simhash.COPY_BLOCK", block)
+    rng = random.Random(5)
+    texts = [None, "", "one two", "One TWO", "one two three"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(rng.randint(60, 300))]
+        for copy in range(12):
+            words = list(base)
+            for _ in range(copy * len(base) // 250):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(None, texts[-1])]
+    got = {r["doc_id"]: r["component_id"] for r in copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] is not None}
+    assert [got[i] for i in range(len(texts))] == shingle_groups(texts)
+    assert 12 < len(set(got.values())) < len(texts) - 60
+
+
+def test_alike_across_blocks_only():
+    sets = [np.arange(k, 20 + k, dtype=np.uint64) for k in (0, 1, 2, 3)]  # neighbours share 19 of 21, the next but one 18 of 22
+    a, b = alike_edges(sets, np.array([10, 11, 12, 13]), np.array([0, 0, 1, 1]), 0.85)
+    assert (a.tolist(), b.tolist()) == ([12], [11])
+
+
+def test_pipeline_stage_catches_near_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    expected = [rows[k][0] for k in sorted(set(shingle_groups([t for _, t in rows])))]
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "/root/testdata/sf0.001")
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
