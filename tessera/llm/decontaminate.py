@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Words, chunks, encoded, ids_and_texts, mix, with_long_ids
@@ -23,7 +23,7 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons cup cups s sec second seconds min minute minutes h hour hours day days week weeks "
     "month months year years dollar dollars euro euros cent cents usd eur percent degree degrees km2 m2 m3 kmh mph w kw v hz mb gb tb"
 ).split()
-_NUMBER, _UNIT, _NAME = (np.uint64(k) for k in (0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003))
+_NUMBER, _UNIT, _NAME, _PLAIN = (np.uint64(k) for k in (0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003, 0xA5A5_0004))
 _ODD = np.uint64(0x100000001B3)
 
 
@@ -57,46 +57,71 @@ class Templates:
 
     def windows(self, width: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of the windows inside one text that hold enough literal words."""
-        n = len(self.shown) - width + 1
+        good, out, _ = self._hashed(width, min_literal, self.shown)
+        return good, mix(out[good] + np.uint64(width))
+
+    def plain_windows(self, width: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows inside one text that hold too few, with every word as it is."""
+        good, out, inside = self._hashed(width, min_literal, self.value)
+        inside[good] = False
+        rest = np.flatnonzero(inside)
+        return rest, mix(out[rest] + _PLAIN + np.uint64(width))
+
+    def _hashed(self, width: int, min_literal: int, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows with enough literal words, sums of all windows, and which of them lie inside one text."""
+        n = len(shown) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         out, slots = np.zeros(n, np.uint64), np.zeros(n, np.int8)
         for k in range(width):
-            out = out * _ODD + mix(self.shown[k : n + k] + np.uint64(k))
+            out = out * _ODD + mix(shown[k : n + k] + np.uint64(k))
             slots += self.slot[k : n + k]
         text = self.words.text
-        good = np.flatnonzero((text[:n] == text[width - 1 :]) & (width - slots >= min_literal))
-        return good, mix(out[good] + np.uint64(width))
+        inside = text[:n] == text[width - 1 :]
+        return np.flatnonzero(inside & (width - slots >= min_literal)), out, inside
 
     def slots(self, firsts: np.ndarray, width: int) -> pd.Series:
         value = self.value.view(np.int64)
         return pd.Series([value[i : i + width][self.slot[i : i + width]].tolist() for i in firsts.tolist()], dtype=object)
 
 
+def no_slots(firsts: np.ndarray) -> pd.Series:
+    return pd.Series([[]] * len(firsts), dtype=object)
+
+
+def every_window(words: Words, width: int) -> list[tuple[np.ndarray, np.ndarray, Templates | None]]:
+    """(first word, hash, what has the slots): windows with names as placeholders and without, and those with too few literal words, plain."""
+    named, literal = Templates(words, True), Templates(words, False)
+    least = min(MIN_LITERAL, width)
+    return [(*named.windows(width, least), named), (*literal.windows(width, least), literal), (*literal.plain_windows(width, least), None)]
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, need, width, pos, h, item_slots): windows of each benchmark text, with and without names as placeholders.
+    """(item_id, need, need_free, width, pos, h, plain, item_slots): windows of each benchmark text, with and without names as placeholders.
 
-    An item of fewer than ``WINDOW`` words is one window of its own width.
+    An item of fewer than ``WINDOW`` words is one window of its own width. Windows with too few literal words have
+    every word as it is, and no slots. A leak has ``need`` windows of any kind, or ``need_free`` of those that may be reworded.
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, part in chunks(encoded(batch["text"])):
                 words = Words(part)
-                for names in (True, False):
-                    t = Templates(words, names)
-                    sizes = np.diff(t.words.first)
-                    for width in sorted({min(WINDOW, int(s)) for s in sizes if s >= MIN_ITEM_WORDS}):
-                        at, h = t.windows(width, min(MIN_LITERAL, width))
-                        mine = np.minimum(sizes[t.words.text[at]], WINDOW) == width
+                sizes = np.diff(words.first)
+                for width in sorted({min(WINDOW, int(s)) for s in sizes if s >= MIN_ITEM_WORDS}):
+                    found = every_window(words, width)
+                    canonical = np.bincount(words.text[found[1][0]], minlength=len(sizes))
+                    need, need_free = np.minimum(MIN_WINDOWS, sizes - width + 1), np.where(canonical > 0, np.minimum(MIN_WINDOWS, canonical), MIN_WINDOWS)
+                    for at, h, t in found:
+                        mine = np.minimum(sizes[words.text[at]], WINDOW) == width
                         at, h = at[mine], h[mine]
-                        text = t.words.text[at]
+                        text = words.text[at]
                         yield pd.DataFrame({
-                            "item_id": batch["item_id"].to_numpy()[first + text], "need": np.minimum(MIN_WINDOWS, sizes[text] - width + 1),
-                            "width": width, "pos": at - t.words.first[text], "h": h.view(np.int64), "item_slots": t.slots(at, width),
+                            "item_id": batch["item_id"].to_numpy()[first + text], "need": need[text], "need_free": need_free[text], "width": width,
+                            "pos": at - words.first[text], "h": h.view(np.int64), "plain": t is None, "item_slots": t.slots(at, width) if t else no_slots(at),
                         })
 
-    schema = "item_id long, need int, width int, pos long, h long, item_slots array<long>"
+    schema = "item_id long, need int, need_free int, width int, pos long, h long, plain boolean, item_slots array<long>"
     rows = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(cut_up, schema).distinct()
 
@@ -109,24 +134,26 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, widths: list[in
         for batch in batches:
             for first, part in chunks(encoded(batch["text"])):
                 words = Words(part)
-                for names in (True, False):
-                    t = Templates(words, names)
-                    for width in widths:
-                        at, h = t.windows(width, min(MIN_LITERAL, width))
+                for width in widths:
+                    for at, h, t in every_window(words, width):
                         if shared.value is not None:
                             hit = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
                             hit = shared.value[hit] == h
                             at, h = at[hit], h[hit]
-                        row = first + t.words.text[at]
+                        row = first + words.text[at]
                         yield pd.DataFrame({
-                            "doc_id": batch["doc_id"].array[row], "t1": batch["t1"].to_numpy()[row],
-                            "pos": at - t.words.first[t.words.text[at]], "h": h.view(np.int64), "doc_slots": t.slots(at, width),
+                            "doc_id": batch["doc_id"].array[row], "t1": batch["t1"].to_numpy()[row], "pos": at - words.first[words.text[at]],
+                            "h": h.view(np.int64), "doc_slots": t.slots(at, width) if t else no_slots(at),
                         })
 
     rows = ids_and_texts(docs, F.xxhash64(docs["text"].cast("string")).alias("t1"))
     return with_long_ids(rows.mapInPandas(cut_up, "doc_id string, t1 long, pos long, h long, doc_slots array<long>"))
 
 
+def united(places: str) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.collect_set(places)))).cast("long")
+
+
 def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, t1, item_id, n_windows, n_item, reworded) for each document and benchmark item that it leaks.
 
@@ -135,7 +162,8 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
     joined on their hash. Windows at one shift between document and item
     count only if their placeholders' values map one to one, so that a
     question with other numbers or names matches and an accident doesn't. A
-    leak has ``MIN_WINDOWS`` windows of the item, or all if it has fewer.
+    leak has ``MIN_WINDOWS`` windows of the item, or all if it has fewer. Windows with fewer than ``MIN_LITERAL`` literal
+    words count where every word is the same, numbers and units too; all others of an item suffice if they are fewer than ``MIN_WINDOWS``.
     t1 is XXH64 of the text and tells rows of one doc_id, or null ones,
     apart; equal rows are one. Null and empty texts hold nothing; items
     without id or of fewer than ``MIN_ITEM_WORDS`` words are left out; repeated items count once. Empty
@@ -147,19 +175,21 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
     known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= max_broadcast else None
     found = document_windows(docs, known, widths if hashes else [])
     met = found.join(wanted, "h").withColumn("shift", found["pos"] - wanted["pos"])
-    met = met.select("doc_id", "t1", "item_id", "need", "shift", wanted["pos"].alias("item_pos"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
-    aligned = met.groupBy("doc_id", "t1", "item_id", "need", "shift").agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    met = met.select("doc_id", "t1", "item_id", "need", "need_free", "shift", "plain", wanted["pos"].alias("item_pos"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
+    key = ["doc_id", "t1", "item_id", "need", "need_free"]
+    aligned = met.groupBy(*key, "shift").agg(
+        F.collect_set("item_pos").alias("places"), F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("free"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")
     back = F.size(F.array_distinct(F.transform("slots", lambda s: s["doc_slots"]))) == F.size("slots")
     leaks = (
         aligned.filter(one_way & back)
         .withColumn("reworded", F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"]))
-        .groupBy("doc_id", "t1", "item_id", "need")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.min("reworded").alias("reworded"))
+        .groupBy(*key)
+        .agg(united("places").alias("n_windows"), united("free").alias("n_free"), F.min("reworded").alias("reworded"))
     )
-    return leaks.filter(F.col("n_windows") >= F.col("need")).drop("need")
+    return leaks.filter("n_windows >= need or n_free >= need_free").drop("need", "need_free", "n_free")
 
 
 def flag_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -51,3 +51,16 @@ def test_rows_and_ids(spark):
     assert flag_contaminated(docs, items).count() == len(rows)
     assert flag_contaminated(docs.limit(0), items).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_items_of_numbers(spark):
+    train = "A train travels 60 km in 2 hours and 45 km in 3 hours. What is its speed?"
+    items = spark.createDataFrame([(1, train), (2, "Compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 9")], "item_id long, text string")
+    texts = [
+        "lorem ipsum " + train, train.replace("60", "80").replace("45", "30"), "lorem compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 9 dolor",
+        "compute 3 + 4 * 5 - 6 / 2 + 7 * 8 - 1", "compute 1 + 2 * 3 - 4 / 5 + 6 * 7 - 8", "it travels 60 km in 2 hours and 45 km in 3 hours",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, items, max_broadcast=limit).collect()}
+        assert got == {(0, 1), (1, 1), (2, 2)}
