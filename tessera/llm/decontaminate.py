@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
 
     Numbers, units after a number, and capitalised words inside a sentence
     become typed placeholders; windows of ``WINDOW`` canonical words are
-    joined on their hash. Windows at one shift between document and item
+    joined on their hash. Windows whose values are the item's own count. Those with other values at one shift between document and item
     count only if their placeholders' values map one to one, so that a
     question with other numbers or names matches and an accident doesn't. A
     leak has ``MIN_WINDOWS`` windows of the item, or all if it has fewer. Windows with fewer than ``MIN_LITERAL`` literal
@@ -175,17 +175,20 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
     known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= max_broadcast else None
     found = document_windows(docs, known, widths if hashes else [])
     met = found.join(wanted, "h").withColumn("shift", found["pos"] - wanted["pos"])
-    met = met.select("doc_id", "t1", "item_id", "need", "need_free", "shift", "plain", wanted["pos"].alias("item_pos"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
+    met = met.select("doc_id", "t1", "item_id", "need", "need_free", "shift", "plain", wanted["pos"].alias("item_pos"), "item_slots", "doc_slots")
     key = ["doc_id", "t1", "item_id", "need", "need_free"]
+    other = F.col("item_slots") != F.col("doc_slots")
     aligned = met.groupBy(*key, "shift").agg(
-        F.collect_set("item_pos").alias("places"), F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("free"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set(F.when(~other, F.col("item_pos"))).alias("same"), F.collect_set(F.when(other, F.col("item_pos"))).alias("changed"),
+        F.collect_set(F.when(~F.col("plain"), F.col("item_pos"))).alias("free"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(other, F.arrays_zip("item_slots", "doc_slots"))))).alias("slots"),
     )
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))) == F.size("slots")
     back = F.size(F.array_distinct(F.transform("slots", lambda s: s["doc_slots"]))) == F.size("slots")
     leaks = (
-        aligned.filter(one_way & back)
-        .withColumn("reworded", F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"]))
+        aligned.withColumn("places", F.when(one_way & back, F.array_union("same", "changed")).otherwise(F.col("same")))
+        .filter(F.size("places") > 0)
+        .withColumns({"free": F.array_intersect("places", "free"), "reworded": F.size("changed").cast("boolean") & one_way & back})
         .groupBy(*key)
         .agg(united("places").alias("n_windows"), united("free").alias("n_free"), F.min("reworded").alias("reworded"))
     )

@@ -64,3 +64,18 @@ def test_items_of_numbers(spark):
     for limit in (1_000_000, 0):
         got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, items, max_broadcast=limit).collect()}
         assert got == {(0, 1), (1, 1), (2, 2)}
+
+
+def test_verbatim_windows_beside_a_conflict(spark):
+    item = (
+        "The baker sold 12 loaves of bread on the first day of the fair. Her sister who came from the village "
+        "by the lake brought 12 baskets of ripe apples for all of the children at the school."
+    )
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [
+        item.replace("12 baskets", "15 baskets"), item.replace("sold 12", "sold 15").replace("12 baskets", "31 baskets"),
+        item.replace("12", "15"), "sold 15 loaves of bread on the first day and brought 31 baskets of ripe apples for all of the pupils",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["reworded"] for r in contamination(docs, items).collect()}
+    assert got == {0: True, 1: False, 2: True}
