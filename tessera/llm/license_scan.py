@@ -86,7 +86,7 @@ mulan | mulan | mulan (?:permissive software licen[cs]e|psl)(?: v2)? | mulanpsl
 bsl-1.1 | business source | business source licen[cs]e(?: 1 1)? | busl 1 1 | mariadb com bsl11
 sspl | sspl|server side public | (?:sspl|server side public licen[cs]e)(?: v1)? | sspl 1 0 | mongodb com licensing server side public license
 elastic-2 | elastic | elastic licen[cs]e(?: v?2(?: 0)?)? | elastic 2 0 | elastic co licensing elastic license
-cc0 | cc0|public domain dedication | (?:cc0(?: 1 0)?(?: universal)?|creative commons zero|public domain dedication) | cc0 1 0 | creativecommons org publicdomain zero
+cc0 | cc0|creative commons zero|public domain dedication | (?:cc0(?: 1 0)?(?: universal)?|creative commons zero|public domain dedication) | cc0 1 0 | creativecommons org publicdomain zero
 cc-by | cc by|creative | (?:cc by|creative commons attribution)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by [1234] [05] | creativecommons org licenses by [1234]
 cc-by-sa | cc by|share | (?:cc by sa|creative commons attribution share ?alike)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by sa [1234] [05] | creativecommons org licenses by sa
 cc-by-nd | cc by|deriv | (?:cc by nd|creative commons attribution no ?derivs?(?:ative)?s?)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nd [1234] [05] | creativecommons org licenses by nd
@@ -95,7 +95,7 @@ cc-by-nc-sa | cc by|share | (?:cc by nc sa|creative commons attribution non ?com
 cc-by-nc-nd | cc by|deriv | (?:cc by nc nd|creative commons attribution non ?commercial no ?derivs?(?:ative)?s?)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd
 odbl | odbl|open database | (?:odbl|open database licen[cs]e)(?:(?: version| v)? 1 0)? | odbl 1 0 | opendatacommons org licenses odbl
 odc-by | open data commons | open data commons attribution(?: licen[cs]e)? | odc by 1 0 | opendatacommons org licenses by
-pddl | pddl | (?:pddl|public domain dedication and licen[cs]e) | pddl 1 0 | opendatacommons org licenses pddl
+pddl | pddl|public domain dedication | (?:pddl|public domain dedication and licen[cs]e) | pddl 1 0 | opendatacommons org licenses pddl
 ogl-uk | open government | open government licen[cs]e(?:(?: version| v)? ?[123](?: 0)?)? | ogl uk [123] 0 | nationalarchives gov uk doc open government licence
 etalab | etalab|licence ouverte | (?:licence ouverte|etalab)(?: 2 0)? | etalab 2 0 | etalab gouv fr licence ouverte
 gpl-classpath | classpath | (?:gnu )?classpath exception | classpath exception 2 0 | gnu org software classpath license
@@ -120,11 +120,6 @@ wtfpl | what the | you just do what the f\\w+ you want to
 #: Form of a rule -> (priority, confidence).
 FORMS = {"notice": (5, 1.0), "tag": (4, 1.0), "grant": (3, 0.95), "url": (2, 0.9), "field": (2, 0.8), "name": (1, 0.6)}
 _GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed|redistributed|shared|offered)(?: \w+){0,2} (?:under|by|with) (?:the )?(?:terms of )?(?:the )?"
-#: What some rule needs; texts without any of it hold nothing for the rules.
-GATE = (b"licen", b"spdx", b"gpl", b"cc0", b"cc", b"public", b"rights", b"permission", b"redistribution", b"bsd", b"wtfpl",
-        b"software", b"unicode", b"mariadb", b"ofl", b"want", b"mulan", b"eupl", b"cecill", b"etalab", b"odbl", b"pddl", b"classpath", b"sspl", b"mpl", b"epl", b"cddl", b"creative", b"mit no")
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -158,6 +153,10 @@ def rules() -> list[Rule]:
     return found
 
 
+#: All keywords of the rules; words without any of them hold nothing for the rules.
+GATE = tuple(sorted({word.encode() for rule in rules() for word in rule.keywords}))
+
+
 class Scanner:
     """Keyword automaton before the rules; only rules whose keyword occurs are run."""
 
@@ -168,8 +167,8 @@ class Scanner:
             for word in rule.keywords:
                 by_word.setdefault(word, []).append(i)
         self.automaton = ahocorasick.Automaton()
-        for word, which in by_word.items():
-            self.automaton.add_word(word, which)
+        for word in map(bytes.decode, GATE):
+            self.automaton.add_word(word, by_word[word])
         self.automaton.make_automaton()
 
     def detections(self, words: str) -> list[tuple[int, int, Rule]]:
@@ -206,13 +205,12 @@ def scan_text(scanner: Scanner, text: bytes) -> dict | None:
             base["first"] = at if base["first"] is None else min(base["first"], at)
             base["last"] = at if base["last"] is None else max(base["last"], at)
             base["base"].add(label)
-    if any(word in lowered for word in GATE):
-        words = b" ".join(_WORD.findall(lowered)).decode("utf-8", "replace")
-        for a, b, rule in scanner.detections(words):
-            base["labels"].add(rule.label)
-            base["score"] = max(base["score"], FORMS[rule.form][1])
-            first = words.count(" ", 0, a)
-            base["spans"].append((first, first + words.count(" ", a, b) + 1, rule.label, rule.form))
+    words = b" ".join(_WORD.findall(lowered)).decode("utf-8", "replace")
+    for a, b, rule in scanner.detections(words):
+        base["labels"].add(rule.label)
+        base["score"] = max(base["score"], FORMS[rule.form][1])
+        first = words.count(" ", 0, a)
+        base["spans"].append((first, first + words.count(" ", a, b) + 1, rule.label, rule.form))
     if base["base"]:
         base["score"] = 1.0
     base["labels"] |= base["base"]

@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from tessera.llm.license_scan import BASE, GATE, Scanner, rules, scan_licenses, scan_text
 
@@ -62,3 +63,44 @@ def test_gate_misses_no_rule():
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels string")).collect() == []
+
+
+def samples(parsed):
+    """One text for each way through the alternatives of a parsed pattern, with options left out and taken."""
+    texts = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = ["x" if str(arg[0][0]) == "CATEGORY" and "WORD" in str(arg[0][1]) else "1" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in samples(branch)]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [x * max(1, arg[0]) for x in samples(arg[2])]
+            more = (["", more[0], more[-1]] if len(more) > 1 else ["", *more]) if arg[0] == 0 else more
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            more = [""]
+        else:
+            raise ValueError(name)
+        texts = [a + b for a in texts[:40] for b in more] if len(texts) * len(more) > 4000 else [a + b for a in texts for b in more]
+    return texts
+
+
+def test_keywords_are_in_every_alternative():
+    for rule in rules():
+        for text in samples(_parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.fullmatch(text), (rule, text)
+            assert any(word in text for word in rule.keywords), (rule, text)
+
+
+def test_labels_that_no_gate_may_lose():
+    scanner = Scanner()
+    cases = {
+        "under Creative Commons Zero": "cc0", "released under the GFDL": "gfdl", "MIT-No-Attribution": "mit-0", "mit\nno attribution": "mit-0",
+        "the Public Domain Dedication and License": "pddl",
+    }
+    for text, label in cases.items():
+        assert label in scan_text(scanner, text.encode())["labels"], text
