@@ -1,6 +1,7 @@
 """SimHash near-duplicates: fingerprints linked at a few differing bits through partitioning vantage-point trees.
 
-The pipeline's stage links by the share of common five-word shingles instead, which three bits of a fingerprint don't reach.
+The pipeline's stage links by the share of common five-word shingles, counted exactly. Its candidates are what the trees link and,
+as a few bits don't reach a share of 0.8, what bands of least hashes propose.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, mix, with_long_ids
 
-#: Fingerprints, about, of the bounded sample on which the trees are fitted; never more than twice as many.
-SAMPLE = 65_536
+#: Fingerprints, about, of the bounded sample on which the trees are fitted: one in ``SAMPLE_SHARE``, but from ``SAMPLE`` to ``MAX_SAMPLE``, and never more than twice as many.
+SAMPLE, SAMPLE_SHARE, MAX_SAMPLE = 65_536, 64, 4_194_304
 #: Fingerprints a leaf should hold, and rows of one block when it holds more.
 LEAF = 8_192
 #: Words whose shingles are hashed in one step.
@@ -24,11 +25,18 @@ STEP_WORDS = 200_000
 #: Of the pipeline's stage: words of a shingle, and least share of common shingles (Jaccard) of a link.
 COPY_WORDS, COPY_SHARE = 5, 0.8
 #: Bands of least hashes, and hashes of a band: of pairs at a share of 0.8, 3 in a million meet in no band.
-BANDS, BAND = 24, 4
-#: Rows of one block of candidates, and shingles whose hashes are taken in one step.
-COPY_BLOCK, STEP_SHINGLES = 512, 4_096
+BANDS, BAND = 42, 6
+#: Passes of least hashes over a text's shingles, and parts of the hash range that each pass takes one from.
+PASSES, PARTS = 4, 64
+#: Rows of one block of candidates, and shingles of one.
+COPY_BLOCK, COPY_BLOCK_SHINGLES = 512, 400_000
+#: Candidates that are counted together before looking which are still open, and shingles whose bits are summed in one step.
+COUNT_STEP, STEP_SHINGLES = 64, 65_536
 _ODD = np.uint64(0x100000001B3)
-_TURNS = mix(np.arange(1, 2 * BANDS * BAND + 1, dtype=np.uint64)).reshape(2, -1) | np.uint64(1)
+_TURNS = mix(np.arange(1, PASSES + 1, dtype=np.uint64)) | np.uint64(1)
+_EDGES = np.arange(PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1)
+#: Least hashes of each band: one from each pass first, then from passes in turn, and from parts that lie apart.
+_BAND_OF = np.array([((k % PASSES) * PARTS + (k // PASSES) * 37 % PARTS) for k in range(BANDS * BAND)]).reshape(BAND, BANDS).T
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -131,12 +139,13 @@ def close_edges(fps: np.ndarray, ids: np.ndarray, sides: np.ndarray, radius: int
     return forest.edges(ids)
 
 
-def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
-    """(node, component) over ``prints`` (fp, rep), one row per distinct fingerprint, for those with any link."""
+def fingerprint_edges(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
+    """(a, b) over ``prints`` (fp, rep), one row per distinct fingerprint: spanning forests of the links of each shard."""
     spark = prints.sparkSession
     n = prints.count()
-    chosen = F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
-    sample = prints.select("fp").filter(chosen).limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    size = min(MAX_SAMPLE, max(SAMPLE, n // SAMPLE_SHARE))
+    chosen = F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(1, n)))
+    sample = prints.select("fp").filter(chosen).limit(2 * size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log(max(1.0, n / leaf)) / np.log(1 / 0.57))))
     shared = spark.sparkContext.broadcast(trees(sample, depth, radius))
 
@@ -154,8 +163,12 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> D
 
     members = cut(prints.mapInPandas(routed, "half int, leaf long, fp long, rep long"))
     tasks = block_tasks(members, ["half", "leaf"], "fp", leaf)
-    edges = tasks.groupBy("half", "leaf", "block_a", "block_b").applyInPandas(linked, "a long, b long")
-    return connected_components(edges)
+    return tasks.groupBy("half", "leaf", "block_a", "block_b").applyInPandas(linked, "a long, b long")
+
+
+def link_fingerprints(prints: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
+    """(node, component) over ``prints`` (fp, rep), one row per distinct fingerprint, for those with any link."""
+    return connected_components(fingerprint_edges(prints, radius, leaf))
 
 
 def with_components(prints: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -209,53 +222,145 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """A number for each band: two sets with a share J of common shingles agree in a band with probability J ** ``BAND``."""
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+def majority(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles: bits that more than half of their hashes have."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(shingles), STEP_SHINGLES):
-        turned = shingles[at : at + STEP_SHINGLES, None] * _TURNS[0]
-        turned ^= turned >> np.uint64(32)
-        turned *= _TURNS[1]
-        least = np.minimum(least, turned.min(axis=0))
+        part = shingles[at : at + STEP_SHINGLES]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << int(k) for k in np.flatnonzero(counts * 2 > len(shingles))))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: two sets with a share J of common shingles agree in a band with a probability of about J ** ``BAND``.
+
+    The range of hashes is cut into parts; the least hash at or after a part's
+    start, around the end if need be, is common with probability J. Each pass orders the hashes anew.
+    """
+    if not len(shingles):
+        return np.zeros(BANDS, np.uint64)
+    least = []
+    for turn in _TURNS:
+        turned = np.sort(mix(shingles * turn))
+        at = np.searchsorted(turned, _EDGES)
+        at[at == len(turned)] = 0
+        least.append(turned[at])
     out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND).T:
+    for column in np.concatenate(least)[_BAND_OF].T:
         out = mix(out * _ODD + column)
     return out
 
 
+def _rare_first(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all sets in a row, the rarest of each set first; sizes and starts."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(codes)
+    rank = np.empty(len(held), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    codes, owner = rank[codes], np.repeat(np.arange(len(sets)), size)
+    return codes[np.lexsort((codes, owner))], size, np.cumsum(size) - size
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def alike_edges(sets: list[np.ndarray], ids: np.ndarray, sides: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of all pairs of one task with ``share`` or more of their shingles in common, counted exactly."""
+    """Edges of a spanning forest of all pairs of one task with ``share`` or more of their shingles in common, counted exactly.
+
+    Rows of equal ids are tied from the start. Two sets that have ``share`` in
+    common have one of their rarest shingles in common, of each as many as it
+    may lack and one more; only such pairs are counted.
+    """
     order = np.argsort(ids, kind="stable")
     sets, ids, sides = [sets[k] for k in order], ids[order], sides[order]
-    size = np.array([len(x) for x in sets])
-    starts = np.cumsum(size) - size
-    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    marked, forest, across = np.zeros(len(names), bool), Forest(len(ids)), len(np.unique(sides)) > 1
+    forest, across, parts = Forest(len(ids)), len(np.unique(sides)) > 1, round(share * 1_000_000)
+    forest.root = np.searchsorted(ids, ids)
+    codes, size, starts = _rare_first(sets)
+    rare = np.where(size > 0, size - -(-parts * size // 1_000_000) + 1, 0)
+    rare_codes, firsts = codes[_ranges(starts, rare)], np.cumsum(rare) - rare
+    by_code = np.argsort(rare_codes, kind="stable")
+    posted, rows = rare_codes[by_code], np.repeat(np.arange(len(ids)), rare)[by_code]
+    low, high = np.searchsorted(posted, rare_codes, "left"), np.searchsorted(posted, rare_codes, "right")
+    marked = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
     for row in range(len(ids) - 1):
-        open_ = forest.root != forest.root[row]
-        open_[: row + 1] = False
-        open_ &= np.minimum(size, size[row]) >= share * np.maximum(size, size[row])
+        mine = slice(firsts[row], firsts[row] + rare[row])
+        near = np.unique(rows[_ranges(low[mine], high[mine] - low[mine])])
+        near = near[near > row]
+        near = near[1_000_000 * np.minimum(size[near], size[row]) >= parts * np.maximum(size[near], size[row])]
         if across:
-            open_ &= sides != sides[row]
-        if not open_.any() or not size[row]:
+            near = near[sides[near] != sides[row]]
+        near = near[forest.root[near] != forest.root[row]]
+        if not len(near):
             continue
-        mine = codes[starts[row] : starts[row] + size[row]]
-        marked[mine] = True
-        held = np.concatenate([[0], np.cumsum(marked[codes])])
-        common = held[starts + size] - held[starts]
-        marked[mine] = False
-        near = np.flatnonzero(open_ & (common >= share * (size + size[row] - common)))
-        if len(near):
-            forest.link(row, near)
-    return forest.edges(ids)
+        own = codes[starts[row] : starts[row] + size[row]]
+        marked[own] = True
+        for at in range(0, len(near), COUNT_STEP):
+            some = near[at : at + COUNT_STEP]
+            some = some[forest.root[some] != forest.root[row]]
+            if len(some):
+                common = np.add.reduceat(marked[codes[_ranges(starts[some], size[some])]], np.cumsum(size[some]) - size[some], dtype=np.int64)
+                alike = some[1_000_000 * common >= parts * (size[some] + size[row] - common)]
+                if len(alike):
+                    forest.link(row, alike)
+        marked[own] = False
+    a, b = forest.edges(ids)
+    edges = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+    return edges[0], edges[1]
+
+
+def proposals(nodes: DataFrame) -> DataFrame:
+    """(rep, hub, n): candidates among ``nodes`` (rep, sim, bands), each with the least of its bucket or shard; n tells how close it may be.
+
+    Buckets are bands of least hashes, and n counts those that both have. Where the
+    trees link fingerprints, n is above that.
+    """
+    members = nodes.select("rep", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("bucket", "hub")
+    banded = members.join(hubs, "bucket").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
+    prints = cut(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("rep").alias("rep")))
+    equal = nodes.select("rep", "sim").join(prints.select(F.col("fp").alias("sim"), F.col("rep").alias("hub")), "sim").filter("rep <> hub").select("rep", "hub")
+    close = fingerprint_edges(prints).select(F.col("a").alias("rep"), F.col("b").alias("hub")).distinct()
+    return banded.unionByName(equal.unionByName(close).withColumn("n", F.lit(BANDS + 1).cast("long")))
+
+
+def dealt_apart(rows: DataFrame) -> DataFrame:
+    """Deal the rows (cell, label, rep, shingles) of each cell out to tasks of about two blocks that miss no pair of different labels.
+
+    A cell of one block is one task. In a larger one each label of more than a
+    block has blocks of its own, which aren't paired among themselves; the
+    other labels share blocks. So one large group of tied rows meets only the others.
+    """
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(COPY_BLOCK), F.sum(F.size("shingles")) / F.lit(COPY_BLOCK_SHINGLES)).alias("weight")
+    sizes = cut(rows.groupBy("cell", "label").agg(weight))
+    large = sizes.groupBy("cell").agg(F.sum("weight").alias("whole")).filter("whole > 1")
+    parts = sizes.join(large, "cell").groupBy("cell", F.when(F.col("weight") > 1, F.col("label")).alias("home")).agg(F.ceil(F.sum("weight")).alias("blocks"))
+    cell = Window.partitionBy("cell")
+    parts = cut(
+        parts.withColumn("first", F.sum("blocks").over(cell.orderBy("home").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))
+        .withColumn("all", F.sum("blocks").over(cell))
+    )
+    own = parts.filter("home is not null").select("cell", F.col("home").alias("label"), F.struct("first", "blocks", "all", F.lit(True).alias("alone")).alias("own"))
+    rest = parts.filter("home is null").select("cell", F.struct("first", "blocks", "all", F.lit(False).alias("alone")).alias("rest"))
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("blocks"), F.lit(1).cast("long").alias("all"), F.lit(False).alias("alone"))
+    dealt = rows.join(own, ["cell", "label"], "left").join(rest, "cell", "left").withColumn("p", F.coalesce("own", "rest", whole))
+    dealt = dealt.withColumn("block", F.col("p.first") + F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("p.blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("p.all") - 1), lambda o: ~F.col("p.alone") | (o < F.col("p.first")) | (o >= F.col("p.first") + F.col("p.blocks")))
+    return dealt.select("cell", "label", "shingles", "block", F.explode(others).alias("other")).select(
+        "cell", "label", "shingles", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")
+    )
 
 
 def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``, linked where ``share`` or more of the five-word shingles are common.
 
-    Texts with the same shingles are one node. Bands of least hashes find
-    candidates; documents that candidates tie together meet in blocks, where
-    shingles are counted exactly, each pair that isn't tied yet. Texts
+    Texts with the same shingles are one node. The trees over SimHash
+    fingerprints and bands of least hashes propose candidates. Each node is first counted
+    against the best of its candidates; what candidates tie together and
+    those counts don't meets in blocks, where each open pair that can have the share is counted. Texts
     without words are one group. doc_id and component_id as in ``simhash_groups``.
     """
 
@@ -264,37 +369,47 @@ def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
             sets = [shingle_hashes(t) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "fp": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets],
-                "bands": [bands_of(x).view(np.int64) for x in sets],
+                "sim": np.array([majority(x) for x in sets], np.uint64).view(np.int64), "bands": [bands_of(x).view(np.int64) for x in sets],
             })
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cell": batch["cell"], "rep": batch["rep"], "shingles": [shingle_hashes(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"cell": batch["cell"], "rep": batch["rep"], "shingles": [shingle_hashes(t).view(np.int64) for t in batch["text"]]})
 
-    def verified(key, group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        a, b = alike_edges(sets, group["rep"].to_numpy(np.int64), group["block"].to_numpy(), share)
+    def counted(key, group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
+        a, b = alike_edges(sets, group["label"].to_numpy(np.int64), group["block"].to_numpy(), share)
         return pd.DataFrame({"a": a, "b": b})
 
     texts = ids_and_texts(docs)
-    prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, bands array<long>")))
+    prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, sim long, bands array<long>")))
     known = prints.filter("doc_id is not null")
-    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    banded = known.join(nodes, (known["fp"] == nodes["fp"]) & (known["doc_id"] == nodes["rep"]), "left_semi")
-    members = cut(banded.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")))
-    hubs = cut(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("bucket", "hub"))
-    candidates = connected_components(members.join(hubs, "bucket").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    chosen = with_long_ids(texts).join(candidates, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cell"), F.col("node").alias("rep"), "text")
-    sets = cut(chosen.dropDuplicates(["rep", "text"]).mapInPandas(sets_of, "cell long, rep long, shingles binary"))
-    tasks = block_tasks(sets, ["cell"], "rep", COPY_BLOCK)
-    edges = tasks.groupBy("cell", "block_a", "block_b").applyInPandas(verified, "a long, b long")
-    return with_components(prints.select("doc_id", "fp"), nodes, connected_components(edges))
+    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands")))
+    proposed = cut(proposals(nodes))
+    cells = connected_components(proposed.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    chosen = with_long_ids(texts).join(cells, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cell"), F.col("node").alias("rep"), "text")
+    sets = cut(chosen.dropDuplicates(["rep", "text"]).mapInPandas(sets_of, "cell long, rep long, shingles array<long>"))
+
+    best = cut(proposed.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
+    hub_sets = sets.join(best.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    common = F.size(F.array_intersect("shingles", "hub_shingles"))
+    alike = 1_000_000 * common.cast("long") >= round(share * 1_000_000) * (F.size("shingles") + F.size("hub_shingles") - common).cast("long")
+    tied = connected_components(best.join(sets, "rep").join(hub_sets, "hub").filter(alike).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+
+    rows = sets.join(tied, sets["rep"] == tied["node"], "left").select("cell", F.coalesce("component", "rep").alias("label"), "rep", "shingles")
+    open_ = cut(rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell"))
+    tasks = dealt_apart(cut(rows.join(open_, "cell", "left_semi")))
+    edges = tasks.groupBy("cell", "block_a", "block_b").applyInPandas(counted, "a long, b long")
+    groups = connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges))
+    return with_components(prints.select("doc_id", "fp"), nodes.select("fp", "rep"), groups)
 
 
 def drop_near_duplicates(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
     """``docs`` with one row for each group of ``copy_groups``: that of its component_id; rows without doc_id stay.
 
-    Of several rows with that doc_id the one with the least hash of its text stays.
+    Of several rows with that doc_id the one with the least hash of its text
+    stays, or else of all its columns. Null and empty texts are texts without
+    words, so one of them stays. All columns stay as they are, whatever their names; an empty table stays empty.
     """
     groups = copy_groups(docs, share)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
@@ -303,5 +418,9 @@ def drop_near_duplicates(docs: DataFrame, share: float = COPY_SHARE) -> DataFram
     if repeated.isEmpty():
         return kept
     ids = repeated.select(F.col("doc_id").alias("_again"))
-    once = kept.join(ids, kept["doc_id"] == ids["_again"], "left_semi").dropDuplicates(["doc_id"])
+    order = F.struct(F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.to_json(F.struct("*"))))
+    once = (
+        kept.join(ids, kept["doc_id"] == ids["_again"], "left_semi").select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"), order.alias("_order"))
+        .groupBy("_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    )
     return kept.join(ids, kept["doc_id"] == ids["_again"], "left_anti").unionByName(once)
