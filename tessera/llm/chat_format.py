@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,12 +16,12 @@ from tessera.llm.shared import with_long_ids
 
 #: Fixed values of the template: marks of a turn, and placeholders of the parts that aren't text.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>", "unknown": "<|unknown|>"}
 #: Control strings of the template and of others: a first character and what follows it.
-CONTROL = r"([<\[])(\\*)(\|(?:turn|body|end|image|audio|document|im_start|im_end|endoftext|startoftext)\|>|/?s>|/?INST\]|/?SYS\]|<SYS>>|</SYS>>)"
+CONTROL = r"([<\[])(\\*)(\|(?:turn|body|end|image|audio|document|unknown|im_start|im_end|endoftext|startoftext)\|>|/?s>|/?INST\]|/?SYS\]|<SYS>>|</SYS>>)"
 ESCAPED = CONTROL.replace(r"(\\*)", r"\\(\\*)")
 #: Tokens that stand for a part which doesn't tell its own number.
-DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512}
+DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512, "unknown": 0}
 _CONTROL, _ESCAPED = re.compile(CONTROL), re.compile(ESCAPED)
 _PLACES = re.compile("|".join(re.escape(p) for p in PLACEHOLDERS.values()))
 
@@ -48,46 +49,60 @@ class Flattener:
         self.pieces.append(text)
         self.size += len(text)
 
-    def turn(self, number, role: str, parts: list[dict]) -> None:
+    def turn(self, number, role: str, parts: list[dict | None]) -> None:
+        """Neighbouring texts are one text, so that no control string can form across them."""
         self.put(TURN + escape(role) + BODY)
-        for k, part in enumerate(parts):
-            visit = getattr(self, f"visit_{part['kind']}", None)
-            if visit is None:
-                raise ValueError(f"a part of unknown kind: {part['kind']!r}")
-            visit(number, k, role, part)
+        for is_text, run in groupby(enumerate(parts), key=lambda x: kind_of(x[1]) == "text"):
+            if is_text:
+                self.visit_text(role, "".join(part["text"] or "" for _, part in run))
+            else:
+                for k, part in run:
+                    getattr(self, f"visit_{kind_of(part)}")(number, k, part)
         self.put(END)
 
-    def visit_text(self, number, k: int, role: str, part: dict) -> None:
-        text = escape(part["text"] or "")
+    def visit_text(self, role: str, text: str) -> None:
+        text = escape(text)
         if role in self.loss_roles and text:
             self.loss.append({"start": self.size, "end": self.size + len(text)})
         self.put(text)
 
-    def _attach(self, number, k: int, part: dict) -> None:
-        tokens = part["tokens"]
+    def _attach(self, kind: str, number, k: int, part: dict | None) -> None:
+        tokens, ref = (part["tokens"], part["ref"]) if part else (None, None)
         self.attachments.append({
-            "turn": number, "part": k, "kind": part["kind"], "ref": part["ref"], "at": self.size,
-            "tokens": DEFAULT_TOKENS[part["kind"]] if tokens is None or pd.isna(tokens) else int(tokens),
+            "turn": number, "part": k, "kind": kind, "ref": ref, "at": self.size,
+            "tokens": DEFAULT_TOKENS[kind] if tokens is None or pd.isna(tokens) else int(tokens),
         })
-        self.put(PLACEHOLDERS[part["kind"]])
+        self.put(PLACEHOLDERS[kind])
 
-    def visit_image(self, number, k: int, role: str, part: dict) -> None:
-        self._attach(number, k, part)
+    def visit_image(self, number, k: int, part: dict) -> None:
+        self._attach("image", number, k, part)
 
-    def visit_audio(self, number, k: int, role: str, part: dict) -> None:
-        self._attach(number, k, part)
+    def visit_audio(self, number, k: int, part: dict) -> None:
+        self._attach("audio", number, k, part)
 
-    def visit_document(self, number, k: int, role: str, part: dict) -> None:
-        self._attach(number, k, part)
+    def visit_document(self, number, k: int, part: dict) -> None:
+        self._attach("document", number, k, part)
+
+    def visit_unknown(self, number, k: int, part: dict | None) -> None:
+        self._attach("unknown", number, k, part)
+
+
+def kind_of(part: dict | None) -> str:
+    """A part's kind: text where only a text is told, unknown for null parts and all kinds that have no visitor."""
+    kind = part["kind"] if part else None
+    if kind is None and part and part["text"] is not None:
+        return "text"
+    return kind if kind == "text" or kind in PLACEHOLDERS else "unknown"
 
 
 def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss, attachments, n_attachment_tokens.
+    """One row per conversation: conv_id, formatted, loss, attachments, n_attachment_tokens, n_unknown.
 
     ``rows`` (conv_id, turn, role, and text or parts: an array of kind, text,
     ref, tokens) are ordered by turn, then role, then text, nulls first;
     equal rows are turns each. Null role and text are empty; null parts mean
-    the text. A turn is ``TURN role BODY content END``; control strings in
+    the text; a part without kind that has a text is one; null parts in the array, and those of other kinds, are attachments of kind
+    unknown with a placeholder of no tokens unless they tell some, and n_unknown counts them. Neighbouring text parts are one text. A turn is ``TURN role BODY content END``; control strings in
     role and text get a backslash, which reading back removes. ``loss`` are
     spans (code points, end exclusive) of the formatted text that hold the
     text of ``loss_roles``, ``attachments`` the parts that aren't text with
@@ -114,11 +129,12 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
                 for t in turns:
                     own = t["parts"] if t["parts"] is not None else [{"kind": "text", "text": t["text"], "ref": None, "tokens": None}]
                     f.turn(None if pd.isna(t["turn"]) else int(t["turn"]), t["role"], list(own))
-                out.append(("".join(f.pieces), f.loss, f.attachments, sum(a["tokens"] for a in f.attachments)))
-            names = ["formatted", "loss", "attachments", "n_attachment_tokens"]
+                unknown = sum(a["kind"] == "unknown" for a in f.attachments)
+                out.append(("".join(f.pieces), f.loss, f.attachments, sum(a["tokens"] for a in f.attachments), unknown))
+            names = ["formatted", "loss", "attachments", "n_attachment_tokens", "n_unknown"]
             yield pd.concat([batch[["conv_id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    schema = "conv_id string, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<turn:long,part:long,kind:string,ref:string,at:long,tokens:long>>, n_attachment_tokens long"
+    schema = "conv_id string, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<turn:long,part:long,kind:string,ref:string,at:long,tokens:long>>, n_attachment_tokens long, n_unknown long"
     return with_long_ids(grouped.unionByName(single).mapInPandas(formatted, schema), "conv_id")
 
 
@@ -128,7 +144,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     for piece in formatted.split(TURN)[1:]:
         role, _, rest = piece.partition(BODY)
         body, _, _ = rest.partition(END)
-        turns.append((unescape(role), unescape(_PLACES.sub("", body))))
+        turns.append((unescape(role), "".join(map(unescape, _PLACES.split(body)))))
     return turns
 
 

@@ -206,11 +206,13 @@ def scan_text(scanner: Scanner, text: bytes) -> dict | None:
             base["last"] = at if base["last"] is None else max(base["last"], at)
             base["base"].add(label)
     words = b" ".join(_WORD.findall(lowered)).decode("utf-8", "replace")
-    for a, b, rule in scanner.detections(words):
+    detections = scanner.detections(words)
+    spaces = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), np.uint32) == 0x20) if detections else None
+    for a, b, rule in detections:
         base["labels"].add(rule.label)
         base["score"] = max(base["score"], FORMS[rule.form][1])
-        first = words.count(" ", 0, a)
-        base["spans"].append((first, first + words.count(" ", a, b) + 1, rule.label, rule.form))
+        first, last = np.searchsorted(spaces, (a, b)).tolist()  # words before the detection, and before its last word
+        base["spans"].append((first, last + 1, rule.label, rule.form))
     if base["base"]:
         base["score"] = 1.0
     base["labels"] |= base["base"]

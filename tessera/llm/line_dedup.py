@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, lower_ascii
+from tessera.llm.shared import cut, lower_ascii, unused
 
 #: ASCII white space.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,18 +30,8 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with each text rebuilt from the lines that stay, and new columns n_lines, n_dropped.
-
-    A text is split at \\n; a null or empty text is one empty line. A line's
-    key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least
-    ``min_chars`` code points in at least ``min_docs`` documents lose all
-    their lines except in the largest doc_id that holds them, where all
-    stay. Rows of one doc_id are one document for the count; each keeps or
-    loses lines as that doc_id does. A null doc_id counts for no document
-    and is never the largest. The columns of ``docs`` stay as they are but
-    for text, which is never null afterwards. An empty table stays empty.
-    """
+def rebuilt(docs: DataFrame, name: str, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` and one more column ``name``: a struct of text, n_lines and n_dropped, as ``dedup_lines`` has them."""
     lines = cut(_lines(docs, min_chars))
     common = cut(
         lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
@@ -53,13 +43,39 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .groupBy(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1")).agg(F.collect_set("pos").alias("_drop"))
     )
     same = docs["doc_id"].eqNullSafe(drops["_doc"]) & (F.xxhash64(_text(docs)) == drops["_t1"])
-    joined = docs.join(drops, same, "left")
     parts = F.split(_text(docs), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drops["_drop"])
-    rebuilt = F.when(drops["_drop"].isNull(), _text(docs)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    )
-    own = [rebuilt.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(
-        *own, F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(drops["_drop"]), F.lit(0)).cast("long").alias("n_dropped")
-    )
+
+    def kept(lines: Column) -> Column:
+        """As an argument of a function the lines are split off once for a text, not again for each line."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(drops["_drop"], F.array().cast("array<int>")))
+        return F.struct(
+            F.when(drops["_drop"].isNull(), _text(docs)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).alias("text"),
+            F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drops["_drop"]), F.lit(0)).cast("long").alias("n_dropped"),
+        )
+
+    made = F.get(F.transform(F.array(parts), kept), F.lit(0)).alias(name)
+    return docs.join(drops, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], made)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` with each text rebuilt from the lines that stay, and new columns n_lines, n_dropped.
+
+    A text is split at \\n; a null or empty text is one empty line. A line's
+    key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least
+    ``min_chars`` code points in at least ``min_docs`` documents lose all
+    their lines except in the largest doc_id that holds them, where all
+    stay. Rows of one doc_id are one document for the count; each keeps or
+    loses lines as that doc_id does. A null doc_id counts for no document
+    and is never the largest. The columns of ``docs`` stay as they are but
+    for text, which is never null afterwards, and for columns named n_lines and n_dropped,
+    which give way to the new ones; ``drop_repeated_lines`` keeps those, too. An empty table stays empty.
+    """
+    name = unused("_lines", docs.columns)
+    own = [F.col(f"{name}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return rebuilt(docs, name, min_chars, min_docs).select(*own, f"{name}.n_lines", f"{name}.n_dropped")
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``docs`` without repeated lines, as ``dedup_lines`` drops them; all columns but text stay as they are, whatever their names."""
+    name = unused("_lines", docs.columns)
+    return rebuilt(docs, name, min_chars, min_docs).select(*[F.col(f"{name}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -81,7 +83,7 @@ CUES = {
 _CUE = {w: kind for kind, words in CUES.items() for w in words}
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _MARK = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\bdot\s+(?:com|org|net|edu|gov|io|info|de|fr|es)\b", re.IGNORECASE)
-_RUN = re.compile(r"\S+")
+_RUN, _BLANK = re.compile(r"\S+"), re.compile(r"\s")
 _AT = frozenset(("at", "@"))
 
 
@@ -282,20 +284,32 @@ def _add_gradient(gradient, weights, index, window, segments, gold) -> None:
             gradient[f, k] += seen - expected
 
 
+def number_runs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run without white space that holds a digit or @; every character is looked at a few times at most."""
+    end = 0
+    for m in re.finditer("[0-9@]", text):
+        if m.start() >= end:
+            gap = text[end : m.start()]
+            start = m.start() if not gap or gap[-1].isspace() else m.start() - len(gap.rsplit(None, 1)[-1])
+            blank = _BLANK.search(text, m.end())
+            end = blank.start() if blank else len(text)
+            yield start, end
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around whatever could be part of an entity; outside them no segment is possible."""
-    if not _DIGIT.search(text) and "@" not in text and not _MARK.search(text):
-        return []
-    marks = [m.span() for m in re.finditer(r"\S*[0-9@]\S*", text)] + [m.span() for m in _MARK.finditer(text)]
+    """Stretches around whatever could be part of an entity; outside them no segment is possible. In order, without overlap."""
     found: list[list[int]] = []
-    for start, end in sorted(marks):
-        a, b = start, end
+    for start, end in sorted([*number_runs(text), *(m.span() for m in _MARK.finditer(text))]):
+        a, b, low = start, end, found[-1][1] if found else 0
+        for _ in range(CONTEXT_WORDS):
+            if a <= low:
+                break
+            a = max(max(text.rfind(c, low, max(low, a - 1)) for c in " \n\t") + 1, low)
         for _ in range(CONTEXT_WORDS):
-            a = max(text.rfind(c, 0, max(0, a - 1)) for c in " \n\t") + 1 if a > 0 else 0
             nxt = _RUN.search(text, b)
             b = nxt.end() if nxt else len(text)
-        if found and a <= found[-1][1]:
-            found[-1][1] = max(found[-1][1], b)
+        if found and a <= low:
+            found[-1][1] = max(low, b)
         else:
             found.append([a, b])
     return [(a, b) for a, b in found]
@@ -304,10 +318,11 @@ def windows(text: str) -> list[tuple[int, int]]:
 def all_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Base spans, and those of the field that touch none of them."""
     added = []
+    starts, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     for a, b in windows(text):
-        inside = [s for s in base if s[0] < b and s[2] > a]
         for start, kind, end in field.best(Window(text, a, b)):
-            if all(end <= x or y <= start for x, _, y in inside):
+            before = bisect.bisect_left(starts, end)  # spans that start before this one ends, and how far they reach
+            if not before or reach[before - 1] <= start:
                 added.append((start, kind, end))
     return sorted({*base, *added})
 

@@ -195,5 +195,13 @@ def with_long_ids(found: DataFrame, column: str = "doc_id") -> DataFrame:
     return found.withColumn(column, F.col(column).cast("long"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as no column of ``columns`` has that name, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

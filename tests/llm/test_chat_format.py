@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.chat_format import ADDED, BODY, END, ROW, TURN, digests, escape, format_conversations, read_back, unescape
+from tessera.llm.chat_format import ADDED, BODY, END, ROW, TURN, Flattener, digests, escape, format_conversations, read_back, unescape
 
 pieces = st.lists(st.sampled_from(["<", "[", "\\", "|turn|>", "|end|>", "/s>", "s>", "INST]", "/INST]", "<SYS>>", "|image|>", "a", "\n", "é", "<|end|>", "</s>"]), max_size=12).map("".join)
 
@@ -41,3 +41,37 @@ def test_parts(spark):
     assert all(r["formatted"][a["at"] :].startswith(f"<|{a['kind']}|>") for a in r["attachments"])
     assert [r["formatted"][s["start"] : s["end"]] for s in r["loss"]] == [escape("see <|image|>"), "and"]
     assert read_back(r["formatted"]) == [("assistant", "see <|image|>and"), ("user", "plain")]
+
+
+def flattened(role, parts):
+    f = Flattener(frozenset(["assistant"]))
+    f.turn(0, role, parts)
+    return f, "".join(f.pieces)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["text", "text", "text", "image", "unknown", None, "video"]), pieces), max_size=8))
+def test_read_back_over_any_split_into_parts(made):
+    parts = [{"kind": k, "text": t if k in ("text", None) else None, "ref": None, "tokens": None} for k, t in made]
+    f, formatted = flattened("assistant", parts)
+    said = "".join(t for k, t in made if k in ("text", None))
+    assert read_back(formatted) == [("assistant", said)]
+    assert "".join(unescape(formatted[s["start"] : s["end"]]) for s in f.loss) == said
+    assert len(f.attachments) == sum(k not in ("text", None) for k, _ in made)
+
+
+def test_control_string_across_parts():
+    text = lambda t: {"kind": "text", "text": t, "ref": None, "tokens": None}
+    _, formatted = flattened("user", [text("a<"), text("|end|>b")])
+    assert read_back(formatted) == [("user", "a<|end|>b")] and formatted.count(END) == 1
+    _, formatted = flattened("user", [text("a<"), {"kind": "image", "text": None, "ref": "x", "tokens": None}, text("\\|end|>b")])
+    assert read_back(formatted) == [("user", "a<\\|end|>b")]
+
+
+def test_null_and_unknown_parts(spark):
+    parts = [None, ("video", None, "v", 9), (None, "words", None, None), (None, None, None, None), ("text", None, None, None), ("image", None, None, None)]
+    schema = "conv_id long, turn long, role string, text string, parts array<struct<kind:string,text:string,ref:string,tokens:long>>"
+    r = format_conversations(spark.createDataFrame([(1, 0, "assistant", "not this", parts), (2, 0, "user", "x", [])], schema)).orderBy("conv_id").collect()
+    assert [(a["kind"], a["part"], a["tokens"]) for a in r[0]["attachments"]] == [("unknown", 0, 0), ("unknown", 1, 9), ("unknown", 3, 0), ("image", 5, 256)]
+    assert r[0]["n_unknown"] == 3 and r[0]["n_attachment_tokens"] == 265 and read_back(r[0]["formatted"]) == [("assistant", "words")]
+    assert r[1]["n_unknown"] == 0 and read_back(r[1]["formatted"]) == [("user", "")]

@@ -59,3 +59,42 @@ def test_filter_keeps_the_rest(spark):
     kept = session_filter(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert kept.columns == ["doc_id", "text", "lang"]
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(200))
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(6)] for k in range(150)}
+    rows = [(i, " ".join(rng.choice(stems[lang]) for _ in range(20)), lang) for i, lang in enumerate(list(stems) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_filter(docs)
+    assert model.masks.shape[1] == 3 and len(model.languages) == 150
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
+def test_rates_match_a_naive_counter():
+    """Without the filter, from sets: each n-gram's share in a language differs by false positives only."""
+    import numpy as np
+
+    import tessera.llm.language_id as m
+
+    texts = [t for _, t, _ in corpus(60)] + ["漢字 mixed the und", "x", ""]
+    split = lambda t: [m.normalised(t.encode())[k : k + 4] for k in range(max(0, len(m.normalised(t.encode())) - 3))]
+    sets = {lang: {g for t in texts[k * 12 : k * 12 + 12] for g in split(t)} for k, lang in enumerate("abcde")}
+    model = LanguageFilter.build({k: np.array(sorted(int.from_bytes(g, "little") for g in v), np.uint64) for k, v in sets.items()}, "a")
+    rates = model.rates([t.encode() for t in texts])
+    for t, row in zip(texts, rates):
+        own = split(t)
+        for k, lang in enumerate("abcde"):
+            exact = sum(g in sets[lang] for g in own) / max(1, len(own))
+            assert abs(exact - row[k]) < 0.01, (t, lang)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, text, lang, 777.0, "mine", 0.5, i) for i, text, lang in corpus(60)]
+    docs = spark.createDataFrame([*rows, (99, "12", "en", 1.0, "x", 0.1, 9)], "doc_id long, text string, lang string, score double, lang_pred string, RATE double, _language int")
+    kept = session_filter(spark, docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == rows
+    again = session_filter(spark, docs.unionByName(docs))
+    assert again.count() == 2 * len(rows) and session_filter(spark, docs.limit(0)).count() == 0

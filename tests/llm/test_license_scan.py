@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from re import _parser
 
 from tessera.llm.license_scan import BASE, GATE, Scanner, rules, scan_licenses, scan_text
@@ -104,3 +105,15 @@ def test_labels_that_no_gate_may_lose():
     }
     for text, label in cases.items():
         assert label in scan_text(scanner, text.encode())["labels"], text
+
+
+def test_dense_detections_take_linear_time():
+    scanner, took = Scanner(), []
+    for n in (2_000, 4_000):
+        text = ("SPDX-License-Identifier: MIT licensed under the Apache License, version 2.0. Ünï " * n).encode()
+        began = time.time()
+        spans = scan_text(scanner, text)["spans"]
+        took.append(time.time() - began)
+        words = WORD.findall(lower(text.decode()))
+        assert len(spans) == 2 * n and all(" ".join(words[a:b]) in ("spdx license identifier mit", "licensed under the apache license version 2 0") for a, b, _, _ in spans)
+    assert took[1] < 2.5 * took[0] + 0.2, took

@@ -1,6 +1,7 @@
 import random
+import time
 
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_dedup import dedup_lines, drop_repeated_lines
 
 
 def brute_force(rows, min_chars=20, min_docs=3):
@@ -31,3 +32,24 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_documents_take_linear_time(spark):
+    took = []
+    for n in (8_000, 16_000, 32_000):
+        texts = ["\n".join(f"a line that three documents hold {k}" if k % 2 else f"own line of document number {i} {k}" for k in range(n)) for i in range(3)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+        docs.count()
+        began = time.time()
+        assert {(r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs).select("n_lines", "n_dropped").collect()} == {(n, n // 2), (n, 0)}
+        took.append(time.time() - began)
+    assert took[2] < 2.5 * took[1] + 1, took
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "a line that three documents hold\nown", 70 + i, 80 + i, 90 + i, [i]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, N_DROPPED int, _lines int, `a.b` array<int>")
+    got = drop_repeated_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, rows[i][1] if i == 2 else "own", *rows[i][2:]) for i in range(3)]
+    assert sorted(r["n_dropped"] for r in dedup_lines(docs.drop("N_DROPPED")).collect()) == [0, 1, 1]

@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+import timeit
 
-from tessera.llm.pii import KINDS, all_spans, base_spans, find_personal_data, joined, luhn, trained
+from tessera.llm.pii import _MARK, KINDS, all_spans, base_spans, find_personal_data, joined, luhn, trained, windows
 
 PATTERNS = {
     0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -70,3 +71,37 @@ def test_query_rows(spark):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[1] == k for s in expected) for k in range(4)]
         assert set(joined(expected).split(",")) <= set(r["spans"].split(",")) or not expected
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0
+
+
+def plain_windows(text):
+    """The windows by the definition, in quadratic time."""
+    found = []
+    marks = [m.span() for m in re.finditer(r"\S+", text) if re.search("[0-9@]", m[0])] + [m.span() for m in _MARK.finditer(text)]
+    for a, b in sorted(marks):
+        for _ in range(4):
+            a = max(text.rfind(c, 0, max(0, a - 1)) for c in " \n\t") + 1 if a > 0 else 0
+            run = re.compile(r"\S+").search(text, b)
+            b = run.end() if run else len(text)
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], b)
+        else:
+            found.append([a, b])
+    return [tuple(x) for x in found]
+
+
+def test_windows_match_their_definition():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", "　", "7", "@", "[at]", "dot com", "漢"]) for _ in range(rng.randint(0, 60)))
+        assert windows(text) == plain_windows(text), text
+
+
+def test_added_spans_take_linear_time():
+    field = trained()
+    for piece in ["漢字" * 5 + "7" + "漢字" * 500, "漢字" * 500 + " ", "call (415) 555-0134 or mail a@b.co now, ", "1.2.3.4 ", "x" * 80 + "\n7 "]:
+        took = []
+        for n in (15_000, 30_000):
+            text = (piece * (n // len(piece) + 1))[:n]
+            base = base_spans(text)
+            took.append(min(timeit.repeat(lambda: all_spans(text, base, field), number=1, repeat=2)))
+        assert took[1] < 2.5 * took[0] + 0.1, (piece[:20], took)
