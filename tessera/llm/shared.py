@@ -126,7 +126,7 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_powers = np.full(1, _BASE, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

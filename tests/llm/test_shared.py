@@ -75,3 +75,12 @@ def test_large_ids_beside_nulls_stay_exact(spark):
     assert {r["n"] for r in language_id.identify(docs, model).collect()} == {None, 7}
     rows = docs.selectExpr("doc_id as conv_id", "1 as turn", "'user' as role", "text")
     assert {r["conv_id"] for r in chat_format.digests(chat_format.format_conversations(rows)).collect()} == {big, None}
+
+
+def test_word_hashes_do_not_depend_on_other_words():
+    import subprocess
+    import sys
+
+    code = "from tessera.llm.shared import Words; print(Words([b'a b']).hash.tolist()); print(Words([b'a b longer']).hash.tolist()[:2])"
+    short, long = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.splitlines()
+    assert short == long
