@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -85,6 +86,18 @@ class Forest:
         return ids[moved], ids[self.root[moved]]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, read back.
+
+    For loops: a checkpoint keeps what Spark estimated of its size, and the
+    estimates of joins multiply from round to round, to numbers of so many
+    digits that planning takes minutes. Files tell their true size.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches.
 
@@ -93,18 +106,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round, so that lost executors cost one step and both sides of each join
     are plain scans, which lets Spark split a hub's partition.
     """
-    edges = cut(_pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    edges = written(_pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     before = None
     while (now := _state(edges)) != before:
         before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = _pairs(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = written(large)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = joined.select("b", "m").union(joined.select(F.col("a").alias("b"), "m"))
-        edges = cut(_pairs(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        edges = written(_pairs(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).distinct()

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -376,10 +377,12 @@ def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"cell": batch["cell"], "rep": batch["rep"], "shingles": [shingle_hashes(t).view(np.int64) for t in batch["text"]]})
 
-    def counted(key, group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
-        a, b = alike_edges(sets, group["label"].to_numpy(np.int64), group["block"].to_numpy(), share)
-        return pd.DataFrame({"a": a, "b": b})
+    def counted(group: pa.Table) -> pa.Table:
+        lists = group["shingles"].combine_chunks()
+        bounds = lists.offsets.to_numpy()
+        sets = np.split(lists.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]], bounds[1:-1] - bounds[0])
+        a, b = alike_edges(sets, group["label"].to_numpy(), group["block"].to_numpy(), share)
+        return pa.table({"a": a, "b": b})
 
     texts = ids_and_texts(docs)
     prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, sim long, bands array<long>")))
@@ -399,7 +402,7 @@ def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
     rows = sets.join(tied, sets["rep"] == tied["node"], "left").select("cell", F.coalesce("component", "rep").alias("label"), "rep", "shingles")
     open_ = cut(rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell"))
     tasks = dealt_apart(cut(rows.join(open_, "cell", "left_semi")))
-    edges = tasks.groupBy("cell", "block_a", "block_b").applyInPandas(counted, "a long, b long")
+    edges = tasks.groupBy("cell", "block_a", "block_b").applyInArrow(counted, "a long, b long")
     groups = connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges))
     return with_components(prints.select("doc_id", "fp"), nodes.select("fp", "rep"), groups)
 
