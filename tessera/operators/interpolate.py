@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def predict(queries: DataFrame, points: DataFrame, key: list[str], x: str = "psnr", y: str = "ssim", by: str = "run_id") -> DataFrame:
     """``key``, predicted: y at each query's x from the calibration points of the same ``by``; beyond them the outermost two go on.
 
-    Points at one x count once, with their highest y. Null with fewer than two points. A
-    calibration holds few points, so they are one sorted array a group, joined on the group; the neighbours are found inside the row.
+    Points at one x count once, with their highest y; points and queries without x or ``by`` have none. Null with fewer than two
+    points. Queries and points are sorted together, so that a query's segment is that of the last point before it.
     """
-    once = points.groupBy(by, F.col(x).alias("x")).agg(F.max(y).alias("y"))
-    curves = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_p"))
-    met = queries.join(curves, by, "left")
-    at, p = F.col(x), F.col("_p")
-    above = F.size(F.filter(p, lambda q: q["x"] < at))
-    i = F.greatest(F.least(above, F.size(p) - 1), F.lit(1))
-    a, b = F.get(p, i - 1), F.get(p, i)
-    line = a["y"] + (at - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)) * (b["y"] - a["y"])
-    return met.select(*key, F.when(F.size(p) >= 2, line).alias("predicted"))
+    run = Window.partitionBy("_by")
+    once = points.filter(F.col(by).isNotNull() & F.col(x).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    along = run.orderBy("_x")
+    before, after = (F.struct(f("_x").over(along).alias("x"), f("_y").over(along).alias("y")) for f in (F.lag, F.lead))
+    here = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))
+    segment = F.when(after["x"].isNotNull(), F.struct(here.alias("a"), after.alias("b"))).when(before["x"].isNotNull(), F.struct(before.alias("a"), here.alias("b")))
+    asked = queries.select(F.col(by).alias("_by"), F.col(x).alias("_x"), F.lit(0).alias("_kind"), F.struct(*key).alias("_key"))
+    both = asked.unionByName(once.select("_by", "_x", F.lit(1).alias("_kind"), segment.alias("_segment")), allowMissingColumns=True)
+    last = F.last("_segment", ignorenulls=True).over(run.orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("_segment", ignorenulls=True).over(run.orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = both.select("_x", "_kind", "_key", F.coalesce(last, first).alias("s")).filter("_kind = 0")
+    a, b = F.col("s.a"), F.col("s.b")
+    return met.select("_key.*", (a["y"] + (F.col("_x") - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)) * (b["y"] - a["y"])).alias("predicted"))
 
 
 def mapping_quality(points: DataFrame, by: str = "run_id") -> DataFrame:

@@ -50,13 +50,13 @@ def _best(name):
 
 
 def psnr_to_ssim(spark, d):
+    """What every row's run would give at a little more PSNR, by all rows of the run."""
     trace = load(spark, d, "trace")
-    points = trace.filter("event_id % 6 = 0")
-    return interpolate.predict(trace.filter("event_id % 6 = 1"), points, ["event_id"])
+    return interpolate.predict(trace.withColumn("psnr", C("psnr") + 0.25), trace, ["event_id"])
 
 
 def mapping_quality(spark, d):
-    return interpolate.mapping_quality(load(spark, d, "trace").filter("event_id % 9 = 0"))
+    return interpolate.mapping_quality(load(spark, d, "trace"))
 
 
 def pixel_entropy(spark, d):
@@ -135,11 +135,12 @@ SQL = {
     "credible_failure": f"""{_T}, b AS (SELECT *, max(floor(score)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM trace), {_streak('psnr < 34 AND floor(score) <= best', 3, 'credible_at', 'b')}""",
     "small_improvements": f"{_T}, b AS (SELECT *, lag(score) OVER ({_W}) AS before FROM trace), {_streak('(score - before) / nullif(before, 0) < 0.005e0', 2, 'stop_at', 'b')}",
     "moving_eta": f"""{_T} SELECT run_id, iteration, round(CASE WHEN iteration < 60 THEN avg(secs) OVER ({_W} ROWS 9 PRECEDING) * (60 - iteration) END, 6) AS eta_secs FROM trace""",
-    "psnr_to_ssim": f"""{_T}, p AS (SELECT run_id, psnr, max(ssim) AS ssim FROM trace WHERE event_id % 6 = 0 GROUP BY 1, 2),
+    "psnr_to_ssim": f"""{_T}, p AS (SELECT run_id, psnr, max(ssim) AS ssim FROM trace GROUP BY 1, 2),
       k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY psnr) AS i, count(*) OVER (PARTITION BY run_id) AS m FROM p),
-      q AS (SELECT t.event_id, t.run_id, t.psnr, greatest(least((SELECT count(*) FROM k WHERE k.run_id = t.run_id AND k.psnr < t.psnr), (SELECT max(m) FROM k WHERE k.run_id = t.run_id) - 1), 1) AS i FROM trace t WHERE event_id % 6 = 1)
+      u AS (SELECT event_id, run_id, psnr + 0.25e0 AS psnr FROM trace),
+      q AS (SELECT t.event_id, t.run_id, t.psnr, greatest(least((SELECT count(*) FROM k WHERE k.run_id = t.run_id AND k.psnr < t.psnr), (SELECT max(m) FROM k WHERE k.run_id = t.run_id) - 1), 1) AS i FROM u t)
       SELECT q.event_id, round(a.ssim + (q.psnr - a.psnr) / (b.psnr - a.psnr) * (b.ssim - a.ssim), 6) AS predicted FROM q LEFT JOIN k a ON a.run_id = q.run_id AND a.i = q.i LEFT JOIN k b ON b.run_id = q.run_id AND b.i = q.i + 1""",
-    "mapping_quality": f"{_T} SELECT run_id, round(CASE WHEN count(*) < 3 THEN 0.5e0 ELSE least(0.6e0 + least(count(*) / 20, 0.35e0), 0.95e0) END, 6) AS quality FROM trace WHERE event_id % 9 = 0 GROUP BY 1",
+    "mapping_quality": f"{_T} SELECT run_id, round(CASE WHEN count(*) < 3 THEN 0.5e0 ELSE least(0.6e0 + least(count(*) / 20, 0.35e0), 0.95e0) END, 6) AS quality FROM trace GROUP BY 1",
     "pixel_entropy": f"{_PX}, p AS (SELECT vec_id, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM n) SELECT vec_id, round(-sum(p * log2(p)), 6) AS entropy, 8e0 AS most, round(-sum(p * log2(p)) / 8, 6) AS ratio FROM p GROUP BY 1",
     "colour_diversity": f"{_PX} SELECT vec_id, count(DISTINCT v // 4) AS colours, round(least(count(DISTINCT v // 4) / least(count(*), 10000), 1), 6)::DOUBLE AS diversity FROM x GROUP BY 1",
     "colour_coverage": f"""{_PX}, r AS (SELECT *, row_number() OVER w AS k, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY vec_id) AS total FROM n WINDOW w AS (PARTITION BY vec_id ORDER BY n DESC, v)),
