@@ -102,14 +102,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star rounds; each halves the depth of
-    the trees. Edges and minima are written to the checkpoint folder each
+    the trees, until they are stars. Edges and minima are written to the checkpoint folder each
     round, so that lost executors cost one step and both sides of each join
     are plain scans, which lets Spark split a hub's partition.
     """
     edges = written(_pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = _pairs(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -127,8 +125,10 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lesser one, which itself has none: then that one is the component's least node."""
+    ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("hub")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("hub").alias("hub")).filter("down > 1 or down = 1 and hub = 1").isEmpty()
 
 
 # --- words of many texts at once -------------------------------------------------------------
