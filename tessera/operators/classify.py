@@ -13,9 +13,8 @@ from tessera.functions.quality import clamp
 RANGES = ("complexity", "edge_density", "color_diversity", "texture_variance", "noise_level", "sharpness", "contrast", "aspect_ratio", "width", "height")
 
 
-def classifier_rules(spark: SparkSession) -> DataFrame:
-    """The fixed rules: position, name, priority, flags, and a (low, high) for each range, null where open."""
-    schema = "position int, name string, priority int, is_animated boolean, has_alpha boolean, " + ", ".join(f"{r}_low double, {r}_high double" for r in RANGES)
+def parsed_rules() -> list[tuple]:
+    """The fixed rules: position, name, priority, flags by name, bounds by (range, sign)."""
     found = []
     for position, (name, priority, conditions) in enumerate(V.rows(V.CLASSIFIER)):
         flags, bounds = {}, {}
@@ -24,27 +23,35 @@ def classifier_rules(spark: SparkSession) -> DataFrame:
                 flags[field] = value == "true"
             else:
                 bounds[field, sign] = float(value)
-        found.append((position, name, int(priority), flags.get("is_animated"), flags.get("has_alpha"), *[bounds.get((r, s)) for r in RANGES for s in (">=", "<=")]))
-    return spark.createDataFrame(found, schema)
+        found.append((position, name, int(priority), flags, bounds))
+    return found
 
 
-def classify(images: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """``key``, content_type: the name of the matching rule with the highest priority, the first of equals; UNKNOWN for none.
+def classifier_rules(spark: SparkSession) -> DataFrame:
+    """The fixed rules as a table: position, name, priority, flags, and a (low, high) for each range, null where open."""
+    schema = "position int, name string, priority int, is_animated boolean, has_alpha boolean, " + ", ".join(f"{r}_low double, {r}_high double" for r in RANGES)
+    rows = [(p, n, k, flags.get("is_animated"), flags.get("has_alpha"), *[bounds.get((r, s)) for r in RANGES for s in (">=", "<=")]) for p, n, k, flags, bounds in parsed_rules()]
+    return spark.createDataFrame(rows, schema)
 
-    The rules, a fixed table of a few rows, are broadcast; each image meets all of them within its task and is aggregated by its key.
-    """
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+
+def content_class() -> Column:
+    """The name of the matching rule with the highest priority, the first of equals; UNKNOWN for none. One expression over an image's own columns."""
     ratio = F.col("width") / F.greatest("height", F.lit(1)).cast("double")
-    values = images.withColumn("aspect_ratio", ratio)
-    match = F.lit(True)
-    for flag in ("is_animated", "has_alpha"):
-        match = match & (F.col(f"r_{flag}").isNull() | (F.col(f"r_{flag}") == F.col(flag)))
-    for name in RANGES:
-        low, high = F.col(f"r_{name}_low"), F.col(f"r_{name}_high")
-        match = match & (low.isNull() | (F.col(name) >= low)) & (high.isNull() | (F.col(name) <= high))
-    met = values.join(F.broadcast(r), match, "left")
-    order = F.struct(F.col("r_priority"), -F.col("r_position"))
-    return met.groupBy(key).agg(F.coalesce(F.max_by("r_name", order), F.lit("UNKNOWN")).alias("content_type"))
+    value = lambda field: ratio if field == "aspect_ratio" else F.col(field)
+    out = None
+    for _, name, _, flags, bounds in sorted(parsed_rules(), key=lambda r: (-r[2], r[0])):
+        match = F.lit(True)
+        for flag, wanted in flags.items():
+            match = match & (F.col(flag) == wanted)
+        for (field, sign), bound in bounds.items():
+            match = match & (value(field) >= bound if sign == ">=" else value(field) <= bound)
+        out = F.when(match, name) if out is None else out.when(match, name)
+    return out.otherwise("UNKNOWN")
+
+
+def classify(images: DataFrame, key: str) -> DataFrame:
+    """``key``, content_type of each image; nothing is joined or shuffled."""
+    return images.select(key, content_class().alias("content_type"))
 
 
 def scaled_table(quality: Column, base: list[int]) -> Column:
@@ -64,15 +71,20 @@ def weighted_error(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / sum(V.JPEG_WEIGHTS)
 
 
+def standard_tables(base: list[int] = V.JPEG_LUMINANCE) -> Column:
+    """The standard's tables for qualities 1 to 100 in order, as one constant."""
+    scales = [5000.0 / q if q < 50 else 200.0 - 2.0 * q for q in range(1, 101)]
+    tables = [[min(max(int((scale * v + 50.0) // 100.0), 1), 255) for v in base] for scale in scales]
+    return F.expr("array(" + ", ".join(f"array({', '.join(map(str, t))})" for t in tables) + ")")
+
+
 def jpeg_quality(tables: DataFrame, key: str, column: str = "table", base: list[int] = V.JPEG_LUMINANCE) -> DataFrame:
     """``key``, quality, sse, is_exact, interpolated: the quality whose standard table is nearest, the lowest of equals.
 
-    The 100 standard tables are broadcast. Interpolation leans towards the second best.
+    The 100 standard tables are a constant that each row is held against by itself. Interpolation leans towards the second best.
     """
-    spark = tables.sparkSession
-    standard = spark.range(1, 101).select(F.col("id").cast("int").alias("q"), scaled_table(F.col("id"), base).alias("t"))
-    met = tables.select(key, column).join(F.broadcast(standard)).select(key, "q", squared_error(F.col(column), F.col("t")).alias("sse"))
-    two = met.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("sse", "q"))), 1, 2).alias("best"))
+    errors = F.transform(standard_tables(base), lambda t, i: F.struct(squared_error(F.col(column), t).alias("sse"), (i + 1).cast("int").alias("q")))
+    two = tables.select(key, F.slice(F.array_sort(errors), 1, 2).alias("best"))
     first, second = F.col("best")[0], F.col("best")[1]
     step = F.when(second["q"] > first["q"], 1.0).otherwise(-1.0) * (first["sse"] / (first["sse"] + second["sse"])) * 0.5
     lean = F.when((first["sse"] > 0) & (second["sse"] > first["sse"]), step).otherwise(0.0)

@@ -84,27 +84,27 @@ def _named_in_tags(media: DataFrame) -> DataFrame:
     return starts.withColumn("_piece", F.substr("xmp_ref", F.col("_start"), F.col("_end") + 4 - F.col("_start")))
 
 
+def _held_stems(stem: str) -> Column:
+    """Every piece of a stem that has 70 percent of its bytes at least, itself included: as many as the square of what may be missing, whatever the other names are."""
+    missing = F.floor(F.octet_length(stem) * 0.3).cast("int")
+    cuts = F.sequence(F.lit(0), missing)
+    piece = lambda a, b: F.substr(F.col(stem), a + 1, F.greatest(F.char_length(stem) - a - b, F.lit(0)))
+    pieces = F.flatten(F.transform(cuts, lambda a: F.transform(F.sequence(F.lit(0), missing - a), lambda b: piece(a, b))))
+    return F.array_distinct(F.filter(pieces, lambda p: (p != "") & (F.floor(F.octet_length(p) * 100 / F.octet_length(stem)) >= 70)))
+
+
 def _partial(s: DataFrame, usable: DataFrame) -> DataFrame:
     """Either stem holds the other, which has 70 percent of its bytes at least; sidecar stems have four bytes at least.
 
-    The shorter one's first three characters stand in the longer one within the bytes by which it is longer, so those pieces are the keys.
+    The longer stem's pieces of that length are the keys, and media are reduced to the least path of each key before the
+    join, so a beginning that many names share makes no pairs.
     """
-    first = lambda c: F.array(F.substr(c, F.lit(1), F.lit(3)))
-
-    def pieces(c: str) -> Column:
-        offsets = F.sequence(F.lit(1), F.greatest((F.octet_length(c) * 0.3).cast("int"), F.lit(0)) + 2)
-        widths = F.when(F.octet_length(c) <= 16, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
-        return F.array_distinct(F.flatten(F.transform(offsets, lambda o: F.transform(widths, lambda w: F.substr(F.col(c), o, w)))))
-
     x, m = s.filter(F.octet_length("x_stem") >= 4), usable.filter("m_stem <> ''")
-    shorter, longer = F.least(F.octet_length("x_stem"), F.octet_length("m_stem")), F.greatest(F.octet_length("x_stem"), F.octet_length("m_stem"))
-    holds = F.contains(F.col("m_stem"), F.col("x_stem")) | F.contains(F.col("x_stem"), F.col("m_stem"))
     found = []
-    for left, right in ((first("x_stem"), pieces("m_stem")), (pieces("x_stem"), first("m_stem"))):
-        a = x.select("xmp_path", "x_dir", "x_stem", F.explode(left).alias("_k"))
-        b = m.select("path", "m_dir", "m_stem", F.explode(right).alias("_k"))
-        met = a.join(b, (a["x_dir"] == b["m_dir"]) & (a["_k"] == b["_k"])).filter(holds & (F.floor(shorter * 100 / longer) >= 70))
-        found.append(met.groupBy("xmp_path").agg(F.min("path").alias("path")))
+    for mine, theirs in ((F.array("x_stem"), _held_stems("m_stem")), (_held_stems("x_stem"), F.array("m_stem"))):
+        least = m.select("path", F.col("m_dir").alias("x_dir"), F.explode(theirs).alias("_k")).groupBy("x_dir", "_k").agg(F.min("path").alias("path"))
+        keyed = x.select("xmp_path", "x_dir", F.explode(mine).alias("_k"))
+        found.append(keyed.join(least, ["x_dir", "_k"]).groupBy("xmp_path").agg(F.min("path").alias("path")))
     return _union(found).select("xmp_path", "path", F.lit(7).alias("rank"), F.lit(0).alias("rest"))
 
 

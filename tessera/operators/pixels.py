@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Constants of the structural similarity, its window and the weights of its scales.
@@ -14,48 +14,84 @@ C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
 WINDOW, SIGMA, SCALES = 11, 1.5, (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
 
 
-def exploded(images: DataFrame, key: str, column: str) -> DataFrame:
-    """key, place, value: one row per pixel."""
-    return images.select(key, F.posexplode(column).alias("place", "value"))
+# Fixed values: (pixels, step) of the images whose pixels are sampled, and the samples wanted of a grid.
+SAMPLED, GRID_SAMPLES, LEAST_GRID = ((1_000_000, 20), (100_000, 10), (-1, 1)), 50_000, 100
 
 
-def histogram(pixels: DataFrame, key: str) -> DataFrame:
-    return pixels.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"))
+def per_image(images: DataFrame, key: str, columns: list[str], measure: Callable[..., tuple], fields: str) -> DataFrame:
+    """``key`` and the ``fields`` that ``measure`` gives for each image's columns, inside its task; nulls where a column is null."""
 
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in fields.split(", ")]
+        for batch in batches:
+            rows = [(None,) * len(names) if any(v is None for v in row) else measure(*row) for row in zip(*(batch[c] for c in columns))]
+            yield pd.concat([batch[[key]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
+
+    return images.select(key, *columns).mapInPandas(measured, f"{key} {images.schema[key].dataType.simpleString()}, {fields}")
+
+
+def _sampled(values: np.ndarray) -> np.ndarray:
+    return np.asarray(values)[:: _stride(len(values), *SAMPLED)]
 
-def entropy(counts: DataFrame, key: str, palette: int | None = None) -> DataFrame:
-    """Shannon entropy in bits of each image's values; with ``palette`` also as a share of the most it could have."""
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(key)).cast("double")
-    out = counts.withColumn("_p", share).groupBy(key).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"))
+
+def entropy(images: DataFrame, key: str, column: str, palette: int | None = None) -> DataFrame:
+    """Shannon entropy in bits of each image's values, 0 for none; with ``palette`` also as a share of the most it could have."""
+
+    def bits(values: np.ndarray) -> tuple:
+        share = np.unique(values, return_counts=True)[1] / max(len(values), 1)
+        return (float(-(share * np.log2(share)).sum()),)
+
+    out = per_image(images, key, [column], bits, "entropy double")
     if palette:
         most = F.log2(F.lit(float(palette)))
         out = out.withColumns({"most": most, "ratio": F.when(most > 0, F.col("entropy") / F.nullif(most, F.lit(0.0))).otherwise(0.0)})
     return out
 
 
-def distinct_colours(pixels: DataFrame, key: str, step: int = 4) -> DataFrame:
-    """Different values after division by ``step``, and their share of the pixels (of 10000 at most)."""
-    return pixels.groupBy(key).agg(
-        F.count_distinct(F.floor(F.col("value") / step)).alias("colours"), F.count(F.lit(1)).alias("_n")
-    ).select(key, "colours", F.least(F.col("colours") / F.least("_n", F.lit(10_000)).cast("double"), F.lit(1.0)).alias("diversity"))
+def distinct_colours(images: DataFrame, key: str, column: str, step: int = 4) -> DataFrame:
+    """Different values after division by ``step`` among the sampled pixels, and their share of those (of 10000 at most).
+
+    Of images above 100,000 and 1,000,000 pixels every tenth and twentieth is sampled.
+    """
+
+    def different(values: np.ndarray) -> tuple:
+        taken = _sampled(values)
+        n = len(np.unique(taken // step))
+        return n, min(n / min(len(taken), 10_000), 1.0) if len(taken) else 0.0
+
+    return per_image(images, key, [column], different, "colours long, diversity double")
+
+
+def grid_sample(values: np.ndarray, width: int) -> np.ndarray:
+    """One pixel near the middle of each block of a grid that aims at 50,000 samples."""
+    height = len(values) // width if width > 0 else 0
+    block = max(len(values) // min(GRID_SAMPLES, max(len(values), 1)), 1)
+    middle = lambda length: np.minimum(np.arange(0, length, block) + block // 2, length - 1)
+    return np.asarray(values)[: height * width].reshape(height, width)[np.ix_(middle(height), middle(width))].ravel() if height else np.empty(0)
+
+
+def coverage(images: DataFrame, key: str, column: str, width: str, share: float = 0.85) -> DataFrame:
+    """key, colours, needed, score: how few of the colours of a grid's samples cover ``share`` of them, and how quantised that looks.
+
+    Images below 100 pixels score 0.
+    """
 
+    def covering(values: np.ndarray, width: int) -> tuple:
+        counts = np.sort(np.unique(grid_sample(values, int(width)), return_counts=True)[1])[::-1]
+        if not len(counts):
+            return 0, None, len(values)
+        return len(counts), int(np.searchsorted(np.cumsum(counts), int(counts.sum() * share))) + 1, len(values)
 
-def coverage(counts: DataFrame, key: str, share: float = 0.85) -> DataFrame:
-    """key, colours, needed, score: how few of the colours cover ``share`` of the pixels, and how quantised that looks."""
-    by_n = Window.partitionBy(key).orderBy(F.desc("n"), "value")
-    run = counts.withColumns({
-        "_rank": F.row_number().over(by_n), "_run": F.sum("n").over(by_n.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(Window.partitionBy(key)),
-    })
-    reached = F.col("_run") >= F.floor(F.col("_all") * share)
-    out = run.groupBy(key).agg(F.count(F.lit(1)).alias("colours"), F.min(F.when(reached, F.col("_rank"))).alias("needed"))
+    out = per_image(images, key, [column, width], covering, "colours long, needed int, _pixels long")
     ratio = F.col("needed") / F.col("colours").cast("double")
-    score = F.when(F.col("colours") < 2, 0.0).when(ratio < 0.05, 0.85).when(ratio < 0.10, 0.70).when(ratio < 0.20, 0.50).when(ratio < 0.35, 0.25).otherwise(0.0)
-    return out.withColumn("score", score)
+    odd = (F.col("colours") < 2) | (F.col("_pixels") < LEAST_GRID)
+    score = F.when(odd, 0.0).when(ratio < 0.05, 0.85).when(ratio < 0.10, 0.70).when(ratio < 0.20, 0.50).when(ratio < 0.35, 0.25).otherwise(0.0)
+    return out.withColumn("score", score).drop("_pixels")
 
 
-def contrast(pixels: DataFrame, key: str) -> DataFrame:
-    """The standard deviation of grey over 80, at most 1."""
-    return pixels.groupBy(key).agg(F.least(F.stddev_pop("value") / 80.0, F.lit(1.0)).alias("contrast"))
+def contrast(images: DataFrame, key: str, column: str) -> DataFrame:
+    """The standard deviation of the sampled grey over 80, at most 1; sampled as in ``distinct_colours``."""
+    return per_image(images, key, [column], lambda v: (min(float(_sampled(v).std()) / 80.0, 1.0) if len(v) else 0.0,), "contrast double")
 
 
 def compared(pairs: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import values as V
+from tessera.operators.catalog import with_rank
 
 TABLES = ("analysis", "quality", "video")
 
@@ -61,8 +62,8 @@ def drop_orphans(path_index: DataFrame, tables: dict[str, DataFrame]) -> DataFra
 
 
 def oldest(table: DataFrame, quota: int) -> DataFrame:
-    """The ``quota`` oldest records; ties by content hash."""
-    return table.orderBy("created_at", "content_hash").limit(quota)
+    """The ``quota`` oldest records; ties by content hash. As the quota grows with the table, rows are ranked in partitions, never merged into one task."""
+    return with_rank(table, [F.col("created_at"), F.col("content_hash")], "_rank").filter(F.col("_rank") <= quota).drop("_rank")
 
 
 def evict(tables: dict[str, DataFrame], path_index: DataFrame, size_bytes: int, limit: int = V.SIZE_LIMIT_BYTES) -> tuple[dict[str, DataFrame], DataFrame]:

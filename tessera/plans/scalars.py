@@ -124,7 +124,7 @@ def image_advice(spark, d):
 
 
 def content_classes(spark, d):
-    return classify.classify(load(spark, d, "images"), classify.classifier_rules(spark), "id")
+    return classify.classify(load(spark, d, "images"), "id")
 
 
 def _quant_tables(spark, d):

@@ -15,7 +15,7 @@ def trailing_variance(spark, d):
 
 
 def early_exit(spark, d):
-    return traces.early_exit(load(spark, d, "trace"), variance=2e-2, change=0.05)
+    return traces.early_exit(load(spark, d, "trace"))
 
 
 def plateau(spark, d):
@@ -60,19 +60,20 @@ def mapping_quality(spark, d):
 
 
 def pixel_entropy(spark, d):
-    return pixels.entropy(pixels.histogram(pixels.exploded(load(spark, d, "pixels"), "vec_id", "px"), "vec_id"), "vec_id", 256)
+    return pixels.entropy(load(spark, d, "pixels"), "vec_id", "px", 256)
 
 
 def colour_diversity(spark, d):
-    return pixels.distinct_colours(pixels.exploded(load(spark, d, "pixels"), "vec_id", "px"), "vec_id")
+    return pixels.distinct_colours(load(spark, d, "pixels"), "vec_id", "px")
 
 
 def colour_coverage(spark, d):
-    return pixels.coverage(pixels.histogram(pixels.exploded(load(spark, d, "pixels"), "vec_id", "px"), "vec_id"), "vec_id")
+    doubled = load(spark, d, "pixels").select("vec_id", F.concat("px", "px").alias("px"), F.lit(8).alias("width"))
+    return pixels.coverage(doubled, "vec_id", "px", "width")
 
 
 def pixel_contrast(spark, d):
-    return pixels.contrast(pixels.exploded(load(spark, d, "pixels"), "vec_id", "px"), "vec_id")
+    return pixels.contrast(load(spark, d, "pixels"), "vec_id", "px")
 
 
 def _neighbours(spark, d):
@@ -126,7 +127,7 @@ _PX = f"WITH {ctes('pixels')}, x AS (SELECT vec_id, unnest(px) AS v FROM pixels)
 
 SQL = {
     "trailing_variance": f"{_T}, {_TRAIL} SELECT run_id, iteration, round(variance, 6) AS variance, round(change, 6) AS change FROM v",
-    "early_exit": f"{_T}, {_TRAIL} SELECT run_id, min(iteration) FILTER (iteration >= 6 AND (variance < 2e-2 OR change < 0.05e0)) AS exit_iteration FROM v GROUP BY run_id",
+    "early_exit": f"{_T}, {_TRAIL} SELECT run_id, min(iteration) FILTER (iteration >= 6 AND (variance < 1e-6 OR change < 0.005e0)) AS exit_iteration FROM v GROUP BY run_id",
     "plateau": f"{_T}, {_D}, {_streak('abs(delta) < 0.1e0', 3, 'plateau_at', 'd')}",
     "quality_ceiling": f"""{_T}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ssim DESC, iteration DESC) AS n, count(*) OVER (PARTITION BY run_id) AS m FROM trace)
       SELECT run_id, CASE WHEN m >= 3 THEN crf END AS crf, CASE WHEN m >= 3 THEN round(ssim, 6) END AS best FROM r WHERE n = 1""",
@@ -144,7 +145,7 @@ SQL = {
     "pixel_entropy": f"{_PX}, p AS (SELECT vec_id, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM n) SELECT vec_id, round(-sum(p * log2(p)), 6) AS entropy, 8e0 AS most, round(-sum(p * log2(p)) / 8, 6) AS ratio FROM p GROUP BY 1",
     "colour_diversity": f"{_PX} SELECT vec_id, count(DISTINCT v // 4) AS colours, round(least(count(DISTINCT v // 4) / least(count(*), 10000), 1), 6)::DOUBLE AS diversity FROM x GROUP BY 1",
     "colour_coverage": f"""{_PX}, r AS (SELECT *, row_number() OVER w AS k, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY vec_id) AS total FROM n WINDOW w AS (PARTITION BY vec_id ORDER BY n DESC, v)),
-      c AS (SELECT vec_id, count(*) AS colours, min(k) FILTER (run >= floor(total * 0.85e0))::INT AS needed FROM r GROUP BY 1)
+      c AS (SELECT vec_id, count(*) AS colours, min(k) FILTER (2 * run >= floor(2 * total * 0.85e0))::INT AS needed FROM r GROUP BY 1)
       SELECT *, CASE WHEN colours < 2 THEN 0e0 WHEN needed / colours < 0.05e0 THEN 0.85e0 WHEN needed / colours < 0.10e0 THEN 0.70e0 WHEN needed / colours < 0.20e0 THEN 0.50e0 WHEN needed / colours < 0.35e0 THEN 0.25e0 ELSE 0e0 END AS score FROM c""",
     "pixel_contrast": f"{_PX} SELECT vec_id, round(least(stddev_pop(v) / 80, 1), 6) AS contrast FROM x GROUP BY 1",
     "image_similarity": f"""WITH {ctes('pixels')}, j AS (SELECT a.vec_id, unnest(a.px) AS x, unnest(b.px) AS y FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1),
