@@ -150,3 +150,8 @@ def png_verdict(signs: dict[str, Column], colour_type: Column, bit_depth: Column
     deep = F.struct(F.lit(False).alias("quantised"), F.lit(1.0).alias("confidence"))
     truecolour = truecolour_verdict(signs["frequency"], flat, signs["banding"])
     return F.when(bit_depth == 16, deep).when(colour_type.isin(2, 6) & ~by_tool, truecolour).otherwise(quantisation_verdict(quantisation_score(signs), by_tool))
+
+
+def is_modern_format(image_format: Column) -> Column:
+    """Whether an image is in a format that is kept as it is; false for null."""
+    return F.coalesce(image_format.isin(*V.MODERN_FORMATS), F.lit(False))

@@ -184,3 +184,17 @@ def strategy(name: Column, level: Column, apple_compat: bool = False) -> Column:
     target = F.when(skipped, "Skip").when(level == "Lossless", "HevcLosslessMkv").otherwise("HevcMp4")
     crf = F.when(skipped | (level == "Lossless"), 0.0).when(level == "VisuallyLossless", 18.0).otherwise(20.0)
     return F.struct(target.alias("target"), crf.alias("crf"), (~skipped & (level == "Lossless")).alias("lossless"))
+
+
+def _of_target(target: Column, place: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for name, row in V.TARGETS.items() for x in (name, row[place])]), target)
+
+
+def target_extension(target: Column) -> Column:
+    """The extension of a conversion target's files, empty for none; null for an unknown target."""
+    return _of_target(target, 0)
+
+
+def target_label(target: Column) -> Column:
+    """A conversion target as users read it; null for an unknown target."""
+    return _of_target(target, 1)

@@ -64,3 +64,9 @@ def counters(results: DataFrame) -> DataFrame:
     """One row of counts by medium and outcome (results has medium, outcome)."""
     of = lambda m, o: F.count_if((F.col("medium") == m) & (F.col("outcome") == o)).alias(f"{m}_{o}")
     return results.agg(*[of(m, o) for m in ("image", "video") for o in ("succeeded", "failed", "skipped")])
+
+
+def copy_counts(files: DataFrame, copied: Column, skipped: Column) -> DataFrame:
+    """One row: total, copied, skipped and failed, which are neither, of the files to copy."""
+    done, left = F.coalesce(copied, F.lit(False)), F.coalesce(skipped, F.lit(False))
+    return files.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("copied"), F.count_if(left & ~done).alias("skipped"), F.count_if(~done & ~left).alias("failed"))

@@ -93,6 +93,16 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
     return untouched.unionByName(last.select(*table.columns))
 
 
+def put_metadata(table: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
+    """key, value settings with those of ``changes`` in place of the same keys; of several the last by ``order``."""
+    return upsert(table, changes, ["key"], order)
+
+
+def metadata_value(table: DataFrame, key: str) -> DataFrame:
+    """value: that of one key, no row if it isn't set."""
+    return table.filter(F.col("key") == key).select("value")
+
+
 def store_analysis(table: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """Upsert by content hash of the analyses that didn't fail."""
     good = changes.filter(F.col("analysis_error").isNull()).select(*table.columns, *[c for c in order if c not in table.columns])

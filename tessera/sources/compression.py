@@ -116,14 +116,140 @@ def ico_images(data: bytes) -> list[str]:
     return ["PNG" if data[s : s + 8] == b"\x89PNG\r\n\x1a\n" else "BMP" for s in starts]
 
 
+def first_box(data: bytes, name: str) -> bytes | None:
+    """The first box of that name in the tree, else one whose name stands anywhere behind a fitting size."""
+    found = boxes(data, name)
+    if found:
+        return found[0]
+    at = data.find(name.encode())
+    while at >= 4:
+        size = int.from_bytes(data[at - 4 : at], "big")
+        if 8 <= size <= len(data) - at + 4:
+            return data[at + 4 : at - 4 + size]
+        at = data.find(name.encode(), at + 1)
+    return None
+
+
+def _rgb_identity(data: bytes) -> bool:
+    """Whether the colour box says that samples are RGB itself, which only lossless encoders write."""
+    colr = first_box(data, "colr") or b""
+    return len(colr) >= 11 and colr[:4] == b"nclx" and colr[8:10] == b"\0\0"
+
+
+def _deep(data: bytes) -> bool:
+    """Whether the pixel box starts with a number of channels and one of them has 12 bits or more."""
+    pixi = first_box(data, "pixi") or b""
+    return len(pixi) > 1 and 0 < pixi[0] < len(pixi) and max(pixi[1 : 1 + pixi[0]]) >= 12
+
+
+def heic_is_lossless(data: bytes) -> bool | None:
+    """By the profile and chroma of the decoder's configuration: range extensions and screen content can be, with full chroma; None if they leave it open or there are no bytes."""
+    if not data:
+        return None
+    config = first_box(data, "hvcC")
+    if config is None or len(config) < 20:
+        return False
+    profile, chroma, extended = config[1] & 31, config[16] & 3, bool(config[2] & 8)
+    if chroma in (1, 2) or profile in (1, 2, 3):
+        return False
+    if profile in (4, 9):
+        return True if chroma == 3 or _rgb_identity(data) or _deep(data) else None
+    return (True if chroma == 3 else None) if extended else False
+
+
+def avif_is_lossless(data: bytes) -> bool | None:
+    """By the codec configuration: subsampled chroma loses; full chroma is lossless where profile, depth or colour say so, else open."""
+    config = first_box(data, "av1C")
+    if config is None or len(config) < 4:
+        return None
+    profile, flags = config[1] >> 5, config[2]
+    high, twelve, mono, half_x, half_y = (bool(flags >> k & 1) for k in (6, 5, 4, 3, 2))
+    if half_x or (mono and half_y):
+        return False
+    if _rgb_identity(data):
+        return True
+    return None if half_y else True if profile == 0 or high or twelve or mono or _deep(data) else None
+
+
+class LowBits:
+    """Reads fields of bits from the lowest on; past the end it raises EOFError."""
+
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data, "little"), 8 * len(data)
+
+    def take(self, n: int) -> int:
+        if n > self.left:
+            raise EOFError
+        found, self.value, self.left = self.value & ((1 << n) - 1), self.value >> n, self.left - n
+        return found
+
+    def choose(self, *widths: int) -> int:
+        """Two bits select a width, and so many bits follow; gives the selector where the width is 0."""
+        selector = self.take(2)
+        return self.take(widths[selector]) if widths[selector] else selector
+
+    def size_header(self) -> None:
+        small = self.take(1)
+        side = (lambda: self.take(5)) if small else (lambda: self.choose(9, 13, 18, 30))
+        side()
+        if self.take(3) == 0:
+            side()
+
+
+def jxl_is_lossless(data: bytes, strict: bool = True) -> bool | None:
+    """A wrapped JPEG is lossless; else whether samples are in their own colour space, which lossy encoders give up.
+
+    As observed, the flag of 16-bit buffers before the extra channels isn't read and a partial
+    stream is read from its index on, unless ``strict`` is off. None where the header ends early, has a preview or extra channels of other than plain kind.
+    """
+    bare = data[:2] == b"\xff\x0a"
+    if len(data) < 4:
+        return None
+    if not bare and boxes(data, "jbrd"):
+        return True
+    part = boxes(data, "jxlp")
+    whole = [data] if bare else boxes(data, "jxlc") or [p if strict else p[4:] for p in part]
+    if not whole:
+        return None
+    bits = LowBits(whole[0][2 if whole[0][:2] == b"\xff\x0a" else 0 :][:64])
+    try:
+        bits.size_header()
+        if bits.take(1):  # all default: the lossy colour space
+            return False
+        if bits.take(1):
+            bits.take(3)  # orientation
+            if bits.take(1):
+                bits.size_header()
+            if bits.take(1):  # a preview
+                return None
+            if bits.take(1):  # an animation
+                bits.choose(0, 0, 10, 30), bits.choose(0, 0, 10, 30), bits.choose(0, 3, 16, 32), bits.take(1)
+        floats = bits.take(1)
+        bits.choose(0, 0, 0, 6)
+        if floats:
+            bits.take(4)
+        if not strict:
+            bits.take(1)
+        extra = bits.take(2)
+        extra = bits.take(12) + 3 if extra == 3 else extra
+        return None if any(not bits.take(1) for _ in range(extra)) else not bits.take(1)
+    except EOFError:
+        return None
+
+
+READERS = {
+    "WebP": webp_is_lossless, "EXR": exr_is_lossless, "JP2": jp2_is_lossless, "TIFF": tiff_is_lossless, "HEIC": heic_is_lossless, "HEIF": heic_is_lossless,
+    "AVIF": avif_is_lossless, "JXL": jxl_is_lossless,
+}
+
+
 def is_lossless(image_format: str, data: bytes) -> bool | None:
-    """Null where headers don't tell (PNG and ICO need their pixels' statistics, HEIC, AVIF and JXL their coded streams)."""
-    readers = {"WebP": webp_is_lossless, "EXR": exr_is_lossless, "JP2": jp2_is_lossless, "TIFF": tiff_is_lossless}
+    """Null where headers don't tell (PNG and ICO need their pixels' statistics) or leave it open."""
     if image_format in ALWAYS_LOSSLESS:
         return True
     if image_format == "JPEG":
         return False
-    return readers[image_format](data) if image_format in readers else None
+    return READERS[image_format](data) if image_format in READERS else None
 
 
 def with_compression(files: DataFrame) -> DataFrame:

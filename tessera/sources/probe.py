@@ -36,16 +36,24 @@ def parsed_probe(documents: DataFrame, column: str = "json") -> DataFrame:
     })
 
 
+# The tags that the date analysis takes, by the names of its columns.
+EXIF_NAMES = {
+    "SourceFile": "path", "FileName": "filename", "XMP-photoshop:DateCreated": "xmp_ps_created", "XMP-xmp:CreateDate": "xmp_created",
+    "XMP-xmpMM:HistoryWhen": "xmp_history", "ExifIFD:DateTimeOriginal": "exif_original", "ExifIFD:CreateDate": "exif_created", "XMP-xmp:MetadataDate": "xmp_metadata",
+}
+
+
+def exif_records(documents: DataFrame, column: str = "json") -> DataFrame:
+    """A row for each metadata record of JSON arrays, with the names that the date analysis takes; a list, such as a history, counts by its first entry. Malformed JSON gives no rows."""
+    record = F.explode(F.from_json(column, "array<map<string,string>>")).alias("_r")
+    value = lambda tag: F.col("_r")[tag]
+    first = lambda v: F.when(F.startswith(v, F.lit("[")), F.get_json_object(v, "$[0]")).otherwise(v)
+    return documents.select(record).select(*[first(value(tag)).alias(name) for tag, name in EXIF_NAMES.items()])
+
+
 def exif(spark: SparkSession, location: str) -> DataFrame:
-    """Arrays of metadata records as rows with the names that the date analysis takes; a history list counts by its first entry."""
-    raw = spark.read.option("multiLine", "true").option("prefersDecimal", "false").option("primitivesAsString", "true").json(location)
-    names = {
-        "SourceFile": "path", "FileName": "filename", "XMP-photoshop:DateCreated": "xmp_ps_created", "XMP-xmp:CreateDate": "xmp_created",
-        "XMP-xmpMM:HistoryWhen": "xmp_history", "ExifIFD:DateTimeOriginal": "exif_original", "ExifIFD:CreateDate": "exif_created", "XMP-xmp:MetadataDate": "xmp_metadata",
-    }
-    field = lambda old: raw[f"`{old}`"] if old in raw.columns else F.lit(None).cast("string")
-    first = lambda c, old: F.get(c, F.lit(0)) if old in raw.columns and raw.schema[old].dataType.typeName() == "array" else c
-    return raw.select(*[first(field(old), old).cast("string").alias(new) for old, new in names.items()])
+    """The records of files of metadata JSON, one array or record in each."""
+    return exif_records(spark.read.text(location, wholetext=True), "value")
 
 
 def sidecar_text(documents: DataFrame, column: str = "text") -> DataFrame:

@@ -20,18 +20,40 @@ def process_new(stream: DataFrame, work: Callable[[DataFrame, int], None], progr
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", progress).trigger(availableNow=True).start()
 
 
+def _committed(location: str) -> str:
+    return location.rstrip("/") + ".committed"
+
+
+def current_version(spark: SparkSession, location: str) -> int | None:
+    """The last version that was written to its end, None before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("version long").parquet(_committed(location)).agg(F.max("version")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_current(spark: SparkSession, location: str) -> DataFrame:
+    """The table as of the last version that was written to its end."""
+    return spark.read.parquet(f"{location}/version={current_version(spark, location):012d}")
+
+
 def upsert_new(stream: DataFrame, location: str, key: list[str], order: list[str], progress: str) -> StreamingQuery:
-    """Keep the last row of each key in a Parquet table, in versions that are switched by a pointer in their name: readers take the highest."""
+    """Keep the last row of each key in a Parquet table of versions.
+
+    Each batch writes the whole next version and only then notes it as committed, beside the table, so ``read_current``
+    never sees one in the making. A batch that is run again writes its version again. Old versions stay until their folders are deleted.
+    """
     from tessera.operators.store import upsert
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{location}/version={number - 1:012d}"
-        if number == 0:
-            table = batch.limit(0)
-        else:
-            table = spark.read.parquet(before)
+        table = spark.read.parquet(f"{location}/version={number - 1:012d}") if number else batch.limit(0)
         upsert(table, batch, key, order).write.mode("overwrite").parquet(f"{location}/version={number:012d}")
+        spark.range(number, number + 1, 1, 1).withColumnRenamed("id", "version").write.mode("append").parquet(_committed(location))
 
     return process_new(stream, merge, progress)
 

@@ -204,3 +204,10 @@ OTHER_OVERHEAD = 0.002
 def rows(text: str, separator: str | None = " | ") -> list[list[str]]:
     """The lines of a table above, split."""
     return [[p.strip() for p in line.split(separator)] for line in text.strip().splitlines()]
+
+# Targets of video conversion, their extensions and names; image formats that are modern already.
+TARGETS = {
+    "Ffv1Mkv": ("MKV", "FFV1 MKV (Archival)"), "Av1Mp4": ("MP4", "AV1 MP4 (High Quality)"), "HevcLosslessMkv": ("MKV", "HEVC Lossless MKV (Archival)"),
+    "HevcMp4": ("MP4", "HEVC MP4 (High Quality)"), "Skip": ("", "Skip"),
+}
+MODERN_FORMATS = ("HEIC", "HEIF", "AVIF", "JXL")

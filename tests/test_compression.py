@@ -61,3 +61,49 @@ def test_frames_and_icons(spark):
     rows = [("a", "WebP", bytearray(webp(chunk(b"VP8L", b"x")))), ("b", "PNG", bytearray(png)), ("c", "JPEG", None)]
     got = C.with_compression(spark.createDataFrame(rows, "path string, format string, content binary")).collect()
     assert [tuple(r) for r in got] == [("a", True, 1), ("b", None, 7), ("c", False, 1)]
+
+
+def box(name, body):
+    return struct.pack(">I", 8 + len(body)) + name + body
+
+
+def hvcc(profile, chroma, extended=False):
+    return box(b"hvcC", bytes([1, profile, 8 if extended else 0]) + bytes(13) + bytes([chroma]) + bytes(6))
+
+
+def nested(*inner):
+    return box(b"ftyp", b"heic" + bytes(4)) + box(b"meta", bytes(4) + box(b"iprp", box(b"ipco", b"".join(inner))))
+
+
+def low_bits(*fields):
+    """Bytes of (value, width) fields from the lowest bit on."""
+    value = at = 0
+    for number, width in fields:
+        value, at = value | number << at, at + width
+    return b"\xff\x0a" + value.to_bytes((at + 7) // 8, "little")
+
+
+RGB, DEEP = box(b"colr", b"nclx" + bytes([0, 1, 0, 13, 0, 0, 128])), box(b"pixi", bytes([3, 12, 12, 12]))
+SMALL, BIG = ((1, 1), (3, 5), (1, 3)), ((0, 1), (1, 2), (900, 13), (0, 3), (0, 2), (300, 9))
+MOVING = ((0, 1), (1, 1), (5, 3), (1, 1), *SMALL, (0, 1), (1, 1), (0, 2), (2, 2), (9, 10), (1, 2), (3, 3), (0, 1))
+
+
+@pytest.mark.parametrize(("kind", "data", "expected"), [
+    ("HEIC", nested(hvcc(1, 3)), False), ("HEIC", nested(hvcc(4, 1), RGB), False), ("HEIC", nested(hvcc(4, 3)), True), ("HEIF", nested(hvcc(9, 0), RGB), True), ("HEIC", nested(hvcc(9, 0), DEEP), True),
+    ("HEIC", nested(hvcc(4, 0)), None), ("HEIC", nested(hvcc(7, 3, True)), True), ("HEIC", nested(hvcc(7, 0, True)), None), ("HEIC", nested(hvcc(7, 3)), False), ("HEIC", nested(b""), False),
+    ("HEIC", b"damaged!" + hvcc(4, 3), True),
+    ("AVIF", nested(box(b"av1C", bytes([129, 0, 0b1000, 0]))), False), ("AVIF", nested(box(b"av1C", bytes([129, 32, 0b100, 0])), RGB), True), ("AVIF", nested(box(b"av1C", bytes([129, 0, 0b100, 0]))), None),
+    ("AVIF", nested(box(b"av1C", bytes([129, 0, 0, 0]))), True), ("AVIF", nested(box(b"av1C", bytes([129, 32, 0, 0]))), None), ("AVIF", nested(box(b"av1C", bytes([129, 32, 0, 0])), DEEP), True), ("AVIF", nested(), None),
+    ("JXL", low_bits(*SMALL, (1, 1), (0, 8)), False), ("JXL", low_bits(*BIG, (0, 1), (0, 1), (0, 1), (0, 2), (0, 2), (0, 1), (0, 8)), True), ("JXL", low_bits(*SMALL, (0, 1), (0, 1), (1, 1), (3, 2), (9, 6), (4, 4), (0, 2), (1, 1)), False),
+    ("JXL", low_bits(*SMALL, *MOVING, (0, 1), (0, 2), (0, 2), (0, 1), (0, 8)), True), ("JXL", low_bits(*SMALL, (0, 1), (0, 1), (0, 1), (0, 2), (1, 2), (0, 1), (0, 8)), None), ("JXL", b"\xff\x0a\x00\x00", None),
+    ("JXL", box(b"JXL ", bytes(4)) + box(b"jbrd", b""), True), ("JXL", box(b"JXL ", bytes(4)) + box(b"jxlc", low_bits(*SMALL, (1, 1), (0, 8))), False), ("JXL", b"\xff", None),
+])
+def test_coded_streams_tell(kind, data, expected):
+    assert C.is_lossless(kind, data) is expected
+
+
+def test_jxl_as_specified():
+    plain = low_bits(*SMALL, (0, 1), (0, 1), (0, 1), (0, 2), (1, 1), (0, 2), (0, 1), (0, 8))
+    assert C.jxl_is_lossless(plain) is None and C.jxl_is_lossless(plain, strict=False) is True
+    part = box(b"JXL ", bytes(4)) + box(b"jxlp", bytes(4) + plain)
+    assert C.jxl_is_lossless(part, strict=False) is True

@@ -152,8 +152,44 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
         assert query.exception() is None
     last = spark.read.parquet(out).filter("version = 1").collect()
     assert sorted((r["path"], r["size"]) for r in last) == [("a", 2), ("b", 1)]
+    spark.createDataFrame([("half", 0, 0)], schema).write.parquet(f"{out}/version=000000000009")
+    assert resume.current_version(spark, out) == 1 and resume.current_version(spark, f"{out}-none") is None
+    assert sorted((r["path"], r["size"]) for r in resume.read_current(spark, out).collect()) == [("a", 2), ("b", 1)]
 
 
 def test_rules_are_read(spark):
     rules = {r["name"]: r for r in classify.classifier_rules(spark).collect()}
     assert len(rules) == 14 and rules["ICON"]["width_high"] == 512.0 and rules["ICON"]["has_alpha"] and rules["MEME"]["color_diversity_low"] == 0.2
+
+
+def test_large_images_are_sampled(spark):
+    many = [(k * 7919 >> 3) % 256 for k in range(120_000)]
+    images = spark.createDataFrame([(1, many, 400), (2, many * 10, 400), (3, [1, 2] * 30, 10), (4, [], 10), (5, None, 10)], "id long, px array<int>, width int")
+    colours = {r["id"]: r for r in pixels.distinct_colours(images, "id", "px").collect()}
+    contrast = {r["id"]: r["contrast"] for r in pixels.contrast(images, "id", "px").collect()}
+    for key, taken in ((1, many[::10]), (2, (many * 10)[::20]), (3, [1, 2] * 30)):
+        mean = sum(taken) / len(taken)
+        assert colours[key]["colours"] == len({v // 4 for v in taken}) and abs(contrast[key] - min((sum((v - mean) ** 2 for v in taken) / len(taken)) ** 0.5 / 80, 1)) < 1e-9
+    covered = {r["id"]: r for r in pixels.coverage(images, "id", "px", "width").collect()}
+    picked = [many[y * 400 + x] for y in range(1, 300, 2) for x in range(1, 400, 2)]
+    counts = sorted((picked.count(v) for v in set(picked)), reverse=True)
+    needed = next(k for k in range(1, len(counts) + 1) if sum(counts[:k]) >= int(len(picked) * 0.85))
+    assert (covered[1]["colours"], covered[1]["needed"]) == (len(counts), needed)
+    assert covered[3]["score"] == 0.0 and covered[3]["colours"] == 2
+    assert (covered[4]["colours"], covered[4]["needed"], contrast[4], contrast[5], colours[5]["colours"]) == (0, None, 0.0, None, None)
+
+
+def test_partial_names_match_brute_force(spark):
+    from tessera.operators import matching
+
+    names = ["IMG_0001", "IMG_00012", "IMG_0001 (1)", "IMG_0002", "xIMG_0001", "日本語の写真", "日本語の写真x", "abc", "a" * 10, "a" * 14, "a" * 15]
+    media = spark.createDataFrame([(f"/d/{n}.jpg", None, None) for n in names], "path string, document_id string, xmp_ref string")
+    sides = spark.createDataFrame([(f"/d/{n}.xmp", None, None, None) for n in names + ["IMG_000", "zz"]], "xmp_path string, document_id string, derived_from string, source string")
+    got = {(r["xmp_path"], r["path"]) for r in matching.sidecar_candidates(sides, media).filter("rank = 7").groupBy("xmp_path").agg(F.min("path").alias("path")).collect()}
+    expected = set()
+    for x in names + ["IMG_000", "zz"]:
+        size = lambda s: len(s.encode())
+        held = [m for m in names if size(x) >= 4 and (x in m or m in x) and min(size(x), size(m)) * 100 // max(size(x), size(m)) >= 70]
+        if held:
+            expected.add((f"/d/{x}.xmp", min(f"/d/{m}.jpg" for m in held)))
+    assert got == expected
