@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Words, chunks, encoded, ids_and_texts, mix, with_long_ids
+from tessera.llm.shared import Words, chunks, cut, encoded, ids_and_texts, mix, with_long_ids
 
 #: Words of a window, words that a window must hold besides placeholders, and windows of an item that a document must share.
 WINDOW, MIN_LITERAL, MIN_WINDOWS = 8, 4, 6
@@ -39,6 +39,7 @@ class Templates:
         digits = np.concatenate([[0], np.cumsum(digit)])
         number = digits[words.end] - digits[words.start] == words.end - words.start if n else np.zeros(0, bool)
         after = np.concatenate([[False], number[:-1]]) if n else number
+        after[words.first[:-1][words.first[:-1] < n]] = False
         at = np.minimum(np.searchsorted(unit_hashes, words.hash), len(unit_hashes) - 1)
         unit = after & (unit_hashes[at] == words.hash)
         name = np.zeros(n, bool)
@@ -150,6 +151,21 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, widths: list[in
     return with_long_ids(rows.mapInPandas(cut_up, "doc_id string, t1 long, pos long, h long, doc_slots array<long>"))
 
 
+def rare_windows(wanted: DataFrame) -> DataFrame:
+    """(h, item_id): for each item the windows at its rarest places, of which every leak has one.
+
+    A leak lacks fewer places than all but ``need``, so as many places and one more, whichever they are, meet every leak. Those
+    that the fewest items share are taken, so that a phrase which many items begin with makes no pairs of items and documents.
+    """
+    key = ["item_id", "need", "need_free"]
+    shared = wanted.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    places = wanted.join(shared, "h").groupBy(*key, "pos", "plain").agg(F.max("items").alias("items"))
+    every, kind = Window.partitionBy(*key), Window.partitionBy(*key, "plain")
+    rank = lambda w, needed: F.row_number().over(w.orderBy("items", "pos")) <= F.count(F.lit(1)).over(w) - F.col(needed) + 1
+    rare = places.select(*key, "pos", (rank(every, "need") | ~F.col("plain") & rank(kind, "need_free")).alias("rare")).filter("rare")
+    return wanted.join(rare, [*key, "pos"], "left_semi").select("h", "item_id").distinct()
+
+
 def united(places: str) -> Column:
     return F.size(F.array_distinct(F.flatten(F.collect_set(places)))).cast("long")
 
@@ -159,7 +175,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
 
     Numbers, units after a number, and capitalised words inside a sentence
     become typed placeholders; windows of ``WINDOW`` canonical words are
-    joined on their hash. Windows whose values are the item's own count. Those with other values at one shift between document and item
+    joined on their hash, first those of each item's rarest places, then all of the pairs that these find. Windows whose values are the item's own count. Those with other values at one shift between document and item
     count only if their placeholders' values map one to one, so that a
     question with other numbers or names matches and an accident doesn't. A
     leak has ``MIN_WINDOWS`` windows of the item, or all if it has fewer. Windows with fewer than ``MIN_LITERAL`` literal
@@ -169,13 +185,18 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
     without id or of fewer than ``MIN_ITEM_WORDS`` words are left out; repeated items count once. Empty
     tables give no row; other columns are ignored. ``reworded`` tells that some value differs.
     """
-    wanted = item_windows(items)
+    wanted = cut(item_windows(items))
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]
     hashes = [r["h"] for r in wanted.select("h").distinct().limit(max_broadcast + 1).collect()]
     known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= max_broadcast else None
     found = document_windows(docs, known, widths if hashes else [])
-    met = found.join(wanted, "h").withColumn("shift", found["pos"] - wanted["pos"])
-    met = met.select("doc_id", "t1", "item_id", "need", "need_free", "shift", "plain", wanted["pos"].alias("item_pos"), "item_slots", "doc_slots")
+    found = cut(found if known is not None else found.join(wanted.select("h").distinct(), "h", "left_semi"))
+    pairs = found.join(rare_windows(wanted), "h").select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item_id").distinct()
+    asked = pairs.join(wanted, "item_id")
+    same_text = found["doc_id"].eqNullSafe(asked["_doc"]) & (found["t1"] == asked["_t1"])
+    met = found.join(asked, same_text & (found["h"] == asked["h"])).withColumn("shift", found["pos"] - asked["pos"])
+    met = met.withColumn("item_pos", asked["pos"])
+    met = met.select("doc_id", "t1", "item_id", "need", "need_free", "shift", "plain", "item_pos", "item_slots", "doc_slots")
     key = ["doc_id", "t1", "item_id", "need", "need_free"]
     other = F.col("item_slots") != F.col("doc_slots")
     aligned = met.groupBy(*key, "shift").agg(

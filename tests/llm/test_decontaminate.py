@@ -1,6 +1,7 @@
 import random
+import re
 
-from tessera.llm.decontaminate import contamination, drop_contaminated, flag_contaminated
+from tessera.llm.decontaminate import UNITS, contamination, drop_contaminated, flag_contaminated
 
 ITEMS = [
     (1, "A farmer in Ohio named Tom Baker has 12 apples and gives 5 kg of them to his friend Tom before the long winter begins again."),
@@ -79,3 +80,100 @@ def test_verbatim_windows_beside_a_conflict(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["reworded"] for r in contamination(docs, items).collect()}
     assert got == {0: True, 1: False, 2: True}
+
+
+def described(text):
+    """(word, number or unit, name) of each word of an ASCII text, by the definition."""
+    out, end = [], 0
+    for m in re.finditer(r"[0-9A-Za-z]+", text):
+        word, number_before = m[0].lower(), bool(out) and out[-1][1] == "number"
+        kind = "number" if word.isdigit() else "unit" if number_before and word in UNITS else None
+        opens = not out or re.search(r'[.!?:\n"]', text[end : m.start()])
+        out.append((word, kind, m[0][0].isupper() and not opens))
+        end = m.end()
+    return out
+
+
+def described_windows(words, width):
+    """(place, what is compared, values of placeholders, plain) of every window."""
+    for at in range(len(words) - width + 1):
+        part = words[at : at + width]
+        found = []
+        for names in (True, False):
+            slot = [kind or ("name" if names and name else None) for _, kind, name in part]
+            if slot.count(None) >= min(4, width):
+                found.append((tuple(k or f"={w}" for k, (w, _, _) in zip(slot, part)), [w for k, (w, _, _) in zip(slot, part) if k], False))
+            elif not names:
+                found.append((("plain", *(w for w, _, _ in part)), [], True))
+        for shown, values, plain in found:
+            yield at, shown, values, plain
+
+
+def brute_leak(doc, item):
+    item, doc = described(item), described(doc)
+    if len(item) < 5:
+        return False
+    width = min(8, len(item))
+    mine = list(described_windows(item, width))
+    need = min(6, len(item) - width + 1)
+    canonical = sum(sum(kind is None for _, kind, _ in item[at : at + width]) >= min(4, width) for at in range(len(item) - width + 1))
+    shifts = {}
+    for at, shown, values, plain in described_windows(doc, width):
+        for place, wanted, own, _ in mine:
+            if shown == wanted:
+                shifts.setdefault(at - place, []).append((place, own, values, plain))
+    places, free = set(), set()
+    for rows in shifts.values():
+        pairs = {p for _, own, values, _ in rows if own != values for p in zip(own, values)}
+        good = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+        for place, own, values, plain in rows:
+            if good or own == values:
+                places.add(place)
+                free |= set() if plain else {place}
+    return len(places) >= need or len(free) >= (min(6, canonical) or 6)
+
+
+def test_matches_brute_force(spark):
+    rng = random.Random(88)
+    plain = "how many apples does the old farmer sell before each long winter day begins again near that stone bridge".split()
+
+    def made(kind):
+        out = []
+        for _ in range(rng.randint(5, 40)):
+            r = rng.random()
+            if kind != "named" and r < (0.6 if kind == "numeric" else 0.25):
+                out.append(str(rng.randint(1, 9)) + rng.choice(["", " kg", " days", " +"]))
+            elif kind != "numeric" and r > 0.75:
+                out.append(rng.choice(["Tom", "Ann", "Ohio", "Lee"]))
+            else:
+                out.append(rng.choice(plain) + rng.choice(["", "", "", ".", ","]))
+        return " ".join(out)
+
+    items = [made(kind) for kind in ("numeric", "named", "mixed") for _ in range(12)]
+    docs = []
+    for text in items:
+        swapped = re.sub(r"[0-9]+", lambda m: str(int(m[0]) + 20), text).replace("Tom", "Jim")
+        uneven = re.sub(r"[0-9]+", lambda m: str(rng.randint(1, 9)), text)
+        words = text.split()
+        for body in (text, swapped, uneven, " ".join(words[: len(words) // 2]), " ".join(words[:-1] + ["other"])):
+            docs.append(rng.choice(["", "so 5 ", "It was said: "]) + body + rng.choice(["", " kg and more 7"]))
+    docs += [made("mixed") for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    wanted = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(frame, wanted).collect()}
+    assert got == {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if brute_leak(doc, item)}
+    assert len(got) > 100
+
+
+def test_phrase_that_all_items_begin_with(spark):
+    """1,000 items and 1,000 documents share five windows: no pair of them is made, and a leak is still found."""
+    from tessera.llm import decontaminate
+
+    rng = random.Random(4)
+    start = "read the passage below with care and then answer what is asked "
+    items = spark.createDataFrame([(i, start + " ".join(f"w{rng.randint(0, 10**9)}x" for _ in range(12))) for i in range(1000)], "item_id long, text string")
+    texts = [(i, start + " ".join(f"v{rng.randint(0, 10**9)}y" for _ in range(12))) for i in range(999)] + [(999, items.filter("item_id = 7").first()["text"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rare = decontaminate.rare_windows(decontaminate.item_windows(items))
+    assert rare.groupBy("h").agg({"item_id": "count"}).filter("`count(item_id)` > 500").count() == 0
+    assert [(r["doc_id"], r["item_id"]) for r in contamination(docs, items).collect()] == [(999, 7)]
