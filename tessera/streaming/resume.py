@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.operators.store import upsert
+from tessera.sources import keyed
+
 
 def new_rows(spark: SparkSession, folder: str, schema, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """A stream of the rows of files that arrive in ``folder``."""
@@ -20,40 +23,23 @@ def process_new(stream: DataFrame, work: Callable[[DataFrame, int], None], progr
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", progress).trigger(availableNow=True).start()
 
 
-def _committed(location: str) -> str:
-    return location.rstrip("/") + ".committed"
-
-
-def current_version(spark: SparkSession, location: str) -> int | None:
-    """The last version that was written to its end, None before the first."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("version long").parquet(_committed(location)).agg(F.max("version")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def read_current(spark: SparkSession, location: str) -> DataFrame:
-    """The table as of the last version that was written to its end."""
-    return spark.read.parquet(f"{location}/version={current_version(spark, location):012d}")
-
-
-def upsert_new(stream: DataFrame, location: str, key: list[str], order: list[str], progress: str) -> StreamingQuery:
-    """Keep the last row of each key in a Parquet table of versions.
+def upsert_new(stream: DataFrame, location: str, key: list[str], order: list[str], progress: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the last row of each key in a keyed table (``tessera.sources.keyed``) of ``buckets`` buckets.
 
-    Each batch writes the whole next version and only then notes it as committed, beside the table, so ``read_current``
-    never sees one in the making. A batch that is run again writes its version again. Old versions stay until their folders are deleted.
+    A batch rewrites the buckets that its keys fall in and then commits the next version, so readers never see half of one, and a batch that
+    fails leaves the version before. A batch that is run again puts the same rows again. What the table has is told by its manifest, not by batch numbers: with a new
+    or lost progress folder all files are put once more on top of it.
     """
-    from tessera.operators.store import upsert
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        table = spark.read.parquet(f"{location}/version={number - 1:012d}") if number else batch.limit(0)
-        upsert(table, batch, key, order).write.mode("overwrite").parquet(f"{location}/version={number:012d}")
-        spark.range(number, number + 1, 1, 1).withColumnRenamed("id", "version").write.mode("append").parquet(_committed(location))
+        batch = batch.persist()
+        try:
+            if keyed.exists(batch.sparkSession, location):
+                keyed.put(batch, location, order)
+            else:
+                keyed.create(upsert(batch.limit(0), batch, key, order), location, key, buckets)
+        finally:
+            batch.unpersist()
 
     return process_new(stream, merge, progress)
 

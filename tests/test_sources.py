@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, text
 from tessera.operators import classify, pixels
 from tessera.sources import files, magic, probe
-from tessera.streaming import resume
 
 
 def png(*chunks):
@@ -141,22 +140,6 @@ def test_dithering():
     assert pixels.perceived_difference(np.array([0.0, 0, 0]), np.array([0.0, 10, 0])) == 20.0
 
 
-def test_stream_picks_up_new_files_once(spark, tmp_path):
-    source, out, seen = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "seen")
-    schema = "path string, size long, seq long"
-    for number, rows in enumerate([[("a", 1, 1), ("b", 1, 2)], [("a", 2, 3)], []]):
-        if rows:
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
-        query = resume.upsert_new(resume.new_rows(spark, str(source), schema), out, ["path"], ["seq"], seen)
-        query.awaitTermination(60)
-        assert query.exception() is None
-    last = spark.read.parquet(out).filter("version = 1").collect()
-    assert sorted((r["path"], r["size"]) for r in last) == [("a", 2), ("b", 1)]
-    spark.createDataFrame([("half", 0, 0)], schema).write.parquet(f"{out}/version=000000000009")
-    assert resume.current_version(spark, out) == 1 and resume.current_version(spark, f"{out}-none") is None
-    assert sorted((r["path"], r["size"]) for r in resume.read_current(spark, out).collect()) == [("a", 2), ("b", 1)]
-
-
 def test_rules_are_read(spark):
     rules = {r["name"]: r for r in classify.classifier_rules(spark).collect()}
     assert len(rules) == 14 and rules["ICON"]["width_high"] == 512.0 and rules["ICON"]["has_alpha"] and rules["MEME"]["color_diversity_low"] == 0.2
