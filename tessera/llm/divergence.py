@@ -35,10 +35,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         size = 0
 
         def passed() -> pd.DataFrame:
-            rows = [(*group, term, n, d) for group, terms in held.items() for term, (n, d) in terms.items()]
-            frame = pd.DataFrame(rows, columns=["lang", "source", "term", "n", "d"])
-            frame["term"] = [None if t is None else t.decode("utf-8", "replace") for t in frame["term"]]
-            return frame
+            shown = lambda t: None if t is None else t.decode("utf-8", "replace")
+            rows = [(*group, shown(term), n, d) for group, terms in held.items() for term, (n, d) in terms.items()]
+            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "d"], dtype=object)
 
         for batch in batches:
             for lang, source, text in zip(batch["lang"], batch["source"], encoded(batch["text"])):
@@ -144,7 +143,7 @@ def _distances(group: pd.DataFrame) -> pd.DataFrame:
         total += ((v if first else 0) - n_terms) * np.abs(blank - blank[g])
         others = np.flatnonzero((np.arange(len(names)) != g) & ((side != side[g]) | (side.min() == side.max())))
         out.append(pd.DataFrame({"source": names[g], "item": names[others], "value": total[others]}))
-    found = pd.concat(out) if out else pd.DataFrame({"source": [], "item": [], "value": []})
+    found = pd.concat(out).astype({"source": object, "item": object})
     return found.assign(lang=group["lang"].iloc[0])[["lang", "source", "item", "value"]]
 
 

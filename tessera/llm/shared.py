@@ -86,16 +86,44 @@ class Forest:
         return ids[moved], ids[self.root[moved]]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder, read back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, one of those that ``clean`` removes."""
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what the operators have written in this application. Results that are not yet read to their end or written elsewhere are lost."""
+    remove(spark, f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}")
+
+
+def written(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, in at most ``parts`` files, read back.
 
     For loops: a checkpoint keeps what Spark estimated of its size, and the
     estimates of joins multiply from round to round, to numbers of so many
-    digits that planning takes minutes. Files tell their true size.
+    digits that planning takes minutes. Files tell their true size. They stay
+    until ``forget`` or ``clean``.
     """
-    folder = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    folder = scratch(df.sparkSession, "written")
+    (df.coalesce(parts) if parts else df).write.parquet(folder)
+    back = df.sparkSession.read.schema(df.schema).parquet(folder)
+    back._scratch = folder
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``written`` gave, once nothing reads them any more."""
+    for frame in frames:
+        remove(frame.sparkSession, frame._scratch)
+
+
+#: Edges of one file of the rounds of connected components.
+FILE_EDGES = 500_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -104,18 +132,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds; each halves the depth of
     the trees, until they are stars. Edges and minima are written to the checkpoint folder each
     round, so that lost executors cost one step and both sides of each join
-    are plain scans, which lets Spark split a hub's partition.
+    are plain scans, which lets Spark split a hub's partition. Files are as many as the edges need, and a round's go when the next one's are there.
     """
     edges = written(_pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    parts = 1 + 2 * edges.count() // FILE_EDGES
     while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), parts)
         large = _pairs(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        large = written(large)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        joined = large.join(least, "a")
+        large = written(large, parts)
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), parts)
+        joined = large.join(lower, "a")
         small = joined.select("b", "m").union(joined.select(F.col("a").alias("b"), "m"))
-        edges = written(_pairs(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        nearer = written(_pairs(small.select(F.col("b").alias("a"), F.col("m").alias("b"))), parts)
+        forget(edges, least, large, lower)
+        edges = nearer
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).distinct()

@@ -6,6 +6,7 @@ as a few bits don't reach a share of 0.8, what bands of least hashes propose.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, mix, with_long_ids
+from tessera.llm.shared import Forest, block_tasks, connected_components, cut, ids_and_texts, mix, with_long_ids, written
 
 #: Fingerprints, about, of the bounded sample on which the trees are fitted: one in ``SAMPLE_SHARE``, but from ``SAMPLE`` to ``MAX_SAMPLE``, and never more than twice as many.
 SAMPLE, SAMPLE_SHARE, MAX_SAMPLE = 65_536, 64, 4_194_304
@@ -31,6 +32,8 @@ BANDS, BAND = 42, 6
 PASSES, PARTS = 4, 64
 #: Rows of one block of candidates, and shingles of one.
 COPY_BLOCK, COPY_BLOCK_SHINGLES = 512, 400_000
+#: Hubs that the open rows of a bucket are counted against, one after the other, before they meet each other.
+HUB_TURNS = 2
 #: Candidates that are counted together before looking which are still open, and shingles whose bits are summed in one step.
 COUNT_STEP, STEP_SHINGLES = 64, 65_536
 _ODD = np.uint64(0x100000001B3)
@@ -313,97 +316,133 @@ def alike_edges(sets: list[np.ndarray], ids: np.ndarray, sides: np.ndarray, shar
     return edges[0], edges[1]
 
 
-def proposals(nodes: DataFrame) -> DataFrame:
-    """(rep, hub, n): candidates among ``nodes`` (rep, sim, bands), each with the least of its bucket or shard; n tells how close it may be.
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, rep, size, hub, weight), written: which of ``nodes`` (rep, size, sim, bands) may be near copies of each other.
 
-    Buckets are bands of least hashes, and n counts those that both have. Where the
-    trees link fingerprints, n is above that.
+    Buckets are bands of least hashes, equal SimHash fingerprints, and each pair that the trees
+    link. Those with one member go; of those with the same members one stays, and weight is how many they were. hub is the least member.
     """
-    members = nodes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("bucket", "hub")
-    banded = members.join(hubs, "bucket").filter("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
+    banded = nodes.select("rep", "size", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("sim"), "sim")))).alias("bucket"))
     prints = cut(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("rep").alias("rep")))
-    equal = nodes.select("rep", "sim").join(prints.select(F.col("fp").alias("sim"), F.col("rep").alias("hub")), "sim").filter("rep <> hub").select("rep", "hub")
-    close = fingerprint_edges(prints).select(F.col("a").alias("rep"), F.col("b").alias("hub")).distinct()
-    return banded.unionByName(equal.unionByName(close).withColumn("n", F.lit(BANDS + 1).cast("long")))
+    close = fingerprint_edges(prints).distinct().select(F.explode(F.array("a", "b")).alias("rep"), F.xxhash64(F.lit("edge"), "a", "b").alias("bucket"))
+    sized = nodes.groupBy("rep").agg(F.max("size").alias("size"))
+    members = written(banded.unionByName(close.join(sized, "rep")).groupBy("bucket", "rep").agg(F.max("size").alias("size")))
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"x{k}") for k in (1, 2)]
+    same = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), *who).filter("n > 1")
+    kept = same.groupBy("n", "x1", "x2", "hub").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("weight"))
+    return written(members.join(kept.select("bucket", "hub", "weight"), "bucket"))
+
+
+def labelled(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """The members (bucket, rep, size) of buckets that hold more than one label; a label is what ``tied`` (node, component) says, else the row's own id."""
+    rows = members.join(tied, members["rep"] == tied["node"], "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("label"))
+    rows = written(rows)
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    return written(rows.join(open_, "bucket", "left_semi"))
 
 
 def dealt_apart(rows: DataFrame) -> DataFrame:
-    """Deal the rows (cell, label, rep, shingles) of each cell out to tasks of about two blocks that miss no pair of different labels.
+    """Deal the rows (bucket, label, rep, size) out to tasks (tile, block_a, block_b) of about two blocks that miss no pair of different labels in a bucket.
 
-    A cell of one block is one task. In a larger one each label of more than a
+    Small buckets share tiles of about a block. In a larger bucket each label of more than a
     block has blocks of its own, which aren't paired among themselves; the
     other labels share blocks. So one large group of tied rows meets only the others.
     """
-    weight = F.greatest(F.count(F.lit(1)) / F.lit(COPY_BLOCK), F.sum(F.size("shingles")) / F.lit(COPY_BLOCK_SHINGLES)).alias("weight")
-    sizes = cut(rows.groupBy("cell", "label").agg(weight))
-    large = sizes.groupBy("cell").agg(F.sum("weight").alias("whole")).filter("whole > 1")
-    parts = sizes.join(large, "cell").groupBy("cell", F.when(F.col("weight") > 1, F.col("label")).alias("home")).agg(F.ceil(F.sum("weight")).alias("blocks"))
-    cell = Window.partitionBy("cell")
-    parts = cut(
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(COPY_BLOCK), F.sum("size") / F.lit(COPY_BLOCK_SHINGLES)).alias("weight")
+    sizes = written(rows.groupBy("bucket", "label").agg(weight))
+    whole = written(sizes.groupBy("bucket").agg(F.sum("weight").alias("whole")))
+    tiles = max(1, math.ceil(whole.filter("whole <= 1").agg(F.sum("whole")).first()[0] or 0))
+    large = whole.filter("whole > 1").select("bucket")
+    tile = F.struct(F.lit(False).alias("alone"), F.pmod(F.xxhash64(F.lit("tile"), "bucket"), F.lit(tiles)).alias("tile"))
+    shared = rows.join(large, "bucket", "left_anti").withColumn("tile", tile).select("tile", "label", "rep").distinct()
+    shared = shared.select("tile", "label", "rep", *[F.lit(0).cast("long").alias(c) for c in ("block", "block_a", "block_b")])
+    parts = sizes.join(large, "bucket").groupBy("bucket", F.when(F.col("weight") > 1, F.col("label")).alias("home")).agg(F.ceil(F.sum("weight")).alias("blocks"))
+    cell = Window.partitionBy("bucket")
+    parts = written(
         parts.withColumn("first", F.sum("blocks").over(cell.orderBy("home").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))
         .withColumn("all", F.sum("blocks").over(cell))
     )
-    own = parts.filter("home is not null").select("cell", F.col("home").alias("label"), F.struct("first", "blocks", "all", F.lit(True).alias("alone")).alias("own"))
-    rest = parts.filter("home is null").select("cell", F.struct("first", "blocks", "all", F.lit(False).alias("alone")).alias("rest"))
-    whole = F.struct(F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("blocks"), F.lit(1).cast("long").alias("all"), F.lit(False).alias("alone"))
-    dealt = rows.join(own, ["cell", "label"], "left").join(rest, "cell", "left").withColumn("p", F.coalesce("own", "rest", whole))
+    own = parts.filter("home is not null").select("bucket", F.col("home").alias("label"), F.struct("first", "blocks", "all", F.lit(True).alias("alone")).alias("own"))
+    rest = parts.filter("home is null").select("bucket", F.struct("first", "blocks", "all", F.lit(False).alias("alone")).alias("rest"))
+    dealt = rows.join(large, "bucket", "left_semi").join(own, ["bucket", "label"], "left").join(rest, "bucket", "left").withColumn("p", F.coalesce("own", "rest"))
     dealt = dealt.withColumn("block", F.col("p.first") + F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("p.blocks")))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("p.all") - 1), lambda o: ~F.col("p.alone") | (o < F.col("p.first")) | (o >= F.col("p.first") + F.col("p.blocks")))
-    return dealt.select("cell", "label", "shingles", "block", F.explode(others).alias("other")).select(
-        "cell", "label", "shingles", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")
-    )
+    dealt = dealt.select(F.struct(F.lit(True).alias("alone"), F.col("bucket").alias("tile")).alias("tile"), "label", "rep", "block", F.explode(others).alias("other"))
+    return shared.unionByName(dealt.select("tile", "label", "rep", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those of ``pairs`` (rep, hub) with ``share`` or more of their shingles in common, as (a, b)."""
+    theirs = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    common = F.size(F.array_intersect("shingles", "hub_shingles"))
+    enough = 1_000_000 * common.cast("long") >= round(share * 1_000_000) * (F.size("shingles") + F.size("hub_shingles") - common).cast("long")
+    return pairs.join(sets, "rep").join(theirs, "hub").filter(enough).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+
+
+def copy_edges(members: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(a, b): links of near copies by ``share``, at least a forest of what the buckets of ``members`` hold; ``sets`` are (rep, shingles).
+
+    First each row is counted against the hub that it shares most buckets with. That ties large groups. Where a bucket still has
+    rows that aren't tied, ``HUB_TURNS`` more hubs are tried, by hash. What is then open in a bucket meets there, in tiles and blocks: ids
+    are dealt first, and shingles are fetched for each of them once per task. Nothing is grouped before it is verified, so a
+    bucket never grows with the chains that its members are in.
+    """
+
+    def counted(group: pa.Table) -> pa.Table:
+        lists = group["shingles"].combine_chunks()
+        bounds = lists.offsets.to_numpy()
+        sets = np.split(lists.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]], bounds[1:-1] - bounds[0])
+        a, b = alike_edges(sets, group["label"].to_numpy(), group["block"].to_numpy(), share)
+        return pa.table({"a": a, "b": b})
+
+    best = F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")
+    pairs = members.filter("rep <> hub").groupBy("rep", "hub").agg(F.sum("weight").alias("n")).groupBy("rep").agg(best)
+    edges = written(_alike(pairs, sets, share))
+    tied = connected_components(edges)
+    open_ = labelled(members, tied)
+    for turn in range(HUB_TURNS):
+        if open_.isEmpty():
+            return edges
+        hubs = open_.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), F.xxhash64(F.lit(turn), "rep")).alias("h")).select("bucket", "h.*")
+        again = open_.join(hubs, "bucket").filter("label <> hub_label").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("rep").agg(best)
+        more = written(_alike(again, sets, share))
+        edges = edges.unionByName(more)
+        if not more.isEmpty():
+            tied = connected_components(edges)
+            open_ = labelled(open_.select("bucket", "rep", "size"), tied)
+    tasks = dealt_apart(open_).join(sets, "rep").select("tile", "block_a", "block_b", "label", "block", "shingles")
+    return edges.unionByName(tasks.groupBy("tile", "block_a", "block_b").applyInArrow(counted, "a long, b long"))
 
 
 def copy_groups(docs: DataFrame, share: float = COPY_SHARE) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``, linked where ``share`` or more of the five-word shingles are common.
 
     Texts with the same shingles are one node. The trees over SimHash
-    fingerprints and bands of least hashes propose candidates. Each node is first counted
-    against the best of its candidates; what candidates tie together and
-    those counts don't meets in blocks, where each open pair that can have the share is counted. Texts
-    without words are one group. doc_id and component_id as in ``simhash_groups``.
+    fingerprints and bands of least hashes put nodes into buckets, and pairs in a bucket are counted exactly, as ``copy_edges``
+    tells. Texts without words are one group. doc_id and component_id as in ``simhash_groups``.
     """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_hashes(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "fp": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets],
+                "doc_id": batch["doc_id"], "fp": [xxhash.xxh128_hexdigest(x.tobytes()) for x in sets], "size": [len(x) for x in sets],
                 "sim": np.array([majority(x) for x in sets], np.uint64).view(np.int64), "bands": [bands_of(x).view(np.int64) for x in sets],
             })
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cell": batch["cell"], "rep": batch["rep"], "shingles": [shingle_hashes(t).view(np.int64) for t in batch["text"]]})
-
-    def counted(group: pa.Table) -> pa.Table:
-        lists = group["shingles"].combine_chunks()
-        bounds = lists.offsets.to_numpy()
-        sets = np.split(lists.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]], bounds[1:-1] - bounds[0])
-        a, b = alike_edges(sets, group["label"].to_numpy(), group["block"].to_numpy(), share)
-        return pa.table({"a": a, "b": b})
+            yield pd.DataFrame({"rep": batch["rep"], "shingles": [shingle_hashes(t).view(np.int64) for t in batch["text"]]})
 
     texts = ids_and_texts(docs)
-    prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, sim long, bands array<long>")))
+    prints = cut(with_long_ids(texts.mapInPandas(hashed, "doc_id string, fp string, size long, sim long, bands array<long>")))
     known = prints.filter("doc_id is not null")
-    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands")))
-    proposed = cut(proposals(nodes))
-    cells = connected_components(proposed.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    chosen = with_long_ids(texts).join(cells, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cell"), F.col("node").alias("rep"), "text")
-    sets = cut(chosen.dropDuplicates(["rep", "text"]).mapInPandas(sets_of, "cell long, rep long, shingles array<long>"))
-
-    best = cut(proposed.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")))
-    hub_sets = sets.join(best.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    common = F.size(F.array_intersect("shingles", "hub_shingles"))
-    alike = 1_000_000 * common.cast("long") >= round(share * 1_000_000) * (F.size("shingles") + F.size("hub_shingles") - common).cast("long")
-    tied = connected_components(best.join(sets, "rep").join(hub_sets, "hub").filter(alike).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-
-    rows = sets.join(tied, sets["rep"] == tied["node"], "left").select("cell", F.coalesce("component", "rep").alias("label"), "rep", "shingles")
-    open_ = cut(rows.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("cell"))
-    tasks = dealt_apart(cut(rows.join(open_, "cell", "left_semi")))
-    edges = tasks.groupBy("cell", "block_a", "block_b").applyInArrow(counted, "a long, b long")
-    groups = connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges))
+    nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "sim", "bands")]))
+    members = bucket_members(nodes)
+    reps = members.select("rep").distinct()
+    chosen = with_long_ids(texts).withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi")
+    sets = written(chosen.dropDuplicates(["rep", "text"]).mapInPandas(sets_of, "rep long, shingles array<long>"))
+    groups = connected_components(copy_edges(members, sets, share))
     return with_components(prints.select("doc_id", "fp"), nodes.select("fp", "rep"), groups)
 
 

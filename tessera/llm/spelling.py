@@ -104,6 +104,9 @@ def count_words(docs: DataFrame, min_chars: int = 6, slip: int | None = None) ->
     the CRC-32 of `doc_id:word`, the letter at that number modulo the length is missing in the document; the doc_id of a row without one is empty.
     """
 
+    def passed(held: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": list(held.values())})
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
         for batch in batches:
@@ -118,9 +121,9 @@ def count_words(docs: DataFrame, min_chars: int = 6, slip: int | None = None) ->
                     if len(word) >= min_chars:
                         held[word] += n
                 if len(held) > HELD_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield passed(held)
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        yield passed(held)
 
     return ids_and_texts(docs).mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -165,7 +168,8 @@ def _shard_links(group: pd.DataFrame) -> pd.DataFrame:
             note(word, near)
             if longer:
                 note(near, word)
-    return pd.DataFrame({"word": list(found), "n_near": [x[0] for x in found.values()], "near_n": [x[1] for x in found.values()], "near": [x[2] for x in found.values()]})
+    columns = {"word": list(found), "n_near": [x[0] for x in found.values()], "near_n": [x[1] for x in found.values()], "near": [x[2] for x in found.values()]}
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
 
 
 def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:
