@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -86,9 +88,17 @@ class Forest:
         return ids[moved], ids[self.root[moved]]
 
 
+#: Name of the part of the scratch folder that is in use; see ``temporary``.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="kept")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, one of those that ``clean`` removes."""
-    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -97,8 +107,19 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Remove what the operators have written in this application. Results that are not yet read to their end or written elsewhere are lost."""
-    remove(spark, f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}")
+    """Remove all that operators have written on their way in this application. Results that aren't read to their end or written elsewhere are lost."""
+    remove(spark, _scratch_root(spark))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What operators write on their way within this block goes at its end; their results must be written by then."""
+    before = _SCOPE.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        remove(spark, f"{_scratch_root(spark)}/{_SCOPE.get()}")
+        _SCOPE.reset(before)
 
 
 def written(df: DataFrame, parts: int | None = None) -> DataFrame:
