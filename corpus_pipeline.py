@@ -15,7 +15,7 @@ from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.language_id import session_filter
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.packing import pack_documents
-from tessera.llm.shared import clean, shared_folder, table
+from tessera.llm.shared import shared_folder, table, temporary
 from tessera.llm.simhash import drop_near_duplicates
 
 
@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        clean(spark)  # a stage that is written needs nothing of what it left on its way
+        with temporary(spark):  # a stage that is written needs nothing of what it left on its way
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
