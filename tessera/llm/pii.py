@@ -85,6 +85,8 @@ _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _MARK = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\bdot\s+(?:com|org|net|edu|gov|io|info|de|fr|es)\b", re.IGNORECASE)
 _RUN, _BLANK = re.compile(r"\S+"), re.compile(r"\s")
 _AT = frozenset(("at", "@"))
+_OCTET_SEPS = frozenset(".[]() ")
+_KINDS_OF = [[k for k in range(len(KINDS)) if mask >> k & 1] for mask in range(1 << len(KINDS))]
 
 
 class Window:
@@ -105,12 +107,19 @@ class Window:
                 continue
             digits = at = 0
             letters = False
+            numbers: list[str] = []
+            left = None
+            seps = ""  # characters between the numbers, distinct and sorted
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                last = tokens[j - 1][2]
-                if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
-                    break
+                first, _, last = tokens[j - 1]
+                if j > i + 1 and first > tokens[j - 2][1]:
+                    if first - tokens[j - 2][1] > 1:
+                        break
+                    if self.text[first - 1] not in seps:
+                        seps = "".join(sorted(seps + self.text[first - 1]))
                 if last.isdigit() and last.isascii():
                     digits += len(last)
+                    numbers.append(last)
                 elif last.isalpha():
                     letters = True
                     at += last.lower() == "at"
@@ -118,13 +127,18 @@ class Window:
                     at += last == "@"
                     if last not in "+().-/[]{}@_%<>":
                         break
+                    if last not in seps:
+                        seps = "".join(sorted(seps + last))
                 if not last.isalnum():
                     continue
                 if letters or at:
                     if at == 1 and last.isalpha() and (kinds := self._email(i, j)):
-                        yield i, j, kinds, self.features(i, j, digits)
+                        yield i, j, kinds, self._address(i, j, digits)
                 elif numeric and last.isdigit() and (j - i >= 2 and 4 <= digits <= 19 or 13 <= digits <= 19):
-                    yield i, j, 0b1110, self.features(i, j, digits)
+                    left = self._left(i) if left is None else left
+                    yield i, j, 0b1110, left + self._right(j, digits) + self._figure(i, digits, numbers, seps)
+                if digits > 19 and not at and numeric and not letters:
+                    break  # more digits than any number has, and no address starts with so many
 
     def _email(self, i: int, j: int) -> int:
         """1 if the segment reads like local part, at, domain, dot and a last label."""
@@ -134,47 +148,55 @@ class Window:
             return 0
         return int(k > 0 and "." in words[k:] or k > 0 and "dot" in words[k:])
 
-    def features(self, i: int, j: int, digits: int) -> list[str]:
-        tokens, text = self.tokens, self.text
-        start, end = tokens[i][0], tokens[j - 1][1]
-        inner = text[start:end]
-        found = ["bias", f"digits:{digits if digits < 20 else 20}", f"cue:{self.cue[i]}"]
-        if "@" in inner or re.search(r"(?i)[\[({<\s]at[\])}>\s]", inner):
-            found += ["email:at", f"email:tld{min(7, len(tokens[j - 1][2]))}"]
-            found.append("email:marked" if re.search(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", inner, re.IGNORECASE) else "email:bare")
-            found.append("email:dots" if re.search(r"\.\S|(?i:\bdot\b)", inner) else "email:nodot")
-        else:
-            groups = re.findall(r"[0-9]+", inner)
-            shape = "-".join(str(len(g)) for g in groups[:7])
-            seps = "".join(sorted(set(re.sub(r"[0-9]", "", inner))))
-            found += [f"shape:{shape}", f"seps:{seps}", f"groups:{min(8, len(groups))}", f"shape:{shape}|{seps}"]
-            if 13 <= digits <= 19:
-                found.append(f"luhn:{luhn(''.join(groups))}")
-            if len(groups) == 4:
-                found.append(f"octets:{all(int(g) <= 255 for g in groups)}|{seps if set(seps) <= set('.[]() ') else 'other'}")
-            if inner[0] in "+(":
-                found.append(f"opens:{inner[0]}")
-        before, after = text[start - 1 : start], text[end : end + 1]
-        if before and (before.isalnum() or before in "-_./@+=:#$€"):
-            found.append("glued:left")
-        if after and (after.isalnum() or after in "-_/@=:%" or after == "." and text[end + 1 : end + 2].isalnum()):
-            found.append("glued:right")
+    def _address(self, i: int, j: int, digits: int) -> list[str]:
+        tokens = self.tokens
+        inner = self.text[tokens[i][0] : tokens[j - 1][1]]
+        if "@" not in inner and not re.search(r"(?i)[\[({<\s]at[\])}>\s]", inner):
+            numbers = re.findall(r"[0-9]+", inner)
+            return self._left(i) + self._right(j, digits) + self._figure(i, digits, numbers, "".join(sorted(set(re.sub(r"[0-9]", "", inner)))))
+        marked = re.search(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", inner, re.IGNORECASE)
+        dots = re.search(r"\.\S|(?i:\bdot\b)", inner)
+        return [
+            *self._left(i), *self._right(j, digits), "email:at", f"email:tld{min(7, len(tokens[j - 1][2]))}",
+            "email:marked" if marked else "email:bare", "email:dots" if dots else "email:nodot",
+        ]
+
+    def _figure(self, i: int, digits: int, numbers: list[str], seps: str) -> list[str]:
+        shape = "-".join([str(len(g)) for g in numbers[:7]])
+        found = [f"shape:{shape}", f"seps:{seps}", f"groups:{min(8, len(numbers))}", f"shape:{shape}|{seps}"]
+        if 13 <= digits <= 19:
+            found.append(f"luhn:{luhn(''.join(numbers))}")
+        if len(numbers) == 4:
+            found.append(f"octets:{all([int(g) <= 255 for g in numbers])}|{seps if set(seps) <= _OCTET_SEPS else 'other'}")
+        if (opening := self.text[self.tokens[i][0]]) in "+(":
+            found.append(f"opens:{opening}")
         return found
 
+    def _left(self, i: int) -> list[str]:
+        start = self.tokens[i][0]
+        before = self.text[start - 1 : start]
+        glued = before and (before.isalnum() or before in "-_./@+=:#$€")
+        return ["bias", f"cue:{self.cue[i]}", "glued:left"] if glued else ["bias", f"cue:{self.cue[i]}"]
+
+    def _right(self, j: int, digits: int) -> list[str]:
+        text, end = self.text, self.tokens[j - 1][1]
+        after, size = text[end : end + 1], f"digits:{min(digits, 20)}"
+        glued = after and (after.isalnum() or after in "-_/@=:%" or after == "." and text[end + 1 : end + 2].isalnum())
+        return [size, "glued:right"] if glued else [size]
+
 
 class Field:
     """Weights of each feature for each kind; a token outside any entity scores nothing."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray):
-        self.index, self.weights = index, weights
+        self.weights = {name: tuple(weights[k].tolist()) for name, k in index.items()}
 
-    def scored(self, window: Window) -> list[tuple[int, int, int, float]]:
-        out = []
+    def scored(self, window: Window) -> Iterator[tuple[int, int, int, float]]:
+        weights = self.weights
         for i, j, mask, names in window.segments():
-            known = [self.index[f] for f in names if f in self.index]
-            scores = self.weights[known].sum(axis=0)
-            out += [(i, j, k, float(scores[k])) for k in range(len(KINDS)) if mask >> k & 1]
-        return out
+            sums = list(map(sum, zip(*[weights[f] for f in names if f in weights])))
+            for k in _KINDS_OF[mask]:
+                yield i, j, k, sums[k]
 
     def best(self, window: Window, margin: float = MARGIN) -> list[Span]:
         """Entities of the highest-scoring segmentation, boundaries and kinds together."""
@@ -298,16 +320,17 @@ def number_runs(text: str) -> Iterator[tuple[int, int]]:
 
 def windows(text: str) -> list[tuple[int, int]]:
     """Stretches around whatever could be part of an entity; outside them no segment is possible. In order, without overlap."""
+    marks = sorted([*number_runs(text), *(m.span() for m in _MARK.finditer(text))])
+    ends = [m.end() for m in _RUN.finditer(text)] if marks else []  # of the runs without white space, each found once
     found: list[list[int]] = []
-    for start, end in sorted([*number_runs(text), *(m.span() for m in _MARK.finditer(text))]):
+    for start, end in marks:
         a, b, low = start, end, found[-1][1] if found else 0
         for _ in range(CONTEXT_WORDS):
             if a <= low:
                 break
             a = max(max(text.rfind(c, low, max(low, a - 1)) for c in " \n\t") + 1, low)
-        for _ in range(CONTEXT_WORDS):
-            nxt = _RUN.search(text, b)
-            b = nxt.end() if nxt else len(text)
+        later = bisect.bisect_right(ends, b) + CONTEXT_WORDS - 1
+        b = ends[later] if later < len(ends) else len(text)
         if found and a <= low:
             found[-1][1] = max(low, b)
         else:

@@ -98,10 +98,55 @@ def test_windows_match_their_definition():
 
 def test_added_spans_take_linear_time():
     field = trained()
-    for piece in ["漢字" * 5 + "7" + "漢字" * 500, "漢字" * 500 + " ", "call (415) 555-0134 or mail a@b.co now, ", "1.2.3.4 ", "x" * 80 + "\n7 "]:
+    for piece in ["漢字" * 5 + "7" + "漢字" * 500, "漢字" * 500 + " ", "call (415) 555-0134 or mail a@b.co now, ", "1.2.3.4 ", "x" * 80 + "\n7 ", "[at]", "1.2.3.4", "a[at]b.c"]:
         took = []
         for n in (15_000, 30_000):
             text = (piece * (n // len(piece) + 1))[:n]
             base = base_spans(text)
             took.append(min(timeit.repeat(lambda: all_spans(text, base, field), number=1, repeat=2)))
         assert took[1] < 2.5 * took[0] + 0.1, (piece[:20], took)
+
+
+def all_segmentations(items, n, at=0):
+    """Every way to choose segments that don't overlap, as lists of (start, end, kind, score)."""
+    if at >= n:
+        yield []
+        return
+    yield from all_segmentations(items, n, at + 1)
+    for item in items:
+        if item[0] == at:
+            for rest in all_segmentations(items, n, item[1]):
+                yield [item, *rest]
+
+
+def test_best_segmentation_of_all():
+    from tessera.llm.pii import MARGIN, Window
+
+    rng, field, several = random.Random(8), trained(), 0
+    pieces = ["call +1 ", "415", "-", " ", "555", "0134", ".", "78.118.65.158", "bob", " [at] ", "x", "[dot]", "com", " card ", "4539", "(", ")", "id "]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(2, 9)))
+        window = Window(text, 0, len(text))
+        items = [(i, j, k, score - MARGIN) for i, j, k, score in field.scored(window) if score > MARGIN]
+        best = max(sum(x[3] for x in chosen) for chosen in all_segmentations(items, len(window.tokens)))
+        got = field.best(window)
+        scores = {(window.tokens[i][0], k, window.tokens[j - 1][1]): s for i, j, k, s in items}
+        assert all(a[2] <= b[0] for a, b in zip(sorted(got), sorted(got)[1:])) and abs(sum(scores[s] for s in got) - best) < 1e-9, text
+        several += len(items) > 2
+    assert several > 50
+
+
+def test_segments_state_features_of_their_text():
+    """Features that are built up token by token are those of the segment's text."""
+    from tessera.llm.pii import Window
+
+    rng = random.Random(9)
+    for _ in range(500):
+        text = "".join(rng.choice("0123456789 .-()+/@a") for _ in range(30))
+        window = Window(text, 0, len(text))
+        for i, j, mask, names in window.segments():
+            inner = text[window.tokens[i][0] : window.tokens[j - 1][1]]
+            if mask == 0b1110:
+                groups = re.findall("[0-9]+", inner)
+                assert f"shape:{'-'.join(str(len(g)) for g in groups[:7])}" in names and f"seps:{''.join(sorted(set(re.sub('[0-9]', '', inner))))}" in names
+                assert f"digits:{min(20, sum(map(len, groups)))}" in names
