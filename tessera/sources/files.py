@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths
 from tessera.operators.store import fingerprints
+from tessera.sources.logs import processed_paths
 
 
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, recursive: bool = True, content: bool = False) -> DataFrame:
@@ -36,8 +37,8 @@ def read_snapshot(spark: SparkSession, folder: str, key: str) -> DataFrame:
 
 
 def read_paths(spark: SparkSession, file: str) -> DataFrame:
-    """One path per line, blank lines left out."""
-    return spark.read.text(file).select(F.trim("value").alias("path")).filter("path <> ''").distinct()
+    """One path per line, blank lines left out; a file that isn't UTF-8 throughout has none."""
+    return processed_paths(spark, file)
 
 
 def write_paths(files: DataFrame, file: str) -> None:

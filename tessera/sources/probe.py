@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import color, sizes, text
-from tessera.schema import CHECKPOINT, PRECHECK, PROBE
+from tessera.schema import PRECHECK, PROBE
+from tessera.sources import logs
 
 
 def _long(column: Column) -> Column:
@@ -44,16 +45,40 @@ EXIF_NAMES = {
 
 
 def exif_records(documents: DataFrame, column: str = "json") -> DataFrame:
-    """A row for each metadata record of JSON arrays, with the names that the date analysis takes; a list, such as a history, counts by its first entry. Malformed JSON gives no rows."""
-    record = F.explode(F.from_json(column, "array<map<string,string>>")).alias("_r")
+    """A row for each metadata record of JSON arrays or of lone records, with the names that the date analysis takes; a list, such as a history, counts by its first entry. Malformed JSON gives no rows."""
+    array = F.when(F.rlike(column, F.lit(r"^\s*\{")), F.concat(F.lit("["), column, F.lit("]"))).otherwise(F.col(column))
+    record = F.explode(F.from_json(array, "array<map<string,string>>")).alias("_r")
     value = lambda tag: F.col("_r")[tag]
     first = lambda v: F.when(F.startswith(v, F.lit("[")), F.get_json_object(v, "$[0]")).otherwise(v)
     return documents.select(record).select(*[first(value(tag)).alias(name) for tag, name in EXIF_NAMES.items()])
 
 
+#: What every record of the tool starts with behind its brace. Inside a JSON string its quotes would have backslashes, so it stands only where a key or a value does.
+RECORD_KEY = '"SourceFile"'
+
+
+def split_records(chunks: DataFrame, column: str = "value") -> DataFrame:
+    """``chunks`` of text between one RECORD_KEY and the next, as JSON arrays of one record in ``column``: what belongs to the record after it is cut off."""
+    body = F.regexp_replace(column, r"\s*(,\s*\{|\])?\s*$", "")
+    return chunks.withColumn(column, F.concat(F.lit("[{" + RECORD_KEY), body, F.lit("]")))
+
+
 def exif(spark: SparkSession, location: str) -> DataFrame:
-    """The records of files of metadata JSON, one array or record in each."""
-    return exif_records(spark.read.text(location, wholetext=True), "value")
+    """The records of files of metadata JSON, one array or record in each, however large: Spark deals parts of a file to tasks, which start at records.
+
+    The tool writes a record's SourceFile first. A file in which that is the text of a value, too, or of which a record starts otherwise, is read whole, in one task.
+    """
+    parts = spark.read.option("lineSep", RECORD_KEY).text(location).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    like = lambda pattern: F.rlike("value", F.lit(pattern))
+    opening = like(r"^\s*\[\s*\{\s*$") & (F.col("file_block_start") == 0)
+    one = F.col("record").isNotNull() & like(r"^\s*:")
+    found = split_records(parts.withColumn("raw", F.col("value"))).withColumns({"record": F.from_json("value", "array<map<string,string>>"), "text": F.col("value"), "value": F.col("raw")})
+    shape = F.when(opening, "opening").when(one & like(r"\}\s*,\s*\{\s*$"), "next").when(one & like(r"\}\s*\]\s*$"), "last").otherwise("odd")
+    ends = [F.count_if(shape == k).alias(k) for k in ("opening", "last", "odd")]
+    odd = found.groupBy("file_path").agg(*ends).filter("opening <> 1 or last <> 1 or odd > 0").select("file_path")
+    split = exif_records(found.filter(~opening).join(odd, "file_path", "left_anti").select(F.col("text").alias("value")), "value")
+    whole = spark.read.text(location, wholetext=True).select("value", "_metadata.file_path").join(odd, "file_path", "left_semi")
+    return split.unionByName(exif_records(whole, "value"))
 
 
 def sidecar_text(documents: DataFrame, column: str = "text") -> DataFrame:
@@ -63,9 +88,8 @@ def sidecar_text(documents: DataFrame, column: str = "text") -> DataFrame:
 
 
 def checkpoint_log(spark: SparkSession, location: str) -> DataFrame:
-    """Lines of a checkpoint log with seq, their order: by file, then by line."""
-    lines = spark.read.schema(CHECKPOINT).json(location)
-    return lines.withColumn("seq", F.monotonically_increasing_id())
+    """Records of a checkpoint log's files with seq, their order: by file name, then by line. See ``logs`` for legacy and broken lines, and for logs of generations."""
+    return logs.records(logs.ordered_lines(spark, location))
 
 
 def run_counts(logs: DataFrame, column: str = "text") -> DataFrame:
