@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is ``spark.checkpoint.dir``; only a local master, whose executors are the driver, gets one of its own if that is unset.
+    Only a local master, whose executors are the driver itself, gets a folder of its own if that is unset.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

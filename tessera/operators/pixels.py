@@ -137,10 +137,27 @@ def window_ssim(a: np.ndarray, b: np.ndarray) -> float | None:
     return float(((2 * mx * my + C1) * (2 * cov + C2) / ((mx**2 + my**2 + C1) * (vx + vy + C2))).mean())
 
 
+def lanczos_weights(length: int, target: int, lobes: float = 3.0) -> np.ndarray:
+    """(target, length): what each of ``length`` pixels gives to each of ``target`` ones by a Lanczos filter of so many lobes; rows sum to 1.
+
+    Where the image shrinks the filter is as much wider; at the edges it is cut off.
+    """
+    ratio = length / target
+    scale = max(ratio, 1.0)
+    centre = (np.arange(target) + 0.5) * ratio
+    left = np.clip(np.floor(centre - lobes * scale), 0, length - 1)
+    right = np.clip(np.ceil(centre + lobes * scale), left + 1, length)
+    at = np.arange(length)
+    away = (at - (centre - 0.5)[:, None]) / scale
+    weights = np.where(np.abs(away) < lobes, np.sinc(away) * np.sinc(away / lobes), 0.0)
+    weights *= (at >= left[:, None]) & (at < right[:, None])
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def halved(a: np.ndarray) -> np.ndarray:
-    """Half the size, by means of two by two pixels."""
-    a = a[: a.shape[0] // 2 * 2, : a.shape[1] // 2 * 2].astype(float)
-    return (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4
+    """Half the size by a Lanczos filter of three lobes, columns first, then rows; the result is rounded and clamped to bytes."""
+    height, width = (n // 2 for n in a.shape)
+    return np.clip(np.floor(lanczos_weights(a.shape[0], height) @ a @ lanczos_weights(a.shape[1], width).T + 0.5), 0, 255)
 
 
 def multi_scale_ssim(a: np.ndarray, b: np.ndarray) -> float | None:
@@ -249,3 +266,69 @@ def dithering(rgb: np.ndarray) -> float:
     straight = perceived_difference(centre, right) + perceived_difference(centre, below)
     ordered = min(1.0, 4.0 * float(((straight > 40) & (diagonal < straight * 0.5))[grid].mean())) if grid.any() else 0.0
     return max(diffused, ordered)
+
+
+# Weights of red, green and blue, of rows and diagonals; lines taken; bounds of a gradient's steps and length, and of the share of bands in it.
+CHANNELS, ROWS_SHARE, ROW_STEP, DIAGONAL_STEP, LEAST_SIDE = (0.30, 0.59, 0.11), 0.70, 4, 8, 16
+GENTLE, BAND, BAND_GAP, LEAST_GRADIENT, BANDED = 20, 3, 3, 20, (0.08, 0.5)
+
+
+def gradient_bands(lines: np.ndarray, length: np.ndarray, rows: bool) -> tuple[float, int]:
+    """Sum and number of the shares of bands in the gradients of ``lines`` (line, place), of which ``length`` places are there.
+
+    A gradient is a run of gentle steps (above 0, below GENTLE); those above BAND are bands. It counts where a
+    step that isn't gentle ends it after more than LEAST_GRADIENT. Along ``rows`` a shorter run is carried on behind such a step, and bands are
+    more than BAND_GAP places apart; on diagonals it starts again.
+    """
+    n, total, regions = len(lines), 0.0, 0
+    long, bands, last = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+    for at in range(1, lines.shape[1]):
+        step = np.abs(lines[:, at] - lines[:, at - 1])
+        there = at < length
+        gentle = there & (step > 0) & (step < GENTLE)
+        long += gentle
+        band = gentle & (step > BAND) & ((at - last > BAND_GAP) if rows else True)
+        bands += band
+        last[band] = at
+        over = there & ~gentle & (long > LEAST_GRADIENT)
+        share = bands[over] / long[over]
+        good = share[(share > BANDED[0]) & (share < BANDED[1])]
+        total, regions = total + float(good.sum()), regions + len(good)
+        ended = over if rows else there & ~gentle
+        long[ended] = bands[ended] = 0
+        last[over] = at
+    return total, regions
+
+
+def diagonals(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The diagonals that start at every DIAGONAL_STEP of the upper edge, downwards to the right and to the left, padded, and their lengths."""
+    height, width = grey.shape
+    starts = np.arange(0, width, DIAGONAL_STEP)
+    first = np.concatenate([starts, starts[1:]])
+    turn = np.concatenate([np.ones(len(starts), int), -np.ones(len(starts) - 1, int)])
+    length = np.minimum(np.where(turn > 0, width - first, first + 1), height)
+    x = first[:, None] + turn[:, None] * np.arange(height)
+    return grey[np.arange(height)[None, :], np.clip(x, 0, width - 1)], length
+
+
+def banding(rgb: np.ndarray) -> float:
+    """From 0 to 1: how much of the gradients of an image (height, width, 3) goes in bands, along every fourth row of each channel and on diagonals of the grey image."""
+    height, width = rgb.shape[:2]
+    if min(height, width) < LEAST_SIDE:
+        return 0.0
+    rgb = rgb.astype(int)
+    rows = rgb[::ROW_STEP]
+    mean = lambda found: min(found[0] / found[1], 1.0) if found[1] else 0.0
+    along = sum(weight * mean(gradient_bands(rows[:, :, k], np.full(len(rows), width), True)) for k, weight in enumerate(CHANNELS))
+    across = mean(gradient_bands(*diagonals(rgb @ np.array([299, 587, 114]) // 1000), False))
+    return min(along * ROWS_SHARE + across * (1 - ROWS_SHARE), 1.0)
+
+
+def artefacts(images: DataFrame, key: str, column: str, width: str) -> DataFrame:
+    """key, banding, dithering of grey images given as flat rows of ``width``."""
+
+    def found(values: np.ndarray, width: int) -> tuple:
+        rgb = np.repeat(np.asarray(values, np.int64).reshape(-1, int(width), 1), 3, axis=2)
+        return banding(rgb), dithering(rgb)
+
+    return per_image(images, key, [column, width], found, "banding double, dithering double")

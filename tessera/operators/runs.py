@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions import errors, sizes
@@ -70,3 +70,36 @@ def copy_counts(files: DataFrame, copied: Column, skipped: Column) -> DataFrame:
     """One row: total, copied, skipped and failed, which are neither, of the files to copy."""
     done, left = F.coalesce(copied, F.lit(False)), F.coalesce(skipped, F.lit(False))
     return files.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("copied"), F.count_if(left & ~done).alias("skipped"), F.count_if(~done & ~left).alias("failed"))
+
+
+def _figures() -> list[Column]:
+    of = lambda k: F.count_if(F.col("outcome") == k)
+    done = F.col("outcome") == "succeeded"
+    summed = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0))
+    return [
+        F.count_if(F.col("outcome") != "paused").alias("total"), *[of(k).alias(k) for k in ("succeeded", "failed", "skipped", "paused")],
+        summed("input_size").alias("input_bytes"), summed("output_size").alias("output_bytes"),
+    ]
+
+
+def reported(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """``results`` (outcome, input_size, output_size), and what to ask for their figures once they are written: the pass that writes also counts.
+
+    A task that is tried again counts once, as only its successful end does. A stage that is run again, because its shuffle files were lost, may
+    count some rows twice: where that matters write first and take ``figures`` of what is there.
+    """
+    seen = Observation()
+    return results.observe(seen, *_figures()), seen
+
+
+def figures(results: DataFrame) -> DataFrame:
+    """One row: the same figures by an aggregate over ``results``."""
+    return results.agg(*_figures())
+
+
+def write_report(results: DataFrame, location: str) -> dict:
+    """Write ``results`` as Parquet and return their figures and the reduction in percent, in one pass."""
+    rows, seen = reported(results)
+    rows.write.parquet(location)
+    out = dict(seen.get)
+    return out | {"reduction": (1 - out["output_bytes"] / out["input_bytes"]) * 100 if out["input_bytes"] else 0.0}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans import catalog, files, scalars, search, store, streams
+from tessera.plans import catalog, files, layouts, scalars, search, store, streams
 
-MODULES = (store, catalog, scalars, streams, search, files)
+MODULES = (store, catalog, scalars, streams, search, files, layouts)
 PLACES = 6
 
 

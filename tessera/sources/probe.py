@@ -19,7 +19,11 @@ def parsed_probe(documents: DataFrame, column: str = "json") -> DataFrame:
 
     The video stream is the one with most frames, the last of equals.
     """
-    p = F.from_json(column, PROBE)
+    return with_figures(documents, F.from_json(column, PROBE))
+
+
+def with_figures(documents: DataFrame, p: Column) -> DataFrame:
+    """``documents`` with the figures of a probe ``p`` of the form PROBE."""
     streams = F.coalesce(p["streams"], F.array())
     videos = F.filter(streams, lambda s: s["codec_type"] == "video")
     ranked = F.transform(videos, lambda s, i: F.struct(F.coalesce(_long(s["nb_frames"]), F.lit(0).cast("bigint")).alias("n"), i.alias("i")))
