@@ -151,17 +151,20 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, widths: list[in
     return with_long_ids(rows.mapInPandas(cut_up, "doc_id string, t1 long, pos long, h long, doc_slots array<long>"))
 
 
-def rare_windows(wanted: DataFrame) -> DataFrame:
-    """(h, item_id): for each item the windows at its rarest places, of which every leak has one.
+def rare_windows(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, item_id): for each item the windows at its rarest places, of which every leak has one; ``found`` are the documents' windows.
 
     A leak lacks fewer places than all but ``need``, so as many places and one more, whichever they are, meet every leak. Those
-    that the fewest items share are taken, so that a phrase which many items begin with makes no pairs of items and documents.
+    are taken that make the fewest pairs of items and documents: by the number of items that share the window times that of its places in documents. So neither a phrase which many
+    items begin with nor one that many documents quote makes pairs.
     """
     key = ["item_id", "need", "need_free"]
     shared = wanted.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
-    places = wanted.join(shared, "h").groupBy(*key, "pos", "plain").agg(F.max("items").alias("items"))
+    met = found.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
+    shared = shared.join(met, "h", "left").select("h", (F.col("items") * F.coalesce("met", F.lit(0))).alias("pairs"))
+    places = wanted.join(shared, "h").groupBy(*key, "pos", "plain").agg(F.max("pairs").alias("pairs"))
     every, kind = Window.partitionBy(*key), Window.partitionBy(*key, "plain")
-    rank = lambda w, needed: F.row_number().over(w.orderBy("items", "pos")) <= F.count(F.lit(1)).over(w) - F.col(needed) + 1
+    rank = lambda w, needed: F.row_number().over(w.orderBy("pairs", "pos")) <= F.count(F.lit(1)).over(w) - F.col(needed) + 1
     rare = places.select(*key, "pos", (rank(every, "need") | ~F.col("plain") & rank(kind, "need_free")).alias("rare")).filter("rare")
     return wanted.join(rare, [*key, "pos"], "left_semi").select("h", "item_id").distinct()
 
@@ -187,11 +190,11 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
     """
     wanted = cut(item_windows(items))
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]
-    hashes = [r["h"] for r in wanted.select("h").distinct().limit(max_broadcast + 1).collect()]
-    known = np.sort(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= max_broadcast else None
-    found = document_windows(docs, known, widths if hashes else [])
+    hashes = wanted.select("h").distinct().limit(max_broadcast + 1).toArrow()["h"].to_numpy().astype(np.int64)
+    known = np.sort(hashes.view(np.uint64)) if len(hashes) <= max_broadcast else None
+    found = document_windows(docs, known, widths if len(hashes) else [])
     found = cut(found if known is not None else found.join(wanted.select("h").distinct(), "h", "left_semi"))
-    pairs = found.join(rare_windows(wanted), "h").select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item_id").distinct()
+    pairs = found.join(rare_windows(wanted, found), "h").select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), "item_id").distinct()
     asked = pairs.join(wanted, "item_id")
     same_text = found["doc_id"].eqNullSafe(asked["_doc"]) & (found["t1"] == asked["_t1"])
     met = found.join(asked, same_text & (found["h"] == asked["h"])).withColumn("shift", found["pos"] - asked["pos"])
@@ -217,7 +220,11 @@ def contamination(docs: DataFrame, items: DataFrame, max_broadcast: int = MAX_BR
 
 
 def flag_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, item_ids (sorted), n_windows, reworded."""
+    """One row per row of ``docs``: doc_id, contaminated, item_ids (sorted), n_windows, reworded.
+
+    What leaks is told by ``contamination``. Null and empty texts leak nothing (false, no ids, 0, false). Rows with the same doc_id, or
+    none, are judged by their own texts, repeated ones alike. An empty table gives no row, empty ``items`` only clean ones; other columns of both, whatever their names, are ignored.
+    """
     leaks = (
         contamination(docs, items).groupBy(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"))
         .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("n_windows").alias("n_windows"), F.max("reworded").alias("reworded"))
@@ -230,7 +237,11 @@ def flag_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that leak a benchmark item."""
+    """``docs`` without the rows that leak a benchmark item, by ``contamination``.
+
+    Rows stay as they are, with all columns, whatever their names. Null and empty texts stay; rows with the same doc_id, or none, are judged by their own texts, repeated ones
+    alike. An empty table stays empty, and with empty ``items`` all rows stay.
+    """
     leaks = contamination(docs, items).select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1")).distinct()
     same = docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"].cast("string")) == leaks["_t1"])
     return docs.join(leaks, same, "left_anti")

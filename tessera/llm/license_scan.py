@@ -120,16 +120,25 @@ wtfpl | what the | you just do what the f\\w+ you want to
 #: Form of a rule -> (priority, confidence).
 FORMS = {"notice": (5, 1.0), "tag": (4, 1.0), "grant": (3, 0.95), "url": (2, 0.9), "field": (2, 0.8), "name": (1, 0.6)}
 _GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|governed|redistributed|shared|offered)(?: \w+){0,2} (?:under|by|with) (?:the )?(?:terms of )?(?:the )?"
+def needed(pattern: str) -> tuple[str, ...]:
+    """Pieces of three letters or more that every match of a rule's pattern holds: what stands outside groups, classes and options."""
+    while (outer := re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\{[^}]*\})?|\[[^\]]*\]\??", "\0", pattern)) != pattern:
+        pattern = outer
+    pieces = re.sub(r"\\.[+*?]?|.[?*]|[{}+]", "\0", pattern).split("\0")
+    return () if "|" in pattern else tuple(sorted({p for p in pieces if len(p) > 2}, key=len, reverse=True))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
     form: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
+    needs: tuple[str, ...]
 
     @classmethod
     def of(cls, label: str, form: str, keywords: str, pattern: str) -> Rule:
-        return cls(label, form, tuple(keywords.split("|")), re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"))
+        return cls(label, form, tuple(keywords.split("|")), re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), needed(pattern))
 
 
 def _fields(lines: str, n: int) -> Iterator[list[str]]:
@@ -158,7 +167,7 @@ GATE = tuple(sorted({word.encode() for rule in rules() for word in rule.keywords
 
 
 class Scanner:
-    """Keyword automaton before the rules; only rules whose keyword occurs are run."""
+    """Keyword automaton before the rules; only rules whose keyword and whose needed pieces occur are run."""
 
     def __init__(self) -> None:
         self.rules = rules()
@@ -173,7 +182,7 @@ class Scanner:
 
     def detections(self, words: str) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) in characters of ``words``, lower-case words with one space between; overlaps resolved."""
-        gated = sorted({i for _, which in self.automaton.iter(words) for i in which})
+        gated = [i for i in sorted({i for _, which in self.automaton.iter(words) for i in which}) if all(piece in words for piece in self.rules[i].needs)]
         found = [(m.start(), m.end(), i) for i in gated for m in self.rules[i].pattern.finditer(words)]
         return [(a, b, self.rules[i]) for a, b, i in self.resolved(found)]
 

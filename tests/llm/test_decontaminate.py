@@ -174,6 +174,23 @@ def test_phrase_that_all_items_begin_with(spark):
     items = spark.createDataFrame([(i, start + " ".join(f"w{rng.randint(0, 10**9)}x" for _ in range(12))) for i in range(1000)], "item_id long, text string")
     texts = [(i, start + " ".join(f"v{rng.randint(0, 10**9)}y" for _ in range(12))) for i in range(999)] + [(999, items.filter("item_id = 7").first()["text"])]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    rare = decontaminate.rare_windows(decontaminate.item_windows(items))
+    wanted = decontaminate.item_windows(items)
+    rare = decontaminate.rare_windows(wanted, decontaminate.document_windows(docs, None, [8]))
     assert rare.groupBy("h").agg({"item_id": "count"}).filter("`count(item_id)` > 500").count() == 0
     assert [(r["doc_id"], r["item_id"]) for r in contamination(docs, items).collect()] == [(999, 7)]
+
+
+def test_passage_that_many_documents_quote(spark):
+    """A passage of one item that 500 documents quote, too short for a leak, isn't where its leaks are looked for."""
+    from tessera.llm import decontaminate
+
+    rng = random.Random(6)
+    quoted = " ".join(f"q{k}z" for k in range(12))  # five windows
+    rest = " ".join(f"r{k}z" for k in range(20))
+    items = spark.createDataFrame([(1, f"{rest} {quoted}")], "item_id long, text string")
+    texts = [(i, quoted + " " + " ".join(f"v{rng.randint(0, 10**9)}y" for _ in range(9))) for i in range(500)] + [(500, f"see {rest} {quoted}"), (501, rest)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    wanted, found = decontaminate.item_windows(items), decontaminate.document_windows(docs, None, [8])
+    rare = decontaminate.rare_windows(wanted, found)
+    assert found.join(rare, "h").select("doc_id").distinct().count() == 2
+    assert sorted(r["doc_id"] for r in decontaminate.flag_contaminated(docs, items).filter("contaminated").collect()) == [500, 501]

@@ -3,7 +3,7 @@ import re
 import time
 from re import _parser
 
-from tessera.llm.license_scan import BASE, GATE, Scanner, rules, scan_licenses, scan_text
+from tessera.llm.license_scan import BASE, FORMS, GATE, Scanner, rules, scan_licenses, scan_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -95,6 +95,8 @@ def test_keywords_are_in_every_alternative():
         for text in samples(_parser.parse(rule.pattern.pattern)):
             assert rule.pattern.fullmatch(text), (rule, text)
             assert any(word in text for word in rule.keywords), (rule, text)
+            assert all(piece in text for piece in rule.needs), (rule, text)
+    assert sum(bool(rule.needs) for rule in rules()) > 200
 
 
 def test_labels_that_no_gate_may_lose():
@@ -117,3 +119,24 @@ def test_dense_detections_take_linear_time():
         words = WORD.findall(lower(text.decode()))
         assert len(spans) == 2 * n and all(" ".join(words[a:b]) in ("spdx license identifier mit", "licensed under the apache license version 2 0") for a, b, _, _ in spans)
     assert took[1] < 2.5 * took[0] + 0.2, took
+
+
+def test_rule_layer_matches_a_plain_scan():
+    """Every rule over every text without gates, and suppression by holding each detection against all better ones."""
+    scanner, rng, several = Scanner(), random.Random(12), 0
+    phrases = [rng.choice(samples(_parser.parse(rule.pattern.pattern))) for rule in scanner.rules for _ in range(2)]
+    for _ in range(400):
+        text = " ".join(rng.choice([rng.choice(phrases), "the", "mit", "license", "version 2", "under", "x", "licensed under the", "public"]) for _ in range(rng.randint(1, 9)))
+        words = " ".join(WORD.findall(text))
+        found = [(m.start(), m.end(), i) for i, rule in enumerate(scanner.rules) for m in rule.pattern.finditer(words)]
+        priority = lambda x: (-FORMS[scanner.rules[x[2]].form][0], x[0] - x[1], x[2])
+        kept = []
+        for x in sorted(found, key=priority):
+            if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+                kept.append(x)
+        expected = [(words[:a].count(" "), words[:b].count(" ") + 1, scanner.rules[i].label, scanner.rules[i].form) for a, b, i in sorted(kept)]
+        got = scan_text(scanner, text.encode())
+        assert got["spans"] == expected, text
+        assert got["labels"] == {x[2] for x in expected} | got["base"]
+        several += len(found) > len(kept) > 1
+    assert several > 30
