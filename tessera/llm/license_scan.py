@@ -90,7 +90,7 @@ cc0 | cc0|creative commons zero|public domain dedication | (?:cc0(?: 1 0)?(?: un
 cc-by | cc by|creative | (?:cc by|creative commons attribution)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by [1234] [05] | creativecommons org licenses by [1234]
 cc-by-sa | cc by|share | (?:cc by sa|creative commons attribution share ?alike)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by sa [1234] [05] | creativecommons org licenses by sa
 cc-by-nd | cc by|deriv | (?:cc by nd|creative commons attribution no ?derivs?(?:ative)?s?)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nd [1234] [05] | creativecommons org licenses by nd
-cc-by-nc | cc by|non | (?:cc by nc|creative commons attribution non ?commercial)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nc [1234] [05] | creativecommons org licenses by nc [1234]
+cc-by-nc | cc by|attribution non | (?:cc by nc|creative commons attribution non ?commercial)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nc [1234] [05] | creativecommons org licenses by nc [1234]
 cc-by-nc-sa | cc by|share | (?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nc sa [1234] [05] | creativecommons org licenses by nc sa
 cc-by-nc-nd | cc by|deriv | (?:cc by nc nd|creative commons attribution non ?commercial no ?derivs?(?:ative)?s?)(?: [1234] [05])?(?: international| unported)?(?: licen[cs]e)? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd
 odbl | odbl|open database | (?:odbl|open database licen[cs]e)(?:(?: version| v)? 1 0)? | odbl 1 0 | opendatacommons org licenses odbl
