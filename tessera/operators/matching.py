@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import values as V
 from tessera.functions import paths
+from tessera.operators.lineage import settle
 
 STRATEGIES = (
     "direct_match", "same_name", "case_insensitive", "xmp_metadata", "document_id", "fuzzy_match", "xmp_ref_scan", "partial_match", "subdirectory",
@@ -45,31 +46,40 @@ def sidecar_candidates(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     pieces that any contained name must have, and the comparison follows.
     """
     s, m = _keyed_sidecars(sidecars), _keyed_media(media)
-    usable = m.filter("m_media")
-    joined = []
+    return _by_names(s, m).unionByName(_by_pieces(s, m))
+
 
-    def equal(rank: int, left: Column, right: Column, among: DataFrame = usable, rest: int = 0, directory: bool = True) -> None:
-        key = F.struct(F.col("m_dir") if directory else F.lit(""), right)
-        least = among.filter(right.isNotNull() & (right != "")).groupBy(key.alias("_m")).agg(F.min("path").alias("path"))
-        keyed = s.filter(left != "").withColumn("_s", F.struct(F.col("x_dir") if directory else F.lit(""), left))
-        found = keyed.join(least, F.col("_s") == F.col("_m")).select("xmp_path", "path", F.lit(rank).alias("rank"), F.lit(rest).alias("rest"))
-        joined.append(found.filter("path <> xmp_path"))
+def _equal(s: DataFrame, among: DataFrame, rank: int, left: Column, right: Column, rest: int = 0, directory: bool = True) -> DataFrame:
+    """Candidates whose keys are equal, in one directory or anywhere."""
+    key = F.struct(F.col("m_dir") if directory else F.lit(""), right)
+    least = among.filter(right.isNotNull() & (right != "")).groupBy(key.alias("_m")).agg(F.min("path").alias("path"))
+    keyed = s.filter(left != "").withColumn("_s", F.struct(F.col("x_dir") if directory else F.lit(""), left))
+    found = keyed.join(least, F.col("_s") == F.col("_m")).select("xmp_path", "path", F.lit(rank).alias("rank"), F.lit(rest).alias("rest"))
+    return found.filter("path <> xmp_path")
 
+
+def _by_names(s: DataFrame, m: DataFrame) -> DataFrame:
+    """Candidates of the strategies that compare whole names, 0 to 5."""
+    usable = m.filter("m_media")
     inside = lambda child: F.concat(F.col("x_dir"), F.lit("/"), child)
     bare = F.when(F.lower(F.col("xmp_path")).endswith(".xmp"), F.expr("left(xmp_path, char_length(xmp_path) - 4)"))
-    equal(0, bare, F.col("path"), among=m, directory=False)
-    equal(1, F.col("x_low"), F.col("m_low"))
-    equal(1, F.col("x_root"), F.col("m_root"))
-    equal(2, F.col("x_low"), F.col("m_low"))
-    equal(3, F.when(~F.contains("derived_from", F.lit("uuid:")), inside(F.col("derived_from"))), F.col("path"), among=m, directory=False)
-    equal(3, inside(F.col("source")), F.col("path"), among=m, rest=1, directory=False)
-    equal(4, F.when(paths.is_uuid_name(F.col("x_stem")), F.col("document_id")), F.trim("document_id"))
-    equal(5, F.col("x_plain"), F.col("m_plain"))
-    equal(5, F.when(F.col("x_plain") != "", F.col("x_plain_root")), F.col("m_plain_root"))
-    equal(6, F.col("x_name"), F.col("_piece"), among=_named_in_tags(usable))
+    return _union([
+        _equal(s, m, 0, bare, F.col("path"), directory=False),
+        _equal(s, usable, 1, F.col("x_low"), F.col("m_low")), _equal(s, usable, 1, F.col("x_root"), F.col("m_root")), _equal(s, usable, 2, F.col("x_low"), F.col("m_low")),
+        _equal(s, m, 3, F.when(~F.contains("derived_from", F.lit("uuid:")), inside(F.col("derived_from"))), F.col("path"), directory=False),
+        _equal(s, m, 3, inside(F.col("source")), F.col("path"), rest=1, directory=False),
+        _equal(s, usable, 4, F.when(paths.is_uuid_name(F.col("x_stem")), F.col("document_id")), F.trim("document_id")),
+        _equal(s, usable, 5, F.col("x_plain"), F.col("m_plain")), _equal(s, usable, 5, F.when(F.col("x_plain") != "", F.col("x_plain_root")), F.col("m_plain_root")),
+    ])
+
+
+def _by_pieces(s: DataFrame, m: DataFrame) -> DataFrame:
+    """Candidates of the strategies that look into names or upwards, 6 to 8. Names are cut into pieces only in directories that have a sidecar of ``s``."""
+    usable = m.filter("m_media")
+    beside = usable.join(s.select(F.col("x_dir").alias("m_dir")).distinct(), "m_dir", "left_semi")
     parents = usable.withColumn("_up", F.explode(F.array_distinct(F.array("m_dir", paths.directory(F.col("m_dir")))))).drop("m_dir").withColumnRenamed("_up", "m_dir")
-    equal(8, F.col("x_low"), F.col("m_low"), among=parents)
-    return _union(joined).unionByName(_partial(s, usable))
+    tagged = _equal(s, _named_in_tags(beside), 6, F.col("x_name"), F.col("_piece"))
+    return _union([tagged, _partial(s, beside), _equal(s, parents, 8, F.col("x_low"), F.col("m_low"))])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -109,8 +119,15 @@ def _partial(s: DataFrame, usable: DataFrame) -> DataFrame:
 
 
 def sidecar_cascade(sidecars: DataFrame, media: DataFrame) -> DataFrame:
-    """xmp_path, media_path, strategy: what the first strategy that finds anything finds, the least path first; no_match for none."""
-    best = sidecar_candidates(sidecars, media).groupBy("xmp_path").agg(F.min(F.struct("rank", "rest", "path")).alias("best"))
+    """xmp_path, media_path, strategy: what the first strategy that finds anything finds, the least path first; no_match for none.
+
+    What whole names tell is settled first; names are cut into pieces only for the sidecars that are left, and only beside them.
+    """
+    s, m = _keyed_sidecars(sidecars), _keyed_media(media)
+    first = lambda found: found.groupBy("xmp_path").agg(F.min(F.struct("rank", "rest", "path")).alias("best"))
+    named_alike = settle(first(_by_names(s, m)))
+    left = settle(s.join(named_alike, "xmp_path", "left_anti"))
+    best = named_alike.unionByName(first(_by_pieces(left, m)))
     named = F.get(F.array(*[F.lit(x) for x in STRATEGIES]), F.col("best.rank"))
     return sidecars.select("xmp_path").join(best, "xmp_path", "left").select(
         "xmp_path", F.col("best.path").alias("media_path"), F.coalesce(named, F.lit("no_match")).alias("strategy")
