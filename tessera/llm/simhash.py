@@ -344,17 +344,21 @@ def labelled(members: DataFrame, tied: DataFrame) -> DataFrame:
 def dealt_apart(rows: DataFrame) -> DataFrame:
     """Deal the rows (bucket, label, rep, size) out to tasks (tile, block_a, block_b) of about two blocks that miss no pair of different labels in a bucket.
 
-    Small buckets share tiles of about a block. In a larger bucket each label of more than a
+    Small buckets share tiles of about a block; those of one least member, which have much the same rows, share one tile if together they are no more than a block, so that a
+    row is in few tiles. In a larger bucket each label of more than a
     block has blocks of its own, which aren't paired among themselves; the
     other labels share blocks. So one large group of tied rows meets only the others.
     """
     weight = F.greatest(F.count(F.lit(1)) / F.lit(COPY_BLOCK), F.sum("size") / F.lit(COPY_BLOCK_SHINGLES)).alias("weight")
-    sizes = written(rows.groupBy("bucket", "label").agg(weight))
-    whole = written(sizes.groupBy("bucket").agg(F.sum("weight").alias("whole")))
-    tiles = max(1, math.ceil(whole.filter("whole <= 1").agg(F.sum("whole")).first()[0] or 0))
+    sizes = written(rows.groupBy("bucket", "label").agg(weight, F.min("rep").alias("least")))
+    whole = written(sizes.groupBy("bucket").agg(F.sum("weight").alias("whole"), F.min("least").alias("least")))
+    small = whole.filter("whole <= 1")
+    together = small.groupBy("least").agg(F.sum("whole").alias("together"))
+    tiles = max(1, math.ceil(together.agg(F.sum("together")).first()[0] or 0))
     large = whole.filter("whole > 1").select("bucket")
-    tile = F.struct(F.lit(False).alias("alone"), F.pmod(F.xxhash64(F.lit("tile"), "bucket"), F.lit(tiles)).alias("tile"))
-    shared = rows.join(large, "bucket", "left_anti").withColumn("tile", tile).select("tile", "label", "rep").distinct()
+    home = F.when(F.col("together") <= 1, F.xxhash64(F.lit("least"), "least")).otherwise(F.xxhash64(F.lit("bucket"), "bucket"))
+    tile = F.struct(F.lit(False).alias("alone"), F.pmod(home, F.lit(tiles)).alias("tile")).alias("tile")
+    shared = rows.join(small.join(together, "least").select("bucket", tile), "bucket").select("tile", "label", "rep").distinct()
     shared = shared.select("tile", "label", "rep", *[F.lit(0).cast("long").alias(c) for c in ("block", "block_a", "block_b")])
     parts = sizes.join(large, "bucket").groupBy("bucket", F.when(F.col("weight") > 1, F.col("label")).alias("home")).agg(F.ceil(F.sum("weight")).alias("blocks"))
     cell = Window.partitionBy("bucket")

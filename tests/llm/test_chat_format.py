@@ -75,3 +75,15 @@ def test_null_and_unknown_parts(spark):
     assert [(a["kind"], a["part"], a["tokens"]) for a in r[0]["attachments"]] == [("unknown", 0, 0), ("unknown", 1, 9), ("unknown", 3, 0), ("image", 5, 256)]
     assert r[0]["n_unknown"] == 3 and r[0]["n_attachment_tokens"] == 265 and read_back(r[0]["formatted"]) == [("assistant", "words")]
     assert r[1]["n_unknown"] == 0 and read_back(r[1]["formatted"]) == [("user", "")]
+
+
+def test_a_conversation_of_100_000_turns(spark):
+    from pyspark.sql import functions as F
+
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("[INST] "), "id").alias("text"))
+    got = digests(format_conversations(rows)).first()
+    turns = [("assistant" if k % 2 else "user", f"[INST] {k}") for k in range(100_000)]
+    said = "".join(text for who, text in turns if who == "assistant")
+    assert got["n_turns"] == 100_000 and got["turns_sha256"] == hashlib.sha256("".join(f"{who}\n{text}\n" for who, text in turns).encode()).hexdigest()
+    assert got["loss_chars"] == len(said) and got["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()

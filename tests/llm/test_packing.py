@@ -66,3 +66,39 @@ def test_documents(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= spans[0][2]
     assert len({r["shard"] for r in got}) > 1
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_fill(falling, at, size):
+    total = 0
+    for n in falling[at:]:
+        if n and total + n <= size:
+            total += n
+    return max(1, total)
+
+
+def test_fill_and_choice_among_sizes_match_plain_versions():
+    from tessera.llm.packing import _fill
+
+    for seed in range(12):
+        rng = random.Random(seed)
+        lengths = np.array([rng.choice([0, 3, rng.randint(1, 20), rng.randint(1, 90)]) for _ in range(120)])
+        falling = np.sort(lengths)[::-1]
+        for at in range(0, 120, 7):
+            for size in (16, 64, 90, 200):
+                if falling[at] <= size:
+                    assert _fill(falling, at, size) == plain_fill(falling.tolist(), at, size), (seed, at, size)
+        sizes, cost = (16, 48, 96), 5
+        bins, _, capacity = pack(lengths, sizes, cost)
+        used, limit, where = [], [], {}
+        for rank, i in enumerate(sorted(range(120), key=lambda i: (-lengths[i], i))):
+            fits = sorted((limit[k] - used[k], k) for k in range(len(used)) if limit[k] - used[k] >= lengths[i] and limit[k] > used[k])
+            if fits:
+                k = fits[0][1]
+            else:
+                k = len(used)
+                used.append(0)
+                limit.append(min((s for s in sizes if s >= lengths[i]), key=lambda s: ((s + cost) / plain_fill(falling.tolist(), rank, s), s)))
+            used[k] += lengths[i]
+            where[i] = k
+        assert [where[i] for i in range(120)] == bins.tolist(), seed
+        assert capacity.tolist() == [min(s for s in sizes if s >= used[where[i]]) for i in range(120)]

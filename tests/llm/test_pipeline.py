@@ -67,3 +67,30 @@ def test_stages_match_brute_force(spark):
     for r in packed:
         used.setdefault((r["shard"], r["bin"]), [0, r["bin_tokens"]])[0] += r["n_tokens"]
     assert all(size == min(c for c in CAPACITIES if c >= n) for n, size in used.values())
+
+
+def test_all_stages_on_odd_tables(spark):
+    """Empty tables, repeated and null ids, null texts, and columns whose names clash with those that stages use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id long, block int, `_doc` string, hub long"
+    empty = spark.createDataFrame([], schema)
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+    source = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "f", 1, 2, "d", 3) for r in source]
+    texts = [r[1] for r in rows]
+    rows += [(None, texts[5], "en", None, 1, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    rows += [(rows[7][0], texts[8], "en", "s", 1, "x", 9, 9, "x", 9), rows[9], (10**12, "", None, None, 0, "", 0, 0, "", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == empty.columns and 0 < docs.count() <= before, name
+        before = docs.count()
+    left = [r["doc_id"] for r in docs.collect() if r["doc_id"] is not None]
+    assert len(left) == len(set(left)) > 20  # one row of each document
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
