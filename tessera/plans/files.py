@@ -187,7 +187,8 @@ def _sorted(how: str):
 def stored_metadata(spark, d):
     """The schema version and other settings after a replacement."""
     old = load(spark, d, "nation").select(C("n_name").alias("key"), C("n_regionkey").cast("string").alias("value"))
-    new = load(spark, d, "nation").filter("n_nationkey % 3 = 0").select(C("n_name").alias("key"), F.lit("3").alias("value"), C("n_nationkey").alias("at"))
+    name = F.when(C("n_nationkey") % 3 == 0, C("n_name")).otherwise(F.concat(F.lit("new "), C("n_name")))
+    new = load(spark, d, "nation").select(name.alias("key"), F.lit("3").alias("value"), C("n_nationkey").alias("at"))
     return store.put_metadata(old, new, ["at"])
 
 
@@ -244,7 +245,8 @@ SQL = {
     "intact_outputs": f"WITH {ctes('files')} SELECT file_id, coalesce(size > 0 AND size >= 400, FALSE) AS intact FROM files",
     "resumed_batch": f"""WITH {ctes('log', 'present')}, e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM log) WHERE k = 1)
       SELECT path FROM present p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.path = p.path AND e.size = p.size AND e.mtime = p.mtime AND e.ctime = p.ctime AND e.btime = p.btime)""",
-    "stored_metadata": "SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN '3' ELSE n_regionkey::VARCHAR END AS value FROM nation",
+    "stored_metadata": """SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN '3' ELSE n_regionkey::VARCHAR END AS value FROM nation
+      UNION ALL SELECT 'new ' || n_name, '3' FROM nation WHERE n_nationkey % 3 > 0""",
     "metadata_value": "SELECT CASE WHEN n_nationkey % 3 = 0 THEN '3' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE n_name = 'FRANCE'",
     "copy_counts": f"WITH {ctes('results')} SELECT count(*) AS total, count(*) FILTER (ok AND NOT skipped) AS copied, count(*) FILTER (skipped) AS skipped, count(*) FILTER (NOT ok AND NOT skipped) AS failed FROM results",
     "target_formats": f"""WITH t AS (SELECT p_partkey AS id, {pick('p_partkey', *V.TARGETS, 'Other')} AS target, {pick('p_partkey', 'HEIC', 'PNG', 'AVIF', 'JXL', 'HEIF', 'JPEG', None)} AS format FROM part)

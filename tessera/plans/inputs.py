@@ -43,9 +43,9 @@ TEXT = {
         CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 700) / 10e0 END AS duration_secs,
         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 24e0 + (doc_id % 4) * 12 END AS frame_rate,
         doc_id % 900 AS frame_count FROM documents""",
-    "path_index": f"""SELECT '/lib/' || source || '/doc_' || CAST(doc_id AS STRING) AS file_path, {SHA}(text) AS content_hash, doc_id * 1000 AS mtime, n_chars AS file_size,
+    "path_index": f"""SELECT CASE WHEN doc_id % 10 = 9 THEN '/moved/' ELSE '/lib/' END || source || '/doc_' || CAST(doc_id AS STRING) AS file_path, {SHA}(text) AS content_hash, doc_id * 1000 AS mtime, n_chars AS file_size,
         doc_id * 1000 AS atime, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id * 1000 + 5 END AS ctime, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE doc_id * 1000 + 7 END AS btime
-        FROM documents WHERE doc_id % 10 <> 9""",
+        FROM documents""",
     "lookups": f"""SELECT '/lib/' || source || '/doc_' || CAST(doc_id AS STRING) AS file_path, {SHA}(text) AS content_hash,
         CASE WHEN doc_id % 8 = 0 THEN doc_id * 1000 + 1 ELSE doc_id * 1000 END AS mtime, n_chars AS file_size,
         CASE WHEN doc_id % 12 = 1 THEN 1 ELSE doc_id * 1000 + 5 END AS ctime, doc_id * 1000 + 7 AS btime FROM documents""",
@@ -61,7 +61,7 @@ TEXT = {
         CAST(1086 + min(item_id) % 3 AS INT) AS algorithm_version, CAST(NULL AS BIGINT) AS data_checksum, max(length(text)) % 97 AS payload_checksum
         FROM benchmark GROUP BY {SHA}(text)""",
     "changes": f"""SELECT {SHA}(text) AS content_hash, n_chars AS file_size, doc_id * 60 + 1800000000 AS created_at, CAST(1087 AS INT) AS algorithm_version,
-        n_chars % 97 AS data_checksum, n_chars % 97 AS payload_checksum, CASE WHEN doc_id % 13 = 0 THEN 'failed' END AS analysis_error FROM documents WHERE doc_id % 3 = 0""",
+        n_chars % 97 AS data_checksum, n_chars % 97 AS payload_checksum, CASE WHEN doc_id % 3 > 0 OR doc_id % 13 = 0 THEN 'failed' END AS analysis_error FROM documents""",
     "probe": f"""SELECT p_partkey AS id, {pick('p_partkey', *CODECS)} AS codec,
         {pick('p_partkey', 0.0, 0.0, 0.0, 0.0, 0.15, 2.5, 0.04, 60.0, 0.001)} AS bpp,
         {pick('p_partkey', 640, 1280, 1920, 2560, 3840, 1080, 15, 1920, 0, 4000, 1280)} AS width, {pick('p_partkey', 480, 720, 1080, 1440, 2160, 1920, 15, 800, 10, 1000, 720)} AS height,
@@ -115,9 +115,9 @@ TEXT = {
         FROM documents WHERE doc_id % 5 <> 2
         UNION ALL SELECT '/out/' || source || CASE WHEN doc_id % 3 = 0 THEN '/' || lang ELSE '' END || '/' || 'doc_' || CAST(doc_id AS STRING) || '.JXL' AS path, n_chars AS size FROM documents WHERE doc_id % 5 = 2""",
     "log": """SELECT 'entry' AS kind, '/lib/' || CAST(user_id AS STRING) AS path, event_id % 3 + 100 AS size, event_id % 2 AS mtime, user_id AS ctime, 7 AS btime, event_id AS seq FROM events WHERE event_type <> 'signup'""",
-    "present": """SELECT '/lib/' || CAST(user_id AS STRING) AS path, CASE WHEN user_id % 9 = 0 THEN NULL ELSE 100 + user_id % 3 END AS size, user_id % 2 AS mtime, user_id AS ctime, 7 AS btime
-        FROM events WHERE user_id % 7 <> 0 GROUP BY user_id
-        UNION ALL SELECT '/lib/new' || CAST(c_custkey AS STRING) AS path, c_custkey AS size, 0 AS mtime, 0 AS ctime, 0 AS btime FROM customer WHERE c_custkey % 10 = 0""",
+    "present": """SELECT CASE WHEN user_id % 7 = 0 THEN '/away/' ELSE '/lib/' END || CAST(user_id AS STRING) AS path, CASE WHEN user_id % 9 = 0 THEN NULL ELSE 100 + user_id % 3 END AS size, user_id % 2 AS mtime, user_id AS ctime, 7 AS btime
+        FROM events GROUP BY user_id
+        UNION ALL SELECT '/lib/new' || CAST(c_custkey AS STRING) AS path, c_custkey AS size, 0 AS mtime, 0 AS ctime, 0 AS btime FROM customer""",
     "pixels": """SELECT vec_id, label, @pixels@ AS px FROM embeddings""",
     "probe_json": f"""SELECT p_partkey AS id, '/v/' || CAST(p_partkey AS STRING) || '.' || {pick('p_partkey', 'mov', 'mp4', 'mkv', 'avi', 'webm', 'm4v')} AS path, p_partkey * 104729 % 500000000 AS size,
         CASE WHEN p_partkey % 17 = 0 THEN '{{"streams": [{{"codec_type": "video", "codec_name": "gif", "width": 10, "height": 10}}]}}' ELSE '{{"format": {{"duration": "' || {pick('p_partkey', '12.5', '0', 'N/A', '3600.25', '0.5')} || '"}}, "streams": [{{"codec_type": "video", "codec_name": "'
