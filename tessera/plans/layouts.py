@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from tessera.operators.lineage import shared_folder
 from tessera.plans import store as store_plans
 from tessera.plans import streams
 from tessera.plans.inputs import ctes, load
-from tessera.sources import keyed, logs, snapshots, variants
+from tessera.sources import files, keyed, logs, snapshots, variants
+from tessera.streaming import resume
 
 C = F.col
 BUCKETS = 8
@@ -58,9 +60,8 @@ _LISTED = """SELECT '/s/' || CAST(c_custkey AS STRING) AS directory, '/s/' || CA
 
 
 def _made(spark, d, text: str):
-    for name in ("orders", "supplier", "customer"):
-        load(spark, d, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+    used = {name: load(spark, d, name) for name in ("orders", "supplier", "customer") if re.search(rf"\b(FROM|JOIN) {name}\b", text)}
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (orders|supplier|customer)\b", r"\1 {\2}", text), **used)
 
 
 def snapshot_refresh(spark, d):
@@ -117,9 +118,52 @@ def dithered(spark, d):
     return pixels.artefacts(px, "vec_id", "px", "width").select("vec_id", "dithering")
 
 
+def scanned_files(spark, d):
+    """A file of names for each nation's suppliers, found again by its bytes."""
+    place = _folder(spark)
+    lines = load(spark, d, "supplier").select("s_nationkey", C("s_name").alias("value"))
+    lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "value").write.partitionBy("s_nationkey").text(place)
+    found = files.hashed(files.scan(spark, place, [".txt"], content=True))
+    return found.select(F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("nation"), "size", "content_hash")
+
+
+def stored_snapshot(spark, d):
+    """Files kept under the key of what was asked for, which doesn't depend on the extensions' order or case."""
+    place, key = _folder(spark), files.snapshot_key("/lib", "image", True, ["jpg", "PNG"])
+    files.write_snapshot(load(spark, d, "files").select("path", "size"), place, key)
+    return files.read_snapshot(spark, place, files.snapshot_key("/lib", "image", True, ["png", "JPG"]))
+
+
+def listed_paths(spark, d):
+    place = _folder(spark)
+    files.write_paths(load(spark, d, "outputs"), place)
+    return files.read_paths(spark, place)
+
+
+def streamed_upserts(spark, d):
+    """Changes that arrive in files, the last of each key kept in a table of buckets."""
+    source, table, progress = _folder(spark), _folder(spark), _folder(spark)
+    changes = load(spark, d, "changes").select("content_hash", "created_at", "file_size")
+    changes.write.parquet(source)
+    arrived = resume.new_rows(spark, source, changes.schema, files_per_batch=1)
+    resume.upsert_new(arrived, table, ["content_hash"], ["created_at"], progress, BUCKETS).awaitTermination()
+    return keyed.records(spark, table)
+
+
+def throughput(spark, d):
+    return runs.throughput(load(spark, d, "results"), 90.0)
+
+
+def alpha_seen(spark, d):
+    """Whether any of every twentieth value of a vector isn't opaque, as values of 200 and more count."""
+    px = load(spark, d, "pixels").select("vec_id", F.posexplode("px").alias("place", "v"))
+    return pixels.has_alpha(px.select("vec_id", "place", F.when(C("v") >= 200, 255).otherwise(C("v")).alias("a")), "vec_id", 20)
+
+
 QUERIES = {
     f.__name__: f for f in (
         keyed_upsert, keyed_expiry, keyed_lookup, snapshot_refresh, log_generations, processed_list, probe_variants, probe_paths, observed_counters, gradient_banding, dithered,
+        scanned_files, stored_snapshot, listed_paths, streamed_upserts, throughput, alpha_seen,
     )
 }
 
@@ -152,6 +196,13 @@ SQL = {
           SELECT s.vec_id, s.line, t.i, last, gentle, gentle AND step > 3 AND (line > 0 OR t.i - last > 3) AS band, long + gentle::INT AS grown, bands + (gentle AND step > 3 AND (line > 0 OR t.i - last > 3))::INT AS b
           FROM scan s JOIN (SELECT *, step > 0 AND step < 20 AS gentle FROM steps) t USING (vec_id, line) WHERE t.i = s.i + 1)))
       SELECT vec_id, round(least(least(coalesce(avg(share) FILTER (line = 0), 0), 1) * 0.7e0 + least(coalesce(avg(share) FILTER (line > 0), 0), 1) * 0.3e0, 1), 6) AS banding FROM scan GROUP BY vec_id""",
+    "scanned_files": """WITH f AS (SELECT s_nationkey, string_agg(s_name, chr(10) ORDER BY s_name) || chr(10) AS body FROM supplier GROUP BY 1)
+      SELECT s_nationkey::INT AS nation, strlen(body) AS size, sha256(body) AS content_hash FROM f""",
+    "stored_snapshot": f"WITH {ctes('files')} SELECT path, size FROM files",
+    "listed_paths": f"WITH {ctes('outputs')} SELECT DISTINCT path FROM outputs",
+    "streamed_upserts": f"WITH {ctes('changes')} SELECT content_hash, max(created_at) AS created_at, arg_max(file_size, created_at) AS file_size FROM changes GROUP BY content_hash",
+    "throughput": f"WITH {ctes('results')} SELECT count(*) AS files, round(90e0 / count(*), 6) AS average_secs FROM results",
+    "alpha_seen": f"WITH {ctes('pixels')} SELECT vec_id, len([k FOR k IN range(64) IF k % 20 = 0 AND px[k + 1] < 200]) > 0 AS has_alpha FROM pixels",
     "dithered": f"""WITH {ctes('pixels')}, p AS (SELECT vec_id, unnest(px)::DOUBLE AS v, unnest(range(64)) AS k FROM pixels), g AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, v FROM p),
       far AS (SELECT a.vec_id, a.y, a.x, b.y - a.y AS dy, b.x - a.x AS dx, sqrt((2 + (a.v + b.v) / 2 / 256) * (a.v - b.v) ** 2 + 4 * (a.v - b.v) ** 2 + (2 + (255 - (a.v + b.v) / 2) / 256) * (a.v - b.v) ** 2) AS d
         FROM g a JOIN g b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.operators import catalog, checkpoint, interpolate, matching, runs, store
 
 RECORD = "content_hash string, created_at long, algorithm_version int"
@@ -84,3 +86,40 @@ def test_sidecars_of_special_names(spark):
     assert got["/d/IMG_1234ab.xmp"] == ("/d/IMG_1234abc.dng", "partial_match")
     live = [("/d/a.HEIC",), ("/d/a.mov",), ("/d/b.heic",), ("/d/c.MOV",), ("/d/c.Heif",)]
     assert sorted(r["path"] for r in matching.live_photos(spark.createDataFrame(live, "path string")).collect()) == ["/d/a.HEIC", "/d/a.mov", "/d/c.Heif"]
+
+
+def test_a_long_run_is_interpolated_in_parts(spark):
+    """Runs of many, two, one and no points over several parts, against a search in plain Python."""
+    import bisect
+    import random
+
+    rng = random.Random(2)
+    points = [("long", rng.randrange(4000) / 4.0, rng.random()) for _ in range(600)] + [("two", 5.0, 0.5), ("two", 1.0, 0.1), ("two", 1.0, 0.3), ("one", 2.0, 0.9), (None, 1.0, 1.0), ("long", None, 0.4)]
+    queries = [(k, run, x) for k, (run, x) in enumerate(
+        [("long", rng.randrange(-200, 4800) / 4.0) for _ in range(800)] + [("two", x) for x in (0.0, 1.0, 3.0, 9.0)] + [("one", 2.0), ("none", 1.0), (None, 3.0), ("long", None)]
+    )]
+    expected = {}
+    for k, run, x in queries:
+        best = {}
+        for by, px, py in points:
+            if by == run and by is not None and px is not None:
+                best[px] = max(best.get(px, py), py)
+        xs = sorted(best)
+        if x is None or len(xs) < 2:
+            expected[k] = None
+            continue
+        b = min(max(bisect.bisect_left(xs, x), 1), len(xs) - 1)
+        x0, x1 = xs[b - 1], xs[b]
+        expected[k] = best[x0] + (x - x0) / (x1 - x0) * (best[x1] - best[x0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        asked = spark.createDataFrame(queries, "id long, run_id string, psnr double")
+        known = spark.createDataFrame(points, "run_id string, psnr double, ssim double")
+        assert interpolate._in_parts(known.withColumnRenamed("run_id", "_by").select("_by", F.col("psnr").alias("_x"), F.lit(1).alias("_kind"), F.struct(F.col("psnr").alias("x"), F.col("ssim").alias("y")).alias("_point"))).select("_part").distinct().count() > 3
+        got = {r["id"]: r["predicted"] for r in interpolate.predict(asked, known, ["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.keys() == expected.keys()
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in expected.items())
