@@ -99,6 +99,8 @@ def create(
     """
     if not 0 < buckets <= MAX_BUCKETS:
         raise ValueError(f"{buckets} buckets: from 1 to {MAX_BUCKETS}")
+    if "_slot" in map(str.lower, frame.columns):
+        raise ValueError("_slot is the name of the bucket")
     about = {"key": key, "buckets": buckets, "bloom": key if bloom is None else bloom, "low": low, "options": options or {}, "schema": frame.schema.json()}
     return _commit(_write(frame, location, about), location, about, 0)
 
