@@ -123,7 +123,7 @@ def scanned_files(spark, d):
     place = _folder(spark)
     lines = load(spark, d, "supplier").select("s_nationkey", C("s_name").alias("value"))
     lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "value").write.partitionBy("s_nationkey").text(place)
-    found = files.hashed(files.scan(spark, place, [".txt"], content=True))
+    found = files.hashed(files.scan(spark, place, ["txt"], content=True))
     return found.select(F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("nation"), "size", "content_hash")
 
 
