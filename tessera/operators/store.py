@@ -87,12 +87,23 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
 
     Old rows meet the changes' distinct keys only; the order is settled among the changes, by an aggregate that combines before it shuffles.
     """
-    newest = F.max_by(F.struct(*changes.columns), F.struct(*order))
-    last = changes.groupBy(*key).agg(newest.alias("_row")).select("_row.*")
+    last = latest(changes, key, order)
     untouched = table.join(changes.select(*key), key, "left_anti").select(*table.columns)
     return untouched.unionByName(last.select(*table.columns))
 
 
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by ``order``; rows whose key is null have one key."""
+    newest = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*key).agg(newest.alias("_row")).select("_row.*")
+
+
+def upsert_latest(table: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by ``order`` among those of ``table`` and ``changes``, in whatever order they came; of equal ones that of ``changes``."""
+    both = table.withColumn("_new", F.lit(0)).unionByName(changes.select(*table.columns).withColumn("_new", F.lit(1)))
+    return latest(both, key, [*order, "_new"]).select(*table.columns)
+
+
 def put_metadata(table: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """key, value settings with those of ``changes`` in place of the same keys; of several the last by ``order``."""
     return upsert(table, changes, ["key"], order)

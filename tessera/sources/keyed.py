@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.operators.store import upsert
+from tessera.operators.store import upsert, upsert_latest
 
 #: Most buckets of a table: what a manifest has rows for, and what the driver lists.
 MAX_BUCKETS = 65_536
@@ -156,16 +156,18 @@ def _replace(spark: SparkSession, location: str, touched: list[int], changed, mo
     return _commit(kept.unionByName(made), location, about, version + 1)
 
 
-def put(changes: DataFrame, location: str, order: list[str]) -> int | None:
+def put(changes: DataFrame, location: str, order: list[str], latest: bool = False) -> int | None:
     """Rows of ``changes`` in place of those of the same key, the last by ``order`` of several; the new version, None if there are none.
 
+    With ``latest`` a row that is there stays if it comes after the change by ``order``, which the table must have, so that changes may be put in any order.
     Only the buckets that the changes fall in are read and written; the others stay as they are, and readers see all of the new
     version or nothing of it.
     """
     spark = changes.sparkSession
     about = _about(manifest(spark, location))
     touched = [r["_slot"] for r in changes.select(_slot(about)).distinct().collect()]
-    return _replace(spark, location, touched, lambda rows: upsert(rows, changes, about["key"], order)) if touched else None
+    merge = upsert_latest if latest else upsert
+    return _replace(spark, location, touched, lambda rows: merge(rows, changes, about["key"], order)) if touched else None
 
 
 def expire(spark: SparkSession, location: str, before: int) -> int | None:

@@ -24,7 +24,7 @@ def process_new(stream: DataFrame, work: Callable[[DataFrame, int], None], progr
 
 
 def upsert_new(stream: DataFrame, location: str, key: list[str], order: list[str], progress: str, buckets: int = 64) -> StreamingQuery:
-    """Keep the last row of each key in a keyed table (``tessera.sources.keyed``) of ``buckets`` buckets.
+    """Keep the last row of each key by ``order``, whichever file it came in, in a keyed table (``tessera.sources.keyed``) of ``buckets`` buckets.
 
     A batch rewrites the buckets that its keys fall in and then commits the next version, so readers never see half of one, and a batch that
     fails leaves the version before. A batch that is run again puts the same rows again. What the table has is told by its manifest, not by batch numbers: with a new
@@ -35,7 +35,7 @@ def upsert_new(stream: DataFrame, location: str, key: list[str], order: list[str
         batch = batch.persist()
         try:
             if keyed.exists(batch.sparkSession, location):
-                keyed.put(batch, location, order)
+                keyed.put(batch, location, order, latest=True)
             else:
                 keyed.create(upsert(batch.limit(0), batch, key, order), location, key, buckets)
         finally:

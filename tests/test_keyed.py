@@ -149,3 +149,13 @@ def test_stream_puts_new_files_once(spark, tmp_path):
     assert last == [("a", 2), ("b", 1)] and keyed.current_version(spark, out) == 1
     spark.createDataFrame([("c", 5, 4)], schema).coalesce(1).write.mode("append").parquet(str(source))
     assert run(f"{seen}-lost") == [("a", 2), ("b", 1), ("c", 5)]  # batch 0 again: the table isn't emptied
+
+
+def test_streamed_upserts_keep_the_last_of_all_files(spark, tmp_path):
+    """A file that comes later may hold an earlier row."""
+    source, out, schema = tmp_path / "source", str(tmp_path / "table"), "path string, size long, seq long"
+    for new in [[("a", 1, 5), ("b", 1, 2), (None, 1, 9)], [("a", 2, 3), ("b", 2, 4), (None, 2, 8)]]:
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(source))
+        resume.upsert_new(resume.new_rows(spark, str(source), schema), out, ["path"], ["seq"], str(tmp_path / "seen"), 4).awaitTermination(60)
+    assert {(r["path"], r["size"], r["seq"]) for r in keyed.records(spark, out).collect()} == {("a", 1, 5), ("b", 2, 4), (None, 1, 9)}
+    assert keyed.records(spark, out).count() == 3
