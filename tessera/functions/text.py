@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def bytes_text(size: Column) -> Column:
-    """1024-based with two decimals; plain below 1 KB."""
-    unit = lambda power, label: F.format_string(f"%.2f {label}", size / float(1024**power))
+    """1024-based with two decimals, halves to the even one; plain below 1 KB."""
+    unit = lambda power, label: F.format_string(f"%.2f {label}", F.bround(size / float(1024**power), 2))
     return (
         F.when(size >= 1024**3, unit(3, "GB")).when(size >= 1024**2, unit(2, "MB")).when(size >= 1024, unit(1, "KB"))
         .otherwise(F.format_string("%d B", size))

@@ -118,6 +118,12 @@ def test_text_functions(spark):
     assert tuple(p) == ("/a/b/c.mp4", "/a/c_hevc.MP4")
 
 
+def test_halves_of_byte_texts_go_to_the_even(spark):
+    """x.xx5 units exactly, as the C library and DuckDB write them."""
+    shown = spark.createDataFrame([(181_376,), (181_377,), (1_024 + 384,), (2**20 + 2**17,), (2**30 + 3 * 2**27,)], "n long").select(text.bytes_text(F.col("n"))).collect()
+    assert [r[0] for r in shown] == ["177.12 KB", "177.13 KB", "1.38 KB", "1.12 MB", "1.38 GB"]
+
+
 def test_windows_of_pixels():
     import numpy as np
 
