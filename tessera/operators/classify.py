@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,21 +74,42 @@ def weighted_error(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / sum(V.JPEG_WEIGHTS)
 
 
-def standard_tables(base: list[int] = V.JPEG_LUMINANCE) -> Column:
-    """The standard's tables for qualities 1 to 100 in order, as one constant."""
-    scales = [5000.0 / q if q < 50 else 200.0 - 2.0 * q for q in range(1, 101)]
-    tables = [[min(max(int((scale * v + 50.0) // 100.0), 1), 255) for v in base] for scale in scales]
-    return F.expr("array(" + ", ".join(f"array({', '.join(map(str, t))})" for t in tables) + ")")
+def _scaled(quality: int, base: list[int]) -> list[int]:
+    """``scaled_table`` in plain numbers."""
+    scale = 5000.0 / quality if quality < 50 else 200.0 - 2.0 * quality
+    return [min(max(int((scale * v + 50.0) // 100.0), 1), 255) for v in base]
 
 
 def jpeg_quality(tables: DataFrame, key: str, column: str = "table", base: list[int] = V.JPEG_LUMINANCE) -> DataFrame:
     """``key``, quality, sse, is_exact, interpolated: the quality whose standard table is nearest, the lowest of equals.
 
-    The 100 standard tables are a constant that each row is held against by itself. Interpolation leans towards the second best.
+    The 100 standard tables are a constant that each row is held against by itself, as products of matrices inside tasks: whole numbers, so doubles are
+    exact. Interpolation leans towards the second best. A table that is null, holds a null or has another length has no errors: quality 1, the rest as nulls give it.
     """
-    errors = F.transform(standard_tables(base), lambda t, i: F.struct(squared_error(F.col(column), t).alias("sse"), (i + 1).cast("int").alias("q")))
-    two = tables.select(key, F.slice(F.array_sort(errors), 1, 2).alias("best"))
-    first, second = F.col("best")[0], F.col("best")[1]
-    step = F.when(second["q"] > first["q"], 1.0).otherwise(-1.0) * (first["sse"] / (first["sse"] + second["sse"])) * 0.5
-    lean = F.when((first["sse"] > 0) & (second["sse"] > first["sse"]), step).otherwise(0.0)
-    return two.select(key, first["q"].alias("quality"), first["sse"].alias("sse"), (first["sse"] == 0).alias("is_exact"), (first["q"] + lean).alias("interpolated"))
+    standard = np.array([_scaled(q, base) for q in range(1, 101)], float)
+    squares = (standard * standard).sum(axis=1)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = [None if t is None or len(t) != len(base) else np.asarray(t, float) for t in batch["table"]]
+            whole = np.array([t is not None and not np.isnan(t).any() for t in held], bool)
+            n = len(batch)
+            one, two = np.zeros(n, int), np.ones(n, int)
+            first, second = np.full(n, np.nan), np.full(n, np.nan)
+            if whole.any():
+                x = np.stack([t for t, w in zip(held, whole) if w])
+                errors = (x * x).sum(axis=1)[:, None] - 2 * (x @ standard.T) + squares
+                rows = np.arange(len(x))
+                one[whole] = best = errors.argmin(axis=1)  # the first of equals
+                first[whole] = errors[rows, best]
+                errors[rows, best] = np.inf
+                two[whole] = other = errors.argmin(axis=1)
+                second[whole] = errors[rows, other]
+            yield pd.DataFrame({key: batch[key], "q1": one + 1, "e1": first, "q2": two + 1, "e2": second})
+
+    asked = tables.select(key, F.col(column).cast("array<double>").alias("table"))
+    found = asked.mapInPandas(nearest, f"`{key}` {tables.schema[key].dataType.simpleString()}, q1 int, e1 double, q2 int, e2 double")
+    first, second = (F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("e1", "e2"))
+    step = F.when(F.col("q2") > F.col("q1"), 1.0).otherwise(-1.0) * (first / (first + second)) * 0.5
+    lean = F.when((first > 0) & (second > first), step).otherwise(0.0)
+    return found.select(key, F.col("q1").alias("quality"), first.alias("sse"), (first == 0).alias("is_exact"), (F.col("q1") + lean).alias("interpolated"))

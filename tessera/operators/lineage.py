@@ -1,4 +1,4 @@
-"""Settled rows: written once, so that every later use reads the same."""
+"""Settled rows: written once, so that every later use reads the same; and rows dealt to many tasks."""
 
 from __future__ import annotations
 
@@ -25,3 +25,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to as many tasks as shuffles have: a small file is one task, whatever work its rows are, and rows that are small aren't put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)

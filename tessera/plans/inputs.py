@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.lineage import spread_out
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -151,15 +153,16 @@ def text(name: str, engine: str) -> str:
     return out
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in, or a given table by its own name."""
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A stand-in, or a given table by its own name; with ``spread`` its rows are dealt to as many tasks as shuffles have, for work that is large beside what a row takes in a file."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread_out(table, table.columns[0]) if spread else table
     query, used = text(name, "spark"), {}
     for table in TABLES:
         if re.search(rf"\b(FROM|JOIN) {table}\b", query):
             query = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 \0{table}\0", query)
-            used[table] = load(spark, sf_dir, table)
+            used[table] = load(spark, sf_dir, table, spread)
     query = query.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub("\0(\\w+)\0", r"{\1}", query), **used)
 

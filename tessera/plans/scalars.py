@@ -128,7 +128,7 @@ def content_classes(spark, d):
 
 
 def _quant_tables(spark, d):
-    parts = load(spark, d, "part").select(C("p_partkey").alias("id"))
+    parts = load(spark, d, "part", spread=True).select(C("p_partkey").alias("id"))
     base = classify.scaled_table(1 + C("id") * 7 % 100, V.JPEG_LUMINANCE)
     return parts.select("id", F.transform(base, lambda v, k: v + F.when((k == C("id") % 64) & (C("id") % 3 > 0), C("id") % 5).otherwise(0)).alias("table"))
 

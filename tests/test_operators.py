@@ -1,6 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, checkpoint, interpolate, matching, runs, store
+from tessera import values as V
+from tessera.operators import catalog, checkpoint, classify, interpolate, matching, runs, store
+from tessera.plans import registry
+from tessera.sources import variants
 
 RECORD = "content_hash string, created_at long, algorithm_version int"
 
@@ -123,3 +128,42 @@ def test_a_long_run_is_interpolated_in_parts(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got.keys() == expected.keys()
     assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in expected.items())
+
+
+def test_work_on_small_files_is_dealt_to_many_tasks(spark):
+    """A file of few bytes is one task of a scan; the queries whose rows are much work deal them first."""
+    queries, wanted = registry.queries(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("jpeg_quality", "jpeg_table_errors", "probe_variants", "gradient_banding"):
+        assert queries[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == wanted, name
+
+
+def test_paths_of_documents_are_counted_in_as_many_tasks_as_they_have(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(variants, "kind_of", lambda value, real=variants.kind_of: kept.append(1) or real(value))
+    persisted = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    found = registry.queries()["probe_paths"](spark, "/root/testdata/sf0.001")
+    assert len(kept) == 4 and found.count() == 15  # a pass for each level, none for the counts
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == persisted  # no level is left behind
+
+
+def test_matches_pass_no_side_through_the_driver(spark):
+    for name in ("sidecar_cascade", "sidecar_summary", "metadata_sidecars", "existing_sidecars", "live_photos", "tree_pairs", "timestamp_sources"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan, name
+
+
+def test_nearest_table_matches_brute_force(spark):
+    def scaled(q):
+        scale = 5000.0 / q if q < 50 else 200.0 - 2.0 * q
+        return [min(max(int((scale * v + 50.0) // 100.0), 1), 255) for v in V.JPEG_LUMINANCE]
+
+    rng = random.Random(3)
+    made = [scaled(q) for q in (1, 49, 50, 100)] + [[rng.randrange(1, 256) for _ in range(64)] for _ in range(20)] + [[v + rng.randrange(3) for v in scaled(rng.randrange(1, 101))] for _ in range(20)]
+    odd = [None, [1] * 63, [None] + [1] * 63]
+    rows = spark.createDataFrame(list(enumerate(made + odd)), "id long, table array<int>").repartition(3)
+    got = {r["id"]: tuple(r)[1:] for r in classify.jpeg_quality(rows, "id").collect()}
+    for k, table in enumerate(made):
+        (a, p), (b, q) = sorted((float(sum((x - y) ** 2 for x, y in zip(table, scaled(q)))), q) for q in range(1, 101))[:2]
+        lean = (1 if q > p else -1) * (a / (a + b)) * 0.5 if 0 < a < b else 0.0
+        assert got[k] == (p, a, a == 0, p + lean)
+    assert all(got[len(made) + k] == (1, None, None, 1.0) for k in range(3))
