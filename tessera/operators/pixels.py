@@ -273,14 +273,16 @@ CHANNELS, ROWS_SHARE, ROW_STEP, DIAGONAL_STEP, LEAST_SIDE = (0.30, 0.59, 0.11),
 GENTLE, BAND, BAND_GAP, LEAST_GRADIENT, BANDED = 20, 3, 3, 20, (0.08, 0.5)
 
 
-def gradient_bands(lines: np.ndarray, length: np.ndarray, rows: bool) -> tuple[float, int]:
-    """Sum and number of the shares of bands in the gradients of ``lines`` (line, place), of which ``length`` places are there.
+def gradient_bands(lines: np.ndarray, length: np.ndarray, rows: bool, image: np.ndarray | None = None, images: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``images``: sum and number of the shares of bands in the gradients of its ``lines`` (line, place), of which ``length`` places are there; ``image`` is the one that a line is of.
 
     A gradient is a run of gentle steps (above 0, below GENTLE); those above BAND are bands. It counts where a
     step that isn't gentle ends it after more than LEAST_GRADIENT. Along ``rows`` a shorter run is carried on behind such a step, and bands are
     more than BAND_GAP places apart; on diagonals it starts again.
     """
-    n, total, regions = len(lines), 0.0, 0
+    n = len(lines)
+    image = np.zeros(n, int) if image is None else image
+    total, regions = np.zeros(images), np.zeros(images, int)
     long, bands, last = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
     for at in range(1, lines.shape[1]):
         step = np.abs(lines[:, at] - lines[:, at - 1])
@@ -290,10 +292,12 @@ def gradient_bands(lines: np.ndarray, length: np.ndarray, rows: bool) -> tuple[f
         band = gentle & (step > BAND) & ((at - last > BAND_GAP) if rows else True)
         bands += band
         last[band] = at
-        over = there & ~gentle & (long > LEAST_GRADIENT)
-        share = bands[over] / long[over]
-        good = share[(share > BANDED[0]) & (share < BANDED[1])]
-        total, regions = total + float(good.sum()), regions + len(good)
+        over = np.flatnonzero(there & ~gentle & (long > LEAST_GRADIENT))
+        if len(over):
+            share = bands[over] / long[over]
+            good = (share > BANDED[0]) & (share < BANDED[1])
+            total += np.bincount(image[over[good]], share[good], images)
+            regions += np.bincount(image[over[good]], minlength=images)
         ended = over if rows else there & ~gentle
         long[ended] = bands[ended] = 0
         last[over] = at
@@ -301,27 +305,64 @@ def gradient_bands(lines: np.ndarray, length: np.ndarray, rows: bool) -> tuple[f
 
 
 def diagonals(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The diagonals that start at every DIAGONAL_STEP of the upper edge, downwards to the right and to the left, padded, and their lengths."""
-    height, width = grey.shape
+    """The diagonals that start at every DIAGONAL_STEP of the upper edge of each image (image, y, x), downwards to the right and to the left, padded, and their lengths."""
+    height, width = grey.shape[1:]
     starts = np.arange(0, width, DIAGONAL_STEP)
     first = np.concatenate([starts, starts[1:]])
     turn = np.concatenate([np.ones(len(starts), int), -np.ones(len(starts) - 1, int)])
     length = np.minimum(np.where(turn > 0, width - first, first + 1), height)
     x = first[:, None] + turn[:, None] * np.arange(height)
-    return grey[np.arange(height)[None, :], np.clip(x, 0, width - 1)], length
+    return grey[:, np.arange(height)[None, :], np.clip(x, 0, width - 1)], length
+
+
+def _mean_shares(lines: np.ndarray, length: np.ndarray, rows: bool) -> np.ndarray:
+    """The mean share of bands, 1 at most and 0 for none, of each image's lines (image, line, place)."""
+    n, k, places = lines.shape
+    total, regions = gradient_bands(lines.reshape(n * k, places), np.tile(length, n), rows, np.repeat(np.arange(n), k), n)
+    return np.minimum(total / np.maximum(regions, 1), 1.0)
+
+
+def bandings(images: np.ndarray) -> np.ndarray:
+    """``banding`` of several images of one shape (image, height, width, 3); one channel (image, height, width, 1) stands for three equal ones."""
+    n, height, width = images.shape[:3]
+    if min(height, width) < LEAST_SIDE:
+        return np.zeros(n)
+    images = images.astype(int)
+    rows, grey = images[:, ::ROW_STEP], images.shape[3] == 1
+    along = [_mean_shares(rows[..., k], np.full(rows.shape[1], width), True) for k in range(images.shape[3])]
+    along = sum(weight * along[0 if grey else k] for k, weight in enumerate(CHANNELS))
+    across = _mean_shares(*diagonals(images[..., 0] if grey else images @ np.array([299, 587, 114]) // 1000), False)
+    return np.minimum(along * ROWS_SHARE + across * (1 - ROWS_SHARE), 1.0)
 
 
 def banding(rgb: np.ndarray) -> float:
     """From 0 to 1: how much of the gradients of an image (height, width, 3) goes in bands, along every fourth row of each channel and on diagonals of the grey image."""
-    height, width = rgb.shape[:2]
-    if min(height, width) < LEAST_SIDE:
-        return 0.0
-    rgb = rgb.astype(int)
-    rows = rgb[::ROW_STEP]
-    mean = lambda found: min(found[0] / found[1], 1.0) if found[1] else 0.0
-    along = sum(weight * mean(gradient_bands(rows[:, :, k], np.full(len(rows), width), True)) for k, weight in enumerate(CHANNELS))
-    across = mean(gradient_bands(*diagonals(rgb @ np.array([299, 587, 114]) // 1000), False))
-    return min(along * ROWS_SHARE + across * (1 - ROWS_SHARE), 1.0)
+    return float(bandings(rgb[None])[0])
+
+
+#: Pixels of images of one shape whose bands are measured at once.
+BANDED_AT_ONCE = 1 << 20
+
+
+def banded(images: DataFrame, key: str, column: str, width: str) -> DataFrame:
+    """key, banding of grey images given as flat rows of ``width``, as ``artefacts`` gives it; images of one shape are measured together. Null where a column is null."""
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values, widths = batch[column].to_numpy(), batch[width].to_numpy()
+            shapes: dict[tuple, list[int]] = {}
+            for k, (v, w) in enumerate(zip(values, widths)):
+                if v is not None and not pd.isna(w):
+                    shapes.setdefault((len(v), int(w)), []).append(k)
+            out = np.full(len(batch), None, object)
+            for (size, w), places in shapes.items():
+                several = max(1, BANDED_AT_ONCE // max(size, 1))
+                for at in range(0, len(places), several):
+                    some = places[at : at + several]
+                    out[some] = bandings(np.stack([np.asarray(values[k], np.int64) for k in some]).reshape(len(some), -1, w, 1)).tolist()
+            yield pd.DataFrame({key: batch[key], "banding": out})
+
+    return images.select(key, column, width).mapInPandas(measured, f"{key} {images.schema[key].dataType.simpleString()}, banding double")
 
 
 def artefacts(images: DataFrame, key: str, column: str, width: str) -> DataFrame:

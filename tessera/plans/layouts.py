@@ -90,12 +90,12 @@ def processed_list(spark, d):
 
 
 def probe_variants(spark, d):
-    documents = variants.as_variant(load(spark, d, "probe_json"))
+    documents = variants.as_variant(load(spark, d, "probe_json", spread=True))
     return variants.parsed_probe(documents).select("id", "codec", "width", "height", "fps", "audio_codec", "has_audio", "video_bit_rate", "bit_depth")
 
 
 def probe_paths(spark, d):
-    return variants.paths_and_kinds(variants.as_variant(load(spark, d, "probe_json")))
+    return variants.paths_and_kinds(variants.as_variant(load(spark, d, "probe_json", spread=True)))
 
 
 def observed_counters(spark, d):
@@ -108,13 +108,13 @@ def observed_counters(spark, d):
 
 def gradient_banding(spark, d):
     """Images of 64 by 32 pixels whose rows are all a vector's."""
-    px = load(spark, d, "pixels").select("vec_id", F.flatten(F.array_repeat("px", 32)).alias("px"), F.lit(64).alias("width"))
-    return pixels.artefacts(px, "vec_id", "px", "width").select("vec_id", "banding")
+    px = load(spark, d, "pixels", spread=True).select("vec_id", F.flatten(F.array_repeat("px", 32)).alias("px"), F.lit(64).alias("width"))
+    return pixels.banded(px, "vec_id", "px", "width")
 
 
 def dithered(spark, d):
     """Images of 8 by 8 pixels, of which each inner one is looked at."""
-    px = load(spark, d, "pixels").select("vec_id", "px", F.lit(8).alias("width"))
+    px = load(spark, d, "pixels", spread=True).select("vec_id", "px", F.lit(8).alias("width"))
     return pixels.artefacts(px, "vec_id", "px", "width").select("vec_id", "dithering")
 
 

@@ -131,3 +131,16 @@ def test_variants_keep_what_a_fixed_form_loses(spark):
     assert [r[0] for r in documents.orderBy("id").select(variants.tag("document", "$.a.tags.T")).collect()] == ["v", None, None, None, None, None]
     assert "tags" in variants.merged_schema(documents.filter(F.col("id") != 5)).first()["schema"]
     assert variants.paths_and_kinds(documents.limit(0)).count() == 0
+
+
+def test_images_of_one_shape_are_banded_together(spark):
+    """Grey images of several shapes, one of them null, in one batch."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(24):
+        height, width = [(32, 64), (20, 40), (8, 64)][k % 3]
+        walk = np.cumsum(rng.choice([0, 1, 2, 3, 5, -60], size=(height, width), p=[0.03, 0.45, 0.25, 0.15, 0.1, 0.02]), axis=1) % 256
+        rows.append((k, walk.ravel().tolist(), width))
+    images = spark.createDataFrame([*rows, (99, None, 8)], "id long, px array<int>, width int").coalesce(1)
+    got = {r["id"]: r["banding"] for r in pixels.banded(images, "id", "px", "width").collect()}
+    single = {k: plain_banding(np.repeat(np.array(px).reshape(-1, width, 1), 3, axis=2)) for k, px, width in rows}
+    assert got.pop(99) is None and set(got) == set(single) and all(abs(got[k] - single[k]) < 1e-12 for k in got) and sum(v > 0 for v in got.values()) > 8
