@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from tessera.operators.lineage import settle
 from tessera.schema import PROBE
 from tessera.sources import probe
 
@@ -52,17 +53,20 @@ def paths_and_kinds(documents: DataFrame, column: str = "document") -> DataFrame
     """path, kind, n: each path of the documents with the kinds of its values and how many there are; elements of an array share a path.
 
     kind is object, array, string, number, boolean or null. A level of nesting is a pass over what the level before holds, and
-    levels are taken until there are none; malformed documents have no path. A path of several kinds is a drift of the form.
+    levels are taken until there are none; two levels are kept at a time, in as many parts as ``documents`` has. Malformed documents have no path. A path of several kinds is a drift of the form.
     """
     level = documents.filter(F.col(column).isNotNull()).select(F.lit("$").alias("path"), F.col(column).alias("value"))
-    found = None
+    found, before = None, None
     while True:
         level = level.withColumn("kind", kind_of(F.col("value"))).persist()
-        counted = level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+        counted = settle(level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
         found = counted if found is None else found.unionByName(counted)
+        if before is not None:
+            before.unpersist()
         inner = level.filter(F.col("kind").isin("object", "array"))
-        if inner.isEmpty():
+        if counted.filter(F.col("kind").isin("object", "array")).isEmpty():
+            level.unpersist()
             return found
         session = documents.sparkSession
         held = inner.lateralJoin(session.tvf.variant_explode(F.col("value").outer()).select("key", F.col("value").alias("held")))
-        level = held.select(F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.col("held").alias("value"))
+        before, level = level, held.select(F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.col("held").alias("value"))
