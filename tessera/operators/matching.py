@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from tessera import values as V
 from tessera.functions import paths
-from tessera.operators.lineage import settle
+from tessera.operators.lineage import settle, spread_out
 
 STRATEGIES = (
     "direct_match", "same_name", "case_insensitive", "xmp_metadata", "document_id", "fuzzy_match", "xmp_ref_scan", "partial_match", "subdirectory",
 )
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of which both sides grow with the library: by shuffle and sort. From the files' packed sizes Spark would take a side for small and pass it whole through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _keyed_sidecars(sidecars: DataFrame) -> DataFrame:
     path = F.col("xmp_path")
     return sidecars.withColumns({
@@ -54,7 +59,7 @@ def _equal(s: DataFrame, among: DataFrame, rank: int, left: Column, right: Colum
     key = F.struct(F.col("m_dir") if directory else F.lit(""), right)
     least = among.filter(right.isNotNull() & (right != "")).groupBy(key.alias("_m")).agg(F.min("path").alias("path"))
     keyed = s.filter(left != "").withColumn("_s", F.struct(F.col("x_dir") if directory else F.lit(""), left))
-    found = keyed.join(least, F.col("_s") == F.col("_m")).select("xmp_path", "path", F.lit(rank).alias("rank"), F.lit(rest).alias("rest"))
+    found = _joined(keyed, least, F.col("_s") == F.col("_m")).select("xmp_path", "path", F.lit(rank).alias("rank"), F.lit(rest).alias("rest"))
     return found.filter("path <> xmp_path")
 
 
@@ -76,7 +81,7 @@ def _by_names(s: DataFrame, m: DataFrame) -> DataFrame:
 def _by_pieces(s: DataFrame, m: DataFrame) -> DataFrame:
     """Candidates of the strategies that look into names or upwards, 6 to 8. Names are cut into pieces only in directories that have a sidecar of ``s``."""
     usable = m.filter("m_media")
-    beside = usable.join(s.select(F.col("x_dir").alias("m_dir")).distinct(), "m_dir", "left_semi")
+    beside = spread_out(_joined(usable, s.select(F.col("x_dir").alias("m_dir")).distinct(), "m_dir", "left_semi"), "path")
     parents = usable.withColumn("_up", F.explode(F.array_distinct(F.array("m_dir", paths.directory(F.col("m_dir")))))).drop("m_dir").withColumnRenamed("_up", "m_dir")
     tagged = _equal(s, _named_in_tags(beside), 6, F.col("x_name"), F.col("_piece"))
     return _union([tagged, _partial(s, beside), _equal(s, parents, 8, F.col("x_low"), F.col("m_low"))])
@@ -114,7 +119,7 @@ def _partial(s: DataFrame, usable: DataFrame) -> DataFrame:
     for mine, theirs in ((F.array("x_stem"), _held_stems("m_stem")), (_held_stems("x_stem"), F.array("m_stem"))):
         least = m.select("path", F.col("m_dir").alias("x_dir"), F.explode(theirs).alias("_k")).groupBy("x_dir", "_k").agg(F.min("path").alias("path"))
         keyed = x.select("xmp_path", "x_dir", F.explode(mine).alias("_k"))
-        found.append(keyed.join(least, ["x_dir", "_k"]).groupBy("xmp_path").agg(F.min("path").alias("path")))
+        found.append(_joined(keyed, least, ["x_dir", "_k"]).groupBy("xmp_path").agg(F.min("path").alias("path")))
     return _union(found).select("xmp_path", "path", F.lit(7).alias("rank"), F.lit(0).alias("rest"))
 
 
@@ -126,10 +131,10 @@ def sidecar_cascade(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     s, m = _keyed_sidecars(sidecars), _keyed_media(media)
     first = lambda found: found.groupBy("xmp_path").agg(F.min(F.struct("rank", "rest", "path")).alias("best"))
     named_alike = settle(first(_by_names(s, m)))
-    left = settle(s.join(named_alike, "xmp_path", "left_anti"))
+    left = settle(_joined(s, named_alike, "xmp_path", "left_anti"))
     best = named_alike.unionByName(first(_by_pieces(left, m)))
     named = F.get(F.array(*[F.lit(x) for x in STRATEGIES]), F.col("best.rank"))
-    return sidecars.select("xmp_path").join(best, "xmp_path", "left").select(
+    return _joined(sidecars.select("xmp_path"), best, "xmp_path", "left").select(
         "xmp_path", F.col("best.path").alias("media_path"), F.coalesce(named, F.lit("no_match")).alias("strategy")
     )
 
@@ -139,9 +144,9 @@ def existing_sidecar(files: DataFrame, present: DataFrame) -> DataFrame:
     stem = F.concat(paths.directory(F.col("path")), F.lit("/"), paths.stem(F.col("path")), F.lit(".xmp"))
     wanted = F.array(F.concat("path", F.lit(".xmp")), F.concat("path", F.lit(".XMP")), stem)
     tried = files.select("path", F.posexplode(wanted).alias("rank", "sidecar"))
-    found = tried.join(present.select(F.col("path").alias("sidecar")).distinct(), "sidecar")
+    found = _joined(tried, present.select(F.col("path").alias("sidecar")).distinct(), "sidecar")
     first = found.groupBy("path").agg(F.min(F.struct("rank", "sidecar")).alias("best"))
-    return files.select("path").join(first, "path", "left").select("path", F.col("best.sidecar").alias("sidecar"))
+    return _joined(files.select("path"), first, "path", "left").select("path", F.col("best.sidecar").alias("sidecar"))
 
 
 def live_photos(files: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def live_photos(files: DataFrame) -> DataFrame:
     clips = key.filter(F.col("_ext").isin("mov", "MOV")).select("_dir", "_stem")
     stills = key.filter(F.col("_ext").isin(V.LIVE_STILL_COMPANIONS)).select("_dir", "_stem")
     of = lambda exts: key.filter(F.lower("_ext").isin(exts))
-    pairs = of(V.LIVE_STILLS).join(clips, ["_dir", "_stem"], "left_semi").unionByName(of(["mov"]).join(stills, ["_dir", "_stem"], "left_semi"))
+    pairs = _joined(of(V.LIVE_STILLS), clips, ["_dir", "_stem"], "left_semi").unionByName(_joined(of(["mov"]), stills, ["_dir", "_stem"], "left_semi"))
     return pairs.select(*files.columns)
 
 
@@ -158,7 +163,7 @@ def paired_trees(sources: DataFrame, outputs: DataFrame, source_root: str, outpu
     """source_path, output_path of files with the same path below their roots."""
     left = sources.select(F.col("path").alias("source_path"), paths.relative(F.col("path"), source_root).alias("relative"))
     right = outputs.select(F.col("path").alias("output_path"), paths.relative(F.col("path"), output_root).alias("relative"))
-    return left.join(right, "relative").select("source_path", "output_path")
+    return _joined(left, right, "relative").select("source_path", "output_path")
 
 
 def timestamp_sources(outputs: DataFrame, sources: DataFrame, output_root: str, source_root: str) -> DataFrame:
@@ -171,7 +176,7 @@ def timestamp_sources(outputs: DataFrame, sources: DataFrame, output_root: str,
     left = keyed(outputs, output_root).filter("_stem <> ''").select(F.col("path").alias("output_path"), "_dir", "_stem")
     right = keyed(sources, source_root).withColumn("_rank", rank).filter("_rank is not null").select("_dir", "_stem", "_rank", F.col("path").alias("source_path"))
     best = right.groupBy("_dir", "_stem").agg(F.min(F.struct("_rank", "source_path")).alias("best"))
-    return left.join(best, ["_dir", "_stem"]).select("output_path", F.col("best.source_path").alias("source_path"))
+    return _joined(left, best, ["_dir", "_stem"]).select("output_path", F.col("best.source_path").alias("source_path"))
 
 
 def merge_summary(matches: DataFrame, succeeded: Column) -> DataFrame:
@@ -197,7 +202,7 @@ def metadata_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     def equal(rank: int, left: Column, right: Column, directory: bool) -> None:
         least = beside.groupBy((F.col("_xd") if directory else F.lit("")).alias("_kd"), right.alias("_k")).agg(F.min("xmp_path").alias("sidecar"))
         mine = f.select("path", (F.col("_dir") if directory else F.lit("")).alias("_kd"), left.alias("_k"))
-        joined.append(mine.join(least, ["_kd", "_k"]).select("path", F.lit(rank).alias("rank"), "sidecar"))
+        joined.append(_joined(mine, least, ["_kd", "_k"]).select("path", F.lit(rank).alias("rank"), "sidecar"))
 
     full = F.concat("_dir", F.lit("/"), "_stem", F.when(F.col("_ext") != "", F.concat(F.lit("."), "_ext")).otherwise(""), F.lit(".xmp"))
     equal(0, F.when(F.col("_ext") != "", full), F.col("xmp_path"), False)
@@ -206,4 +211,4 @@ def metadata_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     equal(2, F.concat("_low", F.lit("."), "_ext"), F.col("_xs"), True)
     equal(2, F.col("_root"), F.substring_index("_xs", ".", 1), True)
     best = _union(joined).groupBy("path").agg(F.min(F.struct("rank", "sidecar")).alias("_b"))
-    return files.select("path").join(best, "path", "left").select("path", F.col("_b.sidecar").alias("sidecar"))
+    return _joined(files.select("path"), best, "path", "left").select("path", F.col("_b.sidecar").alias("sidecar"))
