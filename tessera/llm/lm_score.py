@@ -18,8 +18,8 @@ from tessera.llm.shared import Words, chunks, cut, encoded, ids_and_texts, mix,
 
 #: Classes and ids of a class; the ids of the last members are buckets of all words that are rarer than the others.
 CLASSES, MEMBERS, BUCKETS = 128, 128, 1_024
-#: Words on each side, width of the hidden layer, share of tokens that training predicts, tokens of one step, step size.
-SIDE, WIDTH, TRAINED, STEP, RATE = 2, 16, 0.4, 2_048, 0.1
+#: Words on each side, width of the hidden layer, tokens of one step, step size.
+SIDE, WIDTH, STEP, RATE = 2, 16, 2_048, 0.1
 #: Such tokens, about, that one network is trained on before the networks are averaged; rounds of that; networks averaged at once.
 PART_TOKENS, ROUNDS, FAN_IN = 1_000_000, 2, 16
 #: Token pairs that scoring takes at once.
@@ -88,8 +88,9 @@ class WindowNetwork:
         n, w = len(target), self.w
 
         def step(name: str, at, gradient: np.ndarray) -> None:
-            gradient = gradient / np.float32(n)
-            sums = squares[name][at] + gradient * gradient
+            gradient *= np.float32(1 / n)
+            sums = gradient * gradient
+            sums += squares[name][at]
             squares[name][at] = sums
             np.sqrt(sums, out=sums)
             gradient /= sums
@@ -98,8 +99,9 @@ class WindowNetwork:
 
         h = self.hidden(context)
         group, member = target // MEMBERS, target % MEMBERS
-        error = _softmax(h @ w["class_out"] + w["class_bias"])
-        error[np.arange(n), group] -= 1
+        error = h @ w["class_out"]
+        error += w["class_bias"]
+        _softmax(error)[np.arange(n), group] -= 1
         back = error @ w["class_out"].T
         order = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
@@ -108,11 +110,15 @@ class WindowNetwork:
             there = places < bounds[some + 1][:, None]
             rows = order[np.minimum(places, n - 1)]
             mine = h[rows] * there[:, :, None]
-            inner = _softmax(mine @ w["out"][some] + w["bias"][some][:, None, :])
+            out = w["out"][some]
+            inner = mine @ out
+            inner += w["bias"][some][:, None, :]
+            _softmax(inner)
             c, k = np.nonzero(there)
-            inner[c, k, member[rows[c, k]]] -= 1
+            own = rows[c, k]
+            inner[c, k, member[own]] -= 1
             inner *= there[:, :, None]
-            back[rows[c, k]] += (inner @ w["out"][some].transpose(0, 2, 1))[c, k]
+            back[own] += (inner @ out.transpose(0, 2, 1))[c, k]
             step("out", some, mine.transpose(0, 2, 1) @ inner)
             step("bias", some, inner.sum(axis=1))
         step("class_out", slice(None), h.T @ error)
@@ -125,9 +131,11 @@ class WindowNetwork:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=-1, keepdims=True))
-    e /= e.sum(axis=-1, keepdims=True)
-    return e
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / x.sum(axis=-1, keepdims=True)
+    return x
 
 
 def _alike_sizes(sizes: np.ndarray) -> list[np.ndarray]:
@@ -274,7 +282,7 @@ def averaged(nets: DataFrame, parts: int) -> bytes | None:
             return bytes(found[0]["weights"]) if found else None
 
 
-def train(docs: DataFrame, words: Vocabulary, share: float = TRAINED) -> WindowNetwork:
+def train(docs: DataFrame, words: Vocabulary, share: float = 1.0) -> WindowNetwork:
     """A network trained on all documents, the same however ``docs`` is partitioned.
 
     Every token is predicted from those around it, or with a smaller ``share`` those that a hash of their text and place chooses. Texts

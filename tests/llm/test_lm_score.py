@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from tessera.llm import lm_score
 from tessera.llm.shared import Words
 from tessera.llm.lm_score import CLASSES, MEMBERS, PAD, SIDE, VOCABULARY, WindowNetwork, count_words, examples, framed, score_corpus, score_documents, train, vocabulary
 
@@ -170,3 +171,17 @@ def test_learning_in_groups_of_classes_is_plain_gradient_ascent():
             assert np.abs(net.w[name][c] - expected).max() < 1e-4
     idle = np.setdiff1d(np.arange(CLASSES), target // MEMBERS)
     assert (net.w["out"][idle] == plain.w["out"][idle]).all()
+
+
+def test_training_predicts_every_token(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 97}" for j in range(k % 60))) for k in range(200)], "doc_id long, text string")
+    words, seen, real = vocabulary(docs), [], lm_score.averaged
+
+    def spied(nets, parts):
+        nets = nets.persist()
+        seen.append(sum(r["seen"] for r in nets.select("seen").collect()))
+        return real(nets, parts)
+
+    monkeypatch.setattr(lm_score, "averaged", spied)
+    train(docs, words)
+    assert sum(seen) == words.counts.sum() == sum(k % 60 for k in range(200))
