@@ -7,7 +7,7 @@ counts of the whole corpus, so that every word has a probability of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,19 @@ SIDE, WIDTH, STEP, RATE = 2, 16, 2_048, 0.1
 PART_TOKENS, ROUNDS, FAN_IN = 1_000_000, 2, 16
 #: Token pairs that scoring takes at once.
 SCORE_STEP = 65_536
+#: Words whose counts a task holds before it hands them on.
+HELD_WORDS = 1_000_000
+#: Rare words whose counts go to every task, at most; those of the others are joined.
+LISTED = 500_000
+#: Bytes of tokens that are framed at once.
+TOKEN_BYTES = 200_000
 #: Rows whose class scores are computed together.
 BLOCK = 2_048
+#: The largest sum of exponentials that is taken as it is.
+LARGEST = 1e20
+#: First bits of a hash by which the frequent words are looked up.
+SLOT_BITS = 17
+SLOTS = 1 << SLOT_BITS
 VOCABULARY = CLASSES * MEMBERS
 FREQUENT = VOCABULARY - BUCKETS
 PAD = VOCABULARY  # what stands beyond the ends of a text
@@ -62,97 +73,200 @@ class WindowNetwork:
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.w["vectors"][0][context[:, 0]]
+        flat = self.w["vectors"].reshape(-1, WIDTH)
+        total = flat.take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total = total + self.w["vectors"][k][context[:, k]]
-        return np.tanh(total)
+            total += flat.take(context[:, k] + k * (VOCABULARY + 1), axis=0)
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(token | both sides) of each row."""
-        h = self.hidden(context)
+        h = _with_one(self.hidden(context))
         group, member = target // MEMBERS, target % MEMBERS
         out = np.empty(len(target))
-        for at in range(0, len(target), BLOCK):  # a block's scores stay in the cache
-            part = slice(at, at + BLOCK)
-            out[part] = _log_softmax_at(h[part] @ self.w["class_out"] + self.w["class_bias"], group[part])
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        space, weights = np.empty((BLOCK, MEMBERS), h.dtype), np.empty((WIDTH + 1, MEMBERS), h.dtype)
+        _log_softmax_at(h, _with_bias(self.w["class_out"], self.w["class_bias"]), group, out, np.empty((BLOCK, CLASSES), h.dtype))
+        order, bounds = _by_class(group)
+        h, member, inner = h.take(order, axis=0), member.take(order), np.empty(len(target))
         for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ self.w["out"][c] + self.w["bias"][c], member[rows])
+            rows = slice(bounds[c], bounds[c + 1])
+            weights[:WIDTH], weights[WIDTH] = self.w["out"][c], self.w["bias"][c]
+            _log_softmax_at(h[rows], weights, member[rows], inner[rows], space)
+        out[order] += inner
         return out
 
-    def learn(self, context: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
-        """One step of gradient ascent with per-weight step sizes; only weights that the step touches are read or written."""
-        n, w = len(target), self.w
-
-        def step(name: str, at, gradient: np.ndarray) -> None:
-            gradient *= np.float32(1 / n)
-            sums = gradient * gradient
-            sums += squares[name][at]
-            squares[name][at] = sums
-            np.sqrt(sums, out=sums)
-            gradient /= sums
-            gradient *= np.float32(rate)
-            w[name][at] -= gradient
-
-        h = self.hidden(context)
-        group, member = target // MEMBERS, target % MEMBERS
-        error = h @ w["class_out"]
-        error += w["class_bias"]
-        _softmax(error)[np.arange(n), group] -= 1
-        back = error @ w["class_out"].T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for some in _alike_sizes(np.diff(bounds)):  # classes of about the same number of rows, filled up to the largest
-            places = bounds[some][:, None] + np.arange(int((bounds[some + 1] - bounds[some]).max()))
-            there = places < bounds[some + 1][:, None]
-            rows = order[np.minimum(places, n - 1)]
-            mine = h[rows] * there[:, :, None]
-            out = w["out"][some]
-            inner = mine @ out
-            inner += w["bias"][some][:, None, :]
-            _softmax(inner)
-            c, k = np.nonzero(there)
-            own = rows[c, k]
-            inner[c, k, member[own]] -= 1
-            inner *= there[:, :, None]
-            back[own] += (inner @ out.transpose(0, 2, 1))[c, k]
-            step("out", some, mine.transpose(0, 2, 1) @ inner)
-            step("bias", some, inner.sum(axis=1))
-        step("class_out", slice(None), h.T @ error)
-        step("class_bias", slice(None), error.sum(axis=0))
-        back *= 1 - h * h
-        for k in range(2 * SIDE):
-            by = np.argsort(context[:, k], kind="stable")
-            ids, first = np.unique(context[by, k], return_index=True)
-            step("vectors", (k, ids), np.add.reduceat(back[by], first, axis=0))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x *= 1 / x.sum(axis=-1, keepdims=True)
-    return x
-
-
-def _alike_sizes(sizes: np.ndarray) -> list[np.ndarray]:
-    """Classes with rows, the largest first, in groups whose smallest has half the rows of its largest at least."""
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    out = []
-    while len(order):
-        alike = 2 * sizes[order] >= sizes[order[0]]
-        out.append(order[alike])
-        order = order[~alike]
+    def learn(self, context: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE, size: int | None = None) -> None:
+        """Gradient ascent with per-weight step sizes, in steps of ``size`` rows each; one of all rows, if that isn't given."""
+        w, n = self.w, len(target)
+        merged = {k: [_with_bias(x[k], x[bias]) for x in (w, squares)] for k, bias in (("class_out", "class_bias"), ("out", "bias"))}
+        merged["vectors"] = [x["vectors"].reshape(-1, WIDTH) for x in (w, squares)]
+        for at in range(0, n, size or n):
+            part = slice(at, at + (size or n))
+            self._step(context[part], target[part], merged, rate)
+        for k, bias in (("class_out", "class_bias"), ("out", "bias")):
+            for x, both in zip((w, squares), merged[k]):
+                x[k][...], x[bias][...] = both[..., :WIDTH, :], both[..., WIDTH, :]
+
+    def _step(self, context: np.ndarray, target: np.ndarray, merged: dict[str, list], rate: float) -> None:
+        """One step, on weights and squares that hold the biases as last rows.
+
+        Softmaxes aren't divided by their sums: with e the exponentials less their sum at the target, a row's error is e by the sum, and
+        the few numbers that it is multiplied with are divided instead.
+        """
+        n = len(target)
+        order, bounds = _by_class(target // MEMBERS)
+        context, target = context.take(order, axis=0), target.take(order)
+        hidden = self.hidden(context)
+        h = _with_one(hidden)
+        weights, error = merged["class_out"][0], np.empty((n, CLASSES), h.dtype)
+
+        def fill_classes() -> None:
+            np.dot(h, weights, out=error)
+
+        fill_classes()
+        scale = _less_sums(error, fill_classes, target // MEMBERS, n)
+        back, gradient = error @ weights[:WIDTH].T, (h * scale).T @ error
+        back *= scale
+        out = merged["out"][0]
+        classes, slots, groups, size = _filled_up(bounds)
+        some, filled, found = out.take(classes, axis=0), np.zeros((size, WIDTH + 1), h.dtype), np.empty((len(classes), *out.shape[1:]), h.dtype)
+        filled[slots] = h
+        inner_error, down = np.empty((size, MEMBERS), h.dtype), np.empty((size, WIDTH), h.dtype)
+
+        def fill_members() -> None:
+            for of, rows, shape in groups:
+                np.matmul(filled[rows].reshape(*shape, -1), some[of], out=inner_error[rows].reshape(*shape, -1))
+
+        fill_members()
+        sums = _exponentials(inner_error, fill_members).take(slots)
+        inner_error.reshape(-1)[slots * MEMBERS + target % MEMBERS] -= sums
+        scale = (1 / (sums * n))[:, None]
+        factor = np.zeros((size, 1), h.dtype)
+        factor[slots] = scale
+        filled *= factor
+        for of, rows, shape in groups:
+            errors = inner_error[rows].reshape(*shape, -1)
+            np.matmul(errors, some[of, :WIDTH].transpose(0, 2, 1), out=down[rows].reshape(*shape, -1))
+            np.matmul(filled[rows].reshape(*shape, -1).transpose(0, 2, 1), errors, out=found[of])
+        inner_back = down.take(slots, axis=0)
+        inner_back *= scale
+        inner_gradient = np.empty_like(out) if len(classes) == CLASSES else np.zeros_like(out)
+        inner_gradient[classes] = found
+        _ascend(*merged["out"], inner_gradient, rate)
+        _ascend(*merged["class_out"], gradient, rate)
+        back += inner_back
+        back *= 1 - hidden * hidden
+        ids, gradient = _sums_by_id(context, back)
+        vectors, squares = (x.take(ids, axis=0) for x in merged["vectors"])
+        _ascend(vectors, squares, gradient, rate)
+        for x, new in zip(merged["vectors"], (vectors, squares)):
+            x[ids] = new
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """Rows of the hidden layer, and a last column of ones for the biases."""
+    out = np.ones((len(h), WIDTH + 1), h.dtype)
+    out[:, :WIDTH] = h
     return out
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return (x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))).astype(np.float64)
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with the biases as their last row."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _exponentials(x: np.ndarray, fill: Callable[[], None]) -> np.ndarray:
+    """Makes each row of the scores x its exponentials, in place, but for a factor of the row; returns the rows' sums.
+
+    Rows are as they are unless a sum is out of range; then ``fill`` writes the scores again, and each row's largest one is taken off first.
+    """
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    if not (sums.max() < LARGEST and sums.min() > 1 / LARGEST):
+        fill()
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        sums = x.sum(axis=1)
+    return sums
+
+
+def _less_sums(x: np.ndarray, fill: Callable[[], None], at: np.ndarray, n: int) -> np.ndarray:
+    """Makes x its exponentials less the row's sum at the target, in place; returns what turns that into the error of a row of n, as a column."""
+    sums = _exponentials(x, fill)
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= sums
+    sums *= n
+    return (1 / sums)[:, None]
+
+
+def _ascend(weights: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """One step of weights, in place, by the squares of all their gradients; the gradient is used up."""
+    sums = gradient * gradient
+    squares += sums
+    np.sqrt(squares, out=sums)
+    gradient /= sums
+    gradient *= np.float32(rate)
+    weights -= gradient
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The rows in the order of their classes, and where each class begins."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")  # 16 bits are sorted by digits
+    return order, [0, *np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()]
+
+
+def _filled_up(bounds: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice, tuple[int, int]]], int]:
+    """How classes of about the same number of rows are worked on together, each filled up with rows of zeros to the largest of its group.
+
+    The classes with rows, the largest first; the place of each row, if rows go by class; the groups, as (which of the classes, places,
+    (classes, rows of each)); and the number of places.
+    """
+    sizes = np.diff(bounds)
+    classes = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    ordered, starts, groups, at, end = sizes[classes].tolist(), np.zeros(CLASSES, np.int64), [], 0, 0
+    while at < len(ordered):
+        large, to = ordered[at], at + 1
+        while to < len(ordered) and 5 * ordered[to] >= 4 * large:
+            to += 1
+        starts[classes[at:to]] = end + large * np.arange(to - at)
+        groups.append((slice(at, to), slice(end, end + (to - at) * large), (to - at, large)))
+        at, end = to, groups[-1][1].stop
+    return classes, np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes), groups, end
+
+
+def _sums_by_id(context: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place and id as one number, sum of ``back`` over the rows that have the id there), each pair once."""
+    n, columns = len(context), context.T.astype(np.uint16)
+    order = np.argsort(columns, axis=1, kind="stable")
+    at = (columns.ravel().take(order + n * np.arange(2 * SIDE)[:, None]) + np.arange(2 * SIDE, dtype=np.int32)[:, None] * (VOCABULARY + 1)).ravel()
+    rows, new = order.ravel(), np.ones(len(at) + 1, bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    ids, out = at.take(first[:-1]), back.take(rows.take(first[:-1]), axis=0)
+    alone = new[:-1] & new[1:]
+    several = np.flatnonzero(~alone.take(first[:-1]))
+    if len(several):
+        out[several] = np.add.reduceat(back.take(rows[~alone], axis=0), np.flatnonzero(new[:-1][~alone]), axis=0)
+    return ids, out
+
+
+def _log_softmax_at(h: np.ndarray, weights: np.ndarray, at: np.ndarray, out: np.ndarray, space: np.ndarray) -> None:
+    """Puts the logarithm of each row's softmax at the target into ``out``; a block's scores, in ``space``, stay in the cache."""
+    for first in range(0, len(h), BLOCK):
+        part = slice(first, min(first + BLOCK, len(h)))
+        x, cell = space[: part.stop - first], np.arange(0, (part.stop - first) * space.shape[1], space.shape[1]) + at[part]
+        own = np.empty(len(x), x.dtype)
+
+        def fill() -> None:
+            np.dot(h[part], weights, out=x)
+
+        def fill_again() -> None:
+            fill()
+            np.subtract(x.reshape(-1).take(cell), x.max(axis=1), out=own)
+
+        fill()
+        own[:] = x.reshape(-1).take(cell)
+        sums = _exponentials(x, fill_again)
+        np.subtract(own, np.log(sums), out=out[part])
 
 
 class Vocabulary:
@@ -169,6 +283,8 @@ class Vocabulary:
         self.counts[self.ids] = counts[order]
         self.counts[self.bucket_ids] = buckets
         self.complete = not buckets.any()
+        starts = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS)
+        self.slots = np.searchsorted(self.hashes, starts).astype(np.uint16)  # the first hash that may begin with these bits
 
     @staticmethod
     def _id(rank: np.ndarray) -> np.ndarray:
@@ -177,22 +293,48 @@ class Vocabulary:
 
     def tokens(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, whether it is a bucket's) of each word."""
-        ids = self.bucket_ids[(words % np.uint64(BUCKETS)).astype(np.int64)]
+        ids = self.bucket_ids.take((words & np.uint64(BUCKETS - 1)).astype(np.int64))
         if not len(self.hashes):
             return ids, np.ones(len(words), bool)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        known = self.hashes[at] == words
-        return np.where(known, self.ids[at], ids), ~known
+        at = self.slots.take((words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)).astype(np.int64)
+        last = len(self.hashes) - 1
+        while True:
+            found = self.hashes.take(at, mode="clip")
+            on = (found < words) & (at < last)
+            if not on.any():
+                break
+            at += on
+        known = found == words
+        return np.where(known, self.ids.take(at, mode="clip"), ids), ~known
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of words, from several; sorted by word."""
+    word, n = (np.concatenate(x) for x in zip(*counts))
+    order = np.argsort(word)
+    word, n = word[order], n[order]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+    return word[first], np.add.reduceat(n, first) if len(n) else n
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): how often the corpus has each word, as the 64 bits of its hash; all texts, whole."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for _, part in chunks(encoded(batch["text"])):
-                word, n = np.unique(Words(part).hash, return_counts=True)
-                yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+                held.append(np.unique(Words(part).hash, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_WORDS:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD_WORDS:
+                        yield pd.DataFrame({"word": held[0][0].view(np.int64), "n": held[0][1]})
+                        held, size = [], 0
+        if held:
+            word, n = _added(held)
+            yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -245,6 +387,19 @@ def framed(tokens: np.ndarray) -> np.ndarray:
     return seen[:, [SIDE, *range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]].astype(np.uint16)
 
 
+def framed_texts(blobs: list[bytes]) -> np.ndarray:
+    """``framed`` of texts whose tokens are given as bytes, one text after the other."""
+    gap = np.full(SIDE, PAD, np.uint16).tobytes()
+    seen = np.lib.stride_tricks.sliding_window_view(np.frombuffer(gap + gap.join(blobs) + gap, np.uint16), 2 * SIDE + 1) if blobs else np.zeros((0, 2 * SIDE + 1), np.uint16)
+    return seen[seen[:, SIDE] != PAD][:, [SIDE, *range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]]
+
+
+def _places(keys: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """Each text's key and, added to it, the place of each of its tokens."""
+    n = np.array([len(b) // 2 for b in blobs])
+    return np.repeat(keys - (np.cumsum(n) - n).astype(np.uint64), n) + np.arange(n.sum(), dtype=np.uint64)
+
+
 def token_texts(docs: DataFrame, words: Vocabulary, parts: int) -> DataFrame:
     """(round, part, key, tokens): the ids of each text's tokens, as bytes; where a text goes depends on it and its doc_id alone."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -300,16 +455,19 @@ def train(docs: DataFrame, words: Vocabulary, share: float = 1.0) -> WindowNetwo
         def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part, trainer = None, None
             for batch in batches:
-                for now, key, blob in zip(batch["part"].tolist(), batch["key"].to_numpy(np.int64).view(np.uint64), batch["tokens"]):
-                    if now != part:
+                parts_, keys, blobs = batch["part"].to_numpy(), batch["key"].to_numpy(np.int64).view(np.uint64), batch["tokens"].tolist()
+                bounds = [0, *(np.flatnonzero(np.diff(parts_)) + 1).tolist(), len(blobs)]
+                for at, end in zip(bounds, bounds[1:]):
+                    if parts_[at] != part:
                         if trainer:
                             yield trainer.result(part)
-                        part, trainer = now, _Trainer(start.value)
-                    rows = framed(np.frombuffer(blob, np.uint16))
-                    if share < 1:
-                        spread = mix(key + np.arange(len(rows), dtype=np.uint64)) >> np.uint64(20)
-                        rows = rows[spread % np.uint64(1000) < np.uint64(round(1000 * share))]
-                    trainer.add(rows)
+                        part, trainer = int(parts_[at]), _Trainer(start.value)
+                    for first, some in chunks(blobs[at:end], TOKEN_BYTES):
+                        rows = framed_texts(some)
+                        if share < 1:
+                            spread = mix(_places(keys[at + first : at + first + len(some)], some)) >> np.uint64(20)
+                            rows = rows[spread % np.uint64(1000) < np.uint64(round(1000 * share))]
+                        trainer.add(rows)
             if trainer:
                 yield trainer.result(part)
 
@@ -337,9 +495,7 @@ class _Trainer:
 
     def _learn(self, upto: int) -> None:
         rows = np.concatenate(self.held).astype(np.int64)
-        for at in range(0, upto, STEP):
-            part = rows[at : min(at + STEP, upto)]
-            self.net.learn(part[:, 1:], part[:, 0], self.squares)
+        self.net.learn(rows[:upto, 1:], rows[:upto, 0], self.squares, size=STEP)
         self.held, self.size, self.seen = [rows[upto:].astype(np.uint16)], len(rows) - upto, self.seen + upto
 
     def result(self, part: int) -> pd.DataFrame:
@@ -348,6 +504,22 @@ class _Trainer:
         return pd.DataFrame({"part": [part], "weights": [self.net.flat().astype(np.float32).tobytes()], "seen": [float(self.seen)]})
 
 
+def _most_frequent(counts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Of words with counts ``held``: (hashes, sorted, and the logarithms of their counts) of all that occur at least so often, and that number.
+
+    It is the least power of two that leaves ``LISTED`` words at most.
+    """
+    sizes = dict(counts.groupBy(F.length(F.bin("held")) - 1).count().collect())
+    power, n = max(sizes, default=0) + 1, 0
+    while power > 0 and n + sizes.get(power - 1, 0) <= LISTED:
+        power -= 1
+        n += sizes.get(power, 0)
+    rows = counts.filter(F.col("held") >= 1 << power).toPandas()
+    words = rows["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return (words[order], np.log(rows["held"].to_numpy(float))[order]), 1 << power
+
+
 def score_documents(docs: DataFrame, words: Vocabulary, net: WindowNetwork, counts: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_likelihood, mean_log_likelihood.
 
@@ -357,10 +529,16 @@ def score_documents(docs: DataFrame, words: Vocabulary, net: WindowNetwork, coun
     empty texts, and texts without words, have no tokens, a sum of 0 and a null mean. Rows may repeat; an
     empty table gives no row; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, net))
+    if not words.complete:
+        counts = count_words(docs) if counts is None else counts
+        several = counts.filter("n > 1").select("word", F.col("n").alias("held"))  # of the others the logarithm is nothing
+        listed, least = _most_frequent(several)
+    else:
+        listed = (np.zeros(0, np.uint64), np.zeros(0))
+    shared = docs.sparkSession.sparkContext.broadcast((words, net, listed))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, model = shared.value
+        vocabulary, model, (known, logs) = shared.value
         with np.errstate(divide="ignore"):
             share = np.where(np.isin(np.arange(VOCABULARY), vocabulary.bucket_ids), -np.log(np.maximum(vocabulary.counts, 1)), 0.0)
         for batch in batches:
@@ -373,21 +551,25 @@ def score_documents(docs: DataFrame, words: Vocabulary, net: WindowNetwork, coun
                     where = text[at : at + SCORE_STEP] + first
                     n += np.bincount(where, minlength=len(texts))
                     total += np.bincount(where, model.log_probabilities(context[at : at + SCORE_STEP], now) + share[now], minlength=len(texts))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, rare[1]), len(known) - 1)
+                    on = known[at] == rare[1]
+                    total += np.bincount(first + rare[0][on], rare[2][on] * logs[at[on]], minlength=len(texts))
+                    rare = tuple(x[~on] for x in rare)
                 if len(rare[0]):
                     yield pd.DataFrame({"row": row[first + rare[0]], "word": rare[1].view(np.int64), "times": rare[2], "n": 0, "total": 0.0, "doc_id": None})
             # any word will do for a row's own sum, as it is taken no times
             yield pd.DataFrame({"row": row, "word": mix(row.view(np.uint64)).view(np.int64), "times": 0, "n": n, "total": total, "doc_id": batch["doc_id"]})
 
     schema = "row long, word long, times long, n long, total double, doc_id string"
-    found = ids_and_texts(docs, F.monotonically_increasing_id().alias("row")).mapInPandas(scored, schema)
+    # as numbers: Spark sorts all rows to find the largest of strings
+    found = with_long_ids(ids_and_texts(docs, F.monotonically_increasing_id().alias("row")).mapInPandas(scored, schema))
     if not words.complete:
-        counts = count_words(docs) if counts is None else counts
-        several = counts.filter("n > 1").select("word", F.col("n").alias("held"))  # of the others the logarithm is nothing
-        met = found.join(several, "word", "left")
+        met = found.join(several.filter(F.col("held") < least), "word", "left")
         found = met.groupBy("row").agg(
             F.sum("n").alias("n"), F.sum(F.col("total") + F.col("times") * F.log(F.coalesce("held", F.lit(1)).cast("double"))).alias("total"), F.max("doc_id").alias("doc_id")
         )
-    return with_long_ids(found).select(
+    return found.select(
         "doc_id", F.col("n").alias("n_tokens"), F.col("total").alias("log_likelihood"), F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean_log_likelihood")
     )
 

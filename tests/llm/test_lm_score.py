@@ -185,3 +185,62 @@ def test_training_predicts_every_token(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "averaged", spied)
     train(docs, words)
     assert sum(seen) == words.counts.sum() == sum(k % 60 for k in range(200))
+
+
+def test_a_step_of_all_classes_matches_one_with_large_scores():
+    """Scores too large for plain exponentials, and classes of very different sizes, against float64 with every row by itself."""
+    rng = np.random.default_rng(5)
+    target = np.concatenate([np.full(700, 3), rng.integers(0, VOCABULARY, 200)])
+    context = np.concatenate([np.full((600, 2 * SIDE), 9), rng.integers(0, VOCABULARY + 1, (300, 2 * SIDE))])
+    for size in (1, 60):
+        net = WindowNetwork.initial(np.ones(VOCABULARY))
+        net.w = {k: v * np.float32(1 if k == "vectors" else 10 * size) for k, v in net.w.items()}
+        exact = {k: v.astype(np.float64) for k, v in net.w.items()}
+        h = np.tanh(sum(exact["vectors"][k][context[:, k]] for k in range(2 * SIDE)))
+        outer = h @ exact["class_out"] + exact["class_bias"]
+        inner = np.einsum("nk,nkm->nm", h, exact["out"][target // MEMBERS]) + exact["bias"][target // MEMBERS]
+        expected = 0.0
+        for x, at in ((outer, target // MEMBERS), (inner, target % MEMBERS)):
+            x = x - x.max(axis=1, keepdims=True)
+            expected = expected + x[np.arange(900), at] - np.log(np.exp(x).sum(axis=1))
+        assert np.abs(net.log_probabilities(context, target) - expected).max() < 2e-3 * size
+        squares = {k: np.full(s, 1e-4, np.float32) for k, s in WindowNetwork.SHAPES.items()}
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            net.learn(context, target, squares)
+        assert all(np.isfinite(v).all() for v in net.w.values())
+        error = np.exp(outer - outer.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(900), target // MEMBERS] -= 1
+        gradient = error.sum(axis=0) / 900
+        assert np.abs(net.w["class_bias"] - (exact["class_bias"] - 0.1 * gradient / np.sqrt(1e-4 + gradient**2))).max() < 1e-3
+
+
+def test_steps_in_one_call_are_the_same_steps():
+    rng = np.random.default_rng(8)
+    target, context = rng.integers(0, 900, 500), rng.integers(0, 900, (500, 2 * SIDE))
+    nets = [WindowNetwork.initial(np.ones(VOCABULARY)) for _ in range(2)]
+    squares = [{k: np.full(s, 1e-4, np.float32) for k, s in WindowNetwork.SHAPES.items()} for _ in range(2)]
+    nets[0].learn(context, target, squares[0], size=200)
+    for at in (0, 200, 400):
+        nets[1].learn(context[at : at + 200], target[at : at + 200], squares[1])
+    assert all(np.array_equal(nets[0].w[k], nets[1].w[k]) and np.array_equal(squares[0][k], squares[1][k]) for k in nets[0].w)
+
+
+def test_texts_framed_together_are_framed_one_by_one():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, VOCABULARY, n).astype(np.uint16) for n in (3, 0, 1, 40, 2)]
+    assert (lm_score.framed_texts([t.tobytes() for t in texts]) == np.concatenate([framed(t) for t in texts])).all()
+    assert lm_score.framed_texts([]).shape == (0, 1 + 2 * SIDE)
+
+
+def test_listed_and_joined_counts_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.lm_score.FREQUENT", 10)
+    docs = spark.createDataFrame(rare_corpus(), "doc_id long, text string")
+    counts = count_words(docs).cache()
+    words = vocabulary(docs, counts)
+    net, found = train(docs, words), []
+    for listed in (0, 100, 500_000):
+        monkeypatch.setattr("tessera.llm.lm_score.LISTED", listed)
+        found.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["log_likelihood"]) for r in score_documents(docs, words, net, counts).collect()))
+    for other in found[1:]:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(found[0], other)) and len(other) == len(found[0])
